@@ -21,6 +21,15 @@ def parse_json(text: Column | str) -> Column:
     return F.try_parse_json(text)
 
 
+def with_parsed(df, text: Column, name: str = "_v"):
+    """Add the VARIANT of a JSON text as a generated column.
+
+    A plain column would be copied into every filter that Spark moves below it,
+    and the text parsed once per copy; a generator's output is computed once.
+    """
+    return df.select("*", F.explode(F.array(parse_json(text))).alias(name))
+
+
 def field(row: Column, path: str) -> Column:
     return F.try_variant_get(row, f"$.{path}", "variant")
 
@@ -43,6 +52,10 @@ def string_value(row: Column, path: str) -> Column:
     return F.when(json_type(row, path) == "STRING", F.try_variant_get(row, f"$.{path}", "string"))
 
 
+def not_string(row: Column, path: str) -> Column:
+    return F.coalesce(json_type(row, path) != "STRING", F.lit(True))
+
+
 def optional_string(row: Column, path: str) -> Column:
     """The non-empty string at ``path``, else NULL."""
     return F.nullif(string_value(row, path), F.lit(""))
@@ -54,28 +67,25 @@ def optional_long(row: Column, path: str, numeric_strings: bool = True) -> Colum
     ``2.0`` and ``1e3`` are whole; ``1.5``, booleans and values out of the
     64-bit range are not.  ``numeric_strings`` also admits ``"12"``.
     """
-    kind = json_type(row, path)
     number = F.try_variant_get(row, f"$.{path}", "bigint")
-    real = F.try_variant_get(row, f"$.{path}", "double")
-    value = F.when(kind == "BIGINT", number).when(
-        kind.rlike("^(DECIMAL|DOUBLE|FLOAT)") & (real == number.cast("double")), number
-    )
-    if numeric_strings:
-        text = F.try_variant_get(row, f"$.{path}", "string")
-        value = value.when((kind == "STRING") & text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
-    return value
+    return F.when(_is_whole(row, path) & _is_number(row, path, numeric_strings), number)
+
+
+def _is_whole(row: Column, path: str) -> Column:
+    """The value survives a cast to bigint; that cast alone would cut a fraction off."""
+    number = F.try_variant_get(row, f"$.{path}", "bigint")
+    return F.try_variant_get(row, f"$.{path}", "double") == number.cast("double")
+
+
+def _is_number(row: Column, path: str, numeric_strings: bool) -> Column:
+    kind = json_type(row, path)
+    return kind != "BOOLEAN" if numeric_strings else ~kind.isin("BOOLEAN", "STRING")
 
 
 def optional_double(row: Column, path: str, numeric_strings: bool = True) -> Column:
     """Number at ``path`` as a double, else NULL."""
-    kind = json_type(row, path)
     real = F.try_variant_get(row, f"$.{path}", "double")
-    value = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), real)
-    if numeric_strings:
-        text = F.try_variant_get(row, f"$.{path}", "string")
-        pattern = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
-        value = value.when((kind == "STRING") & text.rlike(pattern), text.try_cast("double"))
-    return value
+    return F.when(_is_number(row, path, numeric_strings) & ~F.isnan(real), real)
 
 
 def optional_boolean(row: Column, path: str) -> Column:
@@ -89,8 +99,8 @@ def optional_timestamp(row: Column, path: str) -> Column:
 
 def bool_flag(row: Column, path: str) -> Column:
     """1 for true or a non-zero whole number, else 0."""
-    truth = F.coalesce(optional_boolean(row, path), optional_long(row, path) != 0, F.lit(False))
-    return truth.cast("bigint")
+    truth = (F.try_variant_get(row, f"$.{path}", "bigint") != 0) & _is_whole(row, path)
+    return F.coalesce(truth, F.lit(False)).cast("bigint")
 
 
 def reason_flag(row: Column, path: str, reasons: list[str]) -> Column:
@@ -160,8 +170,7 @@ def missing(kind: str, path: str, context: str) -> str:
 
 
 def required_string(row: Column, path: str, context: str) -> tuple[Column, Column]:
-    value = string_value(row, path)
-    return value, F.when(value.isNull(), F.lit(missing("string", path, context)))
+    return string_value(row, path), F.when(not_string(row, path), F.lit(missing("string", path, context)))
 
 
 def required_long(row: Column, path: str, context: str) -> tuple[Column, Column]:
@@ -173,7 +182,7 @@ def required_timestamp(row: Column, path: str, context: str) -> tuple[Column, Co
     text = string_value(row, path)
     value = parse_offset_timestamp(text)
     invalid = F.concat(F.lit("Invalid timestamp '"), text, F.lit(f"' for field '{path}' in {context}"))
-    error = F.when(text.isNull(), F.lit(missing("timestamp", path, context))).when(value.isNull(), invalid)
+    error = F.when(not_string(row, path), F.lit(missing("timestamp", path, context))).when(value.isNull(), invalid)
     return value, error
 
 

@@ -156,6 +156,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
         "events",
         {
             "seq": "event_id",
+            "observed_at": "ts",
             "host": "'h' || (user_id DIV 2)",
             "blocked_bytes": CENTS,
             "frequency_hz": "CASE WHEN event_id % 3 = 0 THEN value END",
@@ -175,19 +176,19 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
         "event_type = 'error'",
     ),
     "windows": (
-        "lineitem",
+        "orders",
         {
-            "batch_id": "'b' || (l_orderkey DIV 8)",
-            "row_sequence": "l_orderkey % 8 * 1000 + l_linenumber * 100 + l_partkey % 100",
-            "window_start": "timestamp '2024-01-01 00:00:00' + SECS(l_orderkey * 7919 % 172800)",
-            "local_day": "cast(timestamp '2024-01-01 00:00:00' + SECS(l_orderkey * 7919 % 172800) AS date)",
-            "sensor_id": "'s' || (l_suppkey % 2)",
-            "location_id": "'l' || (l_linenumber % 7)",
-            "source_mac": "'m' || (l_partkey % 3)",
-            "destination_bssid": "'b' || (l_partkey % 2)",
-            "ssid": "CASE WHEN l_linenumber % 4 <> 0 THEN 'net' || l_suppkey END",
-            "bytes": "cast(floor(l_extendedprice) AS bigint)",
-            "threshold_exceeded": "CASE WHEN l_quantity >= 25 THEN 1 ELSE 0 END",
+            "batch_id": "'b' || (o_orderkey DIV 40)",
+            "row_sequence": "o_orderkey % 40",
+            "window_start": "timestamp '2024-01-01 00:00:00' + SECS(o_orderkey * 7919 % 172800)",
+            "local_day": "cast(timestamp '2024-01-01 00:00:00' + SECS(o_orderkey * 7919 % 172800) AS date)",
+            "sensor_id": "'s' || (o_custkey % 2)",
+            "location_id": "'l' || (o_orderkey % 7)",
+            "source_mac": "'m' || (o_custkey % 3)",
+            "destination_bssid": "'b' || (o_custkey % 2)",
+            "ssid": "CASE WHEN o_orderkey % 4 <> 0 THEN 'net' || o_custkey END",
+            "bytes": "cast(floor(o_totalprice) AS bigint)",
+            "threshold_exceeded": "CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END",
         },
         None,
     ),
@@ -208,6 +209,22 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
         },
         None,
     ),
+    "scans": (
+        "orders",
+        {
+            "place": "o_orderkey",
+            "dedupe_key": "CASE WHEN o_orderkey % 33 = 0 THEN ' ' ELSE SHA('events:' || o_orderkey) END",
+            "stream_name": STREAM_OF("o_orderkey"),
+            "payload_ref": "CASE WHEN o_orderkey % 21 <> 0 THEN 'outbox://scan/' || o_orderkey END",
+            "payload": "CASE WHEN o_orderkey % 4 <> 0 THEN '{\"n\":' || o_orderkey || '}' END",
+            "payload_sha256": "'sha' || o_orderkey",
+            "observed_text": "CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN "
+            + iso("o_orderdate")
+            + " WHEN 2 THEN replace(cast(o_orderdate AS string), ' ', 'T') ELSE 'soon' END",
+            "event_kind": "'scan'",
+        },
+        None,
+    ),
     "envelopes": (
         "orders",
         {
@@ -335,9 +352,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan that has fewer splits than cores; larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+# Views that carry JSON text, where the work per row is worth spreading a one-split file.
+MESSAGE_VIEWS = ("ledger", "envelopes", "work_items", "audits", "requests")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns, condition = VIEWS[name]
     df = table(spark, sf_dir, source)
+    if name in MESSAGE_VIEWS:
+        df = spread(df)
     if condition:
         df = df.filter(_dialect(condition, True))
     return df.selectExpr(*[f"{_dialect(e, True)} AS `{c}`" for c, e in columns.items()])

@@ -16,7 +16,7 @@ NOT_JSON = "message is not JSON"
 
 def envelope_decode(messages: DataFrame, value: str = "value") -> DataFrame:
     """Generic envelope ``{table, data, origin, destination}`` -> columns plus ``error``."""
-    df = messages.withColumn("_v", J.parse_json(F.col(value)))
+    df = J.with_parsed(messages, F.col(value))
     v = F.col("_v")
     data = J.field(v, "data")
     table, origin, destination = (J.string_value(v, name) for name in ("table", "origin", "destination"))
@@ -41,13 +41,13 @@ def envelope_decode(messages: DataFrame, value: str = "value") -> DataFrame:
 
 def load_decode(messages: DataFrame, value: str = "value") -> DataFrame:
     """Work item: six required strings, nullable ``batch_no``, ``attempt`` 0 when absent."""
-    df = messages.withColumn("_v", J.parse_json(F.col(value)))
+    df = J.with_parsed(messages, F.col(value))
     v = F.col("_v")
     texts = ("job_id", "batch_id", "stream_name", "payload_ref", "cursor_start", "cursor_end")
     strings = {name: J.string_value(v, name) for name in texts}
     batch_no, attempt = (J.optional_long(v, name).try_cast("int") for name in ("batch_no", "attempt"))
     errors = [F.when(v.isNull(), F.lit(NOT_JSON))]
-    errors += [F.when(strings[n].isNull(), F.lit(f"work item needs string '{n}'")) for n in texts]
+    errors += [F.when(J.not_string(v, n), F.lit(f"work item needs string '{n}'")) for n in texts]
     errors += [
         F.when(number.isNull() & (J.json_type(v, n) != "VOID"), F.lit(f"work item needs integer '{n}'"))
         for n, number in (("batch_no", batch_no), ("attempt", attempt))
@@ -68,7 +68,7 @@ _AUDIT_TEXTS = ("host", "method", "path", "content_type", "peer_ip", "wg_pubkey"
 
 def audit_parse(messages: DataFrame, value: str = "value") -> DataFrame:
     """Payload-audit message. ``observed_at`` must be a string; any optional field of a wrong type fails it."""
-    df = messages.withColumn("_v", J.parse_json(F.col(value)))
+    df = J.with_parsed(messages, F.col(value))
     v = F.col("_v")
 
     def wrong(name: str, ok: Column) -> Column:
@@ -97,6 +97,7 @@ def audit_parse(messages: DataFrame, value: str = "value") -> DataFrame:
         F.to_json(J.field(v, "body")).alias("body"),
         size.alias("body_bytes_original"),
         truncated.alias("truncated"),
+        J.string_value(v, "type").alias("event_kind"),
         J.first_error(errors).alias("error"),
     )
 
@@ -108,7 +109,6 @@ def scan_requests(messages: DataFrame, value: str = "value", stream_name: str =
     """
     text = F.col(value)
     parsed = audit_parse(messages.filter(F.coalesce(text != "", F.lit(False))), value)
-    good = F.col("error").isNull()
     return parsed.select(
         *messages.columns,
         F.lit(stream_name).alias("stream_name"),
@@ -117,7 +117,7 @@ def scan_requests(messages: DataFrame, value: str = "value", stream_name: str =
         sha256_hex(text).alias("payload_sha256"),
         text.alias("payload"),
         F.col("observed_at").alias("observed_text"),
-        F.when(good, J.string_value(J.parse_json(text), "type")).alias("event_kind"),
+        "event_kind",
         "error",
     )
 
