@@ -132,14 +132,15 @@ def held_keys(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Add the first batch row of each key that the table does not hold yet."""
     fresh = batch.join(held_keys(target, batch, keys), keys, "left_anti")
-    return target.unionByName(first_per_key(fresh.select(*target.columns), keys, order))
+    return target.unionByName(first_per_key(fresh, keys, order, target.columns))
 
 
-def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def first_per_key(rows: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None) -> DataFrame:
     """The first row of each key, reduced in every task before the shuffle."""
-    others = [c for c in rows.columns if c not in keys]
+    columns = columns or rows.columns
+    others = [c for c in columns if c not in keys]
     first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row"))
-    return first.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
+    return first.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in columns])
 
 
 def duplicate_keys(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:

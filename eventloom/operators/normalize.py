@@ -268,9 +268,10 @@ PMF_ATTACK = [
 ]
 
 CLIENT_INVENTORY = [
-    text("sensor_id"),
-    text("location_id"),
-    time("snapshot_at"),
+    # merged with the parent object by the payload step
+    Field("sensor_id", lambda r, c: J.required_string(F.col("head"), "sensor_id", c)),
+    Field("location_id", lambda r, c: J.required_string(F.col("head"), "location_id", c)),
+    Field("snapshot_at", lambda r, c: J.required_timestamp(F.col("head"), "snapshot_at", c)),
     either("string", "client_mac", "client_mac", "source_mac"),
     maybe_text("bssid"),
     maybe_text("ssid"),
@@ -308,10 +309,7 @@ FIELDS = {
 def _derived(target: str) -> dict[str, Column]:
     """Columns that follow from the parsed ones."""
     if target == "proxy.events":
-        millis = F.timestamp_add(
-            "MICROSECOND", -F.pmod(F.extract(F.lit("MICROSECOND"), F.col("event_time")), F.lit(1000)), F.col("event_time")
-        )
-        return {"event_timestamp_utc": millis}
+        return {"event_timestamp_utc": F.date_trunc("millisecond", "event_time").cast("timestamp_ntz")}
     if target in ("wireless.audit", "audit.wireless.bandwidth"):
         return {"band": band_for_channel(F.col("channel"))}
     if target == "wireless.client.inventory":

@@ -336,14 +336,15 @@ def append_keys(target: DataFrame, batch: DataFrame, keys: list[str], order: lis
 
 
 def alerts_ledger(before: DataFrame, after: DataFrame, as_of) -> DataFrame:
-    """Log of the alert rows that a merge inserted or updated."""
-    columns = [c for c in after.columns if c not in ("created_at", "updated_at")]
-    changed = after.select(*columns).exceptAll(before.select(*columns))
-    held = before.select(*ALERT_KEY).distinct().withColumn("_held", F.lit(True))
-    same = F.lit(True)
-    for k in ALERT_KEY:
-        same = same & changed[k].eqNullSafe(held[k])
+    """Log of the alert rows that the merge at ``as_of`` inserted or updated.
+
+    ``after`` is the table that merge returned; its rows are recognised by their
+    ``updated_at``.  An alert without a full key never updates another one.
+    """
+    now = as_utc(as_of)
+    changed = after.filter(F.col("updated_at") == now)
+    held = M.held_keys(before, changed, ALERT_KEY).withColumn("_held", F.lit(True))
     action = F.when(F.col("_held"), "update").otherwise("insert")
-    return changed.join(held, same, "left").select(
-        *[changed[c] for c in columns], action.alias("ledger_action"), as_utc(as_of).alias("captured_at")
-    )
+    columns = [c for c in after.columns if c not in ("created_at", "updated_at")]
+    joined = changed.join(held, ALERT_KEY, "left")
+    return joined.select(*columns, action.alias("ledger_action"), now.alias("captured_at"))

@@ -1,6 +1,7 @@
-"""All registered queries."""
+"""All registered queries and their complete oracle texts."""
 
-from . import detection, ledger  # noqa: F401
-from .registry import ORACLES, QUERIES
+from . import detection, ledger, merges, normalizers  # noqa: F401
+from . import registry
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = registry.QUERIES
+ORACLES = {name: registry.with_views(sql) for name, sql in registry.ORACLES.items()}

@@ -365,7 +365,7 @@ MESSAGE_VIEWS = ("ledger", "envelopes", "work_items", "audits", "requests")
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns, condition = VIEWS[name]
     df = table(spark, sf_dir, source)
-    if name in MESSAGE_VIEWS:
+    if name in MESSAGE_VIEWS or name.startswith("rows_"):
         df = spread(df)
     if condition:
         df = df.filter(_dialect(condition, True))

@@ -26,7 +26,7 @@ class Tables:
         return inputs.table(self.spark, self.sf_dir, name)
 
 
-def _with_views(sql: str) -> str:
+def with_views(sql: str) -> str:
     """Prefix ``sql`` with the views it names as ``v_<name>``, in dependency order."""
     order: list[str] = []
 
@@ -54,7 +54,7 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
         if oracle is not None:
-            ORACLES[name] = _with_views(oracle)
+            ORACLES[name] = oracle
         return build
 
     return register

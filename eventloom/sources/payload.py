@@ -23,23 +23,32 @@ CLIENTS_NOT_ARRAY = "wireless client inventory: 'clients' must be an array"
 CLIENT_NOT_OBJECT = "wireless client inventory: each client must be a JSON object"
 
 
-def json_error(payload: Column) -> Column:
-    """Why a payload text cannot be used, else NULL."""
-    kind = F.schema_of_variant(J.parse_json(payload))
-    return F.when(kind.isNull(), NOT_JSON_PAYLOAD).when(kind == "VOID", EMPTY_PAYLOAD)
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column as a generator's output, so that filters moved below it do not compute it again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _document(df: DataFrame) -> DataFrame:
+    """Add ``document``, the parsed payload: the one parse that all later steps share."""
+    return _once(df, "document", J.parse_json(F.col("payload")))
+
+
+def document_error(document: Column) -> Column:
+    """Why a payload cannot be used, else NULL."""
+    return F.when(document.isNull(), NOT_JSON_PAYLOAD).when(F.is_variant_null(document), EMPTY_PAYLOAD)
 
 
 def payload_inline(df: DataFrame, ref: str = "payload_ref") -> DataFrame:
-    """Decode ``inline://json/<base64url>`` into ``payload`` with ``payload_error``."""
+    """Decode ``inline://json/<base64url>``: adds ``payload``, ``document``, ``payload_error``."""
     body = F.substr(F.col(ref), F.lit(len(INLINE_PREFIX) + 1))
     inline = F.coalesce(F.col(ref).startswith(INLINE_PREFIX), F.lit(False))
     outbox = F.coalesce(F.col(ref).startswith(OUTBOX_PREFIX), F.lit(False))
     unsupported = F.concat(F.lit("unsupported payload_ref scheme: "), F.coalesce(F.col(ref), F.lit("")))
-    out = df.withColumn("payload", F.when(inline, base64url_decode(body)))
+    out = _document(_once(df, "payload", F.when(inline, base64url_decode(body))))
     error = (
         F.when(~inline & ~outbox, unsupported)
         .when(inline & F.col("payload").isNull(), BAD_BASE64)
-        .when(inline, json_error(F.col("payload")))
+        .when(inline, document_error(F.col("document")))
     )
     return out.withColumns({"payload_error": error, "payload_retryable": F.lit(False)})
 
@@ -88,13 +97,14 @@ def payload_outbox(df: DataFrame, base: str, ref: str = "payload_ref") -> DataFr
     files = files.select("_text", below.alias("_path"))
     refs = df.withColumns({"_path": outbox_path(F.col(ref)), "_refused": outbox_error(F.col(ref))})
     joined = refs.join(files, "_path", "left")
-    text = F.when(F.col("_refused").isNull(), F.col("_text"))
+    joined = _document(joined.withColumn("payload", F.when(F.col("_refused").isNull(), F.col("_text"))))
     error = F.coalesce(
-        F.col("_refused"), F.when(F.col("_text").isNull(), UNREADABLE_OUTBOX), json_error(F.col("_text"))
+        F.col("_refused"), F.when(F.col("_text").isNull(), UNREADABLE_OUTBOX), document_error(F.col("document"))
     )
     return joined.select(
         *df.columns,
-        text.alias("payload"),
+        "payload",
+        "document",
         error.alias("payload_error"),
         (F.col("_refused").isNull() & F.col("_text").isNull()).alias("payload_retryable"),
     )
@@ -110,94 +120,94 @@ def resolve_payload(df: DataFrame, outbox_base: str | None = None, ref: str = "p
     return inline.filter(~is_outbox).unionByName(read)
 
 
-def _explode(df: DataFrame, array_text: Column) -> DataFrame:
-    """One row per element with its position, compact text (key order kept) and VARIANT value."""
-    pairs = F.arrays_zip(
-        F.from_json(array_text, "array<string>").alias("raw"), F.from_json(array_text, "array<variant>").alias("value")
-    )
-    exploded = df.select(*df.columns, F.posexplode(pairs).alias("pos", "_pair"))
-    return exploded.select(*df.columns, "pos", F.col("_pair.raw").alias("raw"), F.col("_pair.value").alias("row"))
+def explode_rows(df: DataFrame, elements: Column, text: Column | None) -> DataFrame:
+    """One row per element: ``pos``, ``row`` (VARIANT) and ``raw``.
+
+    ``raw`` is the element's compact text with its key order, which a VARIANT
+    does not keep; it costs a second pass over ``text`` and is NULL without one.
+    """
+    kept = [c for c in df.columns if c not in ("document", "payload", "payload_ref")]
+    if text is None:
+        out = df.select(*kept, F.posexplode(elements).alias("pos", "row"))
+        return out.withColumn("raw", F.lit(None).cast("string"))
+    places = F.sequence(F.lit(0), F.size(elements) - 1)
+    texts = F.from_json(text, "array<string>")
+    zipped = F.arrays_zip(places.alias("pos"), elements.alias("row"), texts.alias("raw"))
+    return df.filter(F.size(elements) > 0).select(*kept, F.inline(zipped).alias("pos", "row", "raw"))
 
 
-def payload_rows(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Rows of a payload: the elements of an array, else the value itself."""
-    text = F.col(payload)
-    array = F.when(text.rlike(r"^\s*\["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    return _explode(df, array)
+def _as_array(document: Column, path: str = "$") -> Column:
+    return F.try_variant_get(document, path, "array<variant>")
 
 
-def _member_rows(df: DataFrame, payload: str, member: str) -> DataFrame:
-    return _explode(df, F.get_json_object(F.col(payload), f"$.{member}"))
+def payload_rows(df: DataFrame, raw: bool = True) -> DataFrame:
+    """Rows of a payload: the elements of an array, else the value itself."""
+    text, document = F.col("payload"), F.col("document")
+    listed = text.rlike(r"^\s*\[")
+    elements = F.when(listed, _as_array(document)).otherwise(F.array(document))
+    array_text = F.when(listed, text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    return explode_rows(df, elements, array_text if raw else None)
 
 
-def member_error(payload: Column, member: str, absent: str, not_array: str) -> Column:
-    """Why the rows of ``payload`` cannot be listed, else NULL."""
-    kind = J.json_type(J.parse_json(payload), member)
-    return F.when(kind.isNull(), absent).when(~kind.startswith("ARRAY"), not_array)
+def member_error(document: Column, member: str, absent: str, not_array: str) -> Column:
+    """Why the rows of a payload cannot be listed, else NULL."""
+    return F.when(J.field(document, member).isNull(), absent).when(
+        _as_array(document, f"$.{member}").isNull(), not_array
+    )
 
 
-def payload_rows_probes(df: DataFrame, payload: str = "payload") -> DataFrame:
+def payload_rows_probes(df: DataFrame) -> DataFrame:
     """Rows of the ``probes`` array. Payloads without one give no rows; see ``rows_error``."""
-    ok = member_error(F.col(payload), "probes", PROBES_MISSING, PROBES_NOT_ARRAY).isNull()
-    return _member_rows(df.filter(ok), payload, "probes")
+    return explode_rows(df, _as_array(F.col("document"), "$.probes"), None)
 
 
-def client_inventory_merge(df: DataFrame, payload: str = "payload") -> DataFrame:
+def client_inventory_merge(df: DataFrame) -> DataFrame:
     """Rows of the ``clients`` array with the parent's sensor, location and snapshot time set on each.
 
-    A parent field wins over the client's own, also when it is an explicit null.
+    A parent field wins over the client's own, also when it is an explicit null;
+    the three merged fields are in ``head``, the client's others in ``row``.
     ``row_error`` marks clients that are not objects.
     """
-    parent = J.parse_json(F.col(payload))
-    ok = member_error(F.col(payload), "clients", CLIENTS_MISSING, CLIENTS_NOT_ARRAY).isNull()
-    base = df.filter(ok).withColumns(
-        {
-            "_sensor": F.to_json(J.field(parent, "sensor_id")),
-            "_location": F.to_json(J.field(parent, "location_id")),
-            "_snapshot": F.to_json(F.coalesce(J.field(parent, "snapshot_at"), J.field(parent, "observed_at"))),
-        }
+    document = F.col("document")
+    snapshot = F.coalesce(J.field(document, "snapshot_at"), J.field(document, "observed_at"))
+    base = df.withColumns(
+        {"_sensor": J.field(document, "sensor_id"), "_location": J.field(document, "location_id"), "_snapshot": snapshot}
     )
-    rows = _member_rows(base, payload, "clients")
-    return merge_parent(rows).select(*df.columns, "pos", "raw", "row", "row_error")
-
-
-def merge_parent(rows: DataFrame) -> DataFrame:
-    """Overlay ``_sensor``, ``_location`` and ``_snapshot`` (JSON texts) on each client object."""
-    own = F.from_json(F.to_json(F.col("row")), "map<string,variant>")
-    parent = F.map_from_entries(
-        F.filter(
-            F.array(
-                F.struct(F.lit("sensor_id").alias("key"), F.try_parse_json("_sensor").alias("value")),
-                F.struct(F.lit("location_id").alias("key"), F.try_parse_json("_location").alias("value")),
-                F.struct(F.lit("snapshot_at").alias("key"), F.try_parse_json("_snapshot").alias("value")),
-            ),
-            lambda e: e["value"].isNotNull(),
-        )
+    rows = explode_rows(base, _as_array(document, "$.clients"), None)
+    r = F.col("row")
+    head = F.struct(
+        F.coalesce("_sensor", J.field(r, "sensor_id")).alias("sensor_id"),
+        F.coalesce("_location", J.field(r, "location_id")).alias("location_id"),
+        F.coalesce("_snapshot", J.field(r, "snapshot_at")).alias("snapshot_at"),
     )
-    kept = F.map_filter(own, lambda k, _: ~F.array_contains(F.map_keys(parent), k))
-    merged = F.to_json(F.map_concat(kept, parent))
-    is_client = J.is_object(F.col("row"))
     return rows.withColumns(
-        {
-            "raw": F.when(is_client, merged).otherwise(F.col("raw")),
-            "row_error": F.when(~is_client, CLIENT_NOT_OBJECT),
-        }
-    ).withColumn("row", F.when(is_client, F.try_parse_json("raw")).otherwise(F.col("row")))
+        {"head": F.to_variant_object(head), "row_error": F.when(~J.is_object(r), CLIENT_NOT_OBJECT)}
+    ).drop("_sensor", "_location", "_snapshot")
 
 
-def rows_error(target: Column, payload: Column) -> Column:
+def rows_error(target: Column, document: Column) -> Column:
     """Payload-level error of the row listing for a target, else NULL."""
     return F.when(
-        target == "wireless.probe.flush", member_error(payload, "probes", PROBES_MISSING, PROBES_NOT_ARRAY)
+        target == "wireless.probe.flush", member_error(document, "probes", PROBES_MISSING, PROBES_NOT_ARRAY)
     ).when(
-        target == "wireless.client.inventory", member_error(payload, "clients", CLIENTS_MISSING, CLIENTS_NOT_ARRAY)
+        target == "wireless.client.inventory", member_error(document, "clients", CLIENTS_MISSING, CLIENTS_NOT_ARRAY)
     )
 
 
-def rows_for_target(df: DataFrame, target: str, payload: str = "payload") -> DataFrame:
-    """Rows of the payloads of one target."""
+# Targets whose rows store their text or hash it.
+RAW_TARGETS = (
+    "proxy.events",
+    "proxy.payload_audit",
+    "wireless.audit",
+    "wireless.alert.rogue_ap",
+    "wireless.alert.deauth_flood",
+)
+
+
+def rows_for_target(df: DataFrame, target: str) -> DataFrame:
+    """Rows of resolved payloads of one target."""
     if target == "wireless.probe.flush":
-        return payload_rows_probes(df, payload)
+        return payload_rows_probes(df)
     if target == "wireless.client.inventory":
-        return client_inventory_merge(df, payload)
-    return payload_rows(df, payload)
+        return client_inventory_merge(df)
+    return payload_rows(df, raw=target in RAW_TARGETS)

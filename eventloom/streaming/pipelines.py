@@ -197,7 +197,7 @@ def stream_load(
         resolved = payload.resolve_payload(checked, outbox).withColumn(
             "error",
             F.coalesce(
-                "load_error", "route_error", "payload_error", payload.rows_error(F.col("target"), F.col("payload"))
+                "load_error", "route_error", "payload_error", payload.rows_error(F.col("target"), F.col("document"))
             ),
         ).withColumn("arrival", F.col("offset"))
         resolved.persist()
@@ -296,8 +296,12 @@ def stream_networks_reply(
 def probe_rows(batch: DataFrame, value: str = "value") -> DataFrame:
     """Probe rows of flush messages: a bare array or an object with ``probes``; other messages give none."""
     text = F.col(value)
-    listed = F.when(text.rlike(r"^\s*\["), text).otherwise(F.get_json_object(text, "$.probes"))
-    rows = payload._explode(batch.withColumn("batch_id", md5_batch_id(text)), listed)
+    document = F.col("document")
+    listed = F.coalesce(
+        F.try_variant_get(document, "$", "array<variant>"), F.try_variant_get(document, "$.probes", "array<variant>")
+    )
+    parsed = J.with_parsed(batch.withColumn("batch_id", md5_batch_id(text)), text, "document")
+    rows = payload.explode_rows(parsed, listed, None)
     r = F.col("row")
     return rows.select(
         *batch.columns,
