@@ -21,7 +21,7 @@ from .registry import CTES, query
 
 _NUM = lambda e: f"cast({e} AS string)"
 _FLAG = "CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '1' WHEN 3 THEN '0' END"
-_FLAG_SQL = "CASE WHEN event_id % 5 IN (0, 2) THEN 1 ELSE 0 END"
+_FLAG_SQL = "(CASE WHEN event_id % 5 IN (0, 2) THEN 1 ELSE 0 END)::bigint"
 # every 31st row has a time without an offset, every 29th lacks a required text
 _TIME = f"CASE WHEN event_id % 31 = 0 THEN replace(cast(ts AS string), ' ', 'T') ELSE {iso('ts')} END"
 _BAD = "(event_id % 31 = 0 OR event_id % 29 = 0)"
@@ -212,7 +212,7 @@ _KEY = "'b' || (event_id // 100) AS batch_id, event_id % 100 AS row_sequence"
 _TAIL = f"FROM events WHERE NOT {_BAD}"
 
 _UP = "CASE WHEN event_id % 2 = 0 THEN floor(value * 100)::bigint ELSE 0 END"
-_DOWN = "CASE event_id % 6 WHEN 0 THEN 12 WHEN 2 THEN 15 ELSE 0 END"
+_DOWN = "(CASE event_id % 6 WHEN 0 THEN 12 WHEN 2 THEN 15 ELSE 0 END)::bigint"
 
 
 @query("normalize_proxy_events", f"""
@@ -232,7 +232,7 @@ SELECT {_KEY}, 'h' || user_id AS host, ts AS event_time,
   CASE WHEN event_id % 10 = 0 THEN event_id % 70 WHEN event_id % 3 = 0 THEN event_id % 500 WHEN event_id % 4 = 0 THEN event_id % 900
     ELSE {_UP} + {_DOWN} END AS blocked_bytes,
   ('0.' || (event_id % 9 + 1))::double AS frequency_hz, NULL::double AS risk_score, NULL::varchar AS category,
-  CASE WHEN event_id % 3 = 0 THEN 'V' || (event_id % 4) ELSE 'BLOCKED' END AS verdict, 0 AS tarpit_held_ms, NULL::bigint AS iat_ms,
+  CASE WHEN event_id % 3 = 0 THEN 'V' || (event_id % 4) ELSE 'BLOCKED' END AS verdict, 0::bigint AS tarpit_held_ms, NULL::bigint AS iat_ms,
   CASE WHEN event_id % 5 = 0 THEN event_id % 11 WHEN event_id % 7 = 0 THEN event_id % 13 END AS consecutive_blocks,
   NULL::varchar AS last_verdict, CASE WHEN event_id % 3 = 0 THEN '1.3' END AS tls_ver, CASE WHEN event_id % 6 = 0 THEN 'h2' END AS alpn,
   NULL::varchar AS ja3_lite, NULL::varchar AS resolved_ip, NULL::varchar AS asn_org
@@ -250,7 +250,7 @@ SELECT {_KEY}, CASE WHEN event_id % 2 = 0 THEN 'c-' || event_id ELSE {_UUID} END
   CASE WHEN event_id % 3 = 0 THEN 'DOWN' ELSE 'UP' END AS direction, ts AS captured_at, CASE WHEN event_id % 4 = 0 THEN event_id ELSE 0 END AS byte_offset,
   NULL::varchar AS payload_object_key, NULL::varchar AS content_type, event_type AS http_method,
   CASE WHEN event_id % 3 = 0 THEN 404 ELSE 200 + event_id % 7 END AS http_status, '/p/' || event_id AS http_path, {_FLAG_SQL} AS is_encrypted,
-  0 AS truncated, NULL::varchar AS peer_ip, NULL::varchar AS notes
+  0::bigint AS truncated, NULL::varchar AS peer_ip, NULL::varchar AS notes
 FROM events JOIN (SELECT event_id AS id, md5(row_json) AS m FROM v_rows_proxy_payload_audit) r ON r.id = event_id WHERE NOT {_BAD}""")
 def _(t):
     return N.valid_rows(normalized(t, "proxy.payload_audit"))
@@ -258,11 +258,11 @@ def _(t):
 
 @query("normalize_audit_frames", f"""
 SELECT {_KEY}, event_type, ts AS observed_at, 's' || (user_id % 10) AS sensor_id, 'l' || (user_id % 7) AS location_id, 'wlan0' AS interface,
-  1 + event_id % 40 AS channel, CASE WHEN event_id % 40 < 14 THEN '2.4GHz' ELSE '5GHz' END AS band, NULL::varchar AS frame_type, 'beacon' AS frame_subtype,
+  1 + event_id % 40::bigint AS channel, CASE WHEN event_id % 40 < 14 THEN '2.4GHz' ELSE '5GHz' END AS band, NULL::varchar AS frame_type, 'beacon' AS frame_subtype,
   NULL::varchar AS bssid, 'm' || user_id AS source_mac, NULL::varchar AS destination_mac, NULL::varchar AS transmitter_mac,
   NULL::varchar AS receiver_mac, NULL::varchar AS destination_bssid, CASE WHEN event_id % 2 = 0 THEN 'net' || user_id END AS ssid,
-  -80 + event_id % 50 AS signal_dbm, NULL::bigint AS sequence_number, event_id % 1500 AS raw_len, {_FLAG_SQL} AS is_retry, 0 AS is_more_data,
-  0 AS is_power_save, 1 AS is_protected, 0 AS is_to_ds, 0 AS is_from_ds, 0 AS is_handshake,
+  -80 + event_id % 50::bigint AS signal_dbm, NULL::bigint AS sequence_number, event_id % 1500::bigint AS raw_len, {_FLAG_SQL} AS is_retry, 0::bigint AS is_more_data,
+  0::bigint AS is_power_save, 1::bigint AS is_protected, 0::bigint AS is_to_ds, 0::bigint AS is_from_ds, 0::bigint AS is_handshake,
   CASE WHEN event_id % 3 = 0 THEN event_id % 8 ELSE 0 END AS security_flags, NULL::varchar AS device_id, NULL::varchar AS username,
   'unknown' AS identity_source, CASE event_id % 4 WHEN 0 THEN '["a","b"]' WHEN 2 THEN '[{{"z":1,"a":2}}]' END AS tags, '[]' AS anomaly_reasons,
   replace(r.row_json, '", "', '","') AS raw_json, CASE WHEN event_id % 2 = 0 THEN 'US' END AS reg_domain
@@ -272,14 +272,14 @@ def _(t):
 
 
 @query("normalize_bandwidth", f"""
-SELECT {_KEY}, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS schema_version, ts - to_seconds(7200) AS window_start, ts AS window_end,
-  's' || (user_id % 10) AS sensor_id, 'l' || (user_id % 7) AS location_id, 'wlan0' AS interface, 1 + event_id % 40 AS channel,
+SELECT {_KEY}, (CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END)::bigint AS schema_version, ts - to_seconds(7200) AS window_start, ts AS window_end,
+  's' || (user_id % 10) AS sensor_id, 'l' || (user_id % 7) AS location_id, 'wlan0' AS interface, 1 + event_id % 40::bigint AS channel,
   CASE WHEN event_id % 40 < 14 THEN '2.4GHz' ELSE '5GHz' END AS band, 'm' || user_id AS source_mac, 'b' || (event_id % 11) AS destination_bssid,
-  NULL::varchar AS ssid, floor(value * 100)::bigint AS bytes, event_id % 100 AS frame_count,
-  CASE WHEN event_id % 2 = 0 THEN event_id % 9 ELSE 0 END AS retry_count, 0 AS more_data_count, 0 AS power_save_count,
-  NULL::bigint AS strongest_signal_dbm, CASE WHEN event_id % 3 = 0 THEN event_id % 5 ELSE 0 END AS hist_under_100, 0 AS hist_100_500,
-  CASE WHEN event_id % 3 = 0 THEN event_id % 6 ELSE 0 END AS hist_500_1000, 0 AS hist_1000_1500, NULL::bigint AS inter_arrival_p50_ms,
-  0 AS external_bssid, {_FLAG_SQL} AS threshold_exceeded, NULL::bigint AS wall_clock_delta_ms, 0 AS window_is_partial,
+  NULL::varchar AS ssid, floor(value * 100)::bigint AS bytes, event_id % 100::bigint AS frame_count,
+  CASE WHEN event_id % 2 = 0 THEN event_id % 9 ELSE 0 END AS retry_count, 0::bigint AS more_data_count, 0::bigint AS power_save_count,
+  NULL::bigint AS strongest_signal_dbm, CASE WHEN event_id % 3 = 0 THEN event_id % 5 ELSE 0 END AS hist_under_100, 0::bigint AS hist_100_500,
+  CASE WHEN event_id % 3 = 0 THEN event_id % 6 ELSE 0 END AS hist_500_1000, 0::bigint AS hist_1000_1500, NULL::bigint AS inter_arrival_p50_ms,
+  0::bigint AS external_bssid, {_FLAG_SQL} AS threshold_exceeded, NULL::bigint AS wall_clock_delta_ms, 0::bigint AS window_is_partial,
   CASE WHEN event_id % 2 = 0 THEN ts END AS published_at, ts::date AS local_day {_TAIL}""")
 def _(t):
     return N.valid_rows(normalized(t, "audit.wireless.bandwidth"))
@@ -287,21 +287,21 @@ def _(t):
 
 CTES["rogue"] = f"""
 SELECT {_KEY}, ts AS detected_at, 's' || (user_id % 10) AS sensor_id, 'l' || (user_id % 7) AS location_id, 'wlan0' AS interface,
-  1 + event_id % 40 AS channel, CASE WHEN event_id % 3 = 0 THEN 'r' ELSE 'b' END || (event_id % 11) AS rogue_bssid, NULL::varchar AS ssid,
-  -80 + event_id % 50 AS signal_dbm, CASE WHEN event_id % 7 = 0 OR event_id % 4 = 0 THEN 1 ELSE 0 END AS ssid_impersonation, r.row_json AS raw_json
+  1 + event_id % 40::bigint AS channel, CASE WHEN event_id % 3 = 0 THEN 'r' ELSE 'b' END || (event_id % 11) AS rogue_bssid, NULL::varchar AS ssid,
+  -80 + event_id % 50::bigint AS signal_dbm, (CASE WHEN event_id % 7 = 0 OR event_id % 4 = 0 THEN 1 ELSE 0 END)::bigint AS ssid_impersonation, r.row_json AS raw_json
 FROM events JOIN (SELECT event_id AS id, row_json FROM v_rows_wireless_alert_rogue_ap) r ON r.id = event_id WHERE NOT {_BAD}"""
 CTES["deauth"] = f"""
 SELECT {_KEY}, ts AS detected_at, 's' || (user_id % 10) AS sensor_id, 'l' || (user_id % 7) AS location_id, 'wlan0' AS interface,
   CASE WHEN event_id % 2 = 0 THEN 1 + event_id % 40 ELSE 0 END AS channel,
   CASE WHEN event_id % 3 = 0 THEN 'a' || user_id WHEN event_id % 2 = 0 THEN 'm' || user_id END AS attacker_mac,
   CASE WHEN event_id % 2 = 0 THEN 't' ELSE 'b' END || (event_id % 11) AS target_bssid, CASE WHEN event_id % 2 = 0 THEN 'net' || user_id END AS target_ssid,
-  event_id % 100 AS deauth_count, 10 AS window_secs, CASE WHEN event_id % 2 = 0 THEN 30 ELSE 0 END AS threshold, NULL::bigint AS signal_dbm,
+  event_id % 100::bigint AS deauth_count, 10::bigint AS window_secs, (CASE WHEN event_id % 2 = 0 THEN 30 ELSE 0 END)::bigint AS threshold, NULL::bigint AS signal_dbm,
   r.row_json AS raw_json
 FROM events JOIN (SELECT event_id AS id, row_json FROM v_rows_wireless_alert_deauth_flood) r ON r.id = event_id WHERE NOT {_BAD}"""
 CTES["anomaly"] = f"""
 SELECT {_KEY}, ts AS detected_at, 's' || (user_id % 10) AS sensor_id, 'l' || (user_id % 7) AS location_id, 'm' || user_id AS source_mac,
-  NULL::varchar AS bssid, CASE WHEN event_id % 2 = 0 THEN 'net' || user_id END AS ssid, 1 + event_id % 40 AS channel, -50 AS baseline_dbm,
-  -80 + event_id % 50 AS observed_dbm, abs(-30 + event_id % 50) AS dbm_delta, 20 AS configured_delta {_TAIL}"""
+  NULL::varchar AS bssid, CASE WHEN event_id % 2 = 0 THEN 'net' || user_id END AS ssid, 1 + event_id % 40::bigint AS channel, -50::bigint AS baseline_dbm,
+  -80 + event_id % 50::bigint AS observed_dbm, abs(-30 + event_id % 50) AS dbm_delta, 20::bigint AS configured_delta {_TAIL}"""
 CTES["pmf"] = f"""
 SELECT {_KEY}, ts AS detected_at, 's' || (user_id % 10) AS sensor_id, 'l' || (user_id % 7) AS location_id,
   CASE WHEN event_id % 2 = 0 THEN 't' ELSE 'm' END || user_id AS target_mac, CASE WHEN event_id % 3 = 0 THEN 'b' || (event_id % 11) END AS target_bssid,
@@ -333,7 +333,7 @@ def _(t):
 SELECT {_KEY}, 'sensor-of-b' || (event_id // 100) AS sensor_id, 'hall' AS location_id, timestamp '2024-01-31 23:00:00' AS snapshot_at,
   CASE WHEN event_id % 2 = 0 THEN 'c' ELSE 'm' END || user_id AS client_mac, NULL::varchar AS bssid,
   CASE WHEN event_id % 2 = 0 THEN 'net' || user_id END AS ssid, NULL::varchar AS device_id, NULL::varchar AS username,
-  NULL::varchar AS identity_source, ts AS last_seen, ts AS first_seen, -80 + event_id % 50 AS signal_dbm, {_FLAG_SQL} AS is_authorized,
+  NULL::varchar AS identity_source, ts AS last_seen, ts AS first_seen, -80 + event_id % 50::bigint AS signal_dbm, {_FLAG_SQL} AS is_authorized,
   timestamp '2024-01-31 23:00:00' AS created_at
 FROM events WHERE event_id % 31 <> 0 AND (event_id % 29 <> 0 OR event_id % 2 = 0) AND NOT (event_id % 31 = 0)""")
 def _(t):
@@ -342,7 +342,7 @@ def _(t):
 
 @query("normalize_probe_requests", f"""
 SELECT {_KEY}, 'c' || user_id AS client_mac, 'net' || user_id AS ssid, CASE WHEN event_id % 2 = 0 THEN 'b' || (event_id % 11) END AS known_bssid,
-  ts AS first_seen, ts AS last_seen, event_id % 20 AS probe_count, ts AS created_at {_TAIL}""")
+  ts AS first_seen, ts AS last_seen, event_id % 20::bigint AS probe_count, ts AS created_at {_TAIL}""")
 def _(t):
     return N.valid_rows(normalized(t, "wireless.probe.flush"))
 

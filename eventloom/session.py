@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,19 +34,30 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir``.  Only a local
-    session without that setting gets a temporary folder; a cluster without it
-    is an error, because a machine-local folder does not survive executor loss.
+    Only a local session without that setting gets a temporary folder; a cluster
+    without it is an error, because a machine-local folder does not survive the
+    loss of an executor.
     """
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="eventloom-")
     if sc.getCheckpointDir() is None:
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="eventloom-checkpoint-")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
