@@ -80,14 +80,23 @@ def merge(
     rules: dict[str, Rule],
     order: list[str],
     nulls_distinct: bool = False,
+    defaults: dict[str, object] | None = None,
 ) -> DataFrame:
     """New state of ``target`` after upserting ``batch``.
 
     ``order`` names batch columns that order its rows totally.  ``rules`` gives
-    the rule of every non-key column of the result.  With ``nulls_distinct`` a
-    row with a NULL key column never matches another and is simply added.
+    the rules of the non-key columns.  Further columns of the table are kept as
+    stored; new keys get the batch's value, else the one in ``defaults``, else
+    NULL.  With ``nulls_distinct`` a row with a NULL key column never matches
+    another and is simply added.
     """
+    rules = {**rules, **{c: keep for c in target.columns if c not in rules and c not in keys}}
     columns = [*keys, *rules]
+    absent = {
+        c: F.lit((defaults or {}).get(c)).cast(target.schema[c].dataType) for c in columns if c not in batch.columns
+    }
+    if absent:
+        batch = batch.withColumns(absent)
     loose = None
     if nulls_distinct:
         no_null = F.lit(True)

@@ -87,6 +87,7 @@ def upsert_client_inventory(target: DataFrame, batch: DataFrame, order: list[str
 
 
 ALERT_KEY = ["alert_type", "batch_id", "row_sequence"]
+UNSEEN = {"acknowledged": 0}
 ALERT_REPLACED = [
     "detected_at",
     "sensor_id",
@@ -105,7 +106,7 @@ ALERT_REPLACED = [
 
 def upsert_alerts(target: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     rules = {**dict.fromkeys(ALERT_REPLACED, M.replace), "created_at": M.keep}
-    return M.merge(target, batch, ALERT_KEY, rules, order, nulls_distinct=True)
+    return M.merge(target, batch, ALERT_KEY, rules, order, nulls_distinct=True, defaults=UNSEEN)
 
 
 def upsert_bandwidth_alerts(target: DataFrame, batch: DataFrame, order: list[str], key: str = "batch") -> DataFrame:
@@ -123,7 +124,7 @@ def upsert_bandwidth_alerts(target: DataFrame, batch: DataFrame, order: list[str
     else:
         keys = ALERT_KEY
     rules = {**dict.fromkeys(replaced, M.replace), **dict.fromkeys(kept, M.keep)}
-    return M.merge(target, batch, keys, rules, order, nulls_distinct=True)
+    return M.merge(target, batch, keys, rules, order, nulls_distinct=True, defaults=UNSEEN)
 
 
 LAST_STATED = ["frequency_hz", "verdict", "category", "risk_score", "iat_ms", "tls_ver", "alpn", "ja3_lite", "resolved_ip", "asn_org"]

@@ -1,6 +1,6 @@
 """All registered queries and their complete oracle texts."""
 
-from . import detection, ledger, merges, messages, normalizers, scalars  # noqa: F401
+from . import detection, ledger, merges, messages, normalizers, scalars, streams  # noqa: F401
 from . import registry
 
 QUERIES = registry.QUERIES

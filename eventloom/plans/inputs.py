@@ -152,6 +152,14 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
         },
         None,
     ),
+    "devices_late": (
+        "customer",
+        {
+            "mac_id": mac("c_custkey"),
+            "last_seen": f"timestamp '{AS_OF}' - SECS(c_custkey * 37 % 720 * 600)",
+        },
+        None,
+    ),
     "blocked": (
         "events",
         {

@@ -119,7 +119,7 @@ def _(t):
         "interface AS identity_source", "observed_at AS last_seen", "observed_at AS first_seen", "signal_dbm",
         "is_retry AS is_authorized", "observed_at AS created_at",
     )
-    first = T.upsert_client_inventory(rows.limit(0), before(rows, "last_seen"), ["frame_no"])
+    first = T.upsert_client_inventory(rows.limit(0).drop("frame_no"), before(rows, "last_seen"), ["frame_no"])
     return T.upsert_client_inventory(first, after(rows, "last_seen"), ["frame_no"])
 
 
@@ -144,7 +144,7 @@ def alert_rows(t):
 def stored_and_new_alerts(t):
     rows = alert_rows(t)
     now = F.lit(AS_OF).cast("timestamp_ntz")
-    stored = T.upsert_alerts(rows.limit(0), before(rows), ["frame_no"])
+    stored = T.upsert_alerts(rows.limit(0).drop("frame_no", "observed_at"), before(rows), ["frame_no"])
     new = after(rows).withColumns({"created_at": now, "updated_at": now})
     return stored, T.upsert_alerts(stored, new, ["frame_no"])
 

@@ -71,7 +71,7 @@ def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
     return writer.trigger(**trigger).start()
 
 
-def _typed(df: DataFrame, table: SnapshotTable) -> DataFrame:
+def typed(df: DataFrame, table: SnapshotTable) -> DataFrame:
     """Columns of the table, absent ones NULL, cast to its types."""
     have = set(df.columns)
     return df.select(
@@ -142,17 +142,17 @@ def _load_target(target: str, loads: DataFrame, out: Outputs, now: str, epoch: i
             merged = tables.append_payload_audit(table.read(), batch, order, on_duplicate="ignore")
         else:
             merged = upsert(table.read(), batch, order)
-        table.commit(_typed(merged, table), None)
+        table.commit(typed(merged, table), None)
         if target == "proxy.events":
             blocked = normalize.valid_rows(normalize.extract_blocked(good.withColumn("error", F.lit(None).cast("string"))))
             rollup = out.table("proxy_blocked_host_rollups")
             if epoch > rollup.last_epoch():
                 merged = tables.upsert_blocked_rollup(rollup.read(), blocked, ["batch_id", "row_sequence"], now)
-                rollup.commit(_typed(merged, rollup), epoch)
+                rollup.commit(typed(merged, rollup), epoch)
         if target == "wireless.audit":
             sensors = out.table("wireless_sensors")
             merged = tables.upsert_sensors(sensors.read(), good, order)
-            sensors.commit(_typed(merged.withColumn("created_at", F.lit(now)), sensors), None)
+            sensors.commit(typed(merged.withColumn("created_at", F.lit(now)), sensors), None)
         if target == "audit.wireless.bandwidth":
             table = out.table("wireless_alerts")
             batch = alerts.bandwidth_alerts(good, now)
@@ -161,17 +161,7 @@ def _load_target(target: str, loads: DataFrame, out: Outputs, now: str, epoch: i
 
 
 def _merge_alerts(table: SnapshotTable, batch: DataFrame, upsert) -> DataFrame:
-    """Upsert alerts of one kind; columns the merge does not know stay as stored."""
-    stored = table.read()
-    order = ["batch_id", "row_sequence"]
-    merged = upsert(stored, batch, order)
-    extra = [c for c in stored.columns if c not in merged.columns]
-    held = stored.select(*tables.ALERT_KEY, *extra)
-    same = merged["alert_type"] == held["alert_type"]
-    for k in ("batch_id", "row_sequence"):
-        same = same & (merged[k] == held[k])
-    whole = merged.join(held, same, "left").select(*[merged[c] for c in merged.columns], *[held[c] for c in extra])
-    return _typed(whole.fillna({"acknowledged": 0}) if "acknowledged" in extra else whole, table)
+    return typed(upsert(table.read(), batch, ["batch_id", "row_sequence"]), table)
 
 
 def _typed_with(df: DataFrame, table: SnapshotTable, extra: list[str]) -> DataFrame:
@@ -361,7 +351,7 @@ def stream_shadow_alerts(
         alerts_table = out.table("wireless_shadow_alerts")
         merged = tables.upsert_shadow_alerts(alerts_table.read(), found, str(now))
         merged = merged.withColumns({"reason": F.lit(detect.SHADOW_REASON), "evidence": detect.shadow_evidence(window_seconds)})
-        if alerts_table.commit(_typed(merged, alerts_table), epoch):
+        if alerts_table.commit(typed(merged, alerts_table), epoch):
             changed = alerts_table.read().filter(F.col("updated_at") == F.lit(str(now)).cast("timestamp_ntz"))
             out.send(changed.select(F.lit(alert_topic).alias("topic"), F.col("source_mac").alias("key"), detect.shadow_alert_json(changed).alias("value")))
 
