@@ -30,11 +30,40 @@ def with_parsed(df, text: Column, name: str = "_v"):
     return df.select("*", F.explode(F.array(parse_json(text))).alias(name))
 
 
-def field(row: Column, path: str) -> Column:
-    return F.try_variant_get(row, f"$.{path}", "variant")
+class Members(dict):
+    """The members of a row as separate VARIANT columns, named on first use.
+
+    Reading many fields out of one VARIANT looks each of them up again.  A
+    ``Members`` object can stand for the row in every accessor below; afterwards
+    ``split`` cuts the members that were used out of the row in one pass.
+    """
+
+    def __missing__(self, key: str) -> Column:
+        self[key] = F.col(f"_m_{key}")
+        return self[key]
+
+    def split(self, df, row: Column):
+        """Add the used members of ``row`` as columns; all NULL when it is not an object."""
+        kind = "struct<" + ", ".join(f"_m_{k}: variant" for k in self) + ">"
+        # the cast matches by member name, so cut with the plain names and rename
+        plain = F.try_variant_get(row, "$", kind.replace("_m_", ""))
+        return df.select("*", F.inline(F.array(plain)).alias(*[f"_m_{k}" for k in self]))
+
+
+def _get(row: Column | Members, path: str, kind: str) -> Column:
+    if isinstance(row, Members):
+        top, _, rest = path.partition(".")
+        return F.try_variant_get(row[top], f"$.{rest}" if rest else "$", kind)
+    return F.try_variant_get(row, f"$.{path}", kind)
+
+
+def field(row: Column | Members, path: str) -> Column:
+    if isinstance(row, Members) and "." not in path:
+        return row[path]
+    return _get(row, path, "variant")
 
 
-def json_type(row: Column, path: str) -> Column:
+def json_type(row: Column | Members, path: str) -> Column:
     """Type name of a field (STRING, BIGINT, BOOLEAN, VOID, ARRAY<..>, ...), NULL when absent."""
     return F.schema_of_variant(field(row, path))
 
@@ -49,7 +78,7 @@ def is_array(value: Column) -> Column:
 
 def string_value(row: Column, path: str) -> Column:
     """The string at ``path``; NULL for other types. An empty string stays empty."""
-    return F.when(json_type(row, path) == "STRING", F.try_variant_get(row, f"$.{path}", "string"))
+    return F.when(json_type(row, path) == "STRING", _get(row, path, "string"))
 
 
 def not_string(row: Column, path: str) -> Column:
@@ -67,14 +96,14 @@ def optional_long(row: Column, path: str, numeric_strings: bool = True) -> Colum
     ``2.0`` and ``1e3`` are whole; ``1.5``, booleans and values out of the
     64-bit range are not.  ``numeric_strings`` also admits ``"12"``.
     """
-    number = F.try_variant_get(row, f"$.{path}", "bigint")
+    number = _get(row, path, "bigint")
     return F.when(_is_whole(row, path) & _is_number(row, path, numeric_strings), number)
 
 
 def _is_whole(row: Column, path: str) -> Column:
     """The value survives a cast to bigint; that cast alone would cut a fraction off."""
-    number = F.try_variant_get(row, f"$.{path}", "bigint")
-    return F.try_variant_get(row, f"$.{path}", "double") == number.cast("double")
+    number = _get(row, path, "bigint")
+    return _get(row, path, "double") == number.cast("double")
 
 
 def _is_number(row: Column, path: str, numeric_strings: bool) -> Column:
@@ -84,12 +113,12 @@ def _is_number(row: Column, path: str, numeric_strings: bool) -> Column:
 
 def optional_double(row: Column, path: str, numeric_strings: bool = True) -> Column:
     """Number at ``path`` as a double, else NULL."""
-    real = F.try_variant_get(row, f"$.{path}", "double")
+    real = _get(row, path, "double")
     return F.when(_is_number(row, path, numeric_strings) & ~F.isnan(real), real)
 
 
 def optional_boolean(row: Column, path: str) -> Column:
-    return F.when(json_type(row, path) == "BOOLEAN", F.try_variant_get(row, f"$.{path}", "boolean"))
+    return F.when(json_type(row, path) == "BOOLEAN", _get(row, path, "boolean"))
 
 
 def optional_timestamp(row: Column, path: str) -> Column:
@@ -99,13 +128,13 @@ def optional_timestamp(row: Column, path: str) -> Column:
 
 def bool_flag(row: Column, path: str) -> Column:
     """1 for true or a non-zero whole number, else 0."""
-    truth = (F.try_variant_get(row, f"$.{path}", "bigint") != 0) & _is_whole(row, path)
+    truth = (_get(row, path, "bigint") != 0) & _is_whole(row, path)
     return F.coalesce(truth, F.lit(False)).cast("bigint")
 
 
 def reason_flag(row: Column, path: str, reasons: list[str]) -> Column:
     """1 when the array at ``path`` holds one of ``reasons``, else 0."""
-    listed = F.try_variant_get(row, f"$.{path}", "array<variant>")
+    listed = _get(row, path, "array<variant>")
     named = F.exists(
         listed,
         lambda item: (F.schema_of_variant(item) == "STRING")

@@ -326,17 +326,17 @@ def row_sequence(target: str) -> Column:
 
 def normalize(rows: DataFrame, target: str, keep: tuple[str, ...] = ("batch_id",)) -> DataFrame:
     """Typed rows of one target: ``keep`` columns, ``row_sequence``, fields, ``error``."""
-    r = F.col("row")
-    read = [(f.name, *f.read(r, target)) for f in FIELDS[target]]
+    members = J.Members()
+    read = [(f.name, *f.read(members, target)) for f in FIELDS[target]]
     errors = [e for _, _, e in read if e is not None]
     if "row_error" in rows.columns:
         errors.insert(0, F.col("row_error"))
-    out = rows.select(
+    out = members.split(rows, F.col("row")).select(
         *keep,
         row_sequence(target).alias("row_sequence"),
         *[value.alias(name) for name, value, _ in read],
         J.first_error(errors).alias("error"),
-        *([r] if target == "proxy.events" else []),
+        *(["row"] if target == "proxy.events" else []),
     )
     extra = _derived(target)
     return out.withColumns(extra) if extra else out
@@ -367,7 +367,7 @@ def extract_blocked(proxy_rows: DataFrame, context: str = "proxy blocked rollup"
 
     The byte count falls back to up + down; a sum beyond 64 bits is an error.
     """
-    r = F.col("row")
+    r = J.Members()
     total = F.try_add(F.col("bytes_up"), F.col("bytes_down"))
     stated = J.first_of(
         [
@@ -377,7 +377,7 @@ def extract_blocked(proxy_rows: DataFrame, context: str = "proxy blocked rollup"
     )
     real = lambda key: J.first_of([J.optional_double(r, key), J.optional_double(r, f"metrics.{key}")])
     value = F.coalesce(stated, total)
-    return proxy_rows.filter(F.col("blocked") != 0).select(
+    columns = [
         "batch_id",
         (F.col("row_sequence") - 1).alias("row_sequence"),
         "host",
@@ -402,7 +402,8 @@ def extract_blocked(proxy_rows: DataFrame, context: str = "proxy blocked rollup"
         F.coalesce(
             F.col("error"), F.when(value.isNull(), F.lit(f"long overflow in {context}"))
         ).alias("error"),
-    )
+    ]
+    return r.split(proxy_rows.filter(F.col("blocked") != 0), F.col("row")).select(*columns)
 
 
 def input_row_count(df: DataFrame) -> DataFrame:

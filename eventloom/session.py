@@ -14,6 +14,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # the JVM does not compile methods above 8000 bytes of bytecode: let Spark split them
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -1,55 +1,34 @@
-"""Compare queries with oracles: check.py [sf] [name-regex]"""
-import sys, re, time, datetime, decimal
-sys.path.insert(0,'/root/repo')
-import duckdb
-import __spark_entry__ as E
-from eventloom.session import local_session
-sf = sys.argv[1] if len(sys.argv)>1 else '0.01'
-pat = sys.argv[2] if len(sys.argv)>2 else '.'
-d=f'/root/testdata/sf{sf}'
-spark=local_session(8)
-con=duckdb.connect(); 
-con.execute("set timezone='UTC'") if False else None
-for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-    con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
-def norm(v):
-    if v is None: return 'NULL'
-    if isinstance(v,bool): return str(v)
-    if isinstance(v,float): return repr(round(v,9)) if v!=int(v) else repr(float(v))
-    if isinstance(v,decimal.Decimal): return str(v)
-    if isinstance(v,datetime.datetime): return v.isoformat()
-    if isinstance(v,(bytes,bytearray)): return v.hex()
-    return str(v)
-qs=E.queries(); os_=E.oracle_sql()
-bad=[]
-for n,f in qs.items():
-    if not re.search(pat,n): continue
-    t=time.time()
-    try:
-        df=f(spark,d); cols=sorted(df.columns); rows=[tuple(r[c] for c in cols) for r in df.collect()]
-    except Exception as ex:
-        print('SPARK-ERR',n,str(ex)[:1500]); bad.append(n); continue
-    t1=time.time()-t
-    if n not in os_:
-        print(f'rows-only {n} {len(rows)} {t1:.2f}s'); 
-        if not rows: bad.append(n)
-        continue
-    try:
-        cur=con.execute(os_[n]); oc=[c[0] for c in cur.description]; ot={c[0]:str(c[1]) for c in cur.description}; orows=cur.fetchall()
-    except Exception as ex:
-        print('DUCK-ERR',n,str(ex)[:1500]); bad.append(n); continue
-    if sorted(oc)!=cols: print('COLS',n,'spark-only',set(cols)-set(oc),'duck-only',set(oc)-set(cols)); bad.append(n); continue
-    idx=[oc.index(c) for c in cols]
-    a=sorted(tuple(map(norm,r)) for r in rows); b=sorted(tuple(norm(r[i]) for i in idx) for r in orows)
-    types={c:(df.schema[c].dataType.simpleString(),ot[c]) for c in cols}
-    M={'bigint':'BIGINT','int':'INTEGER','string':'VARCHAR','timestamp_ntz':'TIMESTAMP','double':'DOUBLE','boolean':'BOOLEAN','date':'DATE','smallint':'SMALLINT'}
-    tm={c:x for c,x in types.items() if M.get(x[0],'?')!=x[1]}
-    if a!=b:
-        print('MISMATCH',n,len(a),len(b)); bad.append(n)
-        sa,sb=set(a)-set(b),set(b)-set(a)
-        print('  cols',cols); 
-        for r in list(sorted(sa))[:2]: print('  spark',r)
-        for r in list(sorted(sb))[:2]: print('  duck ',r)
-    else: print(f'ok {n} rows={len(a)} {t1:.2f}s', 'EMPTY' if not a else '', tm or '')
-    if not a: bad.append(n)
-print('BAD',bad)
+"""Command line check: ``python tests/check_oracle.py [sf] [name pattern]``."""
+
+import os
+import re
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import __spark_entry__ as entry_point  # noqa: E402
+from oracle import compare, connect  # noqa: E402
+
+from eventloom.session import local_session  # noqa: E402
+
+if __name__ == "__main__":
+    sf_dir = f"/root/testdata/sf{sys.argv[1] if len(sys.argv) > 1 else '0.01'}"
+    pattern = sys.argv[2] if len(sys.argv) > 2 else "."
+    spark, con = local_session(8), connect(sf_dir)
+    failed = []
+    oracles = entry_point.oracle_sql()
+    for name, build in entry_point.queries().items():
+        if not re.search(pattern, name):
+            continue
+        start = time.perf_counter()
+        try:
+            rows, problem = compare(build(spark, sf_dir), con, oracles[name])
+        except Exception as error:  # report and go on with the next query
+            rows, problem = 0, str(error)[:1500]
+        taken = time.perf_counter() - start
+        print(f"{'ok' if problem is None else 'MISMATCH'} {name} rows={rows} {taken:.2f}s {problem or ''}", flush=True)
+        if problem or not rows:
+            failed.append(name)
+    print("BAD", failed)
