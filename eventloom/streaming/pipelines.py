@@ -20,7 +20,6 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..functions import json_fields as J
 from ..functions.hashing import md5_batch_id
-from ..functions.text import error_class
 from ..functions.timestamps import parse_lenient_timestamp
 from ..operators import alerts, dead_letter, detect, generic, ledger, normalize, retention, tables
 from ..sources import messages, payload
@@ -119,12 +118,11 @@ _FACT_TABLE = {
 }
 
 
-def _load_target(target: str, loads: DataFrame, out: Outputs, now: str, epoch: int) -> DataFrame:
-    """Write one target's batches; returns ``batch_id, row_count, row_error`` per batch.
+def _load_target(target: str, rows: DataFrame, out: Outputs, now: str, epoch: int) -> DataFrame:
+    """Write one target's normalised rows; returns ``batch_id, row_count, row_error`` per batch.
 
     A batch with a bad row is refused as a whole.
     """
-    rows = normalize.normalize(payload.rows_for_target(loads, target), target, ("batch_id", "arrival"))
     failed = normalize.batch_errors(rows)
     good = normalize.valid_rows(rows).join(failed.select("batch_id"), "batch_id", "left_anti")
     counts = rows.groupBy("batch_id").agg(F.count("*").alias("row_count"))
@@ -190,14 +188,17 @@ def stream_load(
                 "load_error", "route_error", "payload_error", payload.rows_error(F.col("target"), F.col("document"))
             ),
         ).withColumn("arrival", F.col("offset"))
-        resolved.persist()
+        kept = [resolved.persist()]
         try:
             out.send(dead_letter.records(bad, topic, dead_letter.dlq_load(), F.col("key")))
             ready = resolved.filter(F.col("error").isNull())
             present = [r["target"] for r in ready.select("target").distinct().collect()]  # at most ten targets
             done = None
             for target in [t for t in schemas.TARGETS if t in present]:
-                part = _load_target(target, ready.filter(F.col("target") == target), out, now, epoch)
+                loads = ready.filter(F.col("target") == target)
+                rows = normalize.normalize(payload.rows_for_target(loads, target), target, ("batch_id", "arrival"))
+                kept.append(rows.persist())  # read by the fact table, the side tables and the outcome
+                part = _load_target(target, rows, out, now, epoch)
                 done = part if done is None else done.unionByName(part)
             if done is None:
                 done = out.spark.createDataFrame([], "batch_id string, row_count bigint, row_error string")
@@ -211,7 +212,8 @@ def stream_load(
             )
             out.send(ledger.result_publish(ledger.load_results(outcome, now), result_topic))
         finally:
-            resolved.unpersist()
+            for df in kept:
+                df.unpersist()
 
     return _start(stream, handle, checkpoint, interval)
 
