@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.json_fields import json_text_field
 from ..functions.text import normalize_bssid
 from ..functions.timestamps import seconds_before
-from .filters import filter_enabled_networks, filter_mac_valid, filter_recent_strong
+from .filters import filter_enabled_networks, filter_mac_valid, filter_recent_strong, filter_reply_topic
+from .ordering import numbered
 
 _WHERE = ("location_id", "ssid", "bssid")  # what a network may fix; NULL means any
 
@@ -204,18 +205,21 @@ def network_json() -> Column:
     )
 
 
-def authorized_networks_json(networks: DataFrame, page_size: int | None = None, key: str = "id") -> DataFrame:
+def authorized_networks_json(
+    networks: DataFrame, page_size: int | None = None, key: str = "id", max_rows: int = 100_000
+) -> DataFrame:
     """JSON array of the enabled networks in key order, ``[]`` when there is none.
 
-    Without ``page_size`` the answer is one row, meant for a hand-kept list.  With
-    it the list is split into numbered pages, so that no row grows with the table.
+    Without ``page_size`` the answer is one row, meant for a hand-kept list; more
+    than ``max_rows`` networks are refused with an error, never cut off.  With it
+    the list is split into numbered pages, so that no row grows with the table.
     """
-    from .ordering import numbered
-
     enabled = filter_enabled_networks(networks).select(F.col(key).alias("_k"), network_json().alias("_json"))
     if page_size is None:
-        listed = enabled.agg(F.array_sort(F.collect_list(F.struct("_k", "_json"))).alias("_rows"))
-        return listed.select(_json_array().alias("networks_json"))
+        some = enabled.limit(max_rows + 1)  # at most one more than allowed reaches the single task
+        listed = some.agg(F.array_sort(F.collect_list(F.struct("_k", "_json"))).alias("_rows"))
+        too_many = F.raise_error(F.lit(f"more than {max_rows} networks: ask for pages")).cast("string")
+        return listed.select(F.when(F.size("_rows") > max_rows, too_many).otherwise(_json_array()).alias("networks_json"))
     placed = numbered(enabled, [], ["_k"], "_n")
     page = F.floor((F.col("_n") - 1) / page_size).cast("bigint")
     pages = placed.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("_k", "_json"))).alias("_rows"))
@@ -228,7 +232,5 @@ def _json_array() -> Column:
 
 def networks_reply(requests: DataFrame, networks: DataFrame, default_topic: str) -> DataFrame:
     """Every request gets the whole list of a hand-kept network table, at its reply topic."""
-    from .filters import filter_reply_topic
-
     reply = authorized_networks_json(networks).scalar()
     return filter_reply_topic(requests, default_topic).withColumn("reply", reply)

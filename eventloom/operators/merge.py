@@ -122,7 +122,17 @@ def merge(
 def fold(rows: DataFrame, keys: list[str], rules: dict[str, Rule]) -> DataFrame:
     """Apply ``rules`` per key to rows that carry ``_side`` and ``_seq``."""
     seq, side = F.col(_SEQ), F.col(_SIDE)
-    return rows.groupBy(*keys).agg(*[rule(F.col(c), seq, side).alias(c) for c, rule in rules.items()])
+    # columns that come whole from the first or the last row share one aggregate
+    first = [c for c, rule in rules.items() if rule is keep]
+    last = [c for c, rule in rules.items() if rule is replace]
+    aggregates = [rule(F.col(c), seq, side).alias(c) for c, rule in rules.items() if rule not in (keep, replace)]
+    if first:
+        aggregates.append(F.min_by(F.struct(*first), seq).alias("_first"))
+    if last:
+        aggregates.append(F.max_by(F.struct(*last), seq).alias("_last"))
+    source = {**{c: f"_first.{c}" for c in first}, **{c: f"_last.{c}" for c in last}}
+    merged = rows.groupBy(*keys).agg(*aggregates)
+    return merged.select(*keys, *[F.col(source.get(c, c)).alias(c) for c in rules])
 
 
 def _same_keys(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> Column:

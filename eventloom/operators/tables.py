@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timestamps import as_utc
+from ..functions.timestamps import as_utc, parse_lenient_timestamp
+from ..schemas import PRODUCER
 from . import merge as M
+from .filters import filter_scan_valid
 from .ordering import consecutive_counts, previous_value
 
 BATCH_ROW = ["batch_id", "row_sequence"]
@@ -187,9 +189,6 @@ def upsert_scan_requests(target: DataFrame, requests: DataFrame, order: list[str
     invalid first request hide later ones of its key.  A failed or pending event
     becomes pending again, any other status stays.
     """
-    from ..functions.timestamps import parse_lenient_timestamp
-    from .filters import filter_scan_valid
-
     keys = ["dedupe_key", "stream_name"]
     if compat:
         first = filter_scan_valid(M.first_per_key(requests, keys, order))
@@ -205,7 +204,7 @@ def upsert_scan_requests(target: DataFrame, requests: DataFrame, order: list[str
         F.lit("pending").alias("status"),
         F.lit(0).alias("attempt_count"),
         F.lit(None).cast("string").alias("last_error"),
-        F.lit("ssl-proxy").alias("producer"),
+        F.lit(PRODUCER).alias("producer"),
         "event_kind",
         now.alias("created_at"),
         now.alias("updated_at"),

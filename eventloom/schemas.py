@@ -31,6 +31,10 @@ TARGET_OF_STREAM = {
 }
 TARGETS = tuple(dict.fromkeys(TARGET_OF_STREAM.values()))
 
+# producer name the ledger stores for ingested requests
+PRODUCER = "ssl-proxy"
+
+# systems whose rows are accepted
 KNOWN_ORIGINS = ("atheros-sensor", "ssl-proxy", "atheros-search")
 
 REQUIRED_TABLES = (

@@ -99,7 +99,7 @@ def check_tables(spark: SparkSession, required=schemas.REQUIRED_TABLES, warn_onl
 
 def reconcile_except(required: DataFrame, existing: DataFrame) -> DataFrame:
     """Distinct required rows that do not exist."""
-    return required.exceptAll(existing).distinct()
+    return required.subtract(existing)
 
 
 def schema_introspect(tables: dict[str, DataFrame | T.StructType]) -> list[tuple]:
