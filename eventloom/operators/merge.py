@@ -148,10 +148,15 @@ def held_keys(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame
     return target.select(*keys).join(wanted, _same_keys(target, wanted, keys), "left_semi").distinct()
 
 
-def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add the first batch row of each key that the table does not hold yet."""
+def new_rows(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first batch row of each key that the table does not hold yet: what an append has to write."""
     fresh = batch.join(held_keys(target, batch, keys), keys, "left_anti")
-    return target.unionByName(first_per_key(fresh, keys, order, target.columns))
+    return first_per_key(fresh, keys, order, target.columns)
+
+
+def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The table with the batch's new keys added."""
+    return target.unionByName(new_rows(target, batch, keys, order))
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,15 @@ from .ordering import consecutive_counts, previous_value
 
 BATCH_ROW = ["batch_id", "row_sequence"]
 
+# Keys of the insert-only fact tables.
+FACT_KEYS = {
+    "proxy_events": BATCH_ROW,
+    "proxy_payload_audit": ["correlation_id", "host", "direction", "captured_at", "byte_offset"],
+    "wireless_audit_frames": BATCH_ROW,
+    "wireless_bandwidth_windows": BATCH_ROW,
+    "wireless_probe_requests": ["batch_id", "client_mac", "ssid"],
+}
+
 
 def upsert_proxy_events(target: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     return M.insert_ignore(target, batch, BATCH_ROW, order)
@@ -27,12 +36,11 @@ def upsert_bandwidth(target: DataFrame, batch: DataFrame, order: list[str]) -> D
 
 
 def upsert_probe_requests(target: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
-    return M.insert_ignore(target, batch, ["batch_id", "client_mac", "ssid"], order)
+    return M.insert_ignore(target, batch, FACT_KEYS["wireless_probe_requests"], order)
 
 
 def append_payload_audit(target: DataFrame, batch: DataFrame, order: list[str], on_duplicate: str = "error") -> DataFrame:
-    keys = ["correlation_id", "host", "direction", "captured_at", "byte_offset"]
-    return M.append_unique(target, batch, keys, order, on_duplicate)
+    return M.append_unique(target, batch, FACT_KEYS["proxy_payload_audit"], order, on_duplicate)
 
 
 def sensor_first_in_batch(frames: DataFrame, order: list[str]) -> DataFrame:

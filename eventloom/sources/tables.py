@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
+from ..operators.merge import keep, merge, new_rows, replace
+from ..session import durable
 
 _COMMIT = "version bigint, slot int, epoch bigint"
 
@@ -59,6 +61,57 @@ class SnapshotTable:
         return True
 
 
+class FactTable:
+    """An insert-only table: rows are appended under the day they were loaded, nothing is rewritten.
+
+    A row whose key exists is ignored, so a replayed batch adds nothing.  The
+    check reads the key columns of the last ``check_days`` load days only: the
+    ledger and its tombstones forget an event after that time, so no batch can
+    come again later.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], check_days: int = 45):
+        self.spark, self.path, self.schema, self.keys, self.check_days = spark, path, schema, keys, check_days
+
+    def _stored(self) -> DataFrame:
+        stored = T.StructType([*self.schema.fields, T.StructField("loaded_on", T.DateType())])
+        try:
+            return self.spark.read.schema(stored).parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], stored)
+
+    def read(self, loaded_since=None) -> DataFrame:
+        """The table; ``loaded_since`` (a date) prunes its folders."""
+        df = self._stored()
+        if loaded_since is not None:
+            df = df.filter(F.col("loaded_on") >= loaded_since)
+        return df.select(*self.schema.fieldNames())
+
+    def append_new(self, batch: DataFrame, order: list[str], as_of: str) -> None:
+        """Append the first row of each key that is not stored yet."""
+        today = F.lit(as_of).cast("date")
+        held = self.read(F.date_sub(today, self.check_days))
+        fresh = new_rows(held, batch, self.keys, order).withColumn("loaded_on", today)
+        fresh.write.mode("append").partitionBy("loaded_on").parquet(self.path)
+
+    def replace_rows(self, batch: DataFrame, order: list[str], as_of: str) -> None:
+        """Upsert that replaces stored rows; only the load days that hold one of them are rewritten.
+
+        Repeating it with the same batch gives the same table.
+        """
+        today = F.lit(as_of).cast("date")
+        stored = self._stored()
+        touched = stored.join(batch.select(*self.keys).distinct(), self.keys, "left_semi")
+        days = [r["loaded_on"] for r in touched.select("loaded_on").distinct().collect()]  # one value per load day
+        affected = stored.filter(F.col("loaded_on").isin(days) | (F.col("loaded_on") == today))
+        rules = {c: replace for c in self.schema.fieldNames() if c not in self.keys}
+        merged = merge(affected, batch.withColumn("loaded_on", today), self.keys, {**rules, "loaded_on": keep}, order)
+        # the folders to overwrite are being read: write from the shared copy
+        durable(merged.select(*stored.columns)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("loaded_on").parquet(self.path)
+
+
 def write_fact(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Append fact rows, optionally partitioned by a date column so that later scans prune."""
     writer = df.write.mode("append")

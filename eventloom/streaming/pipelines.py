@@ -24,7 +24,7 @@ from ..functions.timestamps import parse_lenient_timestamp
 from ..operators import alerts, dead_letter, detect, generic, ledger, normalize, retention, tables
 from ..operators.filters import filter_reply_topic
 from ..sources import messages, payload
-from ..sources.tables import SnapshotTable
+from ..sources.tables import FactTable, SnapshotTable
 from ..sources.topics import write_topic
 
 
@@ -41,12 +41,14 @@ class Outputs:
     bootstrap_servers: str | None = None
     _open: dict = field(default_factory=dict)
 
-    def table(self, name: str) -> SnapshotTable:
+    def table(self, name: str) -> SnapshotTable | FactTable:
+        """An insert-only table for facts, else one of snapshots; generated columns are left out."""
         if name not in self._open:
             schema = schemas.table_schema(name)
-            generated = [f.name for f in schema.fields if (f.metadata or {}).get("auto_inc")]
-            kept = [f for f in schema.fields if f.name not in generated]
-            self._open[name] = SnapshotTable(self.spark, f"{self.root}/tables/{name}", type(schema)(kept))
+            kept = type(schema)([f for f in schema.fields if not (f.metadata or {}).get("auto_inc")])
+            path = f"{self.root}/tables/{name}"
+            keys = tables.FACT_KEYS.get(name)
+            self._open[name] = FactTable(self.spark, path, kept, keys) if keys else SnapshotTable(self.spark, path, kept)
         return self._open[name]
 
     def send(self, records: DataFrame) -> None:
@@ -71,7 +73,7 @@ def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
     return writer.trigger(**trigger).start()
 
 
-def typed(df: DataFrame, table: SnapshotTable) -> DataFrame:
+def typed(df: DataFrame, table: SnapshotTable | FactTable) -> DataFrame:
     """Columns of the table, absent ones NULL, cast to its types."""
     have = set(df.columns)
     return df.select(
@@ -110,12 +112,11 @@ def stream_dedupe(stream: DataFrame, key: str = "dedupe_key", time: str = "times
 
 
 _FACT_TABLE = {
-    "proxy.events": ("proxy_events", tables.upsert_proxy_events),
-    "proxy.payload_audit": ("proxy_payload_audit", None),
-    "wireless.audit": ("wireless_audit_frames", tables.upsert_audit_frames),
-    "audit.wireless.bandwidth": ("wireless_bandwidth_windows", tables.upsert_bandwidth),
-    "wireless.client.inventory": ("wireless_client_inventory", tables.upsert_client_inventory),
-    "wireless.probe.flush": ("wireless_probe_requests", tables.upsert_probe_requests),
+    "proxy.events": "proxy_events",
+    "proxy.payload_audit": "proxy_payload_audit",
+    "wireless.audit": "wireless_audit_frames",
+    "audit.wireless.bandwidth": "wireless_bandwidth_windows",
+    "wireless.probe.flush": "wireless_probe_requests",
 }
 
 
@@ -132,16 +133,15 @@ def _load_target(target: str, rows: DataFrame, out: Outputs, now: str, epoch: in
         table = out.table("wireless_alerts")
         batch = alerts.ALERT_BUILDERS[target](good.drop("arrival"), now)
         table.commit(_merge_alerts(table, batch, tables.upsert_alerts), None)
+    elif target == "wireless.client.inventory":
+        table = out.table("wireless_client_inventory")
+        batch = _typed_with(good, table, order)
+        table.commit(typed(tables.upsert_client_inventory(table.read(), batch, order), table), None)
     else:
-        name, upsert = _FACT_TABLE[target]
-        table = out.table(name)
-        stamped = good if "created_at" in good.columns else good.withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
-        batch = _typed_with(stamped, table, order)
-        if upsert is None:
-            merged = tables.append_payload_audit(table.read(), batch, order, on_duplicate="ignore")
-        else:
-            merged = upsert(table.read(), batch, order)
-        table.commit(typed(merged, table), None)
+        table = out.table(_FACT_TABLE[target])
+        now_column = F.lit(now).cast("timestamp_ntz")
+        stamped = good if "created_at" in good.columns else good.withColumn("created_at", now_column)
+        table.append_new(_typed_with(stamped, table, order), order, now)
         if target == "proxy.events":
             blocked = normalize.valid_rows(normalize.extract_blocked(good.withColumn("error", F.lit(None).cast("string"))))
             rollup = out.table("proxy_blocked_host_rollups")
@@ -151,7 +151,8 @@ def _load_target(target: str, rows: DataFrame, out: Outputs, now: str, epoch: in
         if target == "wireless.audit":
             sensors = out.table("wireless_sensors")
             merged = tables.upsert_sensors(sensors.read(), good, order)
-            sensors.commit(typed(merged.withColumn("created_at", F.lit(now)), sensors), None)
+            first_stored = F.coalesce("created_at", F.lit(now).cast("timestamp_ntz"))
+            sensors.commit(typed(merged.withColumn("created_at", first_stored), sensors), None)
         if target == "audit.wireless.bandwidth":
             table = out.table("wireless_alerts")
             batch = alerts.bandwidth_alerts(good, now)
@@ -163,7 +164,7 @@ def _merge_alerts(table: SnapshotTable, batch: DataFrame, upsert) -> DataFrame:
     return typed(upsert(table.read(), batch, ["batch_id", "row_sequence"]), table)
 
 
-def _typed_with(df: DataFrame, table: SnapshotTable, extra: list[str]) -> DataFrame:
+def _typed_with(df: DataFrame, table: SnapshotTable | FactTable, extra: list[str]) -> DataFrame:
     have = set(df.columns)
     columns = [
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields
@@ -246,7 +247,10 @@ def stream_generic_sink(
                 rows = generic.generic_project(
                     named.filter(F.col("table") == name.lower()), table.schema, ("partition", "offset")
                 )
-                table.commit(tables.upsert_generic(table.read(), rows, keys, ["partition", "offset"]), epoch)
+                if isinstance(table, FactTable):
+                    table.replace_rows(rows, ["partition", "offset"], now)
+                else:
+                    table.commit(tables.upsert_generic(table.read(), rows, keys, ["partition", "offset"]), epoch)
         finally:
             batch.unpersist()
 

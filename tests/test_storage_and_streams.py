@@ -164,3 +164,33 @@ def test_too_many_networks_are_refused_not_cut(spark):
     with pytest.raises(Exception, match="ask for pages"):
         detect.authorized_networks_json(networks, max_rows=4).collect()
     assert detect.authorized_networks_json(networks, page_size=2).count() == 3
+
+
+def test_fact_table_appends_once_and_rewrites_only_touched_days(spark, tmp_path):
+    import os
+
+    rows = lambda *items: spark.createDataFrame(list(items), "batch_id string, row_sequence int, v string, place int")
+    schema = rows(("b", 0, "x", 0)).drop("place").schema
+    table = S.FactTable(spark, f"{tmp_path}/facts", schema, ["batch_id", "row_sequence"])
+    table.append_new(rows(("b1", 0, "a", 0), ("b1", 0, "again", 1), ("b1", 1, "b", 2)), ["place"], "2024-01-01")
+    table.append_new(rows(("b1", 0, "late", 0), ("b2", 0, "c", 1)), ["place"], "2024-01-02")
+    assert sorted(r.v for r in table.read().collect()) == ["a", "b", "c"]
+    files = set(os.listdir(f"{tmp_path}/facts/loaded_on=2024-01-01"))
+    change = rows(("b2", 0, "C", 0), ("b3", 0, "d", 1))
+    for _ in range(2):
+        table.replace_rows(change, ["place"], "2024-01-03")
+    assert sorted(r.v for r in table.read().collect()) == ["C", "a", "b", "d"]
+    assert files == set(os.listdir(f"{tmp_path}/facts/loaded_on=2024-01-01"))
+
+
+def test_generic_sink_replaces_fact_rows(spark, tmp_path):
+    envelope = lambda host: json.dumps({"table": "Proxy_Events", "origin": "SSL-PROXY", "destination": "w", "data": {
+        "BATCH_ID": "b", "ROW_SEQUENCE": 1, "HOST": host, "EVENT_TIME": "2024-01-01T00:00:00Z", "junk": [1]}})
+    folder = str(tmp_path)
+    send(spark, folder, "rows", [envelope("one"), envelope("two"), envelope("three").replace("SSL-PROXY", "nobody"), "[]"])
+    out = P.Outputs(spark, f"{folder}/out")
+    finish(P.stream_generic_sink(read_topic(spark, "rows", path=f"{folder}/in"), out, f"{folder}/cp", topic="rows", clock=CLOCK))
+    stored = out.table("proxy_events").read().collect()
+    assert [(r.batch_id, r.row_sequence, r.host) for r in stored] == [("b", 1, "two")]
+    errors = [json.loads(r.value)["error"] for r in out.sent("rows.dlq").collect()]
+    assert sorted(e.split(" not ")[0] for e in errors) == ["envelope must be a JSON object", "unknown origin 'nobody'"]
