@@ -398,3 +398,26 @@ def _(t):
         for target in ("wireless.audit", "wireless.probe.flush", "proxy.events")
     ]
     return N.input_row_count(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query("row_sequence", """
+SELECT 'proxy.events' AS target, 'b' || (event_id // 100) AS batch_id, event_id % 100 + 1 AS row_sequence, event_id FROM events
+UNION ALL SELECT 'wireless.probe.flush', 'b' || (event_id // 100), event_id % 100, event_id FROM events""")
+def _(t):
+    """Each row's place in its batch, joined back to the event it came from."""
+    parts = []
+    for target, member in (("proxy.events", "host"), ("wireless.probe.flush", "client_mac")):
+        resolved = payload.resolve_payload(messages.target_route(work_items(t, target)))
+        rows = payload.rows_for_target(resolved.filter(F.col("payload_error").isNull()), target)
+        placed = rows.select("batch_id", "pos", N.row_sequence(target).alias("row_sequence"), J.string_value(F.col("row"), member).alias("m"))
+        prefix = "h" if member == "host" else "c"
+        events = t.events.select(
+            "event_id", F.concat(F.lit("b"), F.expr("event_id DIV 100")).alias("batch_id"),
+            (F.col("event_id") % 100).cast("int").alias("pos"), F.concat(F.lit(prefix), "user_id").alias("m"),
+        )
+        parts.append(
+            placed.join(events, ["batch_id", "pos", "m"]).select(
+                F.lit(target).alias("target"), "batch_id", "row_sequence", "event_id"
+            )
+        )
+    return parts[0].unionByName(parts[1])
