@@ -5,9 +5,10 @@ from conftest import SMALL
 from oracle import compare
 
 import __spark_entry__ as entry_point
+from eventloom.plans import catalog
 
-ORACLES = entry_point.oracle_sql()
-QUERIES = entry_point.queries()
+ORACLES = catalog.ORACLES
+QUERIES = catalog.QUERIES
 # at this size no frame or tombstone falls into these queries' range
 MAY_BE_EMPTY = {"table_preflight", "reconcile_except"}
 
