@@ -27,8 +27,8 @@ MAX_REPEAT_PERCENT = 50
 # ratio -> (scaled numerator, denominator, smallest spread, two-sided); scaled by 10,000
 RATIOS = {
     "symbols": ("n_symbols", "n_words", 100, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 300, False),
-    "repeats": ("n_repeat_words", "n_words", 300, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, False),
     "word_length": ("word_chars", "n_words", 2500, True),
 }
 SCALE = 10_000
@@ -37,26 +37,41 @@ MIN_GROUP = 100
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more in ``w``."""
-    window = lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("k"), i.alias("p"))
+    """Words that lie in a 3-word window found twice or more in ``w``.
+
+    Half of a hash and the place sort as one number; only windows whose halves meet are
+    compared as text.
+    """
+    half = lambda x: F.shiftright(x, 32)
+    place = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
     def covered(s: Column) -> Column:
         again = F.filter(s, lambda x, j: (F.get(s, j - 1)["k"] == x["k"]) | (F.get(s, j + 1)["k"] == x["k"]))
-        places = F.sort_array(F.transform(again, lambda x: x["p"]))
         return let(
-            places,
+            F.sort_array(F.transform(again, lambda x: x["p"])),
             lambda p: F.aggregate(
                 F.transform(p, lambda x, j: F.least(F.lit(3), F.get(p, j + 1) - x)), F.lit(0), lambda a, x: a + x
             ),
         )
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(F.sort_array(windows), covered)).cast("long")
+    def compared(s: Column) -> Column:
+        near = F.filter(s, lambda x, j: (half(F.get(s, j - 1)) == half(x)) | (half(F.get(s, j + 1)) == half(x)))
+        texts = F.transform(
+            F.transform(near, place),
+            lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("k"), i.alias("p")),
+        )
+        return let(F.sort_array(texts), covered)
+
+    hashed = F.transform(
+        F.sequence(F.lit(0), F.size(w) - 3),
+        lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), 32).bitwiseOR(i.cast("long")),
+    )
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(F.sort_array(hashed), compared)).cast("long")
 
 
 def _line_counts(text: Column) -> Column:
     """Lines with a word, and those of them that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, WORD_GAP, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return let(
         lines,
         lambda x: F.struct(F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).alias("again")),
@@ -244,7 +259,7 @@ q2 AS (SELECT k, quantile_disc(v, 0.25) AS a, quantile_disc(v, 0.75) AS b FROM l
 pick AS (SELECT q0.lang, q0.source, q0.k,
     CASE WHEN q0.n >= 100 THEN q0.a WHEN q1.n >= 100 THEN q1.a ELSE q2.a END AS a,
     CASE WHEN q0.n >= 100 THEN q0.b WHEN q1.n >= 100 THEN q1.b ELSE q2.b END AS b,
-    CASE q0.k WHEN 1 THEN 100 WHEN 2 THEN 300 WHEN 3 THEN 300 ELSE 2500 END AS s
+    CASE q0.k WHEN 1 THEN 100 WHEN 2 THEN 1000 WHEN 3 THEN 1000 ELSE 2500 END AS s
   FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.k = q1.k JOIN q2 ON q0.k = q2.k),
 fence AS (SELECT lang, source, k, CASE WHEN k = 4 THEN a - 4 * greatest(b - a, s) END AS lo, b + 4 * greatest(b - a, s) AS hi FROM pick),
 fences AS (SELECT lang, source, max(hi) FILTER (k = 1) AS h1, max(hi) FILTER (k = 2) AS h2, max(hi) FILTER (k = 3) AS h3,
