@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from . import quality_rules, simhash  # noqa: F401
+from . import language_id, quality_knn, quality_rules, simhash  # noqa: F401
 from . import registry
 
 QUERIES = registry.QUERIES
