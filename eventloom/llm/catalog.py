@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from . import language_id, quality_knn, quality_rules, shards, simhash, tier_packing, token_matrices  # noqa: F401
+from . import language_id, mixing, quality_knn, quality_rules, shards, simhash, tier_packing, token_matrices  # noqa: F401
 from . import registry
 
 QUERIES = registry.QUERIES
