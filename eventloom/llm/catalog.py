@@ -1,7 +1,22 @@
-"""All queries of this subpackage."""
+"""All queries of this subpackage, the pipeline included."""
 
-from . import language_id, mixing, quality_knn, quality_rules, shards, simhash, tier_packing, token_matrices  # noqa: F401
-from . import registry
+import corpus_pipeline
+
+from . import (  # noqa: F401
+    language_id,
+    mixing,
+    quality_knn,
+    quality_rules,
+    registry,
+    shards,
+    simhash,
+    tier_packing,
+    token_matrices,
+    topk,
+    warc,
+)
+
+registry.query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
