@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.json_fields import json_text_field
 from ..functions.text import normalize_bssid
 from ..functions.timestamps import seconds_before
+from ..session import durable
 from .filters import filter_enabled_networks, filter_mac_valid, filter_recent_strong, filter_reply_topic
 from .ordering import numbered
 
@@ -116,6 +117,9 @@ def shadow_alerts(detected: DataFrame) -> DataFrame:
     )
 
 
+EVIDENCE = "window_seconds int, signal_threshold_dbm int, presence_window_seconds int"
+
+
 def shadow_evidence(window_seconds: int = 60, signal_threshold: int = -50, presence_seconds: int = 300) -> Column:
     return F.to_json(
         F.struct(
@@ -142,6 +146,8 @@ def shadow_alert_json(alerts: DataFrame) -> Column:
     ]
     times = ("first_occurred_at", "last_occurred_at")
     columns = [(F.col(n).cast("string") if n in times else F.col(n)).alias(n) for n in names if n in alerts.columns]
+    if "evidence" in alerts.columns:  # stored as JSON text
+        columns.append(F.from_json("evidence", EVIDENCE).alias("evidence"))
     head = F.lit("shadow_device").alias("event_type")
     return F.to_json(F.struct(head, *columns), {"ignoreNullFields": "false"})
 
@@ -205,21 +211,13 @@ def network_json() -> Column:
     )
 
 
-def authorized_networks_json(
-    networks: DataFrame, page_size: int | None = None, key: str = "id", max_rows: int = 100_000
-) -> DataFrame:
-    """JSON array of the enabled networks in key order, ``[]`` when there is none.
+def authorized_networks_json(networks: DataFrame, page_size: int = 500, key: str = "id") -> DataFrame:
+    """Numbered pages (``page, networks_json``) of the enabled networks in key order.
 
-    Without ``page_size`` the answer is one row, meant for a hand-kept list; more
-    than ``max_rows`` networks are refused with an error, never cut off.  With it
-    the list is split into numbered pages, so that no row grows with the table.
+    A page is a JSON array of at most ``page_size`` networks, so that no row grows with the
+    table; without a network there is no page.
     """
     enabled = filter_enabled_networks(networks).select(F.col(key).alias("_k"), network_json().alias("_json"))
-    if page_size is None:
-        some = enabled.limit(max_rows + 1)  # at most one more than allowed reaches the single task
-        listed = some.agg(F.array_sort(F.collect_list(F.struct("_k", "_json"))).alias("_rows"))
-        too_many = F.raise_error(F.lit(f"more than {max_rows} networks: ask for pages")).cast("string")
-        return listed.select(F.when(F.size("_rows") > max_rows, too_many).otherwise(_json_array()).alias("networks_json"))
     placed = numbered(enabled, [], ["_k"], "_n")
     page = F.floor((F.col("_n") - 1) / page_size).cast("bigint")
     pages = placed.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("_k", "_json"))).alias("_rows"))
@@ -230,7 +228,13 @@ def _json_array() -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform("_rows", lambda r: r["_json"]), ","), F.lit("]"))
 
 
-def networks_reply(requests: DataFrame, networks: DataFrame, default_topic: str) -> DataFrame:
-    """Every request gets the whole list of a hand-kept network table, at its reply topic."""
-    reply = authorized_networks_json(networks).scalar()
-    return filter_reply_topic(requests, default_topic).withColumn("reply", reply)
+def networks_reply(requests: DataFrame, networks: DataFrame, default_topic: str, page_size: int = 500) -> DataFrame:
+    """One reply of bounded size per request and page; without a network one empty list per request."""
+    pages = durable(authorized_networks_json(networks, page_size))
+    last = pages.agg(F.max("page")).first()[0]
+    if last is None:
+        answered = requests.withColumns({"page": F.lit(0).cast("bigint"), "reply": F.lit("[]")})
+    else:
+        wanted = requests.withColumn("page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last))))
+        answered = wanted.join(pages.withColumnRenamed("networks_json", "reply"), "page")
+    return filter_reply_topic(answered, default_topic)

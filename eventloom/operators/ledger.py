@@ -77,8 +77,8 @@ def claim_topk(
 
 
 def apply_claim(ledger: DataFrame, claimed: DataFrame) -> DataFrame:
-    """Ledger with the claimed rows in place of their old versions; ``claimed`` is at most the claim limit."""
-    return ledger.join(F.broadcast(claimed.select(*EVENT_KEY)), EVENT_KEY, "left_anti").unionByName(
+    """Ledger with the claimed rows in place of their old versions."""
+    return ledger.join(claimed.select(*EVENT_KEY), EVENT_KEY, "left_anti").unionByName(
         claimed.select(*ledger.columns)
     )
 

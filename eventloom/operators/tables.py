@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import as_utc, parse_lenient_timestamp
@@ -140,8 +140,7 @@ def upsert_bandwidth_alerts(target: DataFrame, batch: DataFrame, order: list[str
 LAST_STATED = ["frequency_hz", "verdict", "category", "risk_score", "iat_ms", "tls_ver", "alpn", "ja3_lite", "resolved_ip", "asn_org"]
 
 
-def blocked_host_rollup(blocked: DataFrame, order: list[str]) -> DataFrame:
-    """Per host: attempts, bytes, held time, last stated attributes and the block streak."""
+def _rollup(blocked: DataFrame, order: list[str]) -> DataFrame:
     seq = F.struct(*order)
     stated = lambda c: F.max_by(c, F.when(c.isNotNull(), seq))
     totals = blocked.groupBy("host").agg(
@@ -149,15 +148,33 @@ def blocked_host_rollup(blocked: DataFrame, order: list[str]) -> DataFrame:
         F.sum("blocked_bytes").alias("blocked_bytes"),
         F.sum(F.coalesce("tarpit_held_ms", F.lit(0))).alias("tarpit_held_ms"),
         *[stated(F.col(c)).alias(c) for c in LAST_STATED],
-        stated(last_verdict()).alias("last_verdict"),
+        *_verdicts(seq),
     )
     streaks = consecutive_counts(blocked, ["host"], order, "consecutive_blocks", "consecutive_blocks")
     return totals.join(streaks, "host")
 
 
-def last_verdict():
-    """A row's final verdict: the stated last one, else its verdict."""
-    return F.coalesce(F.col("last_verdict"), F.col("verdict"))
+def blocked_host_rollup(blocked: DataFrame, order: list[str]) -> DataFrame:
+    """Per host: attempts, bytes, held time, last stated attributes and the block streak."""
+    return _rollup(blocked, order).drop("known_verdict")
+
+
+def _verdicts(seq: Column) -> list[Column]:
+    """The final verdict of a host, from its rows in order.
+
+    A host's first row counts with its stated last verdict only, later ones also with
+    their verdict; ``known_verdict`` is the result if the host was known before.
+    """
+    value = F.coalesce("last_verdict", "verdict")
+    stated = F.when(value.isNotNull(), seq)
+    known = F.max_by(value, stated)
+    first = F.max(stated) == F.min(seq)
+    return [F.when(first, F.min_by("last_verdict", seq)).otherwise(known).alias("last_verdict"), known.alias("known_verdict")]
+
+
+def last_verdict(blocked: DataFrame, order: list[str]) -> DataFrame:
+    """``host, last_verdict`` of hosts that were not known before."""
+    return blocked.groupBy("host").agg(*_verdicts(F.struct(*order))).drop("known_verdict")
 
 
 def upsert_blocked_rollup(target: DataFrame, blocked: DataFrame, order: list[str], as_of) -> DataFrame:
@@ -167,7 +184,7 @@ def upsert_blocked_rollup(target: DataFrame, blocked: DataFrame, order: list[str
     stored row, so the table side of the join has unique keys.
     """
     now = as_utc(as_of)
-    delta = blocked_host_rollup(blocked, order)
+    delta = _rollup(blocked, order)
     held = target.join(M.distinct_keys(delta, ["host"]), "host", "left_semi")
     old = held.select(*[F.col(c) if c == "host" else F.col(c).alias(f"_{c}") for c in target.columns])
     both = delta.join(old, "host", "left")
@@ -178,7 +195,7 @@ def upsert_blocked_rollup(target: DataFrame, blocked: DataFrame, order: list[str
         "blocked_bytes": F.col("blocked_bytes") + F.coalesce("_blocked_bytes", F.lit(0)),
         "tarpit_held_ms": F.col("tarpit_held_ms") + F.coalesce("_tarpit_held_ms", F.lit(0)),
         "consecutive_blocks": F.when(known, streak).otherwise(F.col("consecutive_blocks")),
-        "last_verdict": F.coalesce("last_verdict", "_last_verdict"),
+        "last_verdict": F.when(known, F.coalesce("known_verdict", "_last_verdict")).otherwise(F.col("last_verdict")),
         "updated_at": now,
         "first_seen": F.coalesce("_first_seen", now),
         **{c: F.coalesce(c, f"_{c}") for c in LAST_STATED},

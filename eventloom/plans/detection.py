@@ -58,9 +58,10 @@ def shadow_alerts(t):
 SELECT source_mac, json_object('event_type', 'shadow_device', 'first_occurred_at', first_occurred_at::varchar,
   'last_occurred_at', last_occurred_at::varchar, 'source_mac', source_mac, 'occurrence_count', occurrence_count,
   'destination_bssid', destination_bssid, 'ssid', ssid, 'sensor_id', sensor_id, 'location_id', location_id,
-  'signal_dbm', signal_dbm, 'reason', reason)::varchar AS alert_json FROM ({_SHADOW})""")
+  'signal_dbm', signal_dbm, 'reason', reason, 'evidence', json_object('window_seconds', {LOOK_BACK}, 'signal_threshold_dbm', -50,
+  'presence_window_seconds', 300))::varchar AS alert_json FROM ({_SHADOW})""")
 def _(t):
-    found = detect.shadow_alerts(shadow_frames(t))
+    found = detect.shadow_alerts(shadow_frames(t)).withColumn("evidence", detect.shadow_evidence(LOOK_BACK))
     return found.select("source_mac", detect.shadow_alert_json(found).alias("alert_json"))
 
 
@@ -112,10 +113,10 @@ def _(t):
 SELECT r.request_id, CASE r.request_id % 9 WHEN 0 THEN 'wireless.networks.authorized.reply'
     ELSE CASE r.request_id % 6 WHEN 0 THEN 'wireless.mac.lookup.reply'
          WHEN 1 THEN '_INBOX.atheros_sensor.' || r.request_id ELSE 'wireless.networks.authorized.reply' END END AS topic,
-  (SELECT '[' || string_agg(json_object('ssid', n_name, 'bssid', lower('B' || n_nationkey),
-     'location_id', 'l' || n_regionkey, 'label', n_name, 'enabled', true)::varchar, ',' ORDER BY n_nationkey) || ']'
-   FROM nation WHERE n_nationkey % 4 <> 0) AS reply
-FROM v_requests r""")
+  p.page, p.reply
+FROM v_requests r, (SELECT page, '[' || string_agg(j, ',' ORDER BY n_nationkey) || ']' AS reply FROM (
+  SELECT n_nationkey, (row_number() OVER (ORDER BY n_nationkey) - 1) // 7 AS page, json_object('ssid', n_name, 'bssid', lower('B' || n_nationkey),
+     'location_id', 'l' || n_regionkey, 'label', n_name, 'enabled', true)::varchar AS j FROM nation WHERE n_nationkey % 4 <> 0) GROUP BY page) p""")
 def _(t):
     networks = t.nation.selectExpr(
         "n_nationkey AS id", "n_name AS ssid", "'B' || n_nationkey AS bssid", "'l' || n_regionkey AS location_id",
@@ -124,8 +125,8 @@ def _(t):
     from ..functions.json_fields import extract_field
 
     asked = t.requests.withColumn("reply_topic", extract_field(F.col("value"), "reply_topic"))
-    answered = detect.networks_reply(asked, networks, "wireless.networks.authorized.reply")
-    return answered.select("request_id", "topic", "reply")
+    answered = detect.networks_reply(asked, networks, "wireless.networks.authorized.reply", page_size=7)
+    return answered.select("request_id", "topic", "page", "reply")
 
 
 @query("device_lookup", """
@@ -208,11 +209,14 @@ SELECT host, arg_max(consecutive_blocks, seq) FILTER (consecutive_blocks IS NOT
   SELECT *, max(CASE WHEN consecutive_blocks IS NOT NULL THEN seq END) OVER (PARTITION BY host) AS last_stated FROM v_blocked)
 GROUP BY host"""
 _STATED = ["frequency_hz", "verdict", "category", "risk_score", "iat_ms", "tls_ver", "alpn", "ja3_lite", "resolved_ip", "asn_org"]
+# a host's first row does not fall back on its verdict
+CTES["verdicts"] = """
+SELECT *, coalesce(last_verdict, CASE WHEN row_number() OVER (PARTITION BY host ORDER BY seq) > 1 THEN verdict END) AS final FROM v_blocked"""
 CTES["rollup"] = f"""
 SELECT b.host, count(*) AS blocked_attempts, sum(blocked_bytes)::bigint AS blocked_bytes,
   sum(tarpit_held_ms)::bigint AS tarpit_held_ms, {", ".join(f"arg_max({c}, seq) AS {c}" for c in _STATED)},
-  arg_max(coalesce(last_verdict, verdict), seq) AS last_verdict, any_value(s.consecutive_blocks) AS consecutive_blocks
-FROM v_blocked b JOIN v_streaks s ON s.host = b.host GROUP BY b.host"""
+  arg_max(final, seq) AS last_verdict, any_value(s.consecutive_blocks) AS consecutive_blocks
+FROM v_verdicts b JOIN v_streaks s ON s.host = b.host GROUP BY b.host"""
 
 
 @query("blocked_host_rollup", "SELECT * FROM v_rollup")
@@ -236,12 +240,9 @@ def _(t):
     return last_non_null_per_key(t.blocked, ["host"], ["seq"], ["frequency_hz", "category", "alpn"])
 
 
-@query("last_verdict", "SELECT host, arg_max(coalesce(last_verdict, verdict), seq) AS last_verdict FROM v_blocked GROUP BY host")
+@query("last_verdict", "SELECT host, arg_max(final, seq) AS last_verdict FROM v_verdicts GROUP BY host")
 def _(t):
-    from ..operators.ordering import last_non_null_per_key
-
-    rows = t.blocked.withColumn("last_verdict", T.last_verdict())
-    return last_non_null_per_key(rows, ["host"], ["seq"], ["last_verdict"])
+    return T.last_verdict(t.blocked, ["seq"])
 
 
 @query("frames_to_bandwidth_windows", """

@@ -181,7 +181,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
             "resolved_ip": "CASE WHEN event_id % 2 = 0 THEN '10.0.0.' || (event_id % 200) END",
             "asn_org": "CASE WHEN event_id % 11 = 0 THEN 'AS' || (event_id % 40) END",
         },
-        "event_type = 'error'",
+        None,
     ),
     "windows": (
         "orders",

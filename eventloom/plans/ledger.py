@@ -332,8 +332,7 @@ def _(t):
 
 
 @query("retention_prune", f"""
-SELECT dedupe_key, stream_name, updated_at FROM v_ledger WHERE updated_at < {_NOW} - to_seconds(15 * 86400)
-ORDER BY updated_at, dedupe_key, stream_name LIMIT 5000""")
+SELECT dedupe_key, stream_name, updated_at FROM v_ledger WHERE updated_at < {_NOW} - to_seconds(15 * 86400)""")
 def _(t):
     return retention.retention_prune(t.ledger, AS_OF, keep_days=15).select("dedupe_key", "stream_name", "updated_at")
 
@@ -342,7 +341,7 @@ def _(t):
 SELECT dedupe_key, stream_name, {_NOW} + to_seconds(45 * 86400) AS expires_at, {_NOW} AS created_at
 FROM v_ledger WHERE updated_at < {_NOW} - to_seconds(15 * 86400)""")
 def _(t):
-    return retention.tombstones_for(retention.retention_prune(t.ledger, AS_OF, keep_days=15, limit=None), AS_OF)
+    return retention.tombstones_for(retention.retention_prune(t.ledger, AS_OF, keep_days=15), AS_OF)
 
 
 # Tombstones of the orders' keys, expired for every other month.

@@ -8,9 +8,12 @@ typed columns straight from the events table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import json_fields as J
 from ..functions.hashing import inline_reference
 from ..operators import alerts
@@ -389,35 +392,26 @@ def _(t):
     return alerts.alerts_unified(rows, AS_OF, bandwidth=t.windows)
 
 
-@query("input_row_count", """
+@query("input_row_count", f"""
 SELECT target, 'b' || (event_id // 100) AS batch_id, count(*) AS row_count FROM events,
-  (VALUES ('wireless.audit'), ('wireless.probe.flush'), ('proxy.events')) AS x(target) GROUP BY ALL""")
+  (VALUES {", ".join(f"('{x}')" for x in schemas.TARGETS)}) AS x(target) GROUP BY ALL""")
 def _(t):
-    parts = [
-        normalized(t, target).select(F.lit(target).alias("target"), "batch_id")
-        for target in ("wireless.audit", "wireless.probe.flush", "proxy.events")
-    ]
-    return N.input_row_count(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    parts = [normalized(t, target).select(F.lit(target).alias("target"), "batch_id") for target in schemas.TARGETS]
+    return N.input_row_count(reduce(DataFrame.unionByName, parts))
 
 
-@query("row_sequence", """
-SELECT 'proxy.events' AS target, 'b' || (event_id // 100) AS batch_id, event_id % 100 + 1 AS row_sequence, event_id FROM events
-UNION ALL SELECT 'wireless.probe.flush', 'b' || (event_id // 100), event_id % 100, event_id FROM events""")
+@query("row_sequence", f"""
+SELECT target, 'b' || (event_id // 100) AS batch_id, event_id % 100 + CASE WHEN target = 'proxy.events' THEN 1 ELSE 0 END AS row_sequence, event_id
+FROM events, (VALUES {", ".join(f"('{x}')" for x in schemas.TARGETS)}) AS x(target)""")
 def _(t):
-    """Each row's place in its batch, joined back to the event it came from."""
-    parts = []
-    for target, member in (("proxy.events", "host"), ("wireless.probe.flush", "client_mac")):
+    """Each row's place in its batch, beside the event at that place."""
+
+    def placed(target: str) -> DataFrame:
         resolved = payload.resolve_payload(messages.target_route(work_items(t, target)))
         rows = payload.rows_for_target(resolved.filter(F.col("payload_error").isNull()), target)
-        placed = rows.select("batch_id", "pos", N.row_sequence(target).alias("row_sequence"), J.string_value(F.col("row"), member).alias("m"))
-        prefix = "h" if member == "host" else "c"
-        events = t.events.select(
-            "event_id", F.concat(F.lit("b"), F.expr("event_id DIV 100")).alias("batch_id"),
-            (F.col("event_id") % 100).cast("int").alias("pos"), F.concat(F.lit(prefix), "user_id").alias("m"),
+        first = F.substring("batch_id", 2, 20).cast("bigint") * 100
+        return rows.select(
+            F.lit(target).alias("target"), "batch_id", N.row_sequence(target).alias("row_sequence"), (first + F.col("pos")).alias("event_id")
         )
-        parts.append(
-            placed.join(events, ["batch_id", "pos", "m"]).select(
-                F.lit(target).alias("target"), "batch_id", "row_sequence", "event_id"
-            )
-        )
-    return parts[0].unionByName(parts[1])
+
+    return reduce(DataFrame.unionByName, [placed(target) for target in schemas.TARGETS])

@@ -274,15 +274,15 @@ def stream_device_lookup(
 
 def stream_networks_reply(
     stream: DataFrame, out: Outputs, checkpoint: str, networks: Callable[[], DataFrame],
-    default_topic: str = "wireless.networks.authorized.reply", interval: str | None = None,
+    default_topic: str = "wireless.networks.authorized.reply", interval: str | None = None, page_size: int = 500,
 ) -> StreamingQuery:
-    """Every non-empty request gets the list of authorised networks; ``networks`` re-reads the table."""
+    """Every non-empty request gets the pages of authorised networks; ``networks`` re-reads the table."""
 
     def handle(batch: DataFrame, epoch: int) -> None:
         asked = batch.filter(F.coalesce(F.col("value") != "", F.lit(False))).withColumn(
             "reply_topic", J.extract_field(F.col("value"), "reply_topic")
         )
-        answered = detect.networks_reply(asked, networks(), default_topic)
+        answered = detect.networks_reply(asked, networks(), default_topic, page_size)
         out.send(answered.select("topic", F.lit("").alias("key"), F.col("reply").alias("value")))
 
     return _start(stream.drop("topic"), handle, checkpoint, interval)
