@@ -94,6 +94,18 @@ def shadow_frames(
     return unauthorized_frames(unknown, networks)
 
 
+def shadow_frames_at(
+    frames: DataFrame, networks: DataFrame, devices: DataFrame, signal_threshold: int = -50, presence_seconds: int = 300
+) -> DataFrame:
+    """As ``shadow_frames``, each frame judged at its own time: its device was not seen since ``presence_seconds`` before it."""
+    strong = filter_mac_valid(frames).filter(F.col("signal_dbm") >= signal_threshold)
+    seen = devices.groupBy(F.col("mac_id").alias("_mac")).agg(F.max("last_seen").alias("_seen"))
+    since = F.timestamp_add("SECOND", F.lit(-presence_seconds), F.col("observed_at"))
+    one = distinct_frames(strong)
+    unknown = one.join(seen, F.col("source_mac") == F.col("_mac"), "left").filter(F.coalesce(F.col("_seen") < since, F.lit(True)))
+    return unauthorized_frames(unknown.select(*one.columns), networks)
+
+
 SHADOW_REASON = "strong_wireless_without_proxy_presence"
 
 

@@ -7,6 +7,8 @@ fields; the error of a row is that of its first bad required field.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -362,7 +364,7 @@ def strict_rows(df: DataFrame) -> DataFrame:
     return valid_rows(df).join(failed, "batch_id", "left_anti")
 
 
-def extract_blocked(proxy_rows: DataFrame, context: str = "proxy blocked rollup") -> DataFrame:
+def extract_blocked(proxy_rows: DataFrame, context: str = "proxy blocked rollup", keep: Iterable[str] = ()) -> DataFrame:
     """Blocked-host facts of normalised proxy rows that carry the ``blocked`` flag.
 
     The byte count falls back to up + down; a sum beyond 64 bits is an error.
@@ -378,6 +380,7 @@ def extract_blocked(proxy_rows: DataFrame, context: str = "proxy blocked rollup"
     real = lambda key: J.first_of([J.optional_double(r, key), J.optional_double(r, f"metrics.{key}")])
     value = F.coalesce(stated, total)
     columns = [
+        *keep,
         "batch_id",
         (F.col("row_sequence") - 1).alias("row_sequence"),
         "host",

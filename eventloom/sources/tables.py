@@ -1,115 +1,109 @@
-"""Snapshot tables, catalog checks and JDBC output."""
+"""Key-bucketed tables, catalog checks and JDBC output."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
-from ..operators.merge import keep, merge, new_rows, replace
+from ..operators.merge import first_per_key, held_keys
 from ..session import durable
 
-_COMMIT = "version bigint, slot int, epoch bigint"
+_BUCKET, _EPOCH, _SOURCE = "bucket", "_epoch", "_source"
+
 
+class KeyedTable:
+    """A Parquet table laid out in hash buckets of its key, one writer at a time.
 
-class SnapshotTable:
-    """A table kept as whole Parquet snapshots, one writer at a time.
+    An append looks for stored keys in the buckets that hold one of its keys, in all of their
+    history; an upsert rewrites those buckets and leaves every other file alone.  ``buckets`` is
+    fixed for the life of a table.  Each row carries the epoch that wrote it last, so a replayed
+    micro-batch leaves the buckets alone that it has reached before.  A rewrite deletes the old
+    files of its buckets: call ``read`` anew for every use.
 
-    Parquet has no MERGE, so a new state is written beside the old one and then
-    recorded in an append-only commit list.  Snapshots rotate over ``slots``
-    folders; a reader keeps a usable version while ``slots - 1`` newer ones are
-    written.  ``epoch`` makes a replayed micro-batch a no-op.
+    Without ``keys`` the rows are keyed by the place of their message.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: tuple[str, ...] = (), slots: int = 4):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.partition_by, self.slots = partition_by, slots
+    PLACE = ["partition", "offset"]
 
-    def _last(self):
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], buckets: int = 16):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
+        self.keys = list(keys) or [f"_{c}" for c in self.PLACE]
+        kept = schema if keys else T.StructType([*schema.fields, *T.StructType.fromDDL("_partition int, _offset bigint").fields])
+        self._rows = kept
+        self._stored_schema = T.StructType([*kept.fields, *T.StructType.fromDDL(f"{_EPOCH} bigint, {_SOURCE} string, {_BUCKET} int").fields])
+
+    def _stored(self, buckets: list[int] | None = None) -> DataFrame:
         try:
-            commits = self.spark.read.schema(_COMMIT).json(f"{self.path}/commits")
-            row = commits.agg(F.max(F.struct("version", "slot", "epoch")).alias("c")).first()
-        except AnalysisException:
-            return None
-        return row["c"]
+            df = self.spark.read.schema(self._stored_schema).parquet(self.path)
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            df = self.spark.createDataFrame([], self._stored_schema)
+        return df if buckets is None else df.filter(F.col(_BUCKET).isin(buckets))
 
     def read(self) -> DataFrame:
-        last = self._last()
-        if last is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/slot={last['slot']}")
-
-    def last_epoch(self) -> int:
-        last = self._last()
-        return -1 if last is None else last["epoch"]
-
-    def commit(self, df: DataFrame, epoch: int | None = None) -> bool:
-        """Write ``df`` as the new state; False when ``epoch`` was written before."""
-        last = self._last()
-        version, done = (last["version"], last["epoch"]) if last else (0, -1)
-        if epoch is not None and epoch <= done:
-            return False
-        slot = (version + 1) % self.slots
-        writer = df.select(*self.schema.fieldNames()).write.mode("overwrite")
-        if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(f"{self.path}/slot={slot}")
-        entry = [(version + 1, slot, done if epoch is None else epoch)]
-        self.spark.createDataFrame(entry, _COMMIT).coalesce(1).write.mode("append").json(f"{self.path}/commits")
-        return True
-
-
-class FactTable:
-    """An insert-only table: rows are appended under the day they were loaded, nothing is rewritten.
-
-    A row whose key exists is ignored, so a replayed batch adds nothing.  The
-    check reads the key columns of the last ``check_days`` load days only: the
-    ledger and its tombstones forget an event after that time, so no batch can
-    come again later.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], check_days: int = 45):
-        self.spark, self.path, self.schema, self.keys, self.check_days = spark, path, schema, keys, check_days
-
-    def _stored(self) -> DataFrame:
-        stored = T.StructType([*self.schema.fields, T.StructField("loaded_on", T.DateType())])
-        try:
-            return self.spark.read.schema(stored).parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], stored)
-
-    def read(self, loaded_since=None) -> DataFrame:
-        """The table; ``loaded_since`` (a date) prunes its folders."""
-        df = self._stored()
-        if loaded_since is not None:
-            df = df.filter(F.col("loaded_on") >= loaded_since)
-        return df.select(*self.schema.fieldNames())
-
-    def append_new(self, batch: DataFrame, order: list[str], as_of: str) -> None:
-        """Append the first row of each key that is not stored yet."""
-        today = F.lit(as_of).cast("date")
-        held = self.read(F.date_sub(today, self.check_days))
-        fresh = new_rows(held, batch, self.keys, order).withColumn("loaded_on", today)
-        fresh.write.mode("append").partitionBy("loaded_on").parquet(self.path)
-
-    def replace_rows(self, batch: DataFrame, order: list[str], as_of: str) -> None:
-        """Upsert that replaces stored rows; only the load days that hold one of them are rewritten.
-
-        Repeating it with the same batch gives the same table.
+        return self._stored().select(*self.schema.fieldNames())
+
+    def _place(self, batch: DataFrame) -> DataFrame:
+        if "_offset" in self.keys and "_offset" not in batch.columns:
+            batch = batch.withColumns({f"_{c}": F.col(c) for c in self.PLACE})
+        keys = [F.col(k).cast(self._rows[k].dataType) for k in self.keys]
+        return batch.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
+
+    @staticmethod
+    def _buckets(df: DataFrame) -> list[int]:
+        return sorted(r[0] for r in df.select(_BUCKET).distinct().collect())  # at most the number of buckets
+
+    def _write(self, df: DataFrame, mode: str) -> None:
+        columns = self._stored_schema.fieldNames()
+        df.select(*columns).hint("rebalance", _BUCKET).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(
+            _BUCKET
+        ).parquet(self.path)
+
+    def held(self, batch: DataFrame) -> DataFrame:
+        """Key and ``_source`` of the stored rows in the buckets of the batch's keys."""
+        return self._stored(self._buckets(self._place(batch))).select(*self.keys, _SOURCE)
+
+    def append_new(self, batch: DataFrame, order: list[str], source: str | None = None) -> None:
+        """Append the first row of each key that is not stored yet; ``source`` names a column to keep beside it."""
+        placed = self._place(batch)
+        touched = self._buckets(placed)
+        if not touched:
+            return
+        stored = self._stored(touched).select(*self._rows.fieldNames())
+        extra = {_SOURCE: F.col(source) if source else F.lit(None).cast("string"), _EPOCH: F.lit(-1).cast("bigint")}
+        rows = placed.withColumns(extra)
+        fresh = first_per_key(rows.join(held_keys(stored, rows, self.keys), self.keys, "left_anti"), self.keys, order)
+        self._write(fresh, "append")
+
+    def upsert(self, batch: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame], epoch: int | None = None) -> None:
+        """Replace the touched buckets by ``apply(their rows, batch)``.
+
+        Buckets that ``epoch`` has written are left alone.  The new rows go to the shared folder
+        first, because the files to overwrite are being read.
         """
-        today = F.lit(as_of).cast("date")
-        stored = self._stored()
-        touched = stored.join(batch.select(*self.keys).distinct(), self.keys, "left_semi")
-        days = [r["loaded_on"] for r in touched.select("loaded_on").distinct().collect()]  # one value per load day
-        affected = stored.filter(F.col("loaded_on").isin(days) | (F.col("loaded_on") == today))
-        rules = {c: replace for c in self.schema.fieldNames() if c not in self.keys}
-        merged = merge(affected, batch.withColumn("loaded_on", today), self.keys, {**rules, "loaded_on": keep}, order)
-        # the folders to overwrite are being read: write from the shared copy
-        durable(merged.select(*stored.columns)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("loaded_on").parquet(self.path)
+        placed = self._place(batch)
+        touched = self._buckets(placed)
+        if epoch is not None and touched:
+            last = self._stored(touched).groupBy(_BUCKET).agg(F.max(_EPOCH).alias("e")).filter(F.col("e") >= epoch)
+            written = set(self._buckets(last))
+            touched = [b for b in touched if b not in written]
+        if not touched:
+            return
+        names = self._rows.fieldNames()
+        mine = placed.filter(F.col(_BUCKET).isin(touched)).drop(_BUCKET)
+        stored = self._stored(touched)
+        before = stored.groupBy(_BUCKET).agg(F.max(_EPOCH).alias("_before"))
+        merged = self._place(apply(stored.select(*names), mine).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._rows.fields]))
+        stamped = merged.join(before, _BUCKET, "left").withColumns(
+            {_EPOCH: F.greatest("_before", F.lit(-1 if epoch is None else epoch)).cast("bigint"), _SOURCE: F.lit(None).cast("string")}
+        )
+        self._write(durable(stamped.select(*self._stored_schema.fieldNames())), "overwrite")
 
 
 def write_fact(df: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -1,10 +1,8 @@
 """The streams: topic in, operators per micro-batch, tables and topics out.
 
-Each function starts one query.  State lives in ``SnapshotTable`` s, which skip a
+Each function starts one query.  State lives in ``KeyedTable`` s, whose buckets skip a
 micro-batch they have already written, so a restart from the query's checkpoint
 repeats no effect.  Records sent to topics are at-least-once, like the Kafka sink.
-The clock of a micro-batch is its latest event time where the data has one, else
-the time the batch starts.
 """
 
 from __future__ import annotations
@@ -23,8 +21,9 @@ from ..functions.hashing import md5_batch_id
 from ..functions.timestamps import parse_lenient_timestamp
 from ..operators import alerts, dead_letter, detect, generic, ledger, normalize, retention, tables
 from ..operators.filters import filter_reply_topic
+from ..session import durable
 from ..sources import messages, payload
-from ..sources.tables import FactTable, SnapshotTable
+from ..sources.tables import KeyedTable
 from ..sources.topics import write_topic
 
 
@@ -41,14 +40,13 @@ class Outputs:
     bootstrap_servers: str | None = None
     _open: dict = field(default_factory=dict)
 
-    def table(self, name: str) -> SnapshotTable | FactTable:
-        """An insert-only table for facts, else one of snapshots; generated columns are left out."""
+    def table(self, name: str) -> KeyedTable:
+        """A table in buckets of its key; generated columns are left out, also as keys."""
         if name not in self._open:
             schema = schemas.table_schema(name)
             kept = type(schema)([f for f in schema.fields if not (f.metadata or {}).get("auto_inc")])
-            path = f"{self.root}/tables/{name}"
-            keys = tables.FACT_KEYS.get(name)
-            self._open[name] = FactTable(self.spark, path, kept, keys) if keys else SnapshotTable(self.spark, path, kept)
+            keys = [k for k in tables.FACT_KEYS.get(name) or schemas.table_keys(name) if k in kept.names]
+            self._open[name] = KeyedTable(self.spark, f"{self.root}/tables/{name}", kept, keys)
         return self._open[name]
 
     def send(self, records: DataFrame) -> None:
@@ -73,7 +71,7 @@ def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
     return writer.trigger(**trigger).start()
 
 
-def typed(df: DataFrame, table: SnapshotTable | FactTable) -> DataFrame:
+def typed(df: DataFrame, table: KeyedTable) -> DataFrame:
     """Columns of the table, absent ones NULL, cast to its types."""
     have = set(df.columns)
     return df.select(
@@ -99,7 +97,7 @@ def stream_scan_ingest(
             if tombstones:
                 good = retention.tombstone_filter(good, out.table("sync_event_tombstones").read(), now)
             events = out.table("sync_events")
-            events.commit(tables.upsert_scan_requests(events.read(), good, ["partition", "offset"], now), epoch)
+            events.upsert(good, lambda held, new: tables.upsert_scan_requests(held, new, ["partition", "offset"], now), epoch)
         finally:
             batch.unpersist()
 
@@ -120,57 +118,111 @@ _FACT_TABLE = {
 }
 
 
+PLACE = ["partition", "offset"]  # a work item is named by the place of its message
+
+
+def _fitting(rows: DataFrame, table: KeyedTable) -> DataFrame:
+    """``rows`` with values that the table's narrower types cannot hold as row errors, and NULL."""
+    have = {f.name: f.dataType for f in rows.schema.fields}
+    wider = [f for f in table.schema.fields if f.name in have and f.name not in ("batch_id", "row_sequence") and have[f.name] != f.dataType]
+    errors = [
+        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f"value of {f.name} does not fit its column"))
+        for f in wider
+    ]
+    checked = rows.withColumn("error", F.coalesce("error", *errors)) if errors else rows
+    return checked.withColumns({f.name: F.col(f.name).try_cast(f.dataType) for f in wider})
+
+
+def _first_errors(rows: DataFrame) -> DataFrame:
+    """``partition, offset, row_error``: the first error of every work item that has one."""
+    bad = normalize.invalid_rows(rows)
+    return bad.groupBy(*PLACE).agg(F.min_by("error", "row_sequence").alias("row_error"))
+
+
+def _repeated(rows: DataFrame, table: KeyedTable) -> DataFrame:
+    """Items with a row whose key belongs to another batch, stored or earlier in the micro-batch.
+
+    The same row delivered again in the same batch is no repetition.  An item that is refused
+    gives its keys free, so items are refused in rounds: in each, those whose opponent stays.
+    """
+    keys, order = table.keys, F.struct(*PLACE, "row_sequence")
+    stored = table.held(rows).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_source").alias("_owner"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    against = rows.select(*keys, *PLACE, "row_sequence", "batch_id").join(stored, same, "left")
+    taken = F.col("_owner").isNotNull() & (F.col("_owner") != F.col("batch_id"))
+    refused = durable(against.filter(taken).select(*PLACE).distinct())
+    mine = against.select(*keys, *PLACE, "row_sequence", "batch_id")
+    while True:
+        live = mine.join(refused, PLACE, "left_anti")
+        first = F.min_by(F.struct("batch_id", "row_sequence", *PLACE), order)
+        owners = live.groupBy(*keys).agg(first.alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+        other = (F.col("batch_id") != F.col("_first.batch_id")) | (F.col("row_sequence") != F.col("_first.row_sequence"))
+        claims = live.join(owners, keys).filter(other)  # audit keys are never NULL
+        pairs = durable(claims.select(*PLACE, F.col("_first.partition").alias("_p"), F.col("_first.offset").alias("_o")).distinct())
+        doubtful = pairs.select(F.col("partition").alias("_p"), F.col("offset").alias("_o")).distinct()
+        own = (F.col("partition") == F.col("_p")) & (F.col("offset") == F.col("_o"))
+        certain = pairs.filter(own).unionByName(pairs.filter(~own).join(doubtful, ["_p", "_o"], "left_anti"))
+        found = certain.select(*PLACE).distinct()
+        if found.isEmpty():
+            return refused
+        refused = durable(refused.unionByName(found))
+
+
 def _load_target(target: str, rows: DataFrame, out: Outputs, now: str, epoch: int) -> DataFrame:
-    """Write one target's normalised rows; returns ``batch_id, row_count, row_error`` per batch.
+    """Write one target's normalised rows; returns ``partition, offset, row_count, row_error`` per item.
 
-    A batch with a bad row is refused as a whole.
+    An item with a bad row is refused as a whole, the others proceed.
     """
-    failed = normalize.batch_errors(rows)
-    good = normalize.valid_rows(rows).join(failed.select("batch_id"), "batch_id", "left_anti")
-    counts = rows.groupBy("batch_id").agg(F.count("*").alias("row_count"))
-    order = ["arrival", "row_sequence"]
-    if target in alerts.ALERT_BUILDERS:
-        table = out.table("wireless_alerts")
-        batch = alerts.ALERT_BUILDERS[target](good.drop("arrival"), now)
-        table.commit(_merge_alerts(table, batch, tables.upsert_alerts), None)
-    elif target == "wireless.client.inventory":
-        table = out.table("wireless_client_inventory")
-        batch = _typed_with(good, table, order)
-        table.commit(typed(tables.upsert_client_inventory(table.read(), batch, order), table), None)
+    is_alert = target in alerts.ALERT_BUILDERS
+    inventory = target == "wireless.client.inventory"
+    table = out.table("wireless_alerts" if is_alert else "wireless_client_inventory" if inventory else _FACT_TABLE[target])
+    order = [*PLACE, "row_sequence"]
+    checked = durable(_fitting(rows, table))
+    failed = _first_errors(checked)
+    if target == "proxy.events":
+        blocked = normalize.extract_blocked(normalize.valid_rows(checked).withColumn("error", F.lit(None).cast("string")), keep=PLACE)
+        blocked = _fitting(blocked, out.table("proxy_blocked_host_rollups"))
+        failed = failed.unionByName(_first_errors(blocked)).groupBy(*PLACE).agg(F.min("row_error").alias("row_error"))
+    good = normalize.valid_rows(checked).join(failed.select(*PLACE), PLACE, "left_anti")
+    if target == "proxy.payload_audit":
+        repeated = _repeated(_typed_with(good, table, [*order, "batch_id"]), table)
+        failed = failed.unionByName(repeated.withColumn("row_error", F.lit("duplicate key in proxy_payload_audit")))
+        good = good.join(repeated, PLACE, "left_anti")
+    failed = durable(failed)
+    counts = checked.groupBy(*PLACE).agg(F.count("*").alias("row_count"))
+    if is_alert:
+        batch = alerts.ALERT_BUILDERS[target](good, now)
+        table.upsert(batch, lambda held, new: typed(tables.upsert_alerts(held, new, ["batch_id", "row_sequence"]), table))
+    elif inventory:
+        table.upsert(_typed_with(good, table, order), lambda held, new: typed(tables.upsert_client_inventory(held, new, order), table))
     else:
-        table = out.table(_FACT_TABLE[target])
         now_column = F.lit(now).cast("timestamp_ntz")
         stamped = good if "created_at" in good.columns else good.withColumn("created_at", now_column)
-        table.append_new(_typed_with(stamped, table, order), order, now)
+        table.append_new(_typed_with(stamped, table, [*order, "batch_id"]), order, source="batch_id")
         if target == "proxy.events":
-            blocked = normalize.valid_rows(normalize.extract_blocked(good.withColumn("error", F.lit(None).cast("string"))))
             rollup = out.table("proxy_blocked_host_rollups")
-            if epoch > rollup.last_epoch():
-                merged = tables.upsert_blocked_rollup(rollup.read(), blocked, ["batch_id", "row_sequence"], now)
-                rollup.commit(typed(merged, rollup), epoch)
+            kept = normalize.valid_rows(blocked).join(failed.select(*PLACE), PLACE, "left_anti")
+            rollup.upsert(kept, lambda held, new: typed(tables.upsert_blocked_rollup(held, new, order, now), rollup), epoch)
         if target == "wireless.audit":
             sensors = out.table("wireless_sensors")
-            merged = tables.upsert_sensors(sensors.read(), good, order)
-            first_stored = F.coalesce("created_at", F.lit(now).cast("timestamp_ntz"))
-            sensors.commit(typed(merged.withColumn("created_at", first_stored), sensors), None)
+            first_stored = F.coalesce("created_at", now_column)
+            sensors.upsert(
+                good, lambda held, new: typed(tables.upsert_sensors(held, new, order).withColumn("created_at", first_stored), sensors)
+            )
         if target == "audit.wireless.bandwidth":
-            table = out.table("wireless_alerts")
+            side = out.table("wireless_alerts")
             batch = alerts.bandwidth_alerts(good, now)
-            table.commit(_merge_alerts(table, batch, tables.upsert_bandwidth_alerts), None)
-    return counts.join(failed, "batch_id", "left").select("batch_id", "row_count", F.col("batch_error").alias("row_error"))
-
-
-def _merge_alerts(table: SnapshotTable, batch: DataFrame, upsert) -> DataFrame:
-    return typed(upsert(table.read(), batch, ["batch_id", "row_sequence"]), table)
+            side.upsert(batch, lambda held, new: typed(tables.upsert_bandwidth_alerts(held, new, ["batch_id", "row_sequence"]), side))
+    return counts.join(failed, PLACE, "left").select(*PLACE, "row_count", "row_error")
 
 
-def _typed_with(df: DataFrame, table: SnapshotTable | FactTable, extra: list[str]) -> DataFrame:
+def _typed_with(df: DataFrame, table: KeyedTable, extra: list[str]) -> DataFrame:
     have = set(df.columns)
     columns = [
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields
     ]
     names = {f.name for f in table.schema.fields}
-    return df.select(*columns, *[F.col(c) for c in extra if c not in names])
+    return df.select(*columns, *[F.col(c) for c in dict.fromkeys(extra) if c not in names])
 
 
 def stream_load(
@@ -189,7 +241,7 @@ def stream_load(
             F.coalesce(
                 "load_error", "route_error", "payload_error", payload.rows_error(F.col("target"), F.col("document"))
             ),
-        ).withColumn("arrival", F.col("offset"))
+        )
         kept = [resolved.persist()]
         try:
             out.send(dead_letter.records(bad, topic, dead_letter.dlq_load(), F.col("key")))
@@ -198,18 +250,17 @@ def stream_load(
             done = None
             for target in [t for t in schemas.TARGETS if t in present]:
                 loads = ready.filter(F.col("target") == target)
-                rows = normalize.normalize(payload.rows_for_target(loads, target), target, ("batch_id", "arrival"))
-                kept.append(rows.persist())  # read by the fact table, the side tables and the outcome
+                rows = normalize.normalize(payload.rows_for_target(loads, target), target, ("batch_id", *PLACE))
                 part = _load_target(target, rows, out, now, epoch)
                 done = part if done is None else done.unionByName(part)
             if done is None:
-                done = out.spark.createDataFrame([], "batch_id string, row_count bigint, row_error string")
+                done = out.spark.createDataFrame([], "partition int, offset bigint, row_count bigint, row_error string")
             text = F.coalesce("error", "row_error")
-            outcome = resolved.join(done, "batch_id", "left").withColumns(
+            outcome = resolved.join(done, PLACE, "left").withColumns(
                 {
                     "error_text": text,
                     "error_class": F.when(F.col("payload_retryable"), "retryable").otherwise("permanent"),
-                    "row_count": F.coalesce("row_count", F.lit(0)),
+                    "row_count": F.least(F.coalesce("row_count", F.lit(0)), F.lit(2**31 - 1)),
                 }
             )
             out.send(ledger.result_publish(ledger.load_results(outcome, now), result_topic))
@@ -243,14 +294,13 @@ def stream_generic_sink(
             present = {r["table"] for r in named.select("table").distinct().collect()}  # at most the known tables
             for name in [n for n in known if n.lower() in present]:
                 table = out.table(name)
-                keys = list(schemas.table_keys(name))
                 rows = generic.generic_project(
                     named.filter(F.col("table") == name.lower()), table.schema, ("partition", "offset")
                 )
-                if isinstance(table, FactTable):
-                    table.replace_rows(rows, ["partition", "offset"], now)
+                if table.keys[-1] == "_offset":  # the key is generated: every envelope is a row of its own
+                    table.append_new(rows, PLACE)
                 else:
-                    table.commit(tables.upsert_generic(table.read(), rows, keys, ["partition", "offset"]), epoch)
+                    table.upsert(rows, lambda held, new, t=table: tables.upsert_generic(held, new, t.keys, PLACE))
         finally:
             batch.unpersist()
 
@@ -331,7 +381,7 @@ def stream_probe_flush(
             good = rows.join(bad, ["partition", "offset"], "left_anti")
             known = detect.probe_known_bssid(good, networks())
             clients = out.table("wireless_clients")
-            clients.commit(tables.upsert_wireless_clients(clients.read(), known, ["pos"]), epoch)
+            clients.upsert(known, lambda held, new: tables.upsert_wireless_clients(held, new, ["pos"]), epoch)
         finally:
             batch.unpersist()
 
@@ -341,23 +391,24 @@ def stream_probe_flush(
 def stream_shadow_alerts(
     stream: DataFrame, out: Outputs, checkpoint: str, networks: Callable[[], DataFrame], devices: Callable[[], DataFrame],
     alert_topic: str = "wireless.alert.shadow", window_seconds: int = 60, interval: str | None = None,
+    clock: Callable[[], str] = utc_now,
 ) -> StreamingQuery:
     """Frames (``source_mac, observed_at, ...``) -> shadow alerts.
 
-    The clock is the latest frame time of the micro-batch.  A frame arrives once,
-    so it counts once, whatever the trigger interval.
+    Every frame is judged at its own time, so the micro-batches do not matter.  The alerts of
+    a micro-batch's devices are sent again when it is replayed.
     """
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        now = batch.agg(F.max("observed_at").alias("t")).first()["t"]
-        if now is None:
-            return
-        found = detect.shadow_frames(batch, networks(), devices(), str(now), window_seconds)
-        alerts_table = out.table("wireless_shadow_alerts")
-        merged = tables.upsert_shadow_alerts(alerts_table.read(), found, str(now))
-        merged = merged.withColumns({"reason": F.lit(detect.SHADOW_REASON), "evidence": detect.shadow_evidence(window_seconds)})
-        if alerts_table.commit(typed(merged, alerts_table), epoch):
-            changed = alerts_table.read().filter(F.col("updated_at") == F.lit(str(now)).cast("timestamp_ntz"))
+        now = clock()
+        found = detect.shadow_frames_at(batch, networks(), devices()).persist()
+        try:
+            table = out.table("wireless_shadow_alerts")
+            stamp = {"reason": F.lit(detect.SHADOW_REASON), "evidence": detect.shadow_evidence(window_seconds)}
+            table.upsert(found, lambda held, new: typed(tables.upsert_shadow_alerts(held, new, now).withColumns(stamp), table), epoch)
+            changed = table.read().join(found.select("source_mac").distinct(), "source_mac", "left_semi")
             out.send(changed.select(F.lit(alert_topic).alias("topic"), F.col("source_mac").alias("key"), detect.shadow_alert_json(changed).alias("value")))
+        finally:
+            found.unpersist()
 
     return _start(stream, handle, checkpoint, interval)

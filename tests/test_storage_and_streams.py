@@ -28,13 +28,43 @@ def finish(query):
     assert query.exception() is None
 
 
-def test_snapshot_versions_and_epochs(spark, tmp_path):
-    table = S.SnapshotTable(spark, f"{tmp_path}/t", spark.range(0).schema, slots=2)
-    assert table.read().count() == 0 and table.last_epoch() == -1
-    for epoch in range(5):
-        assert table.commit(table.read().unionByName(spark.range(epoch, epoch + 1)), epoch)
-    assert not table.commit(spark.range(100), 3)
-    assert sorted(r.id for r in table.read().collect()) == [0, 1, 2, 3, 4]
+def files(folder):
+    import os
+
+    return {f"{d}/{x}" for d, _, names in os.walk(folder) for x in names if x.endswith(".parquet")}
+
+
+def test_upserts_rewrite_only_touched_buckets_once_per_epoch(spark, tmp_path):
+    schema = spark.range(0).selectExpr("id AS k", "id AS v").schema
+    table = S.KeyedTable(spark, f"{tmp_path}/t", schema, ["k"], buckets=8)
+    assert table.read().count() == 0
+    add = lambda held, new: held.unionByName(new).groupBy("k").agg(F.sum("v").alias("v"))
+    table.upsert(spark.range(100).selectExpr("id AS k", "1L AS v"), add, 0)
+    before = files(tmp_path)
+    for _ in range(2):  # the second time is a replay
+        table.upsert(spark.createDataFrame([(7, 5)], "k int, v bigint"), add, 1)
+    assert {r.v for r in table.read().filter("k = 7").collect()} == {6} and table.read().count() == 100
+    assert len(before - files(tmp_path)) <= len(before) // 8 + 1 < len(before)
+    table.upsert(spark.createDataFrame([(7, 5), (500, 1)], "k int, v bigint"), add, 2)
+    assert {r.k: r.v for r in table.read().filter("v > 1").collect()} == {7: 11} and table.read().count() == 101
+
+
+def test_keys_are_refused_for_all_time_and_facts_are_not_rewritten(spark, tmp_path):
+    rows = lambda *items: spark.createDataFrame(list(items), "batch_id string, row_sequence int, v string, place int")
+    schema = rows(("b", 0, "x", 0)).drop("place").schema
+    table = S.KeyedTable(spark, f"{tmp_path}/facts", schema, ["batch_id", "row_sequence"])
+    table.append_new(rows(("b1", 0, "a", 0), ("b1", 0, "again", 1), ("b1", 1, "b", 2)), ["place"])
+    before = files(tmp_path)
+    for _ in range(2):
+        table.append_new(rows(("b1", 0, "late", 0), ("b2", 0, "c", 1)), ["place"])
+    assert sorted(r.v for r in table.read().collect()) == ["a", "b", "c"]
+    assert before <= files(tmp_path)
+
+
+def test_only_a_missing_path_is_an_empty_table(spark, tmp_path):
+    (tmp_path / "t").write_text("no table")
+    with pytest.raises(Exception):
+        S.KeyedTable(spark, f"{tmp_path}/t", spark.range(0).schema, ["id"]).read().collect()
 
 
 def test_preflight(spark):
@@ -69,7 +99,7 @@ def test_scan_ingest_restart_and_replay(spark, tmp_path):
     run(P.Outputs(spark, f"{folder}/out"))
     after = out.table("sync_events").read()
     assert after.count() == 8 and after.select("dedupe_key").distinct().count() == 8
-    # a query without its checkpoint replays everything as epoch 0: the table has seen that epoch
+    # a query without its checkpoint replays everything as epoch 0: the buckets have seen that epoch
     finish(P.stream_scan_ingest(read_topic(spark, topic, path=f"{folder}/in"), out, f"{folder}/cp2", clock=CLOCK))
     assert out.table("sync_events").read().count() == 8
 
@@ -166,23 +196,6 @@ def test_networks_come_in_pages(spark):
     assert detect.authorized_networks_json(networks, page_size=2).count() == 3
 
 
-def test_fact_table_appends_once_and_rewrites_only_touched_days(spark, tmp_path):
-    import os
-
-    rows = lambda *items: spark.createDataFrame(list(items), "batch_id string, row_sequence int, v string, place int")
-    schema = rows(("b", 0, "x", 0)).drop("place").schema
-    table = S.FactTable(spark, f"{tmp_path}/facts", schema, ["batch_id", "row_sequence"])
-    table.append_new(rows(("b1", 0, "a", 0), ("b1", 0, "again", 1), ("b1", 1, "b", 2)), ["place"], "2024-01-01")
-    table.append_new(rows(("b1", 0, "late", 0), ("b2", 0, "c", 1)), ["place"], "2024-01-02")
-    assert sorted(r.v for r in table.read().collect()) == ["a", "b", "c"]
-    files = set(os.listdir(f"{tmp_path}/facts/loaded_on=2024-01-01"))
-    change = rows(("b2", 0, "C", 0), ("b3", 0, "d", 1))
-    for _ in range(2):
-        table.replace_rows(change, ["place"], "2024-01-03")
-    assert sorted(r.v for r in table.read().collect()) == ["C", "a", "b", "d"]
-    assert files == set(os.listdir(f"{tmp_path}/facts/loaded_on=2024-01-01"))
-
-
 def test_generic_sink_replaces_fact_rows(spark, tmp_path):
     envelope = lambda host: json.dumps({"table": "Proxy_Events", "origin": "SSL-PROXY", "destination": "w", "data": {
         "BATCH_ID": "b", "ROW_SEQUENCE": 1, "HOST": host, "EVENT_TIME": "2024-01-01T00:00:00Z", "junk": [1]}})
@@ -194,3 +207,87 @@ def test_generic_sink_replaces_fact_rows(spark, tmp_path):
     assert [(r.batch_id, r.row_sequence, r.host) for r in stored] == [("b", 1, "two")]
     errors = [json.loads(r.value)["error"] for r in out.sent("rows.dlq").collect()]
     assert sorted(e.split(" not ")[0] for e in errors) == ["envelope must be a JSON object", "unknown origin 'nobody'"]
+
+
+def load_item(batch, stream, payload):
+    import base64
+
+    ref = "inline://json/" + base64.urlsafe_b64encode(json.dumps(payload).encode()).decode()
+    return json.dumps({"job_id": "j", "batch_id": batch, "stream_name": stream, "payload_ref": ref, "cursor_start": "", "cursor_end": ""})
+
+
+def test_load_stream_refuses_bad_items_alone(spark, tmp_path):
+    at = "2024-01-01T00:00:00Z"
+    event = {"type": "t", "host": "h", "time": at}
+    rogue = {"detected_at": at, "sensor_id": "s", "location_id": "l", "interface": "w", "channel": 1, "bssid": "b"}
+    audit = lambda n: {"host": f"h{n}", "observed_at": at, "correlation_id": f"c{n}", "byte_offset": n}
+    values = [
+        load_item("again", "proxy.events", [event, {**event, "host": "g"}]),
+        load_item("again", "proxy.events", [event, {**event, "host": "g"}]),
+        load_item("shared", "proxy.events", [event]),
+        load_item("shared", "wireless.rogue_ap", [{"detected_at": at}]),
+        load_item("wide", "wireless.rogue_ap", [rogue, {**rogue, "channel": 40000}]),
+        load_item("fits", "wireless.rogue_ap", [rogue]),
+        load_item("parent", "proxy.events", [{**event, "parent_event_id": "abc"}]),
+        load_item("sum", "proxy.events", [{**event, "blocked": 1, "bytes_up": 2**63 - 1, "bytes_down": 1}]),
+        load_item("a1", "proxy.payload_audit", [audit(1), audit(2)]),
+        load_item("a2", "proxy.payload_audit", [audit(3), audit(2)]),  # refused: a1 has 2
+        load_item("a3", "proxy.payload_audit", [audit(3)]),  # free again
+        load_item("a4", "proxy.payload_audit", [audit(4), audit(4)]),
+        load_item("a1", "proxy.payload_audit", [audit(1), audit(2)]),
+    ]
+    send(spark, str(tmp_path), "sync.load", values)
+    out = P.Outputs(spark, f"{tmp_path}/out")
+    run = lambda: finish(P.stream_load(read_topic(spark, "sync.load", path=f"{tmp_path}/in"), out, f"{tmp_path}/cp", clock=CLOCK))
+    run()
+    results = lambda: sorted((r["batch_id"], r["status"], r["row_count"]) for r in (json.loads(x.value) for x in out.sent("sync.result").collect()))
+    first = sorted([
+        ("again", "success", 2), ("again", "success", 2), ("shared", "success", 1), ("shared", "failed", 0), ("wide", "failed", 0),
+        ("fits", "success", 1), ("parent", "failed", 0), ("sum", "failed", 0), ("a1", "success", 2), ("a2", "failed", 0),
+        ("a3", "success", 1), ("a4", "failed", 0), ("a1", "success", 2),
+    ])
+    assert results() == first
+    stored = lambda: sorted(r.correlation_id for r in out.table("proxy_payload_audit").read().collect())
+    assert stored() == ["c1", "c2", "c3"] and out.table("proxy_events").read().count() == 3
+    assert [r.batch_id for r in out.table("wireless_alerts").read().collect()] == ["fits"]
+    # stored keys count in later micro-batches too: the same batch again is fine, another one is not
+    send(spark, str(tmp_path), "sync.load", [values[8], load_item("a5", "proxy.payload_audit", [audit(1)])], start=100)
+    run()
+    assert results() == sorted([*first, ("a1", "success", 2), ("a5", "failed", 0)]) and stored() == ["c1", "c2", "c3"]
+
+
+@pytest.mark.parametrize("batches", [1, 2, 7])
+def test_shadow_alerts_do_not_depend_on_micro_batches(spark, tmp_path, batches):
+    shape = "source_mac string, observed_at timestamp_ntz, destination_bssid string, ssid string, sensor_id string, location_id string, signal_dbm bigint"
+    rows = [("02:00:00:00:00:0%d" % (i % 2), f"2024-01-01 00:{i:02d}:00", "b", "n", f"s{i}", "l", -40) for i in range(14)]
+    devices = spark.createDataFrame([("02:00:00:00:00:00", "2024-01-01 00:03:00")], "mac_id string, last_seen string").selectExpr("mac_id", "CAST(last_seen AS TIMESTAMP_NTZ) AS last_seen")
+    networks = spark.createDataFrame([], "ssid string, bssid string, location_id string, enabled boolean")
+    frames = spark.createDataFrame(rows, shape.replace("timestamp_ntz", "string")).withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+    per = -(-14 // batches)
+    out = P.Outputs(spark, f"{tmp_path}/out")
+    for n in range(batches):
+        low, high = f"2024-01-01 00:{n * per:02d}:00", f"2024-01-01 00:{min(14, (n + 1) * per) - 1:02d}:00"
+        frames.filter(F.col("observed_at").between(low, high)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(frames.schema).parquet(f"{tmp_path}/in")
+        finish(P.stream_shadow_alerts(stream, out, f"{tmp_path}/cp", lambda: networks, lambda: devices, clock=CLOCK))
+    found = {r.source_mac[-1]: (r.occurrence_count, str(r.first_occurred_at)[-8:], str(r.last_occurred_at)[-8:], r.sensor_id) for r in out.table("wireless_shadow_alerts").read().collect()}
+    # device 0 was there until five minutes after 00:03
+    assert found == {"0": (2, "00:10:00", "00:12:00", "s12"), "1": (7, "00:01:00", "00:13:00", "s13")}
+    sent = [json.loads(r.value) for r in out.sent("wireless.alert.shadow").collect()]
+    assert sent and all(m["evidence"]["presence_window_seconds"] == 300 for m in sent)
+
+
+def test_generic_sink_appends_rows_of_generated_keys(spark, tmp_path):
+    envelope = lambda table, **data: json.dumps({"table": table, "origin": "SSL-PROXY", "destination": "w", "data": data})
+    values = [
+        envelope("wireless_authorized_networks", ssid="n", id=4), envelope("wireless_authorized_networks", ssid="n", id=4),
+        envelope("sync_errors", error_class="c", error_text="t"), envelope("wireless_alerts_ledger", alert_type="a", batch_id="b", row_sequence=1),
+        envelope("devices", mac_id="m", hostname="one"), envelope("devices", mac_id="m", hostname="two"),
+    ]
+    send(spark, str(tmp_path), "rows", values)
+    out = P.Outputs(spark, f"{tmp_path}/out")
+    for checkpoint in ("cp", "cp2"):  # the second run is a replay of all messages
+        finish(P.stream_generic_sink(read_topic(spark, "rows", path=f"{tmp_path}/in"), out, f"{tmp_path}/{checkpoint}", topic="rows", clock=CLOCK))
+    count = lambda name: out.table(name).read().count()
+    assert (count("wireless_authorized_networks"), count("sync_errors"), count("wireless_alerts_ledger")) == (2, 1, 1)
+    assert [r.hostname for r in out.table("devices").read().collect()] == ["two"]
