@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -190,18 +190,22 @@ for _target, _json in ROWS.items():
     )
 
 
-def work_items(t, target: str) -> DataFrame:
-    """One work item per batch, with its payload encoded in the reference."""
-    rows = getattr(t, "rows_" + target.replace(".", "_"))
+def target_payload(target: str, batch: Column) -> Column:
+    """Aggregate of rows ``(event_id, row_json)``: the payload text that carries them to ``target``."""
     listed = F.array_sort(F.collect_list(F.struct("event_id", "row_json")))
-    joined = F.array_join(F.transform(listed, lambda r: r["row_json"]), ",")
-    array = F.concat(F.lit("["), joined, F.lit("]"))
+    array = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda r: r["row_json"]), ","), F.lit("]"))
     if target == "wireless.probe.flush":
-        array = F.concat(F.lit('{"probes":'), array, F.lit("}"))
+        return F.concat(F.lit('{"probes":'), array, F.lit("}"))
     if target == "wireless.client.inventory":
-        head = F.concat(F.lit('{"sensor_id":"sensor-of-'), F.col("batch_id"), F.lit('","location_id":"hall","observed_at":"2024-02-01T00:00:00+01:00","clients":'))
-        array = F.concat(head, array, F.lit("}"))
-    items = rows.groupBy("batch_id").agg(array.alias("_payload"))
+        head = F.concat(F.lit('{"sensor_id":"sensor-of-'), batch, F.lit('","location_id":"hall","observed_at":"2024-02-01T00:00:00+01:00","clients":'))
+        return F.concat(head, array, F.lit("}"))
+    return array
+
+
+def work_items(t, target: str) -> DataFrame:
+    """One work item per batch, with its payload encoded in the reference."""
+    rows = getattr(t, "rows_" + target.replace(".", "_"))
+    items = rows.groupBy("batch_id").agg(target_payload(target, F.col("batch_id")).alias("_payload"))
     return items.select("batch_id", F.lit(target).alias("stream_name"), inline_reference(F.col("_payload")).alias("payload_ref"))
 
 
