@@ -100,15 +100,21 @@ def process_ingest_ledger(
     return apply_claim(expired, claim_topk(expired, streams, max_attempts, backoff_seconds, limit, as_of))
 
 
-def form_batches(events: DataFrame, max_rows: int, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
+def form_batches(events: DataFrame, max_rows: int, as_of, first_no: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Group claimed events of each stream, oldest first, into batches of at most ``max_rows``.
 
-    Returns jobs, batches and the events with their batch.  A batch's payload is
-    the array of its events' payloads; it is bounded by ``max_rows``.
+    Returns jobs, batches and the events with their batch.  A batch's payload, inline in its
+    reference, is the array of its events' payloads; it is bounded by ``max_rows``.  A batch
+    with an event without a stored payload has no reference.  ``first_no`` (``stream_name,
+    first_no``) continues the numbers of streams that formed batches at ``as_of`` before.
     """
     open_events = events.filter(F.col("status") == "processing")
     placed = numbered(open_events, ["stream_name"], ["observed_at", "dedupe_key"], "_n")
-    placed = placed.withColumn("batch_no", F.floor((F.col("_n") - 1) / max_rows).cast("int"))
+    number = F.floor((F.col("_n") - 1) / max_rows).cast("int")
+    if first_no is not None:
+        placed = placed.join(first_no, "stream_name", "left")
+        number = number + F.coalesce("first_no", F.lit(0))
+    placed = placed.withColumn("batch_no", number)
     now = as_utc(as_of)
     job_id = md5_batch_id(F.concat_ws(":", F.lit("job"), "stream_name", clock_text(now)))
     batch_id = md5_batch_id(F.concat_ws(":", F.lit("batch"), "stream_name", F.col("batch_no").cast("string"), clock_text(now)))
@@ -118,7 +124,10 @@ def form_batches(events: DataFrame, max_rows: int, as_of) -> tuple[DataFrame, Da
         F.min("observed_at").alias("cursor_start"),
         F.max("observed_at").alias("cursor_end"),
         F.when(F.count("*") == 1, F.max("dedupe_key")).alias("dedupe_key"),
+        F.sort_array(F.collect_list(F.struct("_n", "payload"))).alias("_payloads"),
     )
+    whole = ~F.exists("_payloads", lambda p: F.coalesce(p["payload"], F.lit("")) == "")
+    text = F.concat(F.lit("["), F.array_join(F.transform("_payloads", lambda p: p["payload"]), ","), F.lit("]"))
     batches = batches.select(
         "batch_id",
         "job_id",
@@ -128,6 +137,7 @@ def form_batches(events: DataFrame, max_rows: int, as_of) -> tuple[DataFrame, Da
         clock_text(F.col("cursor_start")).alias("cursor_start"),
         clock_text(F.col("cursor_end")).alias("cursor_end"),
         "dedupe_key",
+        F.when(whole, inline_reference(text)).alias("payload_ref"),
         F.lit("pending").alias("status"),
         F.lit(0).alias("attempt_count"),
         now.alias("created_at"),
@@ -363,6 +373,30 @@ def apply_batch_results(batches: DataFrame, results: DataFrame, as_of) -> DataFr
     )
 
 
+def jobs_after_results(jobs: DataFrame, batches: DataFrame, as_of) -> DataFrame:
+    """Jobs whose batches have all ended, as they are then: failed if one of these failed, else completed."""
+    ended = F.col("status").isin("completed", "failed")
+    outcome = batches.groupBy("job_id").agg(F.min(ended).alias("_ended"), F.max(F.col("status") == "failed").alias("_failed"))
+    done = outcome.filter("_ended").join(jobs.filter(~ended), "job_id")
+    return done.withColumns(
+        {"status": F.when(F.col("_failed"), "failed").otherwise("completed"), "finished_at": as_utc(as_of)}
+    ).select(*jobs.columns)
+
+
+def events_after_results(events: DataFrame, members: DataFrame, batches: DataFrame, as_of) -> DataFrame:
+    """Batched events whose batch ended, as they are then; ``members`` links events and batches."""
+    ended = batches.filter(F.col("status").isin("completed", "failed")).select(
+        "batch_id", F.col("status").alias("_to"), F.col("last_error").alias("_why")
+    )
+    moved = members.join(ended, "batch_id").select(*EVENT_KEY, "_to", "_why")
+    return (
+        events.filter(F.col("status") == "batched")
+        .join(moved, EVENT_KEY)
+        .withColumns({"status": F.col("_to"), "last_error": F.col("_why"), "updated_at": as_utc(as_of)})
+        .select(*events.columns)
+    )
+
+
 def results_from_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     """Result messages parsed back into columns."""
     v = J.parse_json(F.col(value))
