@@ -58,12 +58,18 @@ def last_non_null_per_key(df: DataFrame, keys: list[str], order: list[str], colu
 def consecutive_counts(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Per key the fold ``s = coalesce(new, s + 1)`` over its rows in order.
 
-    With rows numbered per key this is the last stated value plus the number of
-    rows after it; a key that never states a value stays NULL.
+    This is the last stated value plus the number of rows after it; a key that never
+    states a value stays NULL.  Both are partial aggregates; the table of last places has
+    one row per key and is stored, so that the join between them can split a hot key.
     """
-    rows = numbered(df.select(*keys, *order, value), keys, order, "_n")
-    stated = F.when(F.col(value).isNotNull(), F.col("_n"))
-    return rows.groupBy(*keys).agg((F.max_by(value, stated) + F.max("_n") - F.max(stated)).alias(name))
+    seq = F.struct(*order)
+    place = F.when(F.col(value).isNotNull(), seq)
+    last = durable(df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max_by(value, place).alias("_value"), F.max(place).alias("_last")))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    rows = df.select(*keys, *order).join(last, same)
+    return rows.groupBy(*keys).agg((F.first("_value") + F.count(F.when(seq > F.col("_last"), 1))).alias(name))
 
 
 def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -43,6 +43,16 @@ def append_payload_audit(target: DataFrame, batch: DataFrame, order: list[str],
     return M.append_unique(target, batch, FACT_KEYS["proxy_payload_audit"], order, on_duplicate)
 
 
+def payload_audit_duplicates(target: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
+    """The batch with ``duplicate``: the key is stored already, or an earlier row of the batch has it."""
+    keys = FACT_KEYS["proxy_payload_audit"]
+    held = M.held_keys(target, batch, keys).withColumn("_held", F.lit(True))
+    first = batch.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    marked = batch.join(first, keys).join(held, keys, "left")
+    taken = F.coalesce(F.col("_held"), F.lit(False)) | (F.struct(*order) != F.col("_first"))
+    return marked.select(*batch.columns, taken.alias("duplicate"))
+
+
 def sensor_first_in_batch(frames: DataFrame, order: list[str]) -> DataFrame:
     """Per batch and sensor its earliest frame; of equally early ones the last in the batch."""
     place = F.struct(F.col("observed_at"), -F.col("row_sequence"))

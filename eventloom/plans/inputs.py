@@ -360,13 +360,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a scan that has fewer splits than cores; larger tables are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-# Views that carry JSON text, where the work per row is worth spreading a one-split file.
+# Views that carry JSON text; a benchmark may spread their one-split files over its cores.
+PREPARE = [lambda df: df]
 MESSAGE_VIEWS = ("ledger", "envelopes", "work_items", "audits", "requests")
 
 
@@ -374,7 +369,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns, condition = VIEWS[name]
     df = table(spark, sf_dir, source)
     if name in MESSAGE_VIEWS or name.startswith("rows_"):
-        df = spread(df)
+        df = PREPARE[0](df)
     if condition:
         df = df.filter(_dialect(condition, True))
     return df.selectExpr(*[f"{_dialect(e, True)} AS `{c}`" for c, e in columns.items()])

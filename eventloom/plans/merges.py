@@ -73,6 +73,21 @@ def _(t):
 SELECT 'c' || l_partkey AS correlation_id, 'h' || l_linenumber AS host, l_returnflag AS direction, date_trunc('year', l_shipdate) AS captured_at,
   l_suppkey % 3 AS byte_offset, min(l_extendedprice) AS price FROM lineitem GROUP BY ALL""")
 def _(t):
+    rows, stored = audit_rows(t)
+    return T.append_payload_audit(stored, rows, ["price"], on_duplicate="ignore")
+
+
+@query("payload_audit_duplicates", """
+SELECT *, direction = 'A' OR row_number() OVER (PARTITION BY correlation_id, host, direction, captured_at, byte_offset ORDER BY price, place) > 1 AS duplicate
+FROM (SELECT 'c' || l_partkey AS correlation_id, 'h' || l_linenumber AS host, l_returnflag AS direction, date_trunc('year', l_shipdate) AS captured_at,
+  l_suppkey % 3 AS byte_offset, l_extendedprice AS price, l_orderkey AS place FROM lineitem)""")
+def _(t):
+    rows, stored = audit_rows(t, F.col("l_orderkey").alias("place"))
+    return T.payload_audit_duplicates(stored, rows, ["price", "place"])
+
+
+def audit_rows(t, *more):
+    """Payload-audit rows, and a table that holds the keys of one direction."""
     rows = t.lineitem.select(
         F.concat(F.lit("c"), "l_partkey").alias("correlation_id"),
         F.concat(F.lit("h"), "l_linenumber").alias("host"),
@@ -80,10 +95,10 @@ def _(t):
         F.date_trunc("year", "l_shipdate").cast("timestamp_ntz").alias("captured_at"),
         (F.col("l_suppkey") % 3).alias("byte_offset"),
         F.col("l_extendedprice").alias("price"),
+        *more,
     )
     keys = ["correlation_id", "host", "direction", "captured_at", "byte_offset"]
-    stored = M.first_per_key(rows.filter(F.col("direction") == "A"), keys, ["price"])
-    return T.append_payload_audit(stored, rows, ["price"], on_duplicate="ignore")
+    return rows, M.first_per_key(rows.filter(F.col("direction") == "A"), keys, ["price"])
 
 
 @query("upsert_sensors", f"""

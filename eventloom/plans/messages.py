@@ -11,7 +11,7 @@ from ..operators import dead_letter as D
 from ..operators import filters, generic
 from ..operators import tables as T
 from ..sources import messages, payload
-from .inputs import AS_OF, spread
+from .inputs import AS_OF
 from .normalizers import work_items
 from .registry import CTES, query
 
@@ -178,7 +178,7 @@ def _(t):
 SELECT doc_id, '{"original":' || to_json(text)::varchar || ',"error":"message is not JSON"}' AS value FROM documents""")
 def _(t):
     """Whole documents are not messages: each one becomes a dead letter with its full text."""
-    texts = spread(t.documents.select("doc_id", "text"))
+    texts = t.documents.select("doc_id", "text")
     _, bad = D.dlq_split(messages.audit_parse(texts, "text"))
     return bad.select("doc_id", D.dlq_audit("text").alias("value"))
 

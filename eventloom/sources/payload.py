@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import json_fields as J
 from ..functions.hashing import INLINE_PREFIX, base64url_decode
 
 OUTBOX_PREFIX = "outbox://"
+MAX_FOLDERS = 1000  # of an outbox that are named one by one
 
+# fixed values: texts that consumers of the error messages know
 EMPTY_PAYLOAD = "payload_ref resolved an empty JSON payload"
 NOT_JSON_PAYLOAD = "payload_ref resolved non-JSON payload"
 BAD_BASE64 = "payload_ref is not valid base64"
@@ -78,20 +83,35 @@ def outbox_error(ref: Column) -> Column:
     )
 
 
+def _outbox_files(spark: SparkSession, base: str, folders: list[str]) -> DataFrame:
+    """``_text, _uri`` of the files below the named folders of ``base``; below all of it if these are too many."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    # characters that a path pattern would read as its own stand for any character: the join decides
+    plain = [re.sub(r"[\\{},*?\[\]^]", "?", f) for f in folders]
+    path = base if len(folders) > MAX_FOLDERS else f"{base.rstrip('/')}/{{{','.join(plain)}}}"
+    try:
+        if folders:
+            return reader.text(path, wholetext=True).select(F.col("value").alias("_text"), F.col("_metadata.file_path").alias("_uri"))
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.createDataFrame([], "_text string, _uri string")
+
+
 def payload_outbox(df: DataFrame, base: str, ref: str = "payload_ref") -> DataFrame:
     """Join ``outbox://<relative>`` references with the files under ``base``.
 
     Files are read by Spark as whole texts and matched by their path below
-    ``base``; nothing outside ``base`` can match.  A reference whose file is
-    missing is retryable.  Only the listed files that a reference names survive
-    the join, so the texts are read once by the executors.
+    ``base``; no path outside ``base`` can match, but a symbolic link inside it is
+    followed.  A reference whose file is missing is retryable.  Only the folders
+    directly below ``base`` that a reference names are listed and read, as long as
+    they are at most ``MAX_FOLDERS``: lay an outbox out by day or batch.
     """
     spark = df.sparkSession
-    files = (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(base, wholetext=True)
-        .select(F.col("value").alias("_text"), F.col("_metadata.file_path").alias("_uri"))
-    )
+    allowed = df.filter(F.col(ref).isNotNull() & outbox_error(F.col(ref)).isNull())
+    named = allowed.select(F.split(outbox_path(F.col(ref)), "/")[0].alias("f")).distinct().limit(MAX_FOLDERS + 1)
+    folders = [r["f"] for r in named.collect()]
+    files = _outbox_files(spark, base, folders)
     root = base.split(":", 1)[-1].rstrip("/")
     below = F.substring_index(F.url_decode(F.replace(F.col("_uri"), F.lit("+"), F.lit("%2B"))), f"{root}/", -1)
     files = files.select("_text", below.alias("_path"))

@@ -14,6 +14,7 @@ from ..operators.merge import first_per_key, held_keys
 from ..session import durable
 
 _BUCKET, _EPOCH, _SOURCE = "bucket", "_epoch", "_source"
+_EMPTY = "(no rows)"  # stands in for a bucket that has lost all of its rows
 
 
 class KeyedTable:
@@ -44,6 +45,7 @@ class KeyedTable:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
             df = self.spark.createDataFrame([], self._stored_schema)
+        df = df.filter(F.coalesce(F.col(_SOURCE) != _EMPTY, F.lit(True)))
         return df if buckets is None else df.filter(F.col(_BUCKET).isin(buckets))
 
     def read(self) -> DataFrame:
@@ -103,7 +105,14 @@ class KeyedTable:
         stamped = merged.join(before, _BUCKET, "left").withColumns(
             {_EPOCH: F.greatest("_before", F.lit(-1 if epoch is None else epoch)).cast("bigint"), _SOURCE: F.lit(None).cast("string")}
         )
-        self._write(durable(stamped.select(*self._stored_schema.fieldNames())), "overwrite")
+        rows = durable(stamped.select(*self._stored_schema.fieldNames()))
+        emptied = sorted(set(touched) - set(self._buckets(rows)))
+        if emptied:
+            none = self.spark.createDataFrame([(b,) for b in emptied], f"{_BUCKET} int")
+            nulls = {f.name: F.lit(None).cast(f.dataType) for f in self._rows.fields}
+            marks = {_EPOCH: F.lit(-1 if epoch is None else epoch).cast("bigint"), _SOURCE: F.lit(_EMPTY)}
+            rows = rows.unionByName(none.withColumns(nulls | marks))
+        self._write(rows, "overwrite")
 
 
 def write_fact(df: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
+from ..operators import retention
 from ..session import durable
 from ..sources.tables import KeyedTable
 from .pipelines import Outputs, typed
@@ -88,3 +89,20 @@ def apply_results(out: Outputs, results: DataFrame, as_of: str) -> None:
     stored = batches.read().join(of_jobs, "job_id", "left_semi")
     _replace(jobs, L.jobs_after_results(jobs.read().join(of_jobs, "job_id", "left_semi"), stored, as_of))
     _replace(events, L.events_after_results(events.read(), members_table(out).read(), changed, as_of))
+
+
+def retention_step(out: Outputs, as_of: str, archive: str, keep_days: int = 30, hot_days: int = 7) -> None:
+    """Prune the ledger behind tombstones, and move payloads beyond the hot period to dated archive files.
+
+    Tombstones and archive files are written before the ledger loses anything.  A step that broke off
+    between the two archives payloads again: readers take one row per key.
+    """
+    events = out.table("sync_events")
+    dropped = durable(retention.retention_prune(events.read(), as_of, keep_days))
+    out.table("sync_event_tombstones").append_new(retention.tombstones_for(dropped, as_of), ["expires_at"])
+    cold, _ = retention.payload_archive(events.read(), as_of, hot_days)
+    cold = durable(cold)
+    retention.write_archive(cold, archive)
+    events.upsert(dropped, retention.prune)
+    left = events.read().join(cold.select(*L.EVENT_KEY), L.EVENT_KEY, "left_semi")
+    _replace(events, left.withColumn("payload", F.lit(None).cast("string")))

@@ -192,7 +192,7 @@ def _load_target(target: str, rows: DataFrame, out: Outputs, now: str, epoch: in
     counts = checked.groupBy(*PLACE).agg(F.count("*").alias("row_count"))
     if is_alert:
         batch = alerts.ALERT_BUILDERS[target](good, now)
-        table.upsert(batch, lambda held, new: typed(tables.upsert_alerts(held, new, ["batch_id", "row_sequence"]), table))
+        _upsert_alerts(out, batch, tables.upsert_alerts, now)
     elif inventory:
         table.upsert(_typed_with(good, table, order), lambda held, new: typed(tables.upsert_client_inventory(held, new, order), table))
     else:
@@ -210,12 +210,25 @@ def _load_target(target: str, rows: DataFrame, out: Outputs, now: str, epoch: in
                 good, lambda held, new: typed(tables.upsert_sensors(held, new, order).withColumn("created_at", first_stored), sensors)
             )
         if target == "audit.wireless.bandwidth":
-            side = out.table("wireless_alerts")
-            batch = alerts.bandwidth_alerts(good, now)
-            side.upsert(batch, lambda held, new: typed(tables.upsert_bandwidth_alerts(held, new, ["batch_id", "row_sequence"]), side))
+            _upsert_alerts(out, alerts.bandwidth_alerts(good, now), tables.upsert_bandwidth_alerts, now)
     return counts.join(failed, PLACE, "left").select(*PLACE, "row_count", "row_error")
 
 
+def _upsert_alerts(out: Outputs, batch: DataFrame, upsert: Callable, now: str) -> None:
+    """Merge alerts and append what changed to the alerts ledger, first the ledger."""
+    table, log = out.table("wireless_alerts"), out.table("wireless_alerts_ledger")
+
+    def apply(held: DataFrame, new: DataFrame) -> DataFrame:
+        merged = typed(upsert(held, new, ["batch_id", "row_sequence"]), table)
+        entries = tables.alerts_ledger(held, merged, now)
+        # the table's key is generated: name an entry by what it says
+        said = F.xxhash64("alert_type", "batch_id", "row_sequence", "ledger_action", "captured_at")
+        log.append_new(entries.withColumns({"partition": F.lit(-1), "offset": said}), ["offset"])
+        return merged
+
+    table.upsert(batch, apply)
+
+
 def _typed_with(df: DataFrame, table: KeyedTable, extra: list[str]) -> DataFrame:
     have = set(df.columns)
     columns = [

@@ -291,3 +291,28 @@ def test_generic_sink_appends_rows_of_generated_keys(spark, tmp_path):
     count = lambda name: out.table(name).read().count()
     assert (count("wireless_authorized_networks"), count("sync_errors"), count("wireless_alerts_ledger")) == (2, 1, 1)
     assert [r.hostname for r in out.table("devices").read().collect()] == ["two"]
+
+
+def test_a_bucket_can_lose_all_of_its_rows(spark, tmp_path):
+    table = S.KeyedTable(spark, f"{tmp_path}/t", spark.range(0).selectExpr("id AS k", "id AS v").schema, ["k"], buckets=4)
+    table.append_new(spark.range(8).selectExpr("id AS k", "id AS v"), ["v"])
+    everything = spark.range(8).selectExpr("id AS k")
+    table.upsert(everything, lambda held, new: held.join(new, "k", "left_anti"), 0)
+    assert table.read().count() == 0 and table.held(everything).count() == 0
+    table.append_new(spark.range(3).selectExpr("id AS k", "id AS v"), ["v"])
+    assert table.read().count() == 3
+
+
+def test_outbox_scan_is_limited_to_the_named_folders(spark, tmp_path):
+    from eventloom.sources import payload
+
+    for day in ("d1", "d2", "d,3"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "a.json").write_text('{"day":"%s"}' % day)
+    refs = spark.createDataFrame([("outbox://d1/a.json",), ("outbox://d,3/a.json",), ("outbox://none/a.json",)], "payload_ref string")
+    found = payload.payload_outbox(refs, str(tmp_path))
+    files = [f for f in found.inputFiles()]
+    assert len(files) == 2 and not any("/d2/" in f for f in files)
+    assert sorted(str(r.payload) for r in found.collect()) == ["None", '{"day":"d,3"}', '{"day":"d1"}']
+    gone = payload.payload_outbox(refs.filter("payload_ref LIKE '%none%'"), str(tmp_path)).collect()
+    assert [r.payload_retryable for r in gone] == [True]
