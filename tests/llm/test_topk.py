@@ -34,7 +34,7 @@ def test_equals_brute_force_with_ties_nulls_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(topk, "GROUP_QUERIES", 16)
     rng = np.random.default_rng(1)
     rows = [(i, (rng.integers(-4, 5, 6) / 8).astype("f4").tolist()) for i in range(150)]  # many equal scores
-    rows += [(7, rows[7][1]), (8, [0.5] * 6), (None, [1.0] * 6), (900, None), (902, [1.0, None, 1, 1, 1, 1]), (904, [float("nan")] * 6)]
+    rows += [(7, rows[7][1]), (8, [0.5] * 6), (None, [1.0] * 6), (900, None), (902, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (904, [float("nan")] * 6)]
     rows += [(906, [float("inf")] * 6), (908, [0.25, 0.5]), (910, []), (912, [-900.0] * 6), (914, [0.0] * 6)]
     assert run(spark, rows) == brute(rows, 5)
 
