@@ -199,11 +199,14 @@ def test_form_batches_bounds_and_covers(spark):
     rows = [(f"k{i:04d}", "hot" if i % 3 else f"s{i % 5}", NOW, "processing") for i in range(400)]
     events = spark.createDataFrame(rows, "dedupe_key string, stream_name string, observed_at string, status string")
     events = events.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))  # all at the same time
+    events = events.withColumn("payload", F.when(F.col("dedupe_key") != "k0000", F.concat(F.lit("{\"k\":\""), "dedupe_key", F.lit("\"}"))))
     jobs, batches, members = L.form_batches(events, 16, LATER)
     sizes = [r.row_count for r in batches.collect()]
     assert sum(sizes) == 400 and max(sizes) == 16 and members.count() == 400
     assert jobs.count() == events.select("stream_name").distinct().count()
     assert members.select("dedupe_key").distinct().count() == 400
+    # one batch has an event without a payload; the others carry all of theirs
+    assert [r.batch_id for r in batches.filter("payload_ref IS NULL").collect()] == [members.filter("dedupe_key = 'k0000'").first().batch_id]
 
 
 def test_retention_cycle(spark):
