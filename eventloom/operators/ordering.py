@@ -73,13 +73,26 @@ def consecutive_counts(df: DataFrame, keys: list[str], order: list[str], value:
 
 
 def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Add ``value`` of the row before in the same key, by an equi-join on the row number."""
-    rows = numbered(df, keys, order, "_n")
-    before = rows.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_n") + 1).alias("_m"), F.col(value).alias(name))
-    same = F.col("_n") == F.col("_m")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(before, same, "left").select(*df.columns, name)
+    """Add ``value`` of the row before in the same key.
+
+    The rows are sorted over all partitions once, as in ``numbered``, so that a hot key spans
+    many of them.  Within a partition the row before is the one in place before; the first
+    row's is the last one of an earlier partition, from a table with one row per partition.
+    """
+    sort = [*keys, *order]
+    placed = durable(df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_id", _LOCAL_BITS))
+    said = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(value).alias("v"))
+    lasts = placed.groupBy("_part").agg(F.max_by(said, "_id").alias("_last"))
+    # a few bytes for each partition of the sort
+    edges = lasts.select(F.lead("_part").over(W.orderBy("_part")).alias("_next"), F.col("_last").alias("_edge")).filter("_next IS NOT NULL")
+    local = placed.withColumn("_before", F.lag(said).over(W.partitionBy("_part").orderBy("_id")))
+    joined = local.join(edges, F.col("_part") == F.col("_next"), "left")
+    before = F.coalesce("_before", "_edge")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & before[f"k{i}"].eqNullSafe(F.col(k))
+    return joined.select(*df.columns, F.when(before.isNotNull() & same, before["v"]).alias(name))
 
 
 def hysteresis(active_on: Column, active_off: Column, order_window) -> Column:
