@@ -8,6 +8,11 @@ Defined results: null and empty texts have fingerprint zero and link like any ot
 fewer than three words hash as one shingle; repeated rows share a fingerprint; a component
 whose ids are all null has a null id; an empty table gives no rows; other columns are not
 looked at.
+
+``keep_first``, the stage of the pipeline, links texts whose sets of 5-word shingles have a
+Jaccard similarity of 0.8 or more, which lie about 10 bits apart and out of reach of a ball. It
+finds pairs by bands of least hashes and verifies each on the whole sets. Texts of equal words
+are one node, null and empty texts too; texts of fewer words than a shingle are one shingle.
 """
 
 from __future__ import annotations
@@ -27,14 +32,18 @@ SHINGLE = 3
 BITS = 64
 RADIUS = 2
 
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
+BANDS, BAND_ROWS = 20, 5  # a pair of similarity s shares a band with chance 1 - (1 - s^5)^20
+
 
-def shingle_hashes(text: Column) -> Column:
+def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
     """XXH64 (seed 42) of every word shingle, repeats included."""
 
     def hashes(w: Column) -> Column:
-        shingle = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + k) for k in range(SHINGLE)]))
+        shingle = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + k) for k in range(width)]))
         return (
-            F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), shingle))
+            F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), shingle))
             .when(F.size(w) > 0, F.array(F.xxhash64(F.concat_ws(" ", w))))
             .otherwise(F.array().cast("array<bigint>"))
         )
@@ -96,22 +105,116 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: a row of its smallest id.
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(10)
+    odd, added = rng.integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+    return 2 * odd + np.uint64(1), added
+
+
+BAND_TYPE = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(BAND_TYPE)
+def band_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Number of different hashes of a row, and a hash of the least ones in every band."""
+    odd, added = _mixers()
+    for batch in batches:
+        n, bands = np.zeros(len(batch), dtype=np.int32), []
+        for i, hashes in enumerate(batch):
+            x = np.unique(np.asarray(hashes, dtype="<i8")).view("<u8")
+            n[i] = len(x)
+            least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+            for start in range(0, len(x), 2048):
+                np.minimum(least, (x[None, start : start + 2048] * odd + added).min(axis=1), out=least)
+            mixed = np.zeros(BANDS, dtype=np.uint64)
+            for row in least.reshape(BAND_ROWS, BANDS):
+                mixed = (mixed ^ row) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            bands.append(mixed.view("<i8"))
+        yield pd.DataFrame({"n": n, "bands": bands})
+
+
+def text_key(text: Column) -> Column:
+    """Equal for texts of the same words."""
+    return F.xxhash64(F.concat_ws(" ", words(ascii_lower(text))))
+
+
+def candidates(prints: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b, leads)`` of keys that share a band and whose sizes allow the similarity.
+
+    Each key meets the smallest key of its bucket (``leads``), and the one before it in the order
+    of the next band, so that pairs grow with the rows whatever the size of a bucket.
+    """
+    nodes = prints.filter("n > 0").select("key", "n", "bands").dropDuplicates(["key"])
+    slot = lambda v, i: F.struct(i.alias("band"), v.alias("bucket"), F.get("bands", (i + 1) % BANDS).alias("next"))
+    rows = nodes.select("key", "n", F.explode(F.transform("bands", slot)).alias("slot")).select("key", "n", "slot.*")
+    met = rows.select(
+        "key",
+        "n",
+        F.expr("min(struct(key, n)) OVER (PARTITION BY band, bucket)").alias("leader"),
+        F.expr("lag(struct(key, n)) OVER (PARTITION BY band, bucket ORDER BY next, key)").alias("before"),
+    )
+    both = F.array(
+        F.struct(F.col("leader").alias("other"), F.lit(True).alias("leads")),
+        F.struct(F.col("before").alias("other"), F.lit(False).alias("leads")),
+    )
+    pairs = met.select("key", "n", F.explode(both).alias("x")).select("key", "n", "x.other", "x.leads")
+    fits = (F.col("key") != F.col("other.key")) & (
+        100 * F.least("n", "other.n").cast("long") >= percent * F.greatest("n", "other.n").cast("long")
+    )
+    ends = F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")
+    return pairs.filter(fits).groupBy(*ends).agg(F.max("leads").alias("leads"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets of shingles have a Jaccard similarity of ``percent`` or more."""
+    a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"))
+    b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
+    met = pairs.select("a", "b").join(a, "a").join(b, "b")
+    shared = F.size(F.array_intersect("of_a", "of_b")).cast("long")
+    return met.filter((100 + percent) * shared >= percent * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+
+
+def similar_roots(docs: DataFrame, prints: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``(node, root)`` of the keys in ``prints`` that have a similar one.
+
+    Pairs with a leader come first; of the others only those that these did not join are verified.
+    """
+    pairs = staged(candidates(prints, percent), "near-pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(nodes, "key", "left_semi")
+    once = texts.groupBy("key").agg(F.first("text").alias("text"))
+    sets = staged(once.select("key", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("shingles")), "near-sets")
+    first = staged(verified(pairs.filter("leads"), sets, percent), "near-links")
+    roots = staged(components(first), "near-roots")
+    root_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    root_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    placed = pairs.filter("NOT leads").join(root_a, "a", "left").join(root_b, "b", "left")
+    apart = placed.filter("coalesce(root_a, a) <> coalesce(root_b, b)")
+    more = staged(verified(apart, sets, percent), "near-links")
+    return roots if more.isEmpty() else staged(components(first.union(more)), "near-roots")
+
+
+def keep_first(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:
+    """``docs`` with one row of each component of similar texts: a row of its smallest id.
 
     Rows of a null id stay only where a whole component has none; one of equal rows stays.
     """
-    found = near_duplicates(docs)
-    leaders = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("leader"), F.col("fp").alias("leader_fp")
+    hashed = docs.select(
+        "doc_id",
+        text_key(F.col("text")).alias("key"),
+        F.explode(F.array(shingle_hashes(F.col("text"), shingle))).alias("hashes"),
     )
-    chosen = staged(leaders.groupBy("leader").agg(F.min("leader_fp").alias("leader_fp")), "simhash-leaders")
+    prints = staged(hashed.select("doc_id", "key", band_hashes("hashes").alias("x")).select("doc_id", "key", "x.*"), "near-prints")
+    roots = similar_roots(docs, prints, shingle, percent)
+    smallest = prints.groupBy("key").agg(F.min("doc_id").alias("id"))
+    placed = smallest.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    chosen = staged(placed.groupBy("root").agg(F.min("id").alias("leader")).select("leader").distinct(), "near-leaders")
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
     joined = whole.join(chosen, F.col("id").eqNullSafe(F.col("leader")), "left_semi")
     once = joined.groupBy("id").agg(F.first("row").alias("row"))
     return once.select("row.*")
 
-
 @query("op10_simhash")
 def op10_simhash(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -85,3 +85,37 @@ def test_one_document_of_each_group_stays(odd_docs, no_docs):
     groups = {c for _, _, c in run(odd_docs)}
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(groups)
     assert simhash.keep_first(no_docs).count() == 0
+
+
+def edited(rng, kept, size=400):
+    """Two texts of which a share of about ``kept`` 5-word shingles is common."""
+    a = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+    b, shared = list(a), lambda x: {tuple(x[i : i + 5]) for i in range(size - 4)}
+    while True:
+        b[rng.randrange(size)] = f"v{rng.randrange(10**9)}"
+        x, y = shared(a), shared(b)
+        similarity = len(x & y) / len(x | y)
+        if similarity <= kept:
+            return " ".join(a), " ".join(b), similarity
+
+
+def test_the_stage_joins_edited_copies_from_similarity_80(spark):
+    rng = random.Random(8)
+    pairs = [edited(rng, kept) for kept in (0.97, 0.92, 0.87, 0.84, 0.7, 0.5) for _ in range(15)]
+    texts = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert kept >= {2 * i for i in range(len(pairs))}
+    assert {2 * i + 1 for i, p in enumerate(pairs) if p[2] < 0.8} == {i for i in kept if i % 2}
+
+
+def test_the_stage_equals_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text.translate({c: c + 32 for c in range(65, 91)}).split()) for r in df.collect())
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for _, w in rows]
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if x == high else x for x in root]
+    kept = sorted(r.doc_id for r in simhash.keep_first(df).collect())
+    assert kept == [rows[i][0] for i in sorted(set(root))]
