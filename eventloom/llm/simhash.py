@@ -198,7 +198,8 @@ def similar_roots(docs: DataFrame, prints: DataFrame, shingle: int, percent: int
 def keep_first(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:
     """``docs`` with one row of each component of similar texts: a row of its smallest id.
 
-    Rows of a null id stay only where a whole component has none; one of equal rows stays.
+    A row is found by its id and words, so rows that share an id, or have none, are told apart.
+    A row of a null id stays only where a whole component has no id; one of equal rows stays.
     """
     hashed = docs.select(
         "doc_id",
@@ -209,12 +210,14 @@ def keep_first(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STA
     roots = similar_roots(docs, prints, shingle, percent)
     smallest = prints.groupBy("key").agg(F.min("doc_id").alias("id"))
     placed = smallest.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-    chosen = staged(placed.groupBy("root").agg(F.min("id").alias("leader")).select("leader").distinct(), "near-leaders")
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    joined = whole.join(chosen, F.col("id").eqNullSafe(F.col("leader")), "left_semi")
-    once = joined.groupBy("id").agg(F.first("row").alias("row"))
+    best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("best")
+    chosen = staged(placed.groupBy("root").agg(best).selectExpr("best.id AS leader", "best.key AS leader_key"), "near-leaders")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key"))
+    leads = (F.col("key") == F.col("leader_key")) & F.col("id").eqNullSafe(F.col("leader"))
+    once = whole.join(chosen, leads, "left_semi").groupBy("key").agg(F.first("row").alias("row"))
     return once.select("row.*")
 
+
 @query("op10_simhash")
 def op10_simhash(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -119,3 +119,10 @@ def test_the_stage_equals_brute_force(spark):
             root = [low if x == high else x for x in root]
     kept = sorted(r.doc_id for r in simhash.keep_first(df).collect())
     assert kept == [rows[i][0] for i in sorted(set(root))]
+
+
+def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
+    a, b, c, d, e = ("alpha beta gamma", "delta epsilon", "zeta eta theta", "iota kappa", "lambda mu nu xi")
+    rows = [(None, a), (None, b), (None, c), (None, c), (1, c), (5, d), (5, e), (None, d), (3, e)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", a), ("None", b), ("1", c), ("5", d), ("3", e)])
