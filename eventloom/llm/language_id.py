@@ -32,6 +32,7 @@ FOLDS, HELD_FOLD = 5, 0
 RIDGE = 1e-3
 SHARPNESS = 12.0
 AMBIGUOUS_BELOW = 0.6
+CLEAN_BELOW, CLEAN_LOST = 0.9, 0.001
 UNKNOWN = "und"
 SEED = 5
 
@@ -105,6 +106,7 @@ class Model:
     weights: np.ndarray  # features x bits
     bias: np.ndarray
     trust: np.ndarray  # per bit
+    least_score: float = AMBIGUOUS_BELOW  # of a clean text
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest codeword and probabilities of all of them."""
@@ -130,6 +132,7 @@ class Model:
 def fit(x: np.ndarray, lang: np.ndarray) -> Model:
     """Least-squares classifiers of all bits; ``trust`` is a bit's left-out accuracy above chance.
 
+    ``least_score`` loses ``CLEAN_LOST`` of the left-out rows that are predicted right, at most.
     ``x`` is centred in place.
     """
     languages = sorted(set(lang))
@@ -145,7 +148,12 @@ def fit(x: np.ndarray, lang: np.ndarray) -> Model:
     left_out = y - alpha / np.diag(inverse)[:, None]  # leave-one-out margins
     trust = np.clip(2 * (np.sign(left_out) == y).mean(axis=0) - 1, 0.05, 1.0)
     weights = x.T @ alpha.astype(np.float32)
-    return Model(languages, code, weights, (bias - mean @ weights).astype(np.float32), trust)
+    model = Model(languages, code, weights, (bias - mean @ weights).astype(np.float32), trust)
+    best, chance = model.decode(left_out)
+    right = chance.max(axis=1)[best == np.searchsorted(languages, lang)]
+    if len(right):
+        model.least_score = min(CLEAN_BELOW, float(np.quantile(right, CLEAN_LOST, method="lower")))
+    return model
 
 
 def _sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,11 +217,19 @@ def _predicted(model: Model | None, texts: pd.Series) -> pd.DataFrame:
     return model.predict(texts)
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is found; ambiguous ones without a language go."""
+def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose language is found: texts without a letter and ambiguous ones,
+    which score below the model's ``least_score``, go.
+
+    A null ``lang`` becomes the predicted one. Where no model can be learned, every text with a
+    letter stays as it is.
+    """
+    model = train(docs, sample_rows)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     whole = docs.select(F.struct("*").alias("row"), "text")
-    found = identify(whole, train(docs), "row")
-    return found.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    found = identify(whole, model, "row").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.least_score))
+    return found.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
 
 
 @query("op5_language_id")

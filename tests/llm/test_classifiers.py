@@ -88,3 +88,19 @@ def test_votes_equal_brute_force(spark):
         weight = np.clip([s for s, _ in nearest], 0, 1) ** quality_knn.SHARPNESS
         want.append((weight * [y for _, y in nearest]).sum() / weight.sum())
     assert np.allclose(model.score(pd.Series(texts)), want, atol=1e-3)
+
+
+def test_the_language_stage_uses_its_decisions(spark):
+    rng = np.random.default_rng(6)
+    words = {"aa": ["bacada", "fagaha", "lamana"], "ee": ["peqere", "setexe", "zebede"]}
+    text = lambda *langs: " ".join(rng.choice([w for x in langs for w in words[x]]) for _ in range(60))
+    rows = [(i, text(x), x) for i, x in enumerate(["aa", "ee"] * 40)]
+    rows += [(100, text("aa"), None), (101, text("ee"), None), (102, "жщю ждш " * 20, None), (103, "12 3", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in language_id.keep_identified(docs).collect()}
+    assert kept == {i: x for i, _, x in rows[:80]} | {100: "aa", 101: "ee"}
+
+
+def test_the_language_stage_without_a_model_keeps_texts_with_a_letter(spark):
+    docs = spark.createDataFrame([(1, "a b", None), (2, "1 2", None), (3, None, None), (4, "ж", None)], "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.lang) for r in language_id.keep_identified(docs).collect()} == {(1, None), (4, None)}
