@@ -4,6 +4,7 @@ import corpus_pipeline
 
 from . import (  # noqa: F401
     language_id,
+    lexical,
     mixing,
     quality_knn,
     quality_rules,
@@ -13,6 +14,7 @@ from . import (  # noqa: F401
     tier_packing,
     token_matrices,
     topk,
+    toxicity_fm,
     warc,
 )
 
