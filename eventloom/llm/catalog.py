@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     language_id,
     lexical,
     mixing,
+    prefix_trie,
     quality_knn,
     quality_rules,
     registry,
