@@ -64,7 +64,7 @@ def with_shared_heads(turns: DataFrame) -> DataFrame:
     """Conversations rebuilt on the first turns of their hundred's first conversation.
 
     Conversation c takes the first h turns of conversation c - c % 100, then its own turns after
-    its first h, h being CRC-32 of its id modulo 6.
+    its first h, h being CRC-32 of its id modulo 6 (remainders of negative ids are negative).
     """
     h = (F.crc32(F.col("conv").cast("string").cast("binary")) % HEAD_TURNS).cast("int")
     base = F.col("conv") - F.col("conv") % HEAD_EVERY
@@ -165,7 +165,7 @@ def subtree_sums(nodes: DataFrame, prefixes: DataFrame, blocks: DataFrame) -> Da
     paths = blocks.select("conv", "k", "post1", "post2").join(mine.select("conv").distinct(), "conv", "left_semi")
     valued = paths.join(mine, ["conv", "k"], "left").fillna(0, ["leaf", "saved"])
     deeper = _running(staged(valued, "trie-paths"), ["leaf", "saved"], F.sum, ["later_leaf", "later_saved"], last_first=True)
-    below = deeper.filter("later_leaf > 0").groupBy("k", "post1", "post2").agg(F.sum("later_leaf").alias("later_leaf"), F.sum("later_saved").alias("later_saved"))
+    below = deeper.filter("later_leaf > 0 OR later_saved > 0").groupBy("k", "post1", "post2").agg(F.sum("later_leaf").alias("later_leaf"), F.sum("later_saved").alias("later_saved"))
     met = prefixes.join(own.select("owner", "k", "own"), ["owner", "k"], "left").join(below, ["k", "post1", "post2"], "left")
     under = lambda name, i: F.aggregate(
         F.filter("own", lambda o: o["i"] >= i), F.lit(0).cast("long"), lambda a, o: a + o[name]

@@ -10,7 +10,7 @@ DIR = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     names = entry_point.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in names and set(catalog.ORACLES) <= set(catalog.QUERIES)
 
 
