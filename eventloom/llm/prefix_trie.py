@@ -137,11 +137,11 @@ def steps_of(prefixes: DataFrame, *keep: str) -> DataFrame:
 
 def refined(prefixes: DataFrame) -> DataFrame:
     """All nodes below the root: ``depth, f1, f2, p1, p2, chars, n_convs, owner``."""
-    siblings = prefixes.groupBy("k", "pre1", "pre2").agg(F.count("*").alias("siblings"))
-    marked = prefixes.join(siblings, ["k", "pre1", "pre2"])
+    alone = prefixes.groupBy("k", "pre1", "pre2").agg(F.count("*").alias("siblings"), F.min("owner").alias("owner")).filter("siblings = 1")
+    marked = prefixes.join(alone.select("owner", "k", "siblings"), ["owner", "k"], "left")
     columns = [*KEY, "p1", "p2", "chars", "n_convs", "owner"]
     chains = steps_of(marked.filter("siblings = 1"), "n_convs", "owner").select(columns)
-    diverging = steps_of(marked.filter("siblings > 1"), "n_convs", "owner")
+    diverging = steps_of(marked.filter("siblings IS NULL"), "n_convs", "owner")
     merged = diverging.groupBy(*KEY).agg(
         *[F.first(c).alias(c) for c in ("p1", "p2", "chars")], F.sum("n_convs").alias("n_convs"), F.min("owner").alias("owner")
     )
@@ -237,11 +237,11 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
 
     above = valued.select((F.col("depth") + 1).alias("depth"), F.col("f1").alias("p1"), F.col("f2").alias("p2"), F.col("owner").alias("parent_owner"))
     whole = valued.join(subtree_sums(valued, prefixes, blocks), KEY).join(hashes, KEY, "left")
-    parent = F.when(F.col("depth") == 1, F.lit(smallest)).otherwise(F.col("parent_owner"))
     columns = ["n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256")]
-    inner = whole.join(above, ["depth", "p1", "p2"], "left").select(
-        F.col("owner").alias("conv_id"), "depth", parent.cast("long").alias("parent_conv_id"), *columns
-    )
+    whole = staged(whole, "trie-whole")
+    placed = lambda df, parent: df.select(F.col("owner").alias("conv_id"), "depth", parent.cast("long").alias("parent_conv_id"), *columns)
+    outer = placed(whole.filter("depth = 1"), F.lit(smallest))  # the root has the most children: no join for them
+    inner = placed(whole.filter("depth > 1").join(above, ["depth", "p1", "p2"]), F.col("parent_owner"))
     first = F.count(F.when(F.col("depth") == 1, 1))
     sums = valued.agg(first.alias("n_children"), F.greatest(F.sum("leaf"), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved_tokens"))
     root = sums.withColumns(
@@ -249,7 +249,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
         | {"parent_conv_id": F.lit(None).cast("long"), "n_convs": F.lit(n_all).cast("long")}
     ).join(hashes, KEY, "left")
     top = root.select("conv_id", "depth", "parent_conv_id", *columns).filter("n_convs > 0")
-    return top.unionAll(inner)
+    return top.unionAll(outer).unionAll(inner)
 
 
 def prefix_trie(conversations: DataFrame, shared_heads: bool = False) -> DataFrame:
