@@ -4,8 +4,9 @@ Each language has a codeword of +1/-1 bits; one binary n-gram classifier per bit
 from the whole text. Decoding adds up the loss of every bit's margin against every codeword,
 weighted by how reliable the bit was on left-out sample rows, and takes the nearest codeword.
 
-The classifiers are fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled rows, shared
-evenly by the languages and chosen by a hash of the id. Everything else covers all rows.
+The classifiers are fitted on a bounded sample: ``SAMPLE_ROWS`` labelled rows, shared evenly by
+the languages (but ``LEAST_ROWS`` or all rows of each) and chosen by a hash of the id and text.
+Only their features leave the executors. Everything else covers all rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no
 labelled row every text is ``und``; with one language every text with a letter gets it; rows
@@ -23,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_unit, held_out, table
+from .common import hash_unit, held_out, staged, table
 from .registry import query
 
 DIMS = 1 << 13
-SAMPLE_ROWS = 1600
+SAMPLE_ROWS = 4000
+LEAST_ROWS = 20
+SLICE = 1 << 16
 FOLDS, HELD_FOLD = 5, 0
 RIDGE = 1e-3
 SHARPNESS = 12.0
@@ -49,27 +52,55 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def ngram_counts(text: str | None) -> np.ndarray | None:
-    """Counts of hashed letter 1-, 2- and 3-grams; runs of other characters are one space."""
-    if not text:
-        return None
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    letter = _letters()[codes]
-    if not letter.any():
-        return None
-    spaced = np.where(letter, codes, np.uint32(32))
-    keep = letter | np.concatenate(([True], letter[:-1]))  # the first of a run of others
-    c = np.concatenate(([np.uint32(32)], spaced[keep], [np.uint32(32)])).astype(np.uint32)
+def _hashes(c: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashed 1-, 2- and 3-grams that start at each code but the last two; 1-grams leave out the first."""
     one = c * np.uint32(2654435761)
     two = (one[:-1] ^ np.uint32(0x9E3779B9)) * np.uint32(40503) + c[1:] * np.uint32(2246822519)
-    three = (two[:-1] ^ np.uint32(0x85EBCA6B)) * np.uint32(3266489917) + c[2:] * np.uint32(668265263)
-    counts = np.zeros(DIMS, dtype=np.int64)
-    for grams in (one[1:-1], two, three):
-        mixed = (grams ^ (grams >> np.uint32(15))) * np.uint32(2246822519)
-        counts += np.bincount((mixed >> np.uint32(19)).astype(np.int64), minlength=DIMS)
+    yield one[1:-1]
+    yield two[:-1]
+    yield (two[:-1] ^ np.uint32(0x85EBCA6B)) * np.uint32(3266489917) + c[2:] * np.uint32(668265263)
+
+
+def ngram_counts(text: str | None, size: int = SLICE) -> np.ndarray | None:
+    """Counts of hashed letter 1-, 2- and 3-grams; runs of other characters are one space.
+
+    The text is taken in slices of ``size`` characters, each with the two codes before it, so that
+    memory does not grow with the text.
+    """
+    counts, held, found = np.zeros(DIMS, dtype=np.int64), np.array([32], dtype=np.uint32), False
+    for start in range(0, len(text or ""), size):
+        # a capital may become several small letters: slices are cut before
+        part = text[start : start + size].lower()
+        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        letter = _letters()[codes]
+        found = found or bool(letter.any())
+        spaced = np.where(letter, codes, np.uint32(32))
+        # a run of others is a space already if the slice before ended in one of more than its start
+        before = start == 0 or held[-1] != 32
+        keep = letter | np.concatenate(([before], letter[:-1]))
+        held = _count(np.concatenate((held, spaced[keep])).astype(np.uint32), counts)
+    if not found:
+        return None
+    c = np.concatenate((held, [np.uint32(32)])).astype(np.uint32)
+    _count(c, counts)
+    _add(((c[-2:-1] * np.uint32(2654435761)) ^ np.uint32(0x9E3779B9)) * np.uint32(40503) + c[-1:] * np.uint32(2246822519), counts)
     return counts
 
 
+def _count(c: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Adds the grams that are whole in ``c``; the codes that the next slice needs."""
+    if len(c) < 3:
+        return c
+    for grams in _hashes(c):
+        _add(grams, counts)
+    return c[-2:]
+
+
+def _add(grams: np.ndarray, counts: np.ndarray) -> None:
+    mixed = (grams ^ (grams >> np.uint32(15))) * np.uint32(2246822519)
+    counts += np.bincount((mixed >> np.uint32(19)).astype(np.int64), minlength=DIMS)
+
+
 def features(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of root n-gram frequencies, and which texts have a letter."""
     out = np.zeros((len(texts), DIMS), dtype=np.float32)
@@ -141,11 +172,14 @@ def fit(x: np.ndarray, lang: np.ndarray) -> Model:
     share = 1.0 / np.bincount(np.searchsorted(languages, lang))[np.searchsorted(languages, lang)]
     mean = (x * (share / share.sum())[:, None]).sum(axis=0).astype(np.float32)
     x -= mean
-    kernel = (x @ x.T).astype(np.float64)
+    kernel = x @ x.T  # single precision, inverted in place of a second double one
+    kernel[np.diag_indices(len(x))] += np.float32(RIDGE * len(x) ** 0.5)
     bias = (y * (share / share.sum())[:, None]).sum(axis=0)
-    inverse = np.linalg.inv(kernel + RIDGE * len(x) ** 0.5 * np.eye(len(x)))
-    alpha = inverse @ (y - bias)
-    left_out = y - alpha / np.diag(inverse)[:, None]  # leave-one-out margins
+    inverse = np.linalg.inv(kernel)
+    del kernel
+    alpha = (inverse @ (y - bias).astype(np.float32)).astype(np.float64)
+    left_out = y - alpha / np.diag(inverse).astype(np.float64)[:, None]  # leave-one-out margins
+    del inverse
     trust = np.clip(2 * (np.sign(left_out) == y).mean(axis=0) - 1, 0.05, 1.0)
     weights = x.T @ alpha.astype(np.float32)
     model = Model(languages, code, weights, (bias - mean @ weights).astype(np.float32), trust)
@@ -163,6 +197,7 @@ def _sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "lang": batch["lang"],
+                "draw": batch["draw"],
                 "at": [r.astype("<u2").tobytes() for r in rows],
                 "value": [x[i, r].astype("<f4").tobytes() for i, r in enumerate(rows)],
             }
@@ -175,27 +210,26 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     sizes = {r["lang"]: r["n"] for r in learnable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    per_language = max(1, sample_rows // len(sizes))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
+    per_language = max(LEAST_ROWS, sample_rows // len(sizes))
+    likely = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (2 * per_language + 100) / n))])
     draw = hash_unit(F.col("doc_id"), F.col("text"), seed=SEED)
-    chosen = (
-        learnable.select("lang", "text", draw.alias("draw"))
-        .filter(F.col("draw") < share[F.col("lang")])
-        .orderBy("draw", "lang")
-        .limit(2 * sample_rows)  # copies of one row can all be drawn
-    )
-    rows = chosen.select("lang", "text").repartition(8).mapInPandas(_sparse, "lang string, at binary, value binary").toPandas()
+    drawn = learnable.select("lang", "text", draw.alias("draw")).filter(F.col("draw") < likely[F.col("lang")])
+    made = staged(drawn.mapInPandas(_sparse, "lang string, draw double, at binary, value binary"), "language-sample")
+    place = F.expr("row_number() OVER (PARTITION BY lang ORDER BY draw, at, value)")  # a bounded number of rows
+    rows = made.withColumn("place", place).filter(F.col("place") <= per_language).drop("place").toPandas()
     if rows.empty:
         return None
     rows = rows.sort_values(["lang", "at", "value"], kind="stable")
+    lang = rows["lang"].to_numpy(dtype=object)
     x = np.zeros((len(rows), DIMS), dtype=np.float32)
     for i, (at, value) in enumerate(zip(rows["at"], rows["value"], strict=True)):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
-    return fit(x, rows["lang"].to_numpy(dtype=object))
+    del rows
+    return fit(x, lang)
 
 
-def identify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """``keep`` columns of every row with ``lang_pred``, ``score`` and ``ambiguous``."""
+def identify(docs: DataFrame, model: Model | None, *keep: str, text: str = "text") -> DataFrame:
+    """``keep`` columns of every row with ``lang_pred``, ``score`` and ``ambiguous`` of its ``text``."""
     # bounded: languages x bits and features x bits
     shared = docs.sparkSession.sparkContext.broadcast(vars(model) if model else None)
 
@@ -203,10 +237,10 @@ def identify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Model(**shared.value) if shared.value else None
         for batch in batches:
-            parts = [_predicted(model, batch.iloc[i : i + 256]) for i in range(0, len(batch), 256)]
+            parts = [_predicted(model, batch.iloc[i : i + 64]) for i in range(0, len(batch), 64)]
             yield pd.concat(parts, ignore_index=True) if parts else _predicted(model, batch)
 
-    rows = docs.select(*keep, predict("text").alias("found"))
+    rows = docs.select(*keep, predict(text).alias("found"))
     return rows.select(*keep, "found.lang_pred", "found.score", "found.ambiguous")
 
 
@@ -227,8 +261,8 @@ def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
     model = train(docs, sample_rows)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    whole = docs.select(F.struct("*").alias("row"), "text")
-    found = identify(whole, model, "row").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.least_score))
+    whole = docs.select(F.struct("*").alias("row"))
+    found = identify(whole, model, "row", text="row.text").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.least_score))
     return found.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
 
 

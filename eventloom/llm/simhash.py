@@ -13,11 +13,15 @@ looked at.
 Jaccard similarity of 0.8 or more, which lie about 10 bits apart and out of reach of a ball. It
 finds pairs by bands of least hashes and verifies each on the whole sets. Texts of equal words
 are one node, null and empty texts too; texts of fewer words than a shingle are one shingle.
+Each text of a bucket first meets the one that most buckets share; then, in rounds, texts of one
+bucket that are still in different components meet: all of them where a bucket has at most
+``SMALL`` texts, else in the finer buckets of two bands. Rounds end when one joins nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +39,8 @@ RADIUS = 2
 STAGE_SHINGLE = 5
 STAGE_PERCENT = 80
 BANDS, BAND_ROWS = 20, 5  # a pair of similarity s shares a band with chance 1 - (1 - s^5)^20
+SMALL = 64
+UNLIKE = 33  # of 100 two-bit hashes; a pair of similarity 0.8 differs in more with chance 4e-6
 
 
 def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
@@ -111,15 +117,17 @@ def _mixers() -> tuple[np.ndarray, np.ndarray]:
     return 2 * odd + np.uint64(1), added
 
 
-BAND_TYPE = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+BAND_TYPE = T.StructType(
+    [T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
+)
 
 
 @F.pandas_udf(BAND_TYPE)
 def band_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Number of different hashes of a row, and a hash of the least ones in every band."""
+    """Number of different hashes of a row, a hash of the least ones in every band, and two bits of each least one."""
     odd, added = _mixers()
     for batch in batches:
-        n, bands = np.zeros(len(batch), dtype=np.int32), []
+        n, bands, sketches = np.zeros(len(batch), dtype=np.int32), [], []
         for i, hashes in enumerate(batch):
             x = np.unique(np.asarray(hashes, dtype="<i8")).view("<u8")
             n[i] = len(x)
@@ -131,39 +139,62 @@ def band_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 mixed = (mixed ^ row) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
             bands.append(mixed.view("<i8"))
-        yield pd.DataFrame({"n": n, "bands": bands})
+            bits = np.zeros((2, 128), dtype=np.uint8)
+            bits[:, : len(least)] = (least & np.uint64(1), (least >> np.uint64(1)) & np.uint64(1))
+            sketches.append(np.packbits(bits, axis=1).view("<i8").ravel())
+        yield pd.DataFrame({"n": n, "bands": bands, "sketch": sketches})
 
 
-def text_key(text: Column) -> Column:
-    """Equal for texts of the same words."""
-    return F.xxhash64(F.concat_ws(" ", words(ascii_lower(text))))
+def with_text_keys(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``key`` and ``check``: two hashes of a text's words."""
+    joined = F.concat_ws(" ", words(ascii_lower(F.col(text))))
+    return df.withColumn("_w", F.explode(F.array(joined))).withColumns({"key": F.xxhash64("_w"), "check": F.xxhash64(F.lit(1), "_w")}).drop("_w")
 
 
-def candidates(prints: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b, leads)`` of keys that share a band and whose sizes allow the similarity.
+def apart(df: DataFrame, collided: DataFrame) -> DataFrame:
+    """``key`` made different for texts that only their ``check`` tells apart."""
+    other = collided.select(F.col("key").alias("_key"), "first_check")
+    met = df.join(other, F.col("key") == F.col("_key"), "left")
+    mine = F.when(F.col("first_check").isNotNull() & (F.col("check") != F.col("first_check")), F.col("check")).otherwise(F.col("key"))
+    return met.withColumn("key", mine).drop("_key", "first_check", "check")
 
-    Each key meets the smallest key of its bucket (``leads``), and the one before it in the order
-    of the next band, so that pairs grow with the rows whatever the size of a bucket.
-    """
-    nodes = prints.filter("n > 0").select("key", "n", "bands").dropDuplicates(["key"])
-    slot = lambda v, i: F.struct(i.alias("band"), v.alias("bucket"), F.get("bands", (i + 1) % BANDS).alias("next"))
-    rows = nodes.select("key", "n", F.explode(F.transform("bands", slot)).alias("slot")).select("key", "n", "slot.*")
-    met = rows.select(
-        "key",
-        "n",
-        F.expr("min(struct(key, n)) OVER (PARTITION BY band, bucket)").alias("leader"),
-        F.expr("lag(struct(key, n)) OVER (PARTITION BY band, bucket ORDER BY next, key)").alias("before"),
-    )
-    both = F.array(
-        F.struct(F.col("leader").alias("other"), F.lit(True).alias("leads")),
-        F.struct(F.col("before").alias("other"), F.lit(False).alias("leads")),
-    )
-    pairs = met.select("key", "n", F.explode(both).alias("x")).select("key", "n", "x.other", "x.leads")
-    fits = (F.col("key") != F.col("other.key")) & (
-        100 * F.least("n", "other.n").cast("long") >= percent * F.greatest("n", "other.n").cast("long")
+
+def fits(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and sketches of two members (structs) allow the similarity."""
+    n, sketch = (lambda x: F.col(f"{x}.n").cast("long")), (lambda x, i: F.col(f"{x}.sketch")[i])
+    unlike = sum(
+        (F.bit_count(sketch(a, i).bitwiseXOR(sketch(b, i)).bitwiseOR(sketch(a, i + 2).bitwiseXOR(sketch(b, i + 2)))) for i in (0, 1)), F.lit(0)
     )
-    ends = F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")
-    return pairs.filter(fits).groupBy(*ends).agg(F.max("leads").alias("leads"))
+    return (100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))) & (unlike <= UNLIKE)
+
+
+MEMBER = ["key", "n", "sketch", "root"]
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``(a, b)`` of members ``x`` and ``y`` of different components that may be similar."""
+    likely = met.filter((F.col("x.root") != F.col("y.root")) & fits("x", "y", percent))
+    return likely.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+def starred(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each member of a group with the member of the most company."""
+    leader = rows.groupBy(F.col("group").alias("_g")).agg(F.max_by(F.struct(*MEMBER), F.struct("company", "key")).alias("x"))
+    return _pairs(rows.select("group", F.struct(*MEMBER).alias("y")).join(leader, F.col("group") == F.col("_g")), percent)
+
+
+def crossed(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of all members of groups of at most ``SMALL``."""
+    listed = rows.groupBy("group").agg(F.collect_list(F.struct(*MEMBER)).alias("m"))
+    each = listed.select("m", F.posexplode("m").alias("at", "x"))
+    both = each.select("x", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("y"))
+    return _pairs(both, percent)
+
+
+def open_groups(rows: DataFrame) -> DataFrame:
+    """The groups that hold more than one component, with their number of rows."""
+    sizes = rows.groupBy("group").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return sizes.filter("low <> high").select("group", "rows")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,46 +206,72 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter((100 + percent) * shared >= percent * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
 
-def similar_roots(docs: DataFrame, prints: DataFrame, shingle: int, percent: int) -> DataFrame:
+def similar_roots(texts: DataFrame, prints: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``(node, root)`` of the keys in ``prints`` that have a similar one.
 
-    Pairs with a leader come first; of the others only those that these did not join are verified.
+    ``texts`` (``key, text``) and ``prints`` (``key, n, bands, sketch``) may repeat keys.
     """
-    pairs = staged(candidates(prints, percent), "near-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(nodes, "key", "left_semi")
-    once = texts.groupBy("key").agg(F.first("text").alias("text"))
+    nodes = staged(prints.filter("n > 0").select("key", "n", "bands", "sketch").dropDuplicates(["key"]), "near-nodes")
+    cells = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
+    cells = cells.select("key", "band", F.xxhash64("band", "bucket").alias("group"))
+    shared = cells.groupBy("group").agg(F.count("*").alias("rows")).filter("rows > 1")
+    cells = staged(cells.join(shared, "group"), "near-cells")
+    company = cells.groupBy("key").agg(F.sum("rows").alias("company"))
+    members = staged(nodes.drop("bands").join(company, "key"), "near-members")
+    once = texts.join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     sets = staged(once.select("key", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("shingles")), "near-sets")
-    first = staged(verified(pairs.filter("leads"), sets, percent), "near-links")
-    roots = staged(components(first), "near-roots")
-    root_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    root_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    placed = pairs.filter("NOT leads").join(root_a, "a", "left").join(root_b, "b", "left")
-    apart = placed.filter("coalesce(root_a, a) <> coalesce(root_b, b)")
-    more = staged(verified(apart, sets, percent), "near-links")
-    return roots if more.isEmpty() else staged(components(first.union(more)), "near-roots")
+
+    alone = cells.join(members, "key").withColumn("root", F.col("key"))
+    found = staged(verified(staged(starred(alone, percent), "near-pairs"), sets, percent), "near-links")
+    roots = staged(components(found), "near-roots")
+    while True:
+        placed = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+        rows = cells.drop("rows").join(placed, "key")
+        sizes = staged(open_groups(rows), "near-open")
+        rows = staged(rows.join(sizes, "group"), "near-rows")
+        wide = rows.filter(F.col("rows") > SMALL)
+        halves = wide.select("key", F.col("band").alias("band_2"), F.col("group").alias("group_2"))
+        finer = wide.drop("rows").join(halves, "key").filter("band < band_2")
+        finer = finer.withColumn("group", F.xxhash64("group", "group_2")).drop("band_2", "group_2")
+        narrow = staged(finer.join(open_groups(finer), "group"), "near-finer")
+        pairs = [
+            crossed(rows.filter(F.col("rows") <= SMALL), percent),
+            crossed(narrow.filter(F.col("rows") <= SMALL), percent),
+            starred(wide, percent),
+            starred(narrow.filter(F.col("rows") > SMALL), percent),
+        ]
+        fresh = reduce(DataFrame.unionAll, pairs).distinct()
+        more = staged(verified(staged(fresh, "near-pairs"), sets, percent), "near-links")
+        if more.isEmpty():
+            return roots
+        found = staged(found.unionAll(more), "near-links")
+        roots = staged(components(found), "near-roots")
 
 
 def keep_first(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:
     """``docs`` with one row of each component of similar texts: a row of its smallest id.
 
     A row is found by its id and words, so rows that share an id, or have none, are told apart.
-    A row of a null id stays only where a whole component has no id; one of equal rows stays.
+    A row of a null id stays only where a whole component has no id; of rows equal in id and
+    words the one of the smallest hash of all its columns stays.
     """
-    hashed = docs.select(
-        "doc_id",
-        text_key(F.col("text")).alias("key"),
-        F.explode(F.array(shingle_hashes(F.col("text"), shingle))).alias("hashes"),
+    hashed = with_text_keys(docs.select("doc_id", "text")).select(
+        "doc_id", "key", "check", F.explode(F.array(shingle_hashes(F.col("text"), shingle))).alias("hashes")
     )
-    prints = staged(hashed.select("doc_id", "key", band_hashes("hashes").alias("x")).select("doc_id", "key", "x.*"), "near-prints")
-    roots = similar_roots(docs, prints, shingle, percent)
+    made = staged(hashed.select("doc_id", "key", "check", band_hashes("hashes").alias("x")).select("doc_id", "key", "check", "x.*"), "near-prints")
+    checks = made.groupBy("key").agg(F.min("check").alias("first_check"), F.max("check").alias("last"))
+    collided = staged(checks.filter("first_check <> last").drop("last"), "near-collided")
+    prints = apart(made, collided)
+    texts = apart(with_text_keys(docs.select("text")), collided)
+    roots = similar_roots(texts, prints, shingle, percent)
     smallest = prints.groupBy("key").agg(F.min("doc_id").alias("id"))
     placed = smallest.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
     best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("best")
     chosen = staged(placed.groupBy("root").agg(best).selectExpr("best.id AS leader", "best.key AS leader_key"), "near-leaders")
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("whole_text"), F.xxhash64("*").alias("pick"))
+    whole = apart(with_text_keys(whole, "whole_text").drop("whole_text"), collided)
     leads = (F.col("key") == F.col("leader_key")) & F.col("id").eqNullSafe(F.col("leader"))
-    once = whole.join(chosen, leads, "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+    once = whole.join(chosen, leads, "left_semi").groupBy("key").agg(F.min_by("row", "pick").alias("row"))
     return once.select("row.*")
 
 

@@ -121,6 +121,90 @@ def test_the_stage_equals_brute_force(spark):
     assert kept == [rows[i][0] for i in sorted(set(root))]
 
 
+def similar_components(texts, percent=80):
+    """Components by brute force: the smallest place of each."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    held = {}
+    for i, x in enumerate(sets):
+        for shingle in x:
+            held.setdefault(shingle, []).append(i)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        shared = {}
+        for shingle in x:
+            for j in held[shingle]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(x) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sorted({find(i) for i in range(len(texts))})
+
+
+def changed(rng, base, n):
+    out = list(base)
+    for at in rng.sample(range(len(base)), n):
+        out[at] = f"v{rng.randrange(10**9)}"
+    return out
+
+
+def kept_ids(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in simhash.keep_first(df).collect())
+
+
+def test_families_of_edits_of_one_text_stay_whole(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(5):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        texts += [" ".join(base), *(" ".join(changed(rng, base, rng.randrange(4, 12))) for _ in range(50))]
+    rng.shuffle(texts)
+    assert kept_ids(spark, texts) == similar_components(texts)
+
+
+def test_a_chain_of_edits_stays_whole(spark):
+    rng = random.Random(13)
+    chain = [[f"w{rng.randrange(10**9)}" for _ in range(200)]]
+    while len(chain) < 60:
+        chain.append(changed(rng, chain[-1], 3))
+    texts = [" ".join(x) for x in chain]
+    rng.shuffle(texts)
+    assert kept_ids(spark, texts) == similar_components(texts) == [0]
+
+
+def test_a_large_family_around_a_template(spark, monkeypatch):
+    """A bucket of far more than SMALL texts: one hub, most members apart from each other."""
+    monkeypatch.setattr(simhash, "SMALL", 16)
+    rng = random.Random(14)
+    template = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+    own = [template + [f"o{rng.randrange(10**9)}" for _ in range(40)] for _ in range(250)]
+    near = [changed(rng, rng.choice(own), 2) for _ in range(250)]
+    texts = [" ".join(x) for x in own + near]
+    rng.shuffle(texts)
+    assert kept_ids(spark, texts) == similar_components(texts)
+
+
+def test_texts_whose_keys_collide_are_told_apart(spark):
+    df = spark.createDataFrame([(7, 1, "a"), (7, 2, "b"), (7, 2, "c"), (8, 5, "d")], "key long, check long, x string")
+    checks = spark.createDataFrame([(7, 1)], "key long, first_check long")
+    assert {r.x: r.key for r in simhash.apart(df, checks).collect()} == {"a": 7, "b": 2, "c": 2, "d": 8}
+
+
+def test_the_row_that_stays_does_not_depend_on_order(spark):
+    rows = [(1, "one two three four five six", x) for x in "abcdefgh"]
+    df = lambda r: spark.createDataFrame(r, "doc_id long, text string, source string").repartition(5)
+    assert {simhash.keep_first(df(r)).first().source for r in (rows, rows[::-1], rows[3:] + rows[:3])} == {simhash.keep_first(df(rows)).first().source}
+
+
 def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
     a, b, c, d, e = ("alpha beta gamma", "delta epsilon", "zeta eta theta", "iota kappa", "lambda mu nu xi")
     rows = [(None, a), (None, b), (None, c), (None, c), (1, c), (5, d), (5, e), (None, d), (3, e)]
