@@ -1,17 +1,18 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
 1. Rows are staged with their partition and place (their number within it).
-2. Row ``i`` of the matrix says how many rows of partition ``i`` go to each target block. Under
-   a uniform permutation the matrix follows the multivariate hypergeometric law with the
-   partition sizes and block sizes as margins. It is drawn by halving the list of partitions:
-   each half gets a share of every block, and so on down to single partitions. Every draw has
+2. Row ``i`` of the matrix says how many rows of partition ``i`` go to each shard. Under a
+   uniform permutation the matrix follows the multivariate hypergeometric law with the
+   partition sizes and shard sizes as margins. It is drawn by halving the list of partitions:
+   each half gets a share of every shard, and so on down to single partitions. Every draw has
    a seed of its own, so each task draws its own row from the partition sizes alone, in
    logarithmically many steps.
-3. A seeded permutation of a partition's rows deals them to the blocks by these counts, the
-   rows are exchanged, and every block is permuted again by a hash.
+3. A seeded permutation of a partition's rows deals them to the shards by these counts, the
+   rows are exchanged, and every shard is permuted again: in ascending order of a hash.
 
-A shard consists of blocks of at most ``BLOCK_ROWS`` rows whose sizes and first slots are known
-beforehand, so that no task holds a whole shard.
+A shard is permuted in blocks, equal ranges of the hash with about ``BLOCK_ROWS`` rows and
+``BLOCK_BYTES`` bytes at most. A block's first slot is the number of rows in its shard's earlier
+blocks, so that no task holds a whole shard.
 
 Law ``rows``: shard sizes differ by at most one. Equal texts (and any other group) are spread
 like all rows. Null and empty texts are rows of 16 bytes; null and repeated ids are rows of their
@@ -33,6 +34,7 @@ from .registry import query
 
 SHARDS = 40
 BLOCK_ROWS = 50_000
+BLOCK_BYTES = 64 << 20
 OVERHEAD = 16
 SEED = 9
 LAW = "rows"
@@ -75,61 +77,51 @@ def matrix_row(sizes: np.ndarray, blocks: np.ndarray, i: int, seed: int = SEED)
     return share
 
 
-def layout(total: int, shards: int, block_rows: int = BLOCK_ROWS) -> pd.DataFrame:
-    """The blocks of all shards: ``shard``, ``first`` slot and ``rows``."""
+def shard_sizes(total: int, shards: int) -> np.ndarray:
     base, more = divmod(total, shards)
-    found = []
-    for shard in range(shards):
-        rows = base + (shard < more)
-        parts = max(1, -(-rows // block_rows))
-        small, larger = divmod(rows, parts)
-        first = 0
-        for part in range(parts):
-            size = small + (part < larger)
-            found.append((shard, first, size))
-            first += size
-    return pd.DataFrame(found, columns=["shard", "first", "rows"])
-
-
-def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every row of ``df`` as struct ``row`` with its ``shard`` and ``slot``."""
-    numbered = df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("mid"))
-    kept = staged(
-        numbered.select("row", F.shiftright("mid", 33).cast("int").alias("part"), F.col("mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")),
-        "shards",
-    )
-    # one number per partition of the input, not per row
-    counts = sorted((r["part"], r["rows"]) for r in kept.groupBy("part").agg(F.count("*").alias("rows")).collect())
-    index = {part: i for i, (part, _) in enumerate(counts)}
-    sizes = np.array([rows for _, rows in counts], dtype=np.int64)
-    plan = layout(int(sizes.sum()), shards, block_rows)
-    blocks = plan["rows"].to_numpy(np.int64)
+    return base + (np.arange(shards) < more).astype(np.int64)
+
+
+def shuffled(
+    df: DataFrame, shards: int = SHARDS, seed: int = SEED, size: Column | None = None, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Every row of ``df`` as struct ``row`` with its ``shard`` and ``slot``; ``size`` tells a row's bytes."""
+    numbered = df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("mid"), (F.lit(0) if size is None else size).cast("long").alias("size"))
+    place = F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
+    kept = staged(numbered.select("row", "size", F.shiftright("mid", 33).cast("int").alias("part"), place.alias("place")), "shards")
+    # two numbers per partition of the input, not per row
+    counts = sorted(tuple(r) for r in kept.groupBy("part").agg(F.count("*"), F.sum("size")).collect())
+    index = {part: i for i, (part, _, _) in enumerate(counts)}
+    sizes = np.array([rows for _, rows, _ in counts], dtype=np.int64)
+    total, weight = int(sizes.sum()), sum(x[2] for x in counts)
+    targets = shard_sizes(total, shards)
+    blocks = max(1, -(-total // (shards * block_rows)), -(-weight // (shards * block_bytes)))
 
     @F.pandas_udf("int")
-    def block_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def shard_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         dealt: dict[int, np.ndarray] = {}
         for part, place in batches:
             out = np.zeros(len(part), dtype=np.int32)
             for p in part.unique():
                 if p not in dealt:
-                    row = matrix_row(sizes, blocks, index[p], seed)
+                    row = matrix_row(sizes, targets, index[p], seed)
                     order = np.random.default_rng([seed, 1, int(p)]).permutation(int(row.sum()))
                     dealt.clear()
-                    dealt[p] = np.repeat(np.arange(len(blocks), dtype=np.int32), row)[order]
+                    dealt[p] = np.repeat(np.arange(shards, dtype=np.int32), row)[order]
                 mine = (part == p).to_numpy()
                 out[mine] = dealt[p][place.to_numpy()[mine]]
             yield pd.Series(out)
 
-    firsts = F.array(*[F.struct(F.lit(int(s)).alias("shard"), F.lit(int(f)).alias("first")) for s, f in zip(plan["shard"], plan["first"], strict=True)]) if len(plan) <= 4096 else None
-    sent = kept.withColumn("block", block_of("part", "place")).withColumn("again", F.xxhash64(F.lit(seed), "part", "place"))
-    inner = F.expr("row_number() OVER (PARTITION BY block ORDER BY again, part, place)")
-    placed = sent.withColumn("n", inner)
-    if firsts is not None:
-        at = firsts[F.col("block")]
-        return placed.select("row", at["shard"].alias("shard"), (at["first"] + F.col("n") - 1).cast("long").alias("slot"))
-    blocks_table = staged(df.sparkSession.createDataFrame(plan.reset_index(names="number")), "shard-blocks")
-    joined = placed.join(blocks_table, F.col("block") == F.col("number"))
-    return joined.select("row", F.col("shard").cast("int"), (F.col("first") + F.col("n") - 1).cast("long").alias("slot"))
+    again = F.xxhash64(F.lit(seed), "part", "place")
+    # equal ranges of the hash, so that the blocks' order is the order of the hash
+    block = F.floor((F.shiftright("again", 12).cast("double") / float(2**52) + 0.5) * blocks).cast("int")
+    sent = kept.withColumn("shard", shard_of("part", "place")).withColumn("again", again).withColumn("block", block)
+    held = sent.groupBy(F.col("shard").alias("of_shard"), F.col("block").alias("of_block")).agg(F.count("*").alias("rows"))
+    earlier = F.expr("coalesce(sum(rows) OVER (PARTITION BY of_shard ORDER BY of_block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+    firsts = staged(held.select("of_shard", "of_block", earlier.alias("first")), "shard-blocks")
+    inner = sent.withColumn("n", F.expr("row_number() OVER (PARTITION BY shard, block ORDER BY again, part, place)"))
+    placed = inner.join(firsts, (F.col("shard") == F.col("of_shard")) & (F.col("block") == F.col("of_block")))
+    return placed.select("row", "shard", (F.col("first") + F.col("n") - 1).cast("long").alias("slot"))
 
 
 def text_size(text: Column) -> Column:
@@ -138,7 +130,7 @@ def text_size(text: Column) -> Column:
 
 @query("op9_sharding")
 def op9_sharding(spark, sf_dir):
-    placed = shuffled(table(spark, sf_dir, "documents"))
+    placed = shuffled(table(spark, sf_dir, "documents"), size=text_size(F.col("text")))
     return placed.select(
         F.col("row.doc_id").alias("doc_id"),
         text_size(F.col("row.text")).alias("size"),

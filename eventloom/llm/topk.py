@@ -8,14 +8,15 @@ The k best rows of a block are selected from the most significant slice of the s
 rows that stay equal in all slices are the boundary, resolved by the smaller id. The best of all
 blocks are merged by rank.
 
-Blocks and groups of queries have a bounded size; every group of queries meets every block in
-a task row of its own, so neither the queries nor the index are held whole anywhere.
-
-Defined results: null vectors, vectors that hold null or non-finite components, vectors with a
-component beyond +-2^24 after quantising, and rows of null id take no part; a shorter vector
-counts as padded with zeros; rows that repeat an id count once, with the smallest vector; with
-fewer than k candidates all are returned; an empty table gives no rows; other columns are not
-looked at.
+Blocks and pages of queries have a bounded size. A block goes to few tasks (one, where there are
+enough of them) and the pages of queries stream past it, so neither the queries nor the index
+are held whole anywhere.
+
+Defined results: null vectors and vectors that hold null or non-finite components take no part;
+a shorter vector counts as padded with zeros; rows that repeat an id, or have none, are rows of
+their own: each is a query or candidate, and only its own row is left out; at equal scores null
+ids come last; a component or score that does not fit a long is an error; with fewer than k
+candidates all are returned; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,20 +32,22 @@ from .common import staged, table
 from .registry import query
 
 LEVELS = 256
-LARGEST = 1 << 24
-BLOCK_ROWS = 4096
+LARGEST = 1 << 62
+BLOCK_ROWS = 1 << 15
 GROUP_QUERIES = 256
 K = 5
 QUERY_EVERY = 50
 
 
 def quantised(vectors: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """``(vec_id, q)`` of every vector that takes part."""
+    """``(row_no, vec_id, q)`` of every vector that takes part; ``row_no`` tells rows of one id apart."""
     x = F.col("embedding")
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) * levels > LARGEST))
-    usable = vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull()).filter(~bad)
-    q = F.transform(x, lambda v: F.floor(F.lit(float(levels)) * v.cast("double")).cast("int"))
-    return usable.select("vec_id", q.alias("q")).groupBy("vec_id").agg(F.min("q").alias("q"))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))
+    usable = vectors.filter(x.isNotNull()).filter(F.forall(x, finite))
+    scaled = lambda v: F.floor(F.lit(float(levels)) * v.cast("double"))
+    large = F.raise_error(F.lit("a component does not fit a long")).cast("long")
+    fitting = lambda v: F.when(F.abs(F.lit(float(levels)) * v.cast("double")) < float(LARGEST), scaled(v)).otherwise(large)
+    return usable.select(F.monotonically_increasing_id().alias("row_no"), "vec_id", F.transform(x, fitting).alias("q"))
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -68,34 +71,41 @@ def slice_block(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, out.view("<u8")
 
 
-INDEX = "block int, n int, dims int, bits int, ids binary, low binary, slices binary"
+INDEX = "block int, n int, dims int, bits int, row_nos binary, unnamed binary, ids binary, low binary, slices binary"
 
 
 def index(vectors: DataFrame, blocks: int) -> DataFrame:
     """The bit-sliced index of ``(vec_id, q)``: one row per block, its rows ordered by id."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
+        pdf = pdf.sort_values(["unnamed", "vec_id", "row_no"])
         low, slices = slice_block(_matrix(pdf["q"]))
         row = (int(pdf["block"].iloc[0]), len(pdf), slices.shape[0], slices.shape[1])
-        data = (pdf["vec_id"].to_numpy("<i8").tobytes(), low.astype("<i8").tobytes(), slices.tobytes())
-        return pd.DataFrame([row + data], columns=["block", "n", "dims", "bits", "ids", "low", "slices"])
+        named = (pdf["row_no"].to_numpy("<i8").tobytes(), pdf["unnamed"].to_numpy(bool).tobytes(), pdf["vec_id"].to_numpy("<i8").tobytes())
+        columns = ["block", "n", "dims", "bits", "row_nos", "unnamed", "ids", "low", "slices"]
+        return pd.DataFrame([(*row, *named, low.astype("<i8").tobytes(), slices.tobytes())], columns=columns)
 
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    return vectors.withColumn("block", block).groupBy("block").applyInPandas(build, INDEX)
+    block = F.pmod(F.xxhash64("row_no"), F.lit(blocks)).cast("int")
+    named = vectors.withColumns({"block": block, "unnamed": F.col("vec_id").isNull(), "vec_id": F.coalesce("vec_id", F.lit(0))})
+    return named.groupBy("block").applyInPandas(build, INDEX)
 
 
-def query_groups(queries: DataFrame, groups: int) -> DataFrame:
-    """Queries ``(vec_id, q)`` in groups: one row per group."""
+PAGES = "grp int, query_dims int, query_rows binary, query_unnamed binary, query_ids binary, queries binary"
+
+
+def query_pages(queries: DataFrame, groups: int) -> DataFrame:
+    """Queries ``(row_no, vec_id, q)`` in pages: one row per page."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
+        pdf = pdf.sort_values("row_no")
         m = _matrix(pdf["q"])
-        row = (int(pdf["grp"].iloc[0]), m.shape[1], pdf["vec_id"].to_numpy("<i8").tobytes(), m.astype("<i8").tobytes())
-        return pd.DataFrame([row], columns=["grp", "query_dims", "query_ids", "queries"])
+        named = (pdf["row_no"].to_numpy("<i8").tobytes(), pdf["unnamed"].to_numpy(bool).tobytes(), pdf["vec_id"].to_numpy("<i8").tobytes())
+        columns = [c.split()[0] for c in PAGES.split(", ")]
+        return pd.DataFrame([(int(pdf["grp"].iloc[0]), m.shape[1], *named, m.astype("<i8").tobytes())], columns=columns)
 
-    grp = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")
-    return queries.withColumn("grp", grp).groupBy("grp").applyInPandas(build, "grp int, query_dims int, query_ids binary, queries binary")
+    grp = F.pmod(F.xxhash64("row_no", F.lit(1)), F.lit(groups)).cast("int")
+    named = queries.withColumns({"grp": grp, "unnamed": F.col("vec_id").isNull(), "vec_id": F.coalesce("vec_id", F.lit(0))})
+    return named.groupBy("grp").applyInPandas(build, PAGES)
 
 
 def carry_save(x: np.ndarray) -> np.ndarray:
@@ -160,70 +170,84 @@ def best_rows(sums: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([sure, _places(open_)[: k - len(sure)]])
 
 
-def search_block(ids: np.ndarray, low: np.ndarray, slices: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of one block for each query, its own row left out."""
+def search_block(row_nos: np.ndarray, low: np.ndarray, slices: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int):
+    """Per query the places and scores of its k best rows of one block, its own row left out."""
     dims, bits, words = slices.shape
     signed = np.concatenate([slices, ~slices])  # a value's complement stands for its negative
     most = (1 << bits) - 1
     rows = np.zeros(words * 64, dtype=bool)
-    rows[: len(ids)] = True
+    rows[: len(row_nos)] = True
     every = np.packbits(rows, bitorder="little").view("<u8")
+    place = {int(r): i for i, r in enumerate(row_nos)}
     shared = min(dims, queries.shape[1])
-    found = []
-    for query_id, q in zip(query_ids, queries[:, :shared], strict=True):
+    lows = [int(x) for x in low[:shared]]
+    for row_no, q in zip(query_rows, queries[:, :shared], strict=True):
         weights = np.zeros(2 * dims, dtype=np.int64)
         weights[:shared], weights[dims : dims + shared] = np.maximum(q, 0), np.maximum(-q, 0)
-        constant = int((q * low[:shared]).sum()) - most * int(weights[dims:].sum())
+        # Python's integers: these may lie beyond a long where the score does not
+        constant = sum(int(a) * b for a, b in zip(q, lows)) - most * sum(int(w) for w in weights[dims:])
         sums = weighted_sum(signed, weights)
         candidates = every.copy()
-        own = int(np.searchsorted(ids, query_id))
-        if own < len(ids) and ids[own] == query_id:
+        own = place.get(int(row_no))
+        if own is not None:
             candidates[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
         at = best_rows(sums, candidates, k)
         bit = (sums[:, at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
-        score = (bit.astype(np.int64) << np.arange(len(sums), dtype=np.int64)[:, None]).sum(axis=0) + constant
-        found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at], "score": score}))
-    return pd.concat(found, ignore_index=True)
+        if len(sums) > 62:
+            yield at, [sum(1 << i for i, b in enumerate(column) if b) + constant for column in bit.T.tolist()]
+        else:
+            places = np.arange(len(sums), dtype=np.int64)[:, None]
+            yield at, [int(x) + constant for x in (bit.astype(np.int64) << places).sum(axis=0)]
 
 
-def search(blocks: DataFrame, groups: DataFrame, n_groups: int, k: int = K) -> DataFrame:
+def search(blocks: DataFrame, pages: DataFrame, n_blocks: int, n_pages: int, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best vectors of every query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                yield search_block(
-                    np.frombuffer(r.ids, "<i8"),
-                    np.frombuffer(r.low, "<i8"),
-                    np.frombuffer(r.slices, "<u8").reshape(r.dims, r.bits, -1),
-                    np.frombuffer(r.query_ids, "<i8"),
-                    np.frombuffer(r.queries, "<i8").reshape(-1, r.query_dims),
-                    k,
-                )
-
-    sent = blocks.withColumn("want", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).repartition("block", "want")
-    met = sent.join(groups, F.col("want") == F.col("grp"))
-    found = met.mapInPandas(run, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                rows, ids, unnamed = np.frombuffer(r.row_nos, "<i8"), np.frombuffer(r.ids, "<i8"), np.frombuffer(r.unnamed, bool)
+                asked, query_ids = np.frombuffer(r.query_rows, "<i8"), np.frombuffer(r.query_ids, "<i8")
+                nameless = np.frombuffer(r.query_unnamed, bool)
+                slices = np.frombuffer(r.slices, "<u8").reshape(r.dims, r.bits, -1)
+                queries = np.frombuffer(r.queries, "<i8").reshape(-1, r.query_dims)
+                found = list(search_block(rows, np.frombuffer(r.low, "<i8"), slices, asked, queries, k))
+                n = [len(at) for at, _ in found]
+                at = np.concatenate([at for at, _ in found]) if found else np.zeros(0, dtype=np.int64)
+                score = [x for _, scores in found for x in scores]
+                if any(not -(1 << 63) <= x < 1 << 63 for x in score):
+                    raise OverflowError("a score does not fit a long")
+                query_id, vec_id = pd.array(np.repeat(query_ids, n), dtype="Int64"), pd.array(ids[at], dtype="Int64")
+                query_id[np.repeat(nameless, n)], vec_id[unnamed[at]] = pd.NA, pd.NA
+                yield pd.DataFrame({"query_row": np.repeat(asked, n), "query_id": query_id, "vec_id": vec_id, "score": np.array(score, dtype=np.int64)})
+
+    tasks = 2 * blocks.sparkSession.sparkContext.defaultParallelism
+    copies = max(1, min(n_pages, -(-tasks // n_blocks)))  # of each block, where there are fewer blocks than tasks
+    placed = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    sent = pages.withColumns({"to": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))), "by": F.col("grp") % copies})
+    met = sent.join(placed, (F.col("to") == F.col("block")) & (F.col("by") == F.col("copy")))
+    found = met.mapInPandas(run, "query_row long, query_id long, vec_id long, score long")
+    order = "PARTITION BY query_row ORDER BY score DESC, vec_id ASC NULLS LAST"
+    ranked = found.withColumn("rank", F.expr(f"row_number() OVER ({order})")).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, levels: int = LEVELS) -> DataFrame:
     """The k best vectors for every row of ``vectors`` (``vec_id, embedding``) that is a query."""
     stored = staged(quantised(vectors, levels), "topk-vectors")
     n, m = stored.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    n_groups = max(1, -(-m // GROUP_QUERIES))
-    blocks = staged(index(stored, max(1, -(-n // BLOCK_ROWS))), "topk-index")
-    groups = staged(query_groups(stored.filter(is_query), n_groups), "topk-queries")
-    return search(blocks, groups, n_groups, k)
+    n_pages, n_blocks = max(1, -(-m // GROUP_QUERIES)), max(1, -(-n // BLOCK_ROWS))
+    blocks = staged(index(stored, n_blocks), "topk-index")
+    pages = staged(query_pages(stored.filter(is_query), n_pages), "topk-queries")
+    return search(blocks, pages, n_blocks, n_pages, k)
 
 
 ORACLE = f"""
-WITH v AS (SELECT vec_id, [CAST(floor({LEVELS} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, [CAST(floor({LEVELS} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
     WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
-    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {QUERY_EVERY} = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % {QUERY_EVERY} = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}
 """
 

@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -46,6 +49,40 @@ def test_decoding_survives_wrong_bits():
     assert best.tolist() == list(range(n)) and (chance.argmax(axis=1) == best).all()
 
 
+def test_identification_equals_brute_force_decoding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(docs)
+    found = {r.doc_id: r for r in language_id.identify(docs, model, "doc_id").collect()}
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        spaced = re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0][0].isalpha() else " ", (text or "").lower(), flags=re.S)
+        spaced = " " + re.sub(" +", " ", spaced) + " "
+        spaced = (" " if spaced.startswith(" ") and not (text or "x")[0].isalpha() else "") + spaced
+        if not any(c.isalpha() for c in text or ""):
+            assert (found[doc_id].lang_pred, found[doc_id].score) == ("und", 0.0)
+            continue
+        counts = language_id.ngram_counts(text)
+        assert abs(int(counts.sum()) - (3 * len(spaced) - 5)) <= 1
+        x = np.sqrt(counts / counts.sum())
+        margins = [float(sum(x[i] * model.weights[i, b] for i in np.flatnonzero(x)) + model.bias[b]) for b in range(model.code.shape[1])]
+        loss = [sum(t * math.exp(-max(-4.0, min(4.0, m * c))) for t, m, c in zip(model.trust, margins, word)) for word in model.code]
+        chance = [math.exp(-language_id.SHARPNESS * (v - min(loss)) / model.trust.sum()) for v in loss]
+        assert found[doc_id].lang_pred == model.languages[loss.index(min(loss))]
+        assert abs(found[doc_id].score - max(chance) / sum(chance)) < 1e-4
+        assert found[doc_id].ambiguous == (found[doc_id].score < language_id.AMBIGUOUS_BELOW)
+
+
+def test_slices_count_the_same_ngrams():
+    text = "Wörter, 12 жук!  漢字\n" * 50
+    whole = language_id.ngram_counts(text)
+    assert all((language_id.ngram_counts(text, n) == whole).all() for n in (1, 2, 3, 7, 1000))
+
+
+def test_every_language_has_its_share_of_the_sample(spark):
+    rows = [(i, f"alpha beta gamma {i}", "big") for i in range(3000)] + [(5000 + i, f"жук {i}", f"x{i % 30}") for i in range(120)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200)
+    assert set(model.languages) == {"big"} | {f"x{i}" for i in range(30)}
+
+
 @pytest.mark.parametrize("n", [2, 3, 5, 6, 7, 40])
 def test_codewords_differ(n):
     code = language_id.codebook(n)

@@ -8,25 +8,23 @@ from eventloom.llm import topk
 
 
 def brute(rows, k):
-    """The smallest vector per id, inner products of floors, own id left out."""
-    vectors = {}
+    """Inner products of floors; each row is a query or candidate of its own."""
+    vectors = []
     for vec_id, x in rows:
-        if vec_id is None or x is None or any(v is None or not math.isfinite(v) for v in x):
-            continue
-        q = [math.floor(256 * v) for v in x]
-        vectors[vec_id] = min(vectors.get(vec_id, q), q)
+        if x is not None and all(v is not None and math.isfinite(v) for v in x):
+            vectors.append((vec_id, [math.floor(256 * float(np.float32(v))) for v in x]))
     out = []
-    for a, q in vectors.items():
-        if a % 2:
+    for i, (a, q) in enumerate(vectors):
+        if a is None or a % 2:
             continue
-        scores = sorted((-sum(u * v for u, v in zip(q, p)), b) for b, p in vectors.items() if b != a)[:k]
-        out += [(a, i, b, -s) for i, (s, b) in enumerate(scores, 1)]
-    return sorted(out)
+        scores = sorted((-sum(u * v for u, v in zip(q, p)), b is None, b or 0) for j, (b, p) in enumerate(vectors) if j != i)[:k]
+        out += [(a, n, None if none else b, -s) for n, (s, none, b) in enumerate(scores, 1)]
+    return sorted(out, key=str)
 
 
 def run(spark, rows, k=5):
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS block", "3 AS q")
-    return sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 2 == 0, k).collect()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS block", "3 AS q", "4 AS row_no")
+    return sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 2 == 0, k).collect()), key=str)
 
 
 def test_equals_brute_force_with_ties_nulls_and_repeats(spark, monkeypatch):
@@ -35,7 +33,7 @@ def test_equals_brute_force_with_ties_nulls_and_repeats(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, (rng.integers(-4, 5, 6) / 8).astype("f4").tolist()) for i in range(150)]  # many equal scores
     rows += [(7, rows[7][1]), (8, [0.5] * 6), (None, [1.0] * 6), (900, None), (902, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (904, [float("nan")] * 6)]
-    rows += [(906, [float("inf")] * 6), (908, [0.25, 0.5]), (910, []), (912, [-900.0] * 6), (914, [0.0] * 6)]
+    rows += [(906, [float("inf")] * 6), (908, [0.25, 0.5]), (910, []), (912, [-900.0] * 6), (916, [1e6, -1e6, 70000.0, 0.0, 0.0, 0.0]), (914, [0.0] * 6)]
     assert run(spark, rows) == brute(rows, 5)
 
 
@@ -44,9 +42,19 @@ def test_few_vectors(spark, rows):
     assert run(spark, rows) == brute(rows, 5)
 
 
-def test_components_beyond_the_largest_take_no_part(spark):
-    rows = [(2, [1.0, 1.0]), (3, [1e30, 1.0]), (4, [2.0, 2.0])]
-    assert [(r[0], r[2]) for r in run(spark, rows)] == [(2, 4), (4, 2)]
+def test_large_components_take_part_and_beyond_a_long_is_an_error(spark):
+    rows = [(i, [1e6 * i, -1e6, 2.5, 3e7]) for i in range(2, 40)] + [(50, [1e7] * 4), (51, [-1e7] * 4), (52, [0.5] * 4)]
+    assert run(spark, rows, 7) == brute(rows, 7)
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, [(2, [1.0, 1.0]), (3, [1e30, 1.0])])
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, [(2, [1e12, 1.0]), (4, [1e12, 1.0])])
+
+
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    rows = [(2, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (None, [2.0, 0.0])]
+    found = run(spark, rows, 4)
+    assert found == brute(rows, 4) and len(found) == 12
 
 
 def test_bitmap_sums_equal_products():
