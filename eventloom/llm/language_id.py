@@ -160,31 +160,67 @@ class Model:
         )
 
 
-def fit(x: np.ndarray, lang: np.ndarray) -> Model:
+FIT_ROWS = 512  # of the sample that are spelt out at a time
+
+
+def invert_in_place(a: np.ndarray, size: int = FIT_ROWS) -> None:
+    """Replaces a symmetric positive definite matrix by its inverse, one block of columns after the other."""
+    n = len(a)
+    for start in range(0, n, size):
+        k = slice(start, min(start + size, n))
+        rest = np.r_[0:start, k.stop : n]
+        pivot = np.linalg.inv(a[k, k].astype(np.float64)).astype(a.dtype)
+        column = a[:, k].copy()
+        row = pivot @ a[k, :]
+        for low in range(0, len(rest), size):
+            at = rest[low : low + size]
+            a[at] -= column[at] @ row
+        a[k, :] = row
+        a[rest, k] = -column[rest] @ pivot
+        a[k, k] = pivot
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], lang: np.ndarray) -> Model:
     """Least-squares classifiers of all bits; ``trust`` is a bit's left-out accuracy above chance.
 
-    ``least_score`` loses ``CLEAN_LOST`` of the left-out rows that are predicted right, at most.
-    ``x`` is centred in place.
+    ``rows`` are the places and values of the sample's features. ``least_score`` loses
+    ``CLEAN_LOST`` of the left-out rows that are predicted right, at most.
     """
-    languages = sorted(set(lang))
-    code = codebook(len(languages))
-    y = code[np.searchsorted(languages, lang)]
-    share = 1.0 / np.bincount(np.searchsorted(languages, lang))[np.searchsorted(languages, lang)]
-    mean = (x * (share / share.sum())[:, None]).sum(axis=0).astype(np.float32)
-    x -= mean
-    kernel = x @ x.T  # single precision, inverted in place of a second double one
-    kernel[np.diag_indices(len(x))] += np.float32(RIDGE * len(x) ** 0.5)
-    bias = (y * (share / share.sum())[:, None]).sum(axis=0)
-    inverse = np.linalg.inv(kernel)
+    n, languages = len(rows), sorted(set(lang))
+    code, known = codebook(len(languages)), np.searchsorted(languages, lang)
+    y = code[known]
+    share = 1.0 / np.bincount(known)[known]
+    share /= share.sum()
+    mean = np.zeros(DIMS)
+    for (at, value), part in zip(rows, share, strict=True):
+        mean[at] += value * part
+    mean = mean.astype(np.float32)
+
+    def spelt(start: int) -> np.ndarray:
+        x = np.repeat(-mean[None], min(FIT_ROWS, n - start), axis=0)
+        for i in range(len(x)):
+            at, value = rows[start + i]
+            x[i, at] += value
+        return x
+
+    kernel = np.zeros((n, n), dtype=np.float32)
+    for i in range(0, n, FIT_ROWS):
+        left = spelt(i)
+        for j in range(0, i + 1, FIT_ROWS):
+            block = left @ spelt(j).T
+            kernel[i : i + len(left), j : j + block.shape[1]] = block
+            kernel[j : j + block.shape[1], i : i + len(left)] = block.T
+    kernel[np.diag_indices(n)] += np.float32(RIDGE * n**0.5)
+    invert_in_place(kernel)
+    bias = (y * share[:, None]).sum(axis=0)
+    alpha = (kernel @ (y - bias).astype(np.float32)).astype(np.float64)
+    left_out = y - alpha / np.diag(kernel).astype(np.float64)[:, None]  # leave-one-out margins
     del kernel
-    alpha = (inverse @ (y - bias).astype(np.float32)).astype(np.float64)
-    left_out = y - alpha / np.diag(inverse).astype(np.float64)[:, None]  # leave-one-out margins
-    del inverse
     trust = np.clip(2 * (np.sign(left_out) == y).mean(axis=0) - 1, 0.05, 1.0)
-    weights = x.T @ alpha.astype(np.float32)
+    weights = sum((spelt(i).T @ alpha[i : i + FIT_ROWS].astype(np.float32) for i in range(0, n, FIT_ROWS)), np.zeros((DIMS, code.shape[1]), np.float32))
     model = Model(languages, code, weights, (bias - mean @ weights).astype(np.float32), trust)
     best, chance = model.decode(left_out)
-    right = chance.max(axis=1)[best == np.searchsorted(languages, lang)]
+    right = chance.max(axis=1)[best == known]
     if len(right):
         model.least_score = min(CLEAN_BELOW, float(np.quantile(right, CLEAN_LOST, method="lower")))
     return model
@@ -221,11 +257,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
         return None
     rows = rows.sort_values(["lang", "at", "value"], kind="stable")
     lang = rows["lang"].to_numpy(dtype=object)
-    x = np.zeros((len(rows), DIMS), dtype=np.float32)
-    for i, (at, value) in enumerate(zip(rows["at"], rows["value"], strict=True)):
-        x[i, np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
+    sample = [(np.frombuffer(at, "<u2"), np.frombuffer(value, "<f4")) for at, value in zip(rows["at"], rows["value"], strict=True)]
     del rows
-    return fit(x, lang)
+    return fit(sample, lang)
 
 
 def identify(docs: DataFrame, model: Model | None, *keep: str, text: str = "text") -> DataFrame:

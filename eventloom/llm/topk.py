@@ -32,8 +32,8 @@ from .common import staged, table
 from .registry import query
 
 LEVELS = 256
-LARGEST = 1 << 62
-BLOCK_ROWS = 1 << 15
+LARGEST = 1 << 61
+BLOCK_ROWS = 1 << 14
 GROUP_QUERIES = 256
 K = 5
 QUERY_EVERY = 50
@@ -170,6 +170,16 @@ def best_rows(sums: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([sure, _places(open_)[: k - len(sure)]])
 
 
+def signed_digits(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers whose difference is ``q`` and whose bits are fewest (no two neighbouring digits)."""
+    size = np.abs(q)
+    half = size >> 1
+    both = size + half
+    changed = half ^ both
+    plus, minus = both & changed, half & changed
+    return np.where(q >= 0, plus, minus), np.where(q >= 0, minus, plus)
+
+
 def search_block(row_nos: np.ndarray, low: np.ndarray, slices: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int):
     """Per query the places and scores of its k best rows of one block, its own row left out."""
     dims, bits, words = slices.shape
@@ -183,7 +193,7 @@ def search_block(row_nos: np.ndarray, low: np.ndarray, slices: np.ndarray, query
     lows = [int(x) for x in low[:shared]]
     for row_no, q in zip(query_rows, queries[:, :shared], strict=True):
         weights = np.zeros(2 * dims, dtype=np.int64)
-        weights[:shared], weights[dims : dims + shared] = np.maximum(q, 0), np.maximum(-q, 0)
+        weights[:shared], weights[dims : dims + shared] = signed_digits(q)
         # Python's integers: these may lie beyond a long where the score does not
         constant = sum(int(a) * b for a, b in zip(q, lows)) - most * sum(int(w) for w in weights[dims:])
         sums = weighted_sum(signed, weights)

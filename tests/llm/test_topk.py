@@ -43,7 +43,7 @@ def test_few_vectors(spark, rows):
 
 
 def test_large_components_take_part_and_beyond_a_long_is_an_error(spark):
-    rows = [(i, [1e6 * i, -1e6, 2.5, 3e7]) for i in range(2, 40)] + [(50, [1e7] * 4), (51, [-1e7] * 4), (52, [0.5] * 4)]
+    rows = [(i, [1e5 * i, -1e6, 2.5, 3e6]) for i in range(2, 40)] + [(50, [1e6] * 4), (51, [-1e6] * 4), (52, [0.5] * 4)]
     assert run(spark, rows, 7) == brute(rows, 7)
     with pytest.raises(Exception, match="does not fit a long"):
         run(spark, [(2, [1.0, 1.0]), (3, [1e30, 1.0])])
