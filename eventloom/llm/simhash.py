@@ -15,7 +15,8 @@ finds pairs by bands of least hashes and verifies each on the whole sets. Texts
 are one node, null and empty texts too; texts of fewer words than a shingle are one shingle.
 Each text of a bucket first meets the one that most buckets share; then, in rounds, texts of one
 bucket that are still in different components meet: all of them where a bucket has at most
-``SMALL`` texts, else in the finer buckets of two bands. Rounds end when one joins nothing.
+``SMALL`` texts, else in the finer buckets of a band and one of the ``NEXT`` after it. Rounds end
+when one joins nothing.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ STAGE_SHINGLE = 5
 STAGE_PERCENT = 80
 BANDS, BAND_ROWS = 20, 5  # a pair of similarity s shares a band with chance 1 - (1 - s^5)^20
 SMALL = 64
+NEXT = 4  # texts of similarity 0.8 share a finer bucket with chance 0.98
 UNLIKE = 33  # of 100 two-bit hashes; a pair of similarity 0.8 differs in more with chance 4e-6
 
 
@@ -230,9 +232,9 @@ def similar_roots(texts: DataFrame, prints: DataFrame, shingle: int, percent: in
         sizes = staged(open_groups(rows), "near-open")
         rows = staged(rows.join(sizes, "group"), "near-rows")
         wide = rows.filter(F.col("rows") > SMALL)
-        halves = wide.select("key", F.col("band").alias("band_2"), F.col("group").alias("group_2"))
-        finer = wide.drop("rows").join(halves, "key").filter("band < band_2")
-        finer = finer.withColumn("group", F.xxhash64("group", "group_2")).drop("band_2", "group_2")
+        after = F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda i: F.struct(i.alias("i"), F.get("bands", (F.col("band") + i) % BANDS).alias("b")))
+        finer = wide.drop("rows").join(nodes.select("key", "bands"), "key").withColumn("after", F.explode(after))
+        finer = finer.withColumn("group", F.xxhash64("group", "after")).drop("after", "bands")
         narrow = staged(finer.join(open_groups(finer), "group"), "near-finer")
         pairs = [
             crossed(rows.filter(F.col("rows") <= SMALL), percent),
