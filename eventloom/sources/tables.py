@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,21 +11,25 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
-from ..operators.merge import first_per_key, held_keys
+from ..operators.merge import first_per_key
 from ..session import durable
 
-_BUCKET, _EPOCH, _SOURCE = "bucket", "_epoch", "_source"
-_EMPTY = "(no rows)"  # stands in for a bucket that has lost all of its rows
+_BUCKET, _SOURCE, _APPLIED, _VERSION, _KNOWN = "bucket", "_source", "_applied", "_version", "_known"
+_GONE = "(gone)"  # marks the version of a row that deletes it
 
 
 class KeyedTable:
-    """A Parquet table laid out in hash buckets of its key, one writer at a time.
+    """A Parquet table with one row per key, one writer at a time.
 
-    An append looks for stored keys in the buckets that hold one of its keys, in all of their
-    history; an upsert rewrites those buckets and leaves every other file alone.  ``buckets`` is
-    fixed for the life of a table.  Each row carries the epoch that wrote it last, so a replayed
-    micro-batch leaves the buckets alone that it has reached before.  A rewrite deletes the old
-    files of its buckets: call ``read`` anew for every use.
+    ``base`` holds rows in hash buckets of their key, ``log`` newer versions of some of them. An
+    append looks for stored keys and adds files to the base; an upsert adds the new versions of the
+    batch's keys to the log, so what it writes follows the batch, not the table. ``read`` takes the
+    log's last version of a key before the base's row. ``compact`` moves the log into the base: run
+    it between micro-batches, when the log has grown beyond what readers should join.
+
+    Each row says which epoch of which writer it has seen last, so a replayed micro-batch leaves the
+    keys alone that it has reached before, also if another query has written them since. A writer
+    is a query: a new checkpoint is a new writer.
 
     Without ``keys`` the rows are keyed by the place of their message.
     """
@@ -36,20 +41,50 @@ class KeyedTable:
         self.keys = list(keys) or [f"_{c}" for c in self.PLACE]
         kept = schema if keys else T.StructType([*schema.fields, *T.StructType.fromDDL("_partition int, _offset bigint").fields])
         self._rows = kept
-        self._stored_schema = T.StructType([*kept.fields, *T.StructType.fromDDL(f"{_EPOCH} bigint, {_SOURCE} string, {_BUCKET} int").fields])
+        marks = T.StructType.fromDDL(f"{_APPLIED} map<string,bigint>, {_VERSION} bigint, {_KNOWN} boolean, {_SOURCE} string, {_BUCKET} int")
+        self._stored_schema = T.StructType([*kept.fields, *marks.fields])
 
-    def _stored(self, buckets: list[int] | None = None) -> DataFrame:
+    def _files(self, layer: str) -> DataFrame | None:
         try:
-            df = self.spark.read.schema(self._stored_schema).parquet(self.path)
+            return self.spark.read.schema(self._stored_schema).parquet(f"{self.path}/{layer}")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
-            df = self.spark.createDataFrame([], self._stored_schema)
-        df = df.filter(F.coalesce(F.col(_SOURCE) != _EMPTY, F.lit(True)))
-        return df if buckets is None else df.filter(F.col(_BUCKET).isin(buckets))
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            folder = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if folder.exists(path) and not folder.getFileStatus(path).isDirectory():
+                raise
+            return None
+
+    def _latest(self, wanted: DataFrame | None = None) -> DataFrame:
+        """The stored rows, those of ``wanted`` keys if given, with their marks."""
+        base, log = (self._narrow(self._files(layer), wanted) for layer in ("base", "log"))
+        if base is None and log is None:
+            return self.spark.createDataFrame([], self._stored_schema)
+        if log is None:
+            return base
+        names = self._stored_schema.fieldNames()
+        last = log.groupBy(*self.keys).agg(F.max_by(F.struct(*names), _VERSION).alias("_r")).select("_r.*")
+        live = last.filter(~F.col(_SOURCE).eqNullSafe(F.lit(_GONE)))
+        if base is None:
+            return live
+        older = log.groupBy(*self.keys).agg(F.max(_VERSION).alias("_last"))  # a key may be appended again after its deletion
+        newer = self._same(base, older) & (base[_VERSION] <= older["_last"])
+        return base.join(older, newer, "left_anti").select(*names).unionByName(live)
+
+    def _same(self, a: DataFrame, b: DataFrame):
+        condition = F.lit(True)
+        for k in self.keys:
+            condition = condition & a[k].eqNullSafe(b[k])
+        return condition
+
+    def _narrow(self, df: DataFrame | None, wanted: DataFrame | None) -> DataFrame | None:
+        if df is None or wanted is None:
+            return df
+        return df.join(wanted, self._same(df, wanted) & (df[_BUCKET] == wanted[_BUCKET]), "left_semi")
 
     def read(self) -> DataFrame:
-        return self._stored().select(*self.schema.fieldNames())
+        return self._latest().select(*self.schema.fieldNames())
 
     def _place(self, batch: DataFrame) -> DataFrame:
         if "_offset" in self.keys and "_offset" not in batch.columns:
@@ -57,62 +92,87 @@ class KeyedTable:
         keys = [F.col(k).cast(self._rows[k].dataType) for k in self.keys]
         return batch.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
 
-    @staticmethod
-    def _buckets(df: DataFrame) -> list[int]:
-        return sorted(r[0] for r in df.select(_BUCKET).distinct().collect())  # at most the number of buckets
-
-    def _write(self, df: DataFrame, mode: str) -> None:
-        columns = self._stored_schema.fieldNames()
-        df.select(*columns).hint("rebalance", _BUCKET).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(
-            _BUCKET
-        ).parquet(self.path)
+    def _wanted(self, placed: DataFrame) -> DataFrame:
+        return placed.select(*[F.col(k).cast(self._rows[k].dataType).alias(k) for k in self.keys], _BUCKET).distinct()
 
     def held(self, batch: DataFrame) -> DataFrame:
-        """Key and ``_source`` of the stored rows in the buckets of the batch's keys."""
-        return self._stored(self._buckets(self._place(batch))).select(*self.keys, _SOURCE)
+        """Key and ``_source`` of the stored rows of the batch's keys."""
+        return self._latest(self._wanted(self._place(batch))).select(*self.keys, _SOURCE)
+
+    def _version(self) -> int:
+        """Later than any version before: one writer at a time, by its clock."""
+        return time.time_ns()
 
     def append_new(self, batch: DataFrame, order: list[str], source: str | None = None) -> None:
         """Append the first row of each key that is not stored yet; ``source`` names a column to keep beside it."""
         placed = self._place(batch)
-        touched = self._buckets(placed)
-        if not touched:
-            return
-        stored = self._stored(touched).select(*self._rows.fieldNames())
-        extra = {_SOURCE: F.col(source) if source else F.lit(None).cast("string"), _EPOCH: F.lit(-1).cast("bigint")}
-        rows = placed.withColumns(extra)
-        fresh = first_per_key(rows.join(held_keys(stored, rows, self.keys), self.keys, "left_anti"), self.keys, order)
-        self._write(fresh, "append")
-
-    def upsert(self, batch: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame], epoch: int | None = None) -> None:
-        """Replace the touched buckets by ``apply(their rows, batch)``.
-
-        Buckets that ``epoch`` has written are left alone.  The new rows go to the shared folder
-        first, because the files to overwrite are being read.
+        stored = self._latest(self._wanted(placed)).select(*self.keys)
+        none = {_APPLIED: F.lit(None).cast("map<string,bigint>"), _VERSION: F.lit(self._version()), _KNOWN: F.lit(False)}
+        rows = placed.withColumns(none | {_SOURCE: F.col(source) if source else F.lit(None).cast("string")})
+        fresh = first_per_key(rows.join(stored, self._same(rows, stored), "left_anti"), self.keys, order)
+        typed = fresh.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._stored_schema.fields])
+        typed.hint("rebalance", _BUCKET).write.mode("append").partitionBy(_BUCKET).parquet(f"{self.path}/base")
+
+    def upsert(
+        self, batch: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame], epoch: int | None = None, writer: str = "", removes: bool = True
+    ) -> None:
+        """Replace the stored rows of the batch's keys by ``apply(these rows, batch)``.
+
+        Keys that ``epoch`` of ``writer`` has reached before are left alone. Stored rows that
+        ``apply`` leaves out are deleted; ``removes=False`` says that it leaves out none.
         """
-        placed = self._place(batch)
-        touched = self._buckets(placed)
-        if epoch is not None and touched:
-            last = self._stored(touched).groupBy(_BUCKET).agg(F.max(_EPOCH).alias("e")).filter(F.col("e") >= epoch)
-            written = set(self._buckets(last))
-            touched = [b for b in touched if b not in written]
+        placed, names = self._place(batch), self._rows.fieldNames()
+        held = self._latest(self._wanted(placed))
+        seen = F.coalesce(F.col(f"{_APPLIED}")[writer], F.lit(-1))
+        if epoch is not None:
+            done = held.filter(seen >= epoch).select(*self.keys)
+            placed = placed.join(done, self._same(placed, done), "left_anti")
+            held = held.filter(seen < epoch)
+        merged = apply(held.select(*names), placed.drop(_BUCKET)).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._rows.fields])
+        marks = held.select(*[F.col(k).alias(f"_k_{k}") for k in self.keys], F.col(_APPLIED).alias("_before"), F.lit(True).alias("_was"))
+        same = F.lit(True)
+        for k in self.keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        both = merged.withColumn("_is", F.lit(True)).join(marks, same, "full" if removes else "left")
+        before = F.coalesce("_before", F.create_map().cast("map<string,bigint>"))
+        mine = F.create_map(F.lit(writer), F.lit(-1 if epoch is None else epoch).cast("bigint"))
+        applied = F.map_concat(F.map_filter(before, lambda k, _: k != writer), mine) if epoch is not None else before
+        stamped = both.withColumns(
+            {k: F.coalesce(k, f"_k_{k}") for k in self.keys}
+            | {_APPLIED: applied, _VERSION: F.lit(self._version()), _KNOWN: F.coalesce("_was", F.lit(False))}
+            | {_SOURCE: F.when(F.col("_is").isNull(), F.lit(_GONE))}
+        )
+        rows = self._place(stamped).select(*self._stored_schema.fieldNames())
+        rows.hint("rebalance").write.mode("append").parquet(f"{self.path}/log")
+
+    def changes(self, epoch: int, writer: str = "") -> DataFrame:
+        """The rows that ``epoch`` of ``writer`` wrote last, and ``_known``: whether their keys were stored before."""
+        log = self._files("log")
+        if log is None:
+            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField(_KNOWN, T.BooleanType())]))
+        mine = log.filter((F.col(_APPLIED)[writer] == epoch) & ~F.col(_SOURCE).eqNullSafe(F.lit(_GONE)))
+        last = mine.groupBy(*self.keys).agg(F.max_by(F.struct(*self._stored_schema.fieldNames()), _VERSION).alias("_r"))
+        return last.select(*[f"_r.{n}" for n in self.schema.fieldNames()], f"_r.{_KNOWN}")
+
+    def compact(self) -> None:
+        """Move the log's rows into the base buckets they belong to.
+
+        The base is written before the log is emptied; a compaction that broke off is run again.
+        """
+        log = self._files("log")
+        if log is None:
+            return
+        read = log.inputFiles()
+        touched = sorted(r[0] for r in log.select(_BUCKET).distinct().collect())  # at most the number of buckets
         if not touched:
             return
-        names = self._rows.fieldNames()
-        mine = placed.filter(F.col(_BUCKET).isin(touched)).drop(_BUCKET)
-        stored = self._stored(touched)
-        before = stored.groupBy(_BUCKET).agg(F.max(_EPOCH).alias("_before"))
-        merged = self._place(apply(stored.select(*names), mine).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._rows.fields]))
-        stamped = merged.join(before, _BUCKET, "left").withColumns(
-            {_EPOCH: F.greatest("_before", F.lit(-1 if epoch is None else epoch)).cast("bigint"), _SOURCE: F.lit(None).cast("string")}
-        )
-        rows = durable(stamped.select(*self._stored_schema.fieldNames()))
-        emptied = sorted(set(touched) - set(self._buckets(rows)))
-        if emptied:
-            none = self.spark.createDataFrame([(b,) for b in emptied], f"{_BUCKET} int")
-            nulls = {f.name: F.lit(None).cast(f.dataType) for f in self._rows.fields}
-            marks = {_EPOCH: F.lit(-1 if epoch is None else epoch).cast("bigint"), _SOURCE: F.lit(_EMPTY)}
-            rows = rows.unionByName(none.withColumns(nulls | marks))
-        self._write(rows, "overwrite")
+        rows = durable(self._latest().filter(F.col(_BUCKET).isin(touched)))
+        present = {r[0] for r in rows.select(_BUCKET).distinct().collect()}
+        rows.hint("rebalance", _BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(f"{self.path}/base")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        paths = [hadoop.Path(p) for p in (*read, *(f"{self.path}/base/{_BUCKET}={b}" for b in touched if b not in present))]
+        for path in paths:
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_fact(df: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -28,7 +28,7 @@ def members_table(out: Outputs) -> KeyedTable:
 
 def _replace(table: KeyedTable, changed: DataFrame) -> None:
     """Put changed rows in the place of the stored ones of their keys."""
-    table.upsert(durable(typed(changed, table)), lambda held, new: L.replace_rows(held, new, table.keys))
+    table.upsert(durable(typed(changed, table)), lambda held, new: L.replace_rows(held, new, table.keys), removes=False)
 
 
 def ledger_step(
@@ -75,7 +75,10 @@ def ledger_step(
     failed = durable(L.dispatch_failed(after_batches, failures, max_attempts, as_of))
     _replace(batches, L.replace_rows(after_batches, failed, ["batch_id"]))
     _replace(jobs, L.jobs_after_failure(after_jobs, L.replace_rows(after_batches, failed, ["batch_id"]), failures, as_of))
-    errors = L.error_log(failures, as_of).withColumns({"partition": F.lit(-1), "offset": F.xxhash64("error_text", F.lit(as_of))})
+    # equal failures of a step (at most dispatch_limit) are entries of their own
+    number = F.expr("row_number() OVER (PARTITION BY error_text ORDER BY created_at)")
+    errors = L.error_log(failures, as_of).withColumn("number", number)
+    errors = errors.withColumns({"partition": F.lit(-1), "offset": F.xxhash64("error_text", "number", F.lit(as_of))})
     out.table("sync_errors").append_new(errors, ["offset"])
     out.send(records)
 
@@ -106,3 +109,4 @@ def retention_step(out: Outputs, as_of: str, archive: str, keep_days: int = 30,
     events.upsert(dropped, retention.prune)
     left = events.read().join(cold.select(*L.EVENT_KEY), L.EVENT_KEY, "left_semi")
     _replace(events, left.withColumn("payload", F.lit(None).cast("string")))
+    events.compact()

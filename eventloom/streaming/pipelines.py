@@ -1,15 +1,18 @@
 """The streams: topic in, operators per micro-batch, tables and topics out.
 
-Each function starts one query.  State lives in ``KeyedTable`` s, whose buckets skip a
-micro-batch they have already written, so a restart from the query's checkpoint
-repeats no effect.  Records sent to topics are at-least-once, like the Kafka sink.
+Each function starts one query.  State lives in ``KeyedTable`` s, whose rows know the last epoch
+of each query that they have seen, so a restart from a query's checkpoint repeats no effect and
+a query with a new checkpoint loses none.  Records sent to topics are at-least-once, like the
+Kafka sink.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from ..functions.hashing import md5_batch_id
 from ..functions.timestamps import parse_lenient_timestamp
 from ..operators import alerts, dead_letter, detect, generic, ledger, normalize, retention, tables
 from ..operators.filters import filter_reply_topic
-from ..session import durable
+from ..session import durable, run_folder
 from ..sources import messages, payload
 from ..sources.tables import KeyedTable
 from ..sources.topics import write_topic
@@ -65,6 +68,11 @@ def utc_now() -> str:
     return dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a started query has in its checkpoint, for as long as the checkpoint lives."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
@@ -97,7 +105,8 @@ def stream_scan_ingest(
             if tombstones:
                 good = retention.tombstone_filter(good, out.table("sync_event_tombstones").read(), now)
             events = out.table("sync_events")
-            events.upsert(good, lambda held, new: tables.upsert_scan_requests(held, new, ["partition", "offset"], now), epoch)
+            writer = query_id(out.spark, checkpoint)
+            events.upsert(good, lambda held, new: tables.upsert_scan_requests(held, new, ["partition", "offset"], now), epoch, writer, removes=False)
         finally:
             batch.unpersist()
 
@@ -133,12 +142,6 @@ def _fitting(rows: DataFrame, table: KeyedTable) -> DataFrame:
     return checked.withColumns({f.name: F.col(f.name).try_cast(f.dataType) for f in wider})
 
 
-def _first_errors(rows: DataFrame) -> DataFrame:
-    """``partition, offset, row_error``: the first error of every work item that has one."""
-    bad = normalize.invalid_rows(rows)
-    return bad.groupBy(*PLACE).agg(F.min_by("error", "row_sequence").alias("row_error"))
-
-
 def _repeated(rows: DataFrame, table: KeyedTable) -> DataFrame:
     """Items with a row whose key belongs to another batch, stored or earlier in the micro-batch.
 
@@ -168,65 +171,126 @@ def _repeated(rows: DataFrame, table: KeyedTable) -> DataFrame:
         refused = durable(refused.unionByName(found))
 
 
-def _load_target(target: str, rows: DataFrame, out: Outputs, now: str, epoch: int) -> DataFrame:
-    """Write one target's normalised rows; returns ``partition, offset, row_count, row_error`` per item.
+BLOCKED = "proxy.blocked"  # the blocked-host facts beside the ten targets
+
+
+def _load_table(target: str) -> str:
+    if target == BLOCKED:
+        return "proxy_blocked_host_rollups"
+    if target in alerts.ALERT_BUILDERS:
+        return "wireless_alerts"
+    return _FACT_TABLE.get(target, "wireless_client_inventory")
+
+
+def staged_rows(ready: DataFrame, out: Outputs, present: list[str]) -> DataFrame:
+    """The normalised rows of all targets in one stored table, partitioned by target.
+
+    Each target has a column of its own for its rows, so one plan and one write serve them all.
+    ``error`` is the error of a row, also where a column cannot hold its value.
+    """
+    parts = {}
+    for target in present:
+        loads = ready.filter(F.col("target") == target)
+        rows = normalize.normalize(payload.rows_for_target(loads, target), target, ("batch_id", *PLACE))
+        parts[target] = _fitting(rows, out.table(_load_table(target)))
+        if target == "proxy.events":
+            valid = normalize.valid_rows(parts[target]).withColumn("error", F.lit(None).cast("string"))
+            parts[BLOCKED] = _fitting(normalize.extract_blocked(valid, keep=PLACE), out.table(_load_table(BLOCKED)))
+            parts[target] = parts[target].drop("row")
+    names = {target: "rows_" + target.replace(".", "_") for target in parts}
+    kinds = {target: df.schema for target, df in parts.items()}
+    shaped = [
+        df.select(
+            F.lit(target).alias("target"),
+            *PLACE,
+            "row_sequence",
+            F.col("error").alias("row_error"),
+            *[(F.struct(*df.columns) if t == target else F.lit(None).cast(kinds[t])).alias(names[t]) for t in parts],
+        )
+        for target, df in parts.items()
+    ]
+    whole, path = reduce(DataFrame.unionByName, shaped), run_folder(out.spark, "load")
+    whole.write.partitionBy("target").parquet(path)
+    return out.spark.read.schema(whole.schema).parquet(path)
+
+
+def _of_target(staged: DataFrame, target: str, failed: DataFrame | None = None) -> DataFrame:
+    """A target's rows without those that have an error or belong to a failed item."""
+    mine = staged.filter((F.col("target") == target) & F.col("row_error").isNull())
+    kept = mine if failed is None else mine.join(failed.select(*PLACE), PLACE, "left_anti")
+    return kept.select("rows_" + target.replace(".", "_") + ".*").drop("error")
+
+
+def _load(ready: DataFrame, out: Outputs, now: str, epoch: int, writer: str) -> DataFrame:
+    """Write the rows of resolved work items; returns ``partition, offset, row_count, row_error`` per item.
 
     An item with a bad row is refused as a whole, the others proceed.
     """
-    is_alert = target in alerts.ALERT_BUILDERS
-    inventory = target == "wireless.client.inventory"
-    table = out.table("wireless_alerts" if is_alert else "wireless_client_inventory" if inventory else _FACT_TABLE[target])
-    order = [*PLACE, "row_sequence"]
-    checked = durable(_fitting(rows, table))
-    failed = _first_errors(checked)
-    if target == "proxy.events":
-        blocked = normalize.extract_blocked(normalize.valid_rows(checked).withColumn("error", F.lit(None).cast("string")), keep=PLACE)
-        blocked = _fitting(blocked, out.table("proxy_blocked_host_rollups"))
-        failed = failed.unionByName(_first_errors(blocked)).groupBy(*PLACE).agg(F.min("row_error").alias("row_error"))
-    good = normalize.valid_rows(checked).join(failed.select(*PLACE), PLACE, "left_anti")
-    if target == "proxy.payload_audit":
-        repeated = _repeated(_typed_with(good, table, [*order, "batch_id"]), table)
-        failed = failed.unionByName(repeated.withColumn("row_error", F.lit("duplicate key in proxy_payload_audit")))
-        good = good.join(repeated, PLACE, "left_anti")
-    failed = durable(failed)
-    counts = checked.groupBy(*PLACE).agg(F.count("*").alias("row_count"))
-    if is_alert:
-        batch = alerts.ALERT_BUILDERS[target](good, now)
-        _upsert_alerts(out, batch, tables.upsert_alerts, now)
-    elif inventory:
-        table.upsert(_typed_with(good, table, order), lambda held, new: typed(tables.upsert_client_inventory(held, new, order), table))
-    else:
-        now_column = F.lit(now).cast("timestamp_ntz")
-        stamped = good if "created_at" in good.columns else good.withColumn("created_at", now_column)
+    present = [r["target"] for r in ready.select("target").distinct().collect()]  # at most ten targets
+    if not present:
+        return out.spark.createDataFrame([], "partition int, offset bigint, row_count bigint, row_error string")
+    order, staged = [*PLACE, "row_sequence"], staged_rows(ready, out, [t for t in schemas.TARGETS if t in present])
+    own = F.when(F.col("target") != BLOCKED, 1)
+    place = F.when(F.col("row_error").isNotNull(), F.struct("row_sequence", "target"))
+    items = staged.groupBy(*PLACE).agg(F.count(own).alias("row_count"), F.min_by("row_error", place).alias("row_error"))
+    if "proxy.payload_audit" in present:
+        audit = out.table("proxy_payload_audit")
+        items = durable(items)
+        sound = _of_target(staged, "proxy.payload_audit", items.filter("row_error IS NOT NULL"))
+        repeated = _repeated(_typed_with(sound, audit, [*order, "batch_id"]), audit).withColumn("_again", F.lit("duplicate key in proxy_payload_audit"))
+        items = items.join(repeated, PLACE, "left").select(*PLACE, "row_count", F.coalesce("row_error", "_again").alias("row_error"))
+    items = durable(items)
+    failed = items.filter("row_error IS NOT NULL")
+    good = {t: _of_target(staged, t, failed) for t in present}
+
+    for target in [t for t in _FACT_TABLE if t in good]:
+        table, rows = out.table(_FACT_TABLE[target]), good[target]
+        stamped = rows if "created_at" in rows.columns else rows.withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
         table.append_new(_typed_with(stamped, table, [*order, "batch_id"]), order, source="batch_id")
-        if target == "proxy.events":
-            rollup = out.table("proxy_blocked_host_rollups")
-            kept = normalize.valid_rows(blocked).join(failed.select(*PLACE), PLACE, "left_anti")
-            rollup.upsert(kept, lambda held, new: typed(tables.upsert_blocked_rollup(held, new, order, now), rollup), epoch)
-        if target == "wireless.audit":
-            sensors = out.table("wireless_sensors")
-            first_stored = F.coalesce("created_at", now_column)
-            sensors.upsert(
-                good, lambda held, new: typed(tables.upsert_sensors(held, new, order).withColumn("created_at", first_stored), sensors)
-            )
-        if target == "audit.wireless.bandwidth":
-            _upsert_alerts(out, alerts.bandwidth_alerts(good, now), tables.upsert_bandwidth_alerts, now)
-    return counts.join(failed, PLACE, "left").select(*PLACE, "row_count", "row_error")
+    if "wireless.client.inventory" in good:
+        table = out.table("wireless_client_inventory")
+        batch = _typed_with(good["wireless.client.inventory"], table, order)
+        table.upsert(batch, lambda held, new: typed(tables.upsert_client_inventory(held, new, order), table), removes=False)
+    if "proxy.events" in good:
+        rollup = out.table("proxy_blocked_host_rollups")
+        blocked = _of_target(staged, BLOCKED, failed)
+        rollup.upsert(blocked, lambda held, new: typed(tables.upsert_blocked_rollup(held, new, order, now), rollup), epoch, writer, removes=False)
+    if "wireless.audit" in good:
+        sensors = out.table("wireless_sensors")
+        first_stored = F.coalesce("created_at", F.lit(now).cast("timestamp_ntz"))
+        sensors.upsert(
+            good["wireless.audit"],
+            lambda held, new: typed(tables.upsert_sensors(held, new, order).withColumn("created_at", first_stored), sensors),
+            removes=False,
+        )
+    raised = [alerts.ALERT_BUILDERS[t](good[t], now) for t in good if t in alerts.ALERT_BUILDERS]
+    if "audit.wireless.bandwidth" in good:
+        raised.append(alerts.bandwidth_alerts(good["audit.wireless.bandwidth"], now))
+    if raised:
+        _upsert_alerts(out, [typed(df, out.table("wireless_alerts")) for df in raised], now, epoch, writer)
+    return items
 
 
-def _upsert_alerts(out: Outputs, batch: DataFrame, upsert: Callable, now: str) -> None:
-    """Merge alerts and append what changed to the alerts ledger, first the ledger."""
+def _upsert_alerts(out: Outputs, raised: list[DataFrame], now: str, epoch: int, writer: str) -> None:
+    """Merge alerts of all kinds, then append what changed to the alerts ledger.
+
+    A replay finds the changes of its first run in the table, so the ledger misses none.
+    """
     table, log = out.table("wireless_alerts"), out.table("wireless_alerts_ledger")
+    by_window = F.col("alert_type") == "bandwidth_threshold"
+    seq = ["batch_id", "row_sequence"]
 
     def apply(held: DataFrame, new: DataFrame) -> DataFrame:
-        merged = typed(upsert(held, new, ["batch_id", "row_sequence"]), table)
-        entries = tables.alerts_ledger(held, merged, now)
-        # the table's key is generated: name an entry by what it says
-        said = F.xxhash64("alert_type", "batch_id", "row_sequence", "ledger_action", "captured_at")
-        log.append_new(entries.withColumns({"partition": F.lit(-1), "offset": said}), ["offset"])
-        return merged
+        others = tables.upsert_alerts(held.filter(~by_window), new.filter(~by_window), seq)
+        windows = tables.upsert_bandwidth_alerts(held.filter(by_window), new.filter(by_window), seq)
+        return typed(others, table).unionByName(typed(windows, table))
 
-    table.upsert(batch, apply)
+    table.upsert(reduce(DataFrame.unionByName, raised), apply, epoch, writer, removes=False)
+    action = F.when(F.col("_known"), "update").otherwise("insert")
+    entries = table.changes(epoch, writer).withColumns({"ledger_action": action, "captured_at": F.col("updated_at")})
+    # the table's key is generated: name an entry by what it says
+    said = F.xxhash64("alert_type", "batch_id", "row_sequence", "ledger_action", "captured_at")
+    log.append_new(_typed_with(entries.withColumns({"partition": F.lit(-1), "offset": said}), log, PLACE), ["offset"])
 
 
 def _typed_with(df: DataFrame, table: KeyedTable, extra: list[str]) -> DataFrame:
@@ -258,16 +322,7 @@ def stream_load(
         kept = [resolved.persist()]
         try:
             out.send(dead_letter.records(bad, topic, dead_letter.dlq_load(), F.col("key")))
-            ready = resolved.filter(F.col("error").isNull())
-            present = [r["target"] for r in ready.select("target").distinct().collect()]  # at most ten targets
-            done = None
-            for target in [t for t in schemas.TARGETS if t in present]:
-                loads = ready.filter(F.col("target") == target)
-                rows = normalize.normalize(payload.rows_for_target(loads, target), target, ("batch_id", *PLACE))
-                part = _load_target(target, rows, out, now, epoch)
-                done = part if done is None else done.unionByName(part)
-            if done is None:
-                done = out.spark.createDataFrame([], "partition int, offset bigint, row_count bigint, row_error string")
+            done = _load(resolved.filter(F.col("error").isNull()), out, now, epoch, query_id(out.spark, checkpoint))
             text = F.coalesce("error", "row_error")
             outcome = resolved.join(done, PLACE, "left").withColumns(
                 {
@@ -313,7 +368,7 @@ def stream_generic_sink(
                 if table.keys[-1] == "_offset":  # the key is generated: every envelope is a row of its own
                     table.append_new(rows, PLACE)
                 else:
-                    table.upsert(rows, lambda held, new, t=table: tables.upsert_generic(held, new, t.keys, PLACE))
+                    table.upsert(rows, lambda held, new, t=table: tables.upsert_generic(held, new, t.keys, PLACE), removes=False)
         finally:
             batch.unpersist()
 
@@ -394,7 +449,8 @@ def stream_probe_flush(
             good = rows.join(bad, ["partition", "offset"], "left_anti")
             known = detect.probe_known_bssid(good, networks())
             clients = out.table("wireless_clients")
-            clients.upsert(known, lambda held, new: tables.upsert_wireless_clients(held, new, ["pos"]), epoch)
+            writer = query_id(out.spark, checkpoint)
+            clients.upsert(known, lambda held, new: tables.upsert_wireless_clients(held, new, ["pos"]), epoch, writer, removes=False)
         finally:
             batch.unpersist()
 
@@ -418,8 +474,9 @@ def stream_shadow_alerts(
         try:
             table = out.table("wireless_shadow_alerts")
             stamp = {"reason": F.lit(detect.SHADOW_REASON), "evidence": detect.shadow_evidence(window_seconds)}
-            table.upsert(found, lambda held, new: typed(tables.upsert_shadow_alerts(held, new, now).withColumns(stamp), table), epoch)
-            changed = table.read().join(found.select("source_mac").distinct(), "source_mac", "left_semi")
+            writer = query_id(out.spark, checkpoint)
+            table.upsert(found, lambda held, new: typed(tables.upsert_shadow_alerts(held, new, now).withColumns(stamp), table), epoch, writer, removes=False)
+            changed = table.changes(epoch, writer)
             out.send(changed.select(F.lit(alert_topic).alias("topic"), F.col("source_mac").alias("key"), detect.shadow_alert_json(changed).alias("value")))
         finally:
             found.unpersist()
