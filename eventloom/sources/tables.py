@@ -93,7 +93,7 @@ class KeyedTable:
         return batch.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
 
     def _wanted(self, placed: DataFrame) -> DataFrame:
-        return placed.select(*[F.col(k).cast(self._rows[k].dataType).alias(k) for k in self.keys], _BUCKET).distinct()
+        return placed.select(*[F.col(k).cast(self._rows[k].dataType).alias(k) for k in self.keys], _BUCKET)
 
     def held(self, batch: DataFrame) -> DataFrame:
         """Key and ``_source`` of the stored rows of the batch's keys."""
@@ -122,7 +122,7 @@ class KeyedTable:
         ``apply`` leaves out are deleted; ``removes=False`` says that it leaves out none.
         """
         placed, names = self._place(batch), self._rows.fieldNames()
-        held = self._latest(self._wanted(placed))
+        held = durable(self._latest(self._wanted(placed)))  # the batch's keys at most
         seen = F.coalesce(F.col(f"{_APPLIED}")[writer], F.lit(-1))
         if epoch is not None:
             done = held.filter(seen >= epoch).select(*self.keys)

@@ -11,9 +11,11 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -182,10 +184,15 @@ def _load_table(target: str) -> str:
     return _FACT_TABLE.get(target, "wireless_client_inventory")
 
 
-def staged_rows(ready: DataFrame, out: Outputs, present: list[str]) -> DataFrame:
-    """The normalised rows of all targets in one stored table, partitioned by target.
+def side_by_side(calls: list[Callable[[], object]]) -> list:
+    """Runs independent writes at the same time: small micro-batches wait for planning, not for cores."""
+    with ThreadPoolExecutor(max(1, len(calls))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(call)) for call in calls]]
+
+
+def staged_rows(ready: DataFrame, out: Outputs, present: list[str]) -> dict[str, DataFrame]:
+    """The normalised rows of each target, stored once: the later steps read them from there.
 
-    Each target has a column of its own for its rows, so one plan and one write serve them all.
     ``error`` is the error of a row, also where a column cannot hold its value.
     """
     parts = {}
@@ -197,28 +204,14 @@ def staged_rows(ready: DataFrame, out: Outputs, present: list[str]) -> DataFrame
             valid = normalize.valid_rows(parts[target]).withColumn("error", F.lit(None).cast("string"))
             parts[BLOCKED] = _fitting(normalize.extract_blocked(valid, keep=PLACE), out.table(_load_table(BLOCKED)))
             parts[target] = parts[target].drop("row")
-    names = {target: "rows_" + target.replace(".", "_") for target in parts}
-    kinds = {target: df.schema for target, df in parts.items()}
-    shaped = [
-        df.select(
-            F.lit(target).alias("target"),
-            *PLACE,
-            "row_sequence",
-            F.col("error").alias("row_error"),
-            *[(F.struct(*df.columns) if t == target else F.lit(None).cast(kinds[t])).alias(names[t]) for t in parts],
-        )
-        for target, df in parts.items()
-    ]
-    whole, path = reduce(DataFrame.unionByName, shaped), run_folder(out.spark, "load")
-    whole.write.partitionBy("target").parquet(path)
-    return out.spark.read.schema(whole.schema).parquet(path)
+    path = run_folder(out.spark, "load")
+    side_by_side([lambda t=t, df=df: df.write.parquet(f"{path}/{t}") for t, df in parts.items()])
+    return {t: out.spark.read.schema(df.schema).parquet(f"{path}/{t}") for t, df in parts.items()}
 
 
-def _of_target(staged: DataFrame, target: str, failed: DataFrame | None = None) -> DataFrame:
-    """A target's rows without those that have an error or belong to a failed item."""
-    mine = staged.filter((F.col("target") == target) & F.col("row_error").isNull())
-    kept = mine if failed is None else mine.join(failed.select(*PLACE), PLACE, "left_anti")
-    return kept.select("rows_" + target.replace(".", "_") + ".*").drop("error")
+def _good(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """Rows without those that have an error or belong to a failed item."""
+    return normalize.valid_rows(rows).join(failed.select(*PLACE), PLACE, "left_anti")
 
 
 def _load(ready: DataFrame, out: Outputs, now: str, epoch: int, writer: str) -> DataFrame:
@@ -230,45 +223,55 @@ def _load(ready: DataFrame, out: Outputs, now: str, epoch: int, writer: str) ->
     if not present:
         return out.spark.createDataFrame([], "partition int, offset bigint, row_count bigint, row_error string")
     order, staged = [*PLACE, "row_sequence"], staged_rows(ready, out, [t for t in schemas.TARGETS if t in present])
-    own = F.when(F.col("target") != BLOCKED, 1)
-    place = F.when(F.col("row_error").isNotNull(), F.struct("row_sequence", "target"))
-    items = staged.groupBy(*PLACE).agg(F.count(own).alias("row_count"), F.min_by("row_error", place).alias("row_error"))
+    narrow = [df.select(*PLACE, "row_sequence", F.lit(t).alias("t"), F.col("error").alias("row_error")) for t, df in staged.items()]
+    place = F.when(F.col("row_error").isNotNull(), F.struct("row_sequence", "t"))
+    counted = F.count(F.when(F.col("t") != BLOCKED, 1))
+    items = reduce(DataFrame.unionByName, narrow).groupBy(*PLACE).agg(counted.alias("row_count"), F.min_by("row_error", place).alias("row_error"))
     if "proxy.payload_audit" in present:
         audit = out.table("proxy_payload_audit")
         items = durable(items)
-        sound = _of_target(staged, "proxy.payload_audit", items.filter("row_error IS NOT NULL"))
+        sound = _good(staged["proxy.payload_audit"], items.filter("row_error IS NOT NULL"))
         repeated = _repeated(_typed_with(sound, audit, [*order, "batch_id"]), audit).withColumn("_again", F.lit("duplicate key in proxy_payload_audit"))
         items = items.join(repeated, PLACE, "left").select(*PLACE, "row_count", F.coalesce("row_error", "_again").alias("row_error"))
     items = durable(items)
     failed = items.filter("row_error IS NOT NULL")
-    good = {t: _of_target(staged, t, failed) for t in present}
+    good = {t: _good(df, failed) for t, df in staged.items()}
+    side_by_side(_table_writes(good, out, now, epoch, writer))
+    return items
 
-    for target in [t for t in _FACT_TABLE if t in good]:
+
+def _table_writes(good: dict[str, DataFrame], out: Outputs, now: str, epoch: int, writer: str) -> list[Callable[[], object]]:
+    """One write for each physical table."""
+    order, writes = [*PLACE, "row_sequence"], []
+
+    def append(target: str) -> None:
         table, rows = out.table(_FACT_TABLE[target]), good[target]
         stamped = rows if "created_at" in rows.columns else rows.withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
         table.append_new(_typed_with(stamped, table, [*order, "batch_id"]), order, source="batch_id")
+
+    writes += [lambda t=t: append(t) for t in _FACT_TABLE if t in good]
     if "wireless.client.inventory" in good:
-        table = out.table("wireless_client_inventory")
-        batch = _typed_with(good["wireless.client.inventory"], table, order)
-        table.upsert(batch, lambda held, new: typed(tables.upsert_client_inventory(held, new, order), table), removes=False)
-    if "proxy.events" in good:
+        clients = out.table("wireless_client_inventory")
+        batch = _typed_with(good["wireless.client.inventory"], clients, order)
+        merge_clients = lambda held, new: typed(tables.upsert_client_inventory(held, new, order), clients)
+        writes.append(lambda: clients.upsert(batch, merge_clients, removes=False))
+    if BLOCKED in good:
         rollup = out.table("proxy_blocked_host_rollups")
-        blocked = _of_target(staged, BLOCKED, failed)
-        rollup.upsert(blocked, lambda held, new: typed(tables.upsert_blocked_rollup(held, new, order, now), rollup), epoch, writer, removes=False)
+        add = lambda held, new: typed(tables.upsert_blocked_rollup(held, new, order, now), rollup)
+        writes.append(lambda: rollup.upsert(good[BLOCKED], add, epoch, writer, removes=False))
     if "wireless.audit" in good:
         sensors = out.table("wireless_sensors")
         first_stored = F.coalesce("created_at", F.lit(now).cast("timestamp_ntz"))
-        sensors.upsert(
-            good["wireless.audit"],
-            lambda held, new: typed(tables.upsert_sensors(held, new, order).withColumn("created_at", first_stored), sensors),
-            removes=False,
-        )
+        merge_sensors = lambda held, new: typed(tables.upsert_sensors(held, new, order).withColumn("created_at", first_stored), sensors)
+        writes.append(lambda: sensors.upsert(good["wireless.audit"], merge_sensors, removes=False))
     raised = [alerts.ALERT_BUILDERS[t](good[t], now) for t in good if t in alerts.ALERT_BUILDERS]
     if "audit.wireless.bandwidth" in good:
         raised.append(alerts.bandwidth_alerts(good["audit.wireless.bandwidth"], now))
     if raised:
-        _upsert_alerts(out, [typed(df, out.table("wireless_alerts")) for df in raised], now, epoch, writer)
-    return items
+        shaped = [typed(df, out.table("wireless_alerts")) for df in raised]
+        out.table("wireless_alerts_ledger")
+        writes.append(lambda: _upsert_alerts(out, shaped, now, epoch, writer))
+    return writes
 
 
 def _upsert_alerts(out: Outputs, raised: list[DataFrame], now: str, epoch: int, writer: str) -> None:
