@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_fields import json_text_field
-from ..functions.text import normalize_bssid
+from ..functions.text import is_mac, normalize_bssid
 from ..functions.timestamps import seconds_before
 from ..session import durable
 from .filters import filter_enabled_networks, filter_mac_valid, filter_recent_strong, filter_reply_topic
@@ -95,15 +95,26 @@ def shadow_frames(
 
 
 def shadow_frames_at(
-    frames: DataFrame, networks: DataFrame, devices: DataFrame, signal_threshold: int = -50, presence_seconds: int = 300
+    frames: DataFrame, seen: DataFrame, late: str = "1 hour", signal_threshold: int = -50, presence_seconds: int = 300
 ) -> DataFrame:
-    """As ``shadow_frames``, each frame judged at its own time: its device was not seen since ``presence_seconds`` before it."""
-    strong = filter_mac_valid(frames).filter(F.col("signal_dbm") >= signal_threshold)
-    seen = devices.groupBy(F.col("mac_id").alias("_mac")).agg(F.max("last_seen").alias("_seen"))
-    since = F.timestamp_add("SECOND", F.lit(-presence_seconds), F.col("observed_at"))
-    one = distinct_frames(strong)
-    unknown = one.join(seen, F.col("source_mac") == F.col("_mac"), "left").filter(F.coalesce(F.col("_seen") < since, F.lit(True)))
-    return unauthorized_frames(unknown.select(*one.columns), networks)
+    """Distinct strong frames whose device was not seen in the ``presence_seconds`` before them.
+
+    ``frames`` and ``seen`` (``mac_id, last_seen``: one row whenever a device is seen) are streams, or
+    tables. As streams both may be ``late``; repeated frames are dropped and unmatched ones given out
+    in state that is bounded by it. A frame is judged when both streams have passed its time, so rows
+    of null address that only carry a time let a quiet stream go on.
+    """
+    names = ["source_mac", "observed_at", "destination_bssid", "ssid", "sensor_id", "location_id", "signal_dbm"]
+    timed = frames.select(*[c for c in names if c != "observed_at"], F.col("observed_at").cast("timestamp").alias("_at")).withWatermark("_at", late)
+    # conditions that name the time are not moved below the watermark, which all rows are to move on
+    strong = timed.filter(F.when(F.col("_at").isNotNull(), is_mac(F.col("source_mac")) & (F.col("signal_dbm") >= signal_threshold)))
+    one = strong.dropDuplicates([*[c for c in names if c != "observed_at"], "_at"])
+    mac = F.coalesce("mac_id", F.lit(""))  # matches no frame
+    there = seen.select(mac.alias("_mac"), F.col("last_seen").cast("timestamp").alias("_seen")).withWatermark("_seen", late)
+    near = (F.col("_seen") <= F.col("_at")) & (F.col("_seen") >= F.col("_at") - F.expr(f"INTERVAL {int(presence_seconds)} SECONDS"))
+    met = one.join(there, (F.col("source_mac") == F.col("_mac")) & near, "left")
+    unseen = met.filter(F.col("_mac").isNull())
+    return unseen.select(*[F.col("_at").cast("timestamp_ntz").alias(c) if c == "observed_at" else F.col(c) for c in names])
 
 
 SHADOW_REASON = "strong_wireless_without_proxy_presence"

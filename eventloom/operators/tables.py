@@ -335,7 +335,7 @@ def upsert_shadow_alerts(target: DataFrame, alerts: DataFrame, as_of) -> DataFra
         now.alias("updated_at"),
     )
     rules = {
-        "first_occurred_at": M.keep,
+        "first_occurred_at": M.least,  # a late frame moves it back
         "last_occurred_at": M.greatest,
         "occurrence_count": M.count,
         **{c: M.newest("last_occurred_at") for c in SHADOW_ATTRIBUTES},

@@ -461,27 +461,25 @@ def stream_probe_flush(
 
 
 def stream_shadow_alerts(
-    stream: DataFrame, out: Outputs, checkpoint: str, networks: Callable[[], DataFrame], devices: Callable[[], DataFrame],
+    stream: DataFrame, out: Outputs, checkpoint: str, networks: Callable[[], DataFrame], seen: DataFrame,
     alert_topic: str = "wireless.alert.shadow", window_seconds: int = 60, interval: str | None = None,
-    clock: Callable[[], str] = utc_now,
+    clock: Callable[[], str] = utc_now, late: str = "1 hour",
 ) -> StreamingQuery:
-    """Frames (``source_mac, observed_at, ...``) -> shadow alerts.
+    """Frames (``source_mac, observed_at, ...``) and sightings of devices (``mac_id, last_seen``) -> shadow alerts.
 
-    Every frame is judged at its own time, so the micro-batches do not matter.  The alerts of
-    a micro-batch's devices are sent again when it is replayed.
+    A frame counts once, however often and in whichever micro-batches it arrives, and is judged by
+    the sightings before it; both may be ``late``. The alerts of a micro-batch's devices are sent
+    again when it is replayed.
     """
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        now = clock()
-        found = detect.shadow_frames_at(batch, networks(), devices()).persist()
-        try:
-            table = out.table("wireless_shadow_alerts")
-            stamp = {"reason": F.lit(detect.SHADOW_REASON), "evidence": detect.shadow_evidence(window_seconds)}
-            writer = query_id(out.spark, checkpoint)
-            table.upsert(found, lambda held, new: typed(tables.upsert_shadow_alerts(held, new, now).withColumns(stamp), table), epoch, writer, removes=False)
-            changed = table.changes(epoch, writer)
-            out.send(changed.select(F.lit(alert_topic).alias("topic"), F.col("source_mac").alias("key"), detect.shadow_alert_json(changed).alias("value")))
-        finally:
-            found.unpersist()
-
-    return _start(stream, handle, checkpoint, interval)
+        now, writer = clock(), query_id(out.spark, checkpoint)
+        found = detect.unauthorized_frames(batch, networks())
+        table = out.table("wireless_shadow_alerts")
+        stamp = {"reason": F.lit(detect.SHADOW_REASON), "evidence": detect.shadow_evidence(window_seconds)}
+        merge = lambda held, new: typed(tables.upsert_shadow_alerts(held, new, now).withColumns(stamp), table)
+        table.upsert(durable(found), merge, epoch, writer, removes=False)
+        changed = table.changes(epoch, writer)
+        out.send(changed.select(F.lit(alert_topic).alias("topic"), F.col("source_mac").alias("key"), detect.shadow_alert_json(changed).alias("value")))
+
+    return _start(detect.shadow_frames_at(stream, seen, late), handle, checkpoint, interval)

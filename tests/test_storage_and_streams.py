@@ -309,27 +309,48 @@ def test_load_stream_refuses_bad_items_alone(spark, tmp_path):
     assert results() == sorted([*first, ("a1", "success", 2), ("a5", "failed", 0)]) and stored() == ["c1", "c2", "c3"]
 
 
-@pytest.mark.parametrize("batches", [1, 2, 7])
-def test_shadow_alerts_do_not_depend_on_micro_batches(spark, tmp_path, batches):
-    shape = "source_mac string, observed_at timestamp_ntz, destination_bssid string, ssid string, sensor_id string, location_id string, signal_dbm bigint"
+FRAME = "source_mac string, observed_at string, destination_bssid string, ssid string, sensor_id string, location_id string, signal_dbm bigint"
+
+
+@pytest.mark.parametrize("batches, shuffled", [(1, False), (2, True), (7, False), (7, True)])
+def test_shadow_alerts_do_not_depend_on_micro_batches(spark, tmp_path, batches, shuffled):
+    import random
+
     rows = [("02:00:00:00:00:0%d" % (i % 2), f"2024-01-01 00:{i:02d}:00", "b", "n", f"s{i}", "l", -40) for i in range(14)]
-    devices = spark.createDataFrame([("02:00:00:00:00:00", "2024-01-01 00:03:00")], "mac_id string, last_seen string").selectExpr("mac_id", "CAST(last_seen AS TIMESTAMP_NTZ) AS last_seen")
+    # seen at 00:03 and, after all of its frames, at 00:30
+    seen = [("02:00:00:00:00:00", "2024-01-01 00:03:00"), ("02:00:00:00:00:00", "2024-01-01 00:30:00")]
     networks = spark.createDataFrame([], "ssid string, bssid string, location_id string, enabled boolean")
-    frames = spark.createDataFrame(rows, shape.replace("timestamp_ntz", "string")).withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
-    per = -(-14 // batches)
-    out = P.Outputs(spark, f"{tmp_path}/out")
-    for n in range(batches):
-        low, high = f"2024-01-01 00:{n * per:02d}:00", f"2024-01-01 00:{min(14, (n + 1) * per) - 1:02d}:00"
-        frames.filter(F.col("observed_at").between(low, high)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(frames.schema).parquet(f"{tmp_path}/in")
-        finish(P.stream_shadow_alerts(stream, out, f"{tmp_path}/cp", lambda: networks, lambda: devices, clock=CLOCK))
+    if shuffled:
+        rows = rows + rows[3:9]  # frames are repeated, out of order and late
+        random.Random(4).shuffle(rows)
+    table = lambda r, shape, at: spark.createDataFrame(r, shape).withColumn(at, F.col(at).cast("timestamp_ntz"))
+    out, per = P.Outputs(spark, f"{tmp_path}/out"), -(-len(rows) // batches)
+    table(seen, "mac_id string, last_seen string", "last_seen").coalesce(1).write.parquet(f"{tmp_path}/seen")
+    end = "2024-01-02 00:00:00"  # moves both streams on
+    for n in range(batches + 1):
+        part = rows[n * per : (n + 1) * per] if n < batches else [(None, end, None, None, None, None, None)]
+        table(part, FRAME, "observed_at").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if n == batches:
+            table([(None, end)], "mac_id string, last_seen string", "last_seen").coalesce(1).write.mode("append").parquet(f"{tmp_path}/seen")
+        frames = spark.readStream.schema(table([], FRAME, "observed_at").schema).parquet(f"{tmp_path}/in")
+        there = spark.readStream.schema("mac_id string, last_seen timestamp_ntz").parquet(f"{tmp_path}/seen")
+        finish(P.stream_shadow_alerts(frames, out, f"{tmp_path}/cp", lambda: networks, there, clock=CLOCK))
     found = {r.source_mac[-1]: (r.occurrence_count, str(r.first_occurred_at)[-8:], str(r.last_occurred_at)[-8:], r.sensor_id) for r in out.table("wireless_shadow_alerts").read().collect()}
-    # device 0 was there until five minutes after 00:03
-    assert found == {"0": (2, "00:10:00", "00:12:00", "s12"), "1": (7, "00:01:00", "00:13:00", "s13")}
+    # device 0 was there from 00:03 for five minutes
+    assert found == {"0": (4, "00:00:00", "00:12:00", "s12"), "1": (7, "00:01:00", "00:13:00", "s13")}
     sent = [json.loads(r.value) for r in out.sent("wireless.alert.shadow").collect()]
     assert sent and all(m["evidence"]["presence_window_seconds"] == 300 for m in sent)
 
 
+def test_a_late_frame_moves_the_first_occurrence_back(spark):
+    shape = "source_mac string, observed_at timestamp_ntz, destination_bssid string, ssid string, sensor_id string, location_id string, signal_dbm bigint"
+    frame = lambda at: spark.createDataFrame([("m", at, "b", "n", at, "l", -40)], shape.replace("timestamp_ntz", "string")).withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+    empty = spark.createDataFrame([], schemas.table_schema("wireless_shadow_alerts"))
+    once = T.upsert_shadow_alerts(empty, frame("2024-01-01 10:00:00"), "2024-01-31 00:00:00")
+    late = T.upsert_shadow_alerts(once, frame("2024-01-01 09:00:00"), "2024-01-31 00:00:00").first()
+    assert (str(late.first_occurred_at)[11:13], str(late.last_occurred_at)[11:13], late.occurrence_count, late.sensor_id[11:13]) == ("09", "10", 2, "10")
+
+
 def test_generic_sink_appends_rows_of_generated_keys(spark, tmp_path):
     envelope = lambda table, **data: json.dumps({"table": table, "origin": "SSL-PROXY", "destination": "w", "data": data})
     values = [
