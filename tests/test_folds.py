@@ -232,3 +232,18 @@ def test_observed_counts(spark):
     watched, seen = metrics.observed(df, "ingest")
     watched.collect()
     assert seen.get == {"ingested": 2, "dead_lettered": 1}
+
+
+def test_lower_medians_equal_sorting_also_of_a_hot_key(spark):
+    import random
+
+    from eventloom.operators.retention import lower_median
+
+    rng = random.Random(3)
+    rows = [("hot", rng.randrange(50)) for _ in range(3000)] + [(f"k{rng.randrange(40)}", rng.choice([None, 1, 2, 9])) for _ in range(300)] + [(None, 5), ("n", None)]
+    found = {r.k: r.v for r in lower_median(spark.createDataFrame(rows, "k string, v bigint"), ["k"], "v").collect()}
+    values = {}
+    for k, v in rows:
+        if v is not None:
+            values.setdefault(k, []).append(v)
+    assert found == {k: sorted(x)[(len(x) - 1) // 2] for k, x in values.items()}
