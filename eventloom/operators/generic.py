@@ -30,6 +30,22 @@ def _column_value(fields: Column, name: str, kind: T.DataType) -> Column:
     return F.when(~is_null, typed)
 
 
+def _lowered_fields(fields: Column) -> Column:
+    """The map with lower-case keys; of keys that differ in case only, the last one counts.
+
+    Keys are sorted with their places, so equal ones are neighbours and no key looks at all others.
+    The arguments of the outer functions are computed once per row.
+    """
+    placed = F.array_sort(F.transform(F.map_keys(fields), lambda k, i: F.struct(F.lower(k).alias("k"), i.alias("i"))))
+    last = lambda all_: F.filter(all_, lambda x, j: ~F.coalesce(F.get(all_, j + 1)["k"] == x["k"], F.lit(False)))
+    kept = F.transform(F.array(placed), last)[0]
+    both = F.transform(
+        F.array(F.struct(kept.alias("kept"), F.map_values(fields).alias("values"))),
+        lambda b: F.map_from_arrays(F.transform(b["kept"], lambda x: x["k"]), F.transform(b["kept"], lambda x: F.get(b["values"], x["i"]))),
+    )
+    return both[0]
+
+
 def generic_project(df: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns of ``schema`` out of the ``data`` object.
 
@@ -38,14 +54,7 @@ def generic_project(df: DataFrame, schema: T.StructType, keep: tuple[str, ...] =
     """
     names = {f.name.lower() for f in schema.fields}
     context = {c: F.col(c) for c in ("origin_system", "destination_system") if c in names and c in df.columns}
-    entries = F.map_entries(F.from_json(F.to_json("data"), "map<string,variant>"))
-    lowered = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    # of keys that differ in case only, the last one counts
-    unique = F.filter(
-        lowered,
-        lambda e, i: ~F.exists(F.slice(lowered, i + 2, F.size(lowered)), lambda later: later["key"] == e["key"]),
-    )
-    rows = df.withColumn("_fields", F.map_from_entries(unique))
+    rows = df.withColumn("_fields", _lowered_fields(F.from_json(F.to_json("data"), "map<string,variant>")))
     columns = [
         context[f.name.lower()].cast(f.dataType).alias(f.name)
         if f.name.lower() in context

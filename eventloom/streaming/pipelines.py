@@ -26,6 +26,7 @@ from ..functions.hashing import md5_batch_id
 from ..functions.timestamps import parse_lenient_timestamp
 from ..operators import alerts, dead_letter, detect, generic, ledger, normalize, retention, tables
 from ..operators.filters import filter_reply_topic
+from ..operators.merge import first_per_key
 from ..session import durable, run_folder
 from ..sources import messages, payload
 from ..sources.tables import KeyedTable
@@ -115,9 +116,26 @@ def stream_scan_ingest(
     return _start(stream, handle, checkpoint, interval)
 
 
-def stream_dedupe(stream: DataFrame, key: str = "dedupe_key", time: str = "timestamp", keep_for: str = "1 hour") -> DataFrame:
-    """Drop repeated keys that arrive within ``keep_for`` of each other; state is bounded by it."""
-    return stream.withWatermark(time, keep_for).dropDuplicatesWithinWatermark([key])
+def stream_dedupe(
+    stream: DataFrame, out: Outputs, checkpoint: str, sink: Callable[[DataFrame, int], None], keys: tuple[str, ...] = ("dedupe_key", "stream_name"),
+    order: tuple[str, ...] = ("partition", "offset"), seen: str = "seen_events", ledger: KeyedTable | None = None, interval: str | None = None,
+) -> StreamingQuery:
+    """Gives ``sink`` the first row of each key that has never come before, of whatever age.
+
+    Keys are remembered in the table ``seen``; keys that ``ledger`` holds count as seen, too. Both are
+    read for the micro-batch's keys only, and a replayed micro-batch gives out the same rows.
+    """
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        writer = query_id(out.spark, checkpoint)
+        first = durable(first_per_key(batch, list(keys), list(order)))
+        schema = first.select(*keys).schema
+        table = KeyedTable(out.spark, f"{out.root}/tables/{seen}", schema, list(keys))
+        known = first if ledger is None else first.join(ledger.held(first).select(*keys), list(keys), "left_anti")
+        table.upsert(known.select(*keys), lambda held, new: new.join(held, list(keys), "left_anti"), epoch, writer, removes=False)
+        sink(first.join(table.changes(epoch, writer).select(*keys), list(keys), "left_semi").select(*batch.columns), epoch)
+
+    return _start(stream, handle, checkpoint, interval)
 
 
 _FACT_TABLE = {

@@ -390,3 +390,36 @@ def test_outbox_scan_is_limited_to_the_named_folders(spark, tmp_path):
     assert sorted(str(r.payload) for r in found.collect()) == ["None", '{"day":"d,3"}', '{"day":"d1"}']
     gone = payload.payload_outbox(refs.filter("payload_ref LIKE '%none%'"), str(tmp_path)).collect()
     assert [r.payload_retryable for r in gone] == [True]
+
+
+def test_dedupe_drops_keys_of_any_age_and_repeats_a_replay(spark, tmp_path):
+    rows = lambda *keys: spark.createDataFrame([(k, "s", 0, i) for i, k in enumerate(keys)], "dedupe_key string, stream_name string, partition int, offset bigint")
+    out, given = P.Outputs(spark, f"{tmp_path}/out"), []
+    ledger = S.KeyedTable(spark, f"{tmp_path}/ledger", rows().select("dedupe_key", "stream_name").schema, ["dedupe_key", "stream_name"])
+    ledger.append_new(rows("old"), ["offset"])
+    for n, keys in enumerate((["a", "b", "a", "old"], ["b", "c", "old"], ["a", "d"])):
+        rows(*keys).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(rows().schema).parquet(f"{tmp_path}/in")
+        sink = lambda df, epoch: given.append(sorted(r.dedupe_key for r in df.collect()))
+        finish(P.stream_dedupe(stream, out, f"{tmp_path}/cp", sink, ledger=ledger))
+    assert given == [["a", "b"], ["c"], ["d"]]
+    seen = S.KeyedTable(spark, f"{tmp_path}/out/tables/seen_events", rows().select("dedupe_key", "stream_name").schema, ["dedupe_key", "stream_name"])
+    assert sorted(r.dedupe_key for r in seen.changes(1, P.query_id(spark, f"{tmp_path}/cp")).collect()) == ["c"]
+
+
+def test_wide_rows_are_projected_in_linear_time(spark):
+    import time
+
+    from eventloom.operators.generic import generic_project
+
+    def taken(n):
+        data = json.dumps({f"{'K' if i % 2 else 'k'}{i}": i for i in range(n)} | {"Wanted": 1, "wanted": 2})
+        df = spark.createDataFrame([(data,)], "d string").select(F.try_parse_json("d").alias("data"))
+        project = lambda: generic_project(df, spark.createDataFrame([], "wanted long, k4 string").schema).collect()
+        project()
+        start = time.perf_counter()
+        found = project()
+        assert [(r.wanted, r.k4) for r in found] == [(2, "4")]
+        return time.perf_counter() - start
+
+    assert taken(5000) < 3
