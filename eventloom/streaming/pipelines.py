@@ -202,10 +202,10 @@ def _load_table(target: str) -> str:
     return _FACT_TABLE.get(target, "wireless_client_inventory")
 
 
-def side_by_side(calls: list[Callable[[], object]]) -> list:
+def side_by_side(spark: SparkSession, calls: list[Callable[[], object]]) -> list:
     """Runs independent writes at the same time: small micro-batches wait for planning, not for cores."""
     with ThreadPoolExecutor(max(1, len(calls))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(call)) for call in calls]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]]
 
 
 def staged_rows(ready: DataFrame, out: Outputs, present: list[str]) -> dict[str, DataFrame]:
@@ -223,7 +223,7 @@ def staged_rows(ready: DataFrame, out: Outputs, present: list[str]) -> dict[str,
             parts[BLOCKED] = _fitting(normalize.extract_blocked(valid, keep=PLACE), out.table(_load_table(BLOCKED)))
             parts[target] = parts[target].drop("row")
     path = run_folder(out.spark, "load")
-    side_by_side([lambda t=t, df=df: df.write.parquet(f"{path}/{t}") for t, df in parts.items()])
+    side_by_side(out.spark, [lambda t=t, df=df: df.write.parquet(f"{path}/{t}") for t, df in parts.items()])
     return {t: out.spark.read.schema(df.schema).parquet(f"{path}/{t}") for t, df in parts.items()}
 
 
@@ -254,7 +254,7 @@ def _load(ready: DataFrame, out: Outputs, now: str, epoch: int, writer: str) ->
     items = durable(items)
     failed = items.filter("row_error IS NOT NULL")
     good = {t: _good(df, failed) for t, df in staged.items()}
-    side_by_side(_table_writes(good, out, now, epoch, writer))
+    side_by_side(out.spark, _table_writes(good, out, now, epoch, writer))
     return items
 
 
