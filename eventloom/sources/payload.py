@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions import json_fields as J
 from ..functions.hashing import INLINE_PREFIX, base64url_decode
 
 OUTBOX_PREFIX = "outbox://"
-MAX_FOLDERS = 1000  # of an outbox that are named one by one
+GLOB_CHARACTERS = r"[\\{}*?\[\]^]"  # of a path pattern
 
 # fixed values: texts that consumers of the error messages know
 EMPTY_PAYLOAD = "payload_ref resolved an empty JSON payload"
@@ -83,40 +83,50 @@ def outbox_error(ref: Column) -> Column:
     )
 
 
-def _outbox_files(spark: SparkSession, base: str, folders: list[str]) -> DataFrame:
-    """``_text, _uri`` of the files below the named folders of ``base``; below all of it if these are too many."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    # characters that a path pattern would read as its own stand for any character: the join decides
-    plain = [re.sub(r"[\\{},*?\[\]^]", "?", f) for f in folders]
-    path = base if len(folders) > MAX_FOLDERS else f"{base.rstrip('/')}/{{{','.join(plain)}}}"
-    try:
-        if folders:
-            return reader.text(path, wholetext=True).select(F.col("value").alias("_text"), F.col("_metadata.file_path").alias("_uri"))
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-    return spark.createDataFrame([], "_text string, _uri string")
+def _outbox_files(spark: SparkSession, base: str, folders: set[str]) -> DataFrame | None:
+    """Scan of the files below those of ``folders`` that ``base`` has; it opens a file for its ``content`` only."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    store, root = path(base).getFileSystem(conf), base.rstrip("/")
+    named = sorted(folders)
+    with ThreadPoolExecutor(16) as threads:  # one look-up at the store each
+        there = threads.map(lambda folder: store.exists(path(f"{root}/{folder}")), named)
+        literal = [f"{root}/{re.sub(GLOB_CHARACTERS, _escaped, f)}" for f, found in zip(named, there) if found]
+    if not literal:
+        return None
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(literal)
+
+
+def _escaped(character: re.Match) -> str:
+    return "\\" + character[0]
 
 
 def payload_outbox(df: DataFrame, base: str, ref: str = "payload_ref") -> DataFrame:
     """Join ``outbox://<relative>`` references with the files under ``base``.
 
-    Files are read by Spark as whole texts and matched by their path below
-    ``base``; no path outside ``base`` can match, but a symbolic link inside it is
-    followed.  A reference whose file is missing is retryable.  Only the folders
-    directly below ``base`` that a reference names are listed and read, as long as
-    they are at most ``MAX_FOLDERS``: lay an outbox out by day or batch.
+    The folders directly below ``base`` that a reference names are listed, however many they are; then the paths
+    of their files are matched with the references, and only matched files are opened, as whole texts.  No path
+    outside ``base`` can match, but a symbolic link inside it is followed.  A reference whose file is missing is
+    retryable.  The matched paths pass the driver, which holds the paths of every file scan anyway: at most one
+    for each reference of a micro-batch.  Lay an outbox out by day or batch, so that few folders are listed.
     """
     spark = df.sparkSession
     allowed = df.filter(F.col(ref).isNotNull() & outbox_error(F.col(ref)).isNull())
-    named = allowed.select(F.split(outbox_path(F.col(ref)), "/")[0].alias("f")).distinct().limit(MAX_FOLDERS + 1)
-    folders = [r["f"] for r in named.collect()]
+    paths = allowed.select(outbox_path(F.col(ref)).alias("_path")).distinct()
+    folders = {r["f"] for r in paths.select(F.split("_path", "/")[0].alias("f")).distinct().collect()}
     files = _outbox_files(spark, base, folders)
-    root = base.split(":", 1)[-1].rstrip("/")
-    below = F.substring_index(F.url_decode(F.replace(F.col("_uri"), F.lit("+"), F.lit("%2B"))), f"{root}/", -1)
-    files = files.select("_text", below.alias("_path"))
     refs = df.withColumns({"_path": outbox_path(F.col(ref)), "_refused": outbox_error(F.col(ref))})
-    joined = refs.join(files, "_path", "left")
+    if files is None:
+        joined = refs.withColumn("_text", F.lit(None).cast("string"))
+    else:
+        root = base.split(":", 1)[-1].rstrip("/")
+        uri = F.col("_metadata.file_path")
+        below = F.substring_index(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), f"{root}/", -1)
+        named = files.select(uri.alias("_uri"), below.alias("_path")).join(paths, "_path", "left_semi")
+        matched = [r["_uri"] for r in named.select("_uri").collect()]
+        # a condition on the path alone leaves the other files out of the scan before any task is made
+        wanted = F.expr(f"_metadata.file_path IN ({', '.join(map(_literal, matched))})") if matched else F.lit(False)
+        texts = files.filter(wanted).select(F.col("content").cast("string").alias("_text"), below.alias("_path"))
+        joined = refs.join(texts, "_path", "left")
     joined = _document(joined.withColumn("payload", F.when(F.col("_refused").isNull(), F.col("_text"))))
     error = F.coalesce(
         F.col("_refused"), F.when(F.col("_text").isNull(), UNREADABLE_OUTBOX), document_error(F.col("document"))
@@ -130,6 +140,10 @@ def payload_outbox(df: DataFrame, base: str, ref: str = "payload_ref") -> DataFr
     )
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def resolve_payload(df: DataFrame, outbox_base: str | None = None, ref: str = "payload_ref") -> DataFrame:
     """Resolve every reference: inline ones from their own text, outbox ones from files."""
     inline = payload_inline(df, ref)

@@ -392,6 +392,31 @@ def test_outbox_scan_is_limited_to_the_named_folders(spark, tmp_path):
     assert [r.payload_retryable for r in gone] == [True]
 
 
+def test_outbox_opens_matched_files_only_however_many_folders(spark, tmp_path):
+    from eventloom.sources import payload
+
+    odd = ["a{b", "s*", "q?", "x[1]", "c,d", "it's", "sp ace", "p+q", "pc%41"]
+    folders = [f"f{i}" for i in range(1200)] + odd
+    for name in folders:
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text('{"f":"%s"}' % name)
+    (tmp_path / "s1").mkdir()
+    (tmp_path / "s1" / "a.json").write_text("{}")  # a neighbour that an unescaped pattern would take
+    (tmp_path / "f7" / "unnamed.json").write_text("x" * 5000)  # beyond the limit below: a scan that opens it fails
+    named = [f for f in folders if f not in ("f3",)]
+    refs = spark.createDataFrame([(f"outbox://{f}/a.json",) for f in (*named, "f7", "gone")], "payload_ref string")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        found = payload.payload_outbox(refs, str(tmp_path))
+        rows = {r.payload_ref: r.payload for r in found.collect()}
+        assert found.count() == len(named) + 2 and not any("/s1/" in f or "/f3/" in f for f in found.inputFiles())
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert rows == {f"outbox://{f}/a.json": '{"f":"%s"}' % f for f in named} | {"outbox://gone/a.json": None}
+    nowhere = payload.payload_outbox(refs, f"{tmp_path}/none").collect()
+    assert {r.payload_retryable for r in nowhere} == {True}
+
+
 def test_dedupe_drops_keys_of_any_age_and_repeats_a_replay(spark, tmp_path):
     rows = lambda *keys: spark.createDataFrame([(k, "s", 0, i) for i, k in enumerate(keys)], "dedupe_key string, stream_name string, partition int, offset bigint")
     out, given = P.Outputs(spark, f"{tmp_path}/out"), []
