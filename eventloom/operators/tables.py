@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.timestamps import as_utc, parse_lenient_timestamp
 from ..schemas import PRODUCER
 from . import merge as M
 from .filters import filter_scan_valid
-from .ordering import consecutive_counts, previous_value
+from .ordering import consecutive_counts
 
 BATCH_ROW = ["batch_id", "row_sequence"]
 
@@ -271,54 +272,104 @@ def upsert_scan_requests(target: DataFrame, requests: DataFrame, order: list[str
     return merged.withColumn("observed_at", F.coalesce("observed_at", now))
 
 
-def wireless_client_deltas(probes: DataFrame, order: list[str]) -> DataFrame:
-    """Per client and message: seen range, the count of its first row, last stated attributes.
+MESSAGES_PER_RUN = 65_536  # messages whose runs one row of a client summarises
+
+
+def _message_range(probes: DataFrame) -> Column:
+    """The range of ``MESSAGES_PER_RUN`` message numbers a message lies in, in the order of the messages."""
+    kind = probes.schema["message_no"].dataType
+    if not isinstance(kind, T.StructType):
+        return F.expr(f"message_no div {MESSAGES_PER_RUN}")
+    *before, last = [f"message_no.{n}" for n in kind.fieldNames()]
+    return F.struct(*before, F.expr(f"{last} div {MESSAGES_PER_RUN}").alias("n"))
+
+
+def _counted(runs: Column, skip: int, batch: str, last: str, amount: str) -> Column:
+    """Sum of ``amount`` over the entries from ``skip`` on that do not go on with the batch of the entry before."""
+
+    def added(entry: Column, place: Column) -> Column:
+        before = F.get(runs, place - 1)[last]
+        starts = F.coalesce(before != entry[batch], before.isNull())
+        return F.when((place >= skip) & starts, F.coalesce(entry[amount], F.lit(0))).otherwise(F.lit(0))
 
-    Several rows of one client in one message count once, and so does a message
-    delivered again right after itself; the others add up.
+    return F.aggregate(F.transform(runs, added), F.lit(0).cast("bigint"), lambda total, x: total + x)
+
+
+def wireless_client_deltas(probes: DataFrame, order: list[str]) -> DataFrame:
+    """Per client: seen range, last stated attributes, and its messages as one run summary.
+
+    Several rows of one client in one message count once, and so does a message delivered again
+    right after itself; the others add up. A summary (``first_batch``, what its first message adds,
+    what the later ones add, ``last_batch``) can be joined to the one before it: what the first message
+    adds drops out if that one ends in the same batch. So a client's messages are summarised in ranges
+    of message numbers, and a client with a third of all rows is many groups of bounded size.
+    ``message_no`` is a whole number, or a struct that ends in one.
     """
     keys = ["ssid", "client_mac"]
+    stated = lambda c, seq: F.max_by(c, F.when(F.col(c).isNotNull(), seq)).alias(c)
+    seen = [F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+    rows = probes.withColumn("_range", _message_range(probes)).repartition(*keys, "_range")
     seq = F.struct(*order)
-    stated = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), seq)).alias(c)
-    return probes.groupBy(*keys, "message_no", "batch_id").agg(
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.min_by("probe_count", seq).alias("probe_count"),
-        stated("known_bssid"),
-        stated("location_id"),
+    messages = rows.groupBy(*keys, "_range", "message_no", "batch_id").agg(
+        *seen, F.min_by("probe_count", seq).cast("bigint").alias("n"), stated("known_bssid", seq), stated("location_id", seq)
     )
-
-
-def upsert_wireless_clients(target: DataFrame, probes: DataFrame, order: list[str]) -> DataFrame:
-    """Client inventory from probe rows ``(message_no, batch_id, pos, ssid, client_mac, ...)``."""
-    keys = ["ssid", "client_mac"]
-    deltas = wireless_client_deltas(probes, order)
-    stored = target.join(M.distinct_keys(deltas, keys), keys, "left_semi").select(
+    entries = F.sort_array(F.collect_list(F.struct("message_no", "batch_id", "n"))).alias("_runs")
+    ranges = messages.groupBy(*keys, "_range").agg(
+        *seen, entries, stated("known_bssid", F.col("message_no")), stated("location_id", F.col("message_no"))
+    )
+    ends = F.struct(
+        "_range",
+        F.get("_runs", F.lit(0))["batch_id"].alias("first_batch"),
+        F.get("_runs", F.lit(0))["n"].alias("first_n"),
+        _counted(F.col("_runs"), 1, "batch_id", "batch_id", "n").alias("later_n"),
+        F.element_at("_runs", -1)["batch_id"].alias("last_batch"),
+    )
+    parts = ranges.select(*keys, "_range", "first_seen", "last_seen", "known_bssid", "location_id", ends.alias("_part"))
+    clients = parts.groupBy(*keys).agg(
+        *seen,
+        F.sort_array(F.collect_list("_part")).alias("_parts"),
+        stated("known_bssid", F.col("_range")),
+        stated("location_id", F.col("_range")),
+    )
+    within = F.aggregate("_parts", F.lit(0).cast("bigint"), lambda total, part: total + part["later_n"])
+    between = _counted(F.col("_parts"), 1, "first_batch", "last_batch", "first_n")
+    return clients.select(
         *keys,
-        F.lit(None).cast(probes.schema["message_no"].dataType).alias("message_no"),
-        F.col("last_probe_batch_id").alias("batch_id"),
         "first_seen",
         "last_seen",
-        "probe_count",
+        F.get("_parts", F.lit(0))["first_batch"].alias("first_batch"),
+        F.coalesce(F.get("_parts", F.lit(0))["first_n"], F.lit(0)).alias("first_n"),
+        (within + between).alias("later_n"),
+        F.element_at("_parts", -1)["last_batch"].alias("last_batch"),
         "known_bssid",
         "location_id",
-        F.lit(0).alias("_side"),
     )
-    rows = stored.unionByName(deltas.withColumn("_side", F.lit(1)))
-    rows = previous_value(rows, keys, ["_side", "message_no"], "batch_id", "_before")
-    fresh = (F.col("_side") == 0) | F.col("_before").isNull() | (F.col("_before") != F.col("batch_id"))
-    seq = F.struct("_side", "message_no")
-    stated = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), seq)).alias(c)
-    merged = rows.groupBy(*keys).agg(
-        stated("known_bssid"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.sum(F.when(fresh, F.col("probe_count")).otherwise(F.lit(0))).alias("probe_count"),
-        stated("location_id"),
-        F.max_by("batch_id", seq).alias("last_probe_batch_id"),
+
+
+def upsert_wireless_clients(target: DataFrame, probes: DataFrame, order: list[str]) -> DataFrame:
+    """Client inventory from probe rows ``(message_no, batch_id, pos, ssid, client_mac, ...)``.
+
+    One pass over the batch and one over ``target``, which a stored table narrows to the batch's clients.
+    """
+    keys = ["ssid", "client_mac"]
+    new = wireless_client_deltas(probes, order).alias("new")
+    old = target.alias("old")
+    both = old.join(new, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys], "full")
+    fresh = F.col("new.first_n").isNotNull()  # the client is in the batch
+    goes_on = F.col("old.last_probe_batch_id").isNotNull() & ~F.coalesce(
+        F.col("old.last_probe_batch_id") != F.col("new.first_batch"), F.lit(False)
+    )
+    added = F.when(goes_on, F.lit(0)).otherwise(F.col("new.first_n")) + F.col("new.later_n")
+    either = lambda c: F.coalesce(f"new.{c}", f"old.{c}").alias(c)
+    return both.select(
+        *[either(k) for k in keys],
+        either("known_bssid"),
+        F.least("old.first_seen", "new.first_seen").alias("first_seen"),
+        F.greatest("old.last_seen", "new.last_seen").alias("last_seen"),
+        F.when(fresh, F.coalesce("old.probe_count", F.lit(0)) + added).otherwise(F.col("old.probe_count")).alias("probe_count"),
+        either("location_id"),
+        F.when(fresh, F.col("new.last_batch")).otherwise(F.col("old.last_probe_batch_id")).alias("last_probe_batch_id"),
     )
-    rest = target.join(M.distinct_keys(deltas, keys), keys, "left_anti").select(*merged.columns)
-    return rest.unionByName(merged)
 
 
 def upsert_shadow_alerts(target: DataFrame, alerts: DataFrame, as_of) -> DataFrame:

@@ -156,6 +156,45 @@ def test_probe_counts_follow_the_message_order(spark):
     assert {r.client_mac: r.probe_count for r in split.collect()} == {"m1": 12, "m2": 1}
 
 
+@pytest.mark.parametrize("struct", [False, True])
+def test_client_runs_equal_a_fold_over_the_messages(spark, monkeypatch, struct):
+    monkeypatch.setattr(T, "MESSAGES_PER_RUN", 3)  # so that runs of a batch cross the summaries
+    pick = random.Random(5)
+    rows = []
+    for no in range(60):
+        batch = pick.choice(["A", "A", "B", None])
+        for pos in range(pick.randint(1, 4)):
+            mac = "hot" if pick.random() < 0.6 else f"m{pick.randint(0, 3)}"
+            rows.append((no, batch, pos, "net", mac, pick.choice([1, 2, 5]), pick.choice([None, "x", "y"])))
+    schema = "message_no bigint, batch_id string, pos int, ssid string, client_mac string, probe_count bigint, known_bssid string"
+    df = spark.createDataFrame(rows, schema).withColumn("location_id", F.lit(None).cast("string"))
+    moment = F.timestamp_add("SECOND", F.col("message_no"), F.lit(NOW).cast("timestamp_ntz"))
+    df = df.withColumns({"first_seen": moment, "last_seen": moment})
+    early = F.col("message_no") < 25
+    if struct:
+        place = F.struct((F.col("message_no") > 9).cast("int").alias("partition"), F.col("message_no").alias("offset"))
+        parts = [df.filter(early).withColumn("message_no", place), df.filter(~early).withColumn("message_no", place)]
+    else:
+        parts = [df.filter(early), df.filter(~early)]
+    stored = df.limit(0).selectExpr(
+        "ssid", "client_mac", "known_bssid", "first_seen", "last_seen", "probe_count", "location_id", "batch_id AS last_probe_batch_id"
+    )
+    for part in parts:
+        stored = T.upsert_wireless_clients(stored, part, ["pos"])
+    count, last, bssid, met = {}, {}, {}, set()
+    for no, batch, _, _, mac, n, known in rows:
+        if (no, mac) not in met:
+            met.add((no, mac))
+            goes_on = last.get(mac) is not None and batch in (None, last[mac])
+            count[mac] = count.get(mac, 0) + (0 if goes_on else n)
+            last[mac] = batch
+        bssid[mac] = known or bssid.get(mac)
+    found = {r.client_mac: (r.probe_count, r.last_probe_batch_id, r.known_bssid) for r in stored.collect()}
+    assert found == {mac: (count[mac], last[mac], bssid[mac]) for mac in count}
+    plan = T.wireless_client_deltas(parts[0], ["pos"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Window" not in plan  # the rows, then one row per client and range
+
+
 def test_compat_lets_an_invalid_request_hide_a_valid_one(spark):
     rows = [(0, "k", "s", None, "{}", "x", NOW, "e"), (1, "k", "s", "ref", "{}", "x", NOW, "e")]
     schema = "place int, dedupe_key string, stream_name string, payload_ref string, payload string, payload_sha256 string, observed_text string, event_kind string"
