@@ -28,7 +28,7 @@ class WordTokenizer:
     which lower case or normal form could depend on the context are encoded word by word.
     """
 
-    CACHED = 100_000  # words, and as many pieces: some 20 MB, which an idle worker goes on holding
+    CACHED = 200_000  # words, and as many pieces: some 50 MB, which an idle worker goes on holding
     CACHED_LENGTH = 48
     END_MARK = "</w>"
     SIMPLE = r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)"
