@@ -154,8 +154,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...]
 
         for batch in batches:
             schema = schema or _schema(batch.schema.field(0).type)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.document(text.as_py(), end_id)
+            texts = (text.as_py() for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.documents(texts, end_id), strict=True):
                 docs_held[number] = (doc_id, ids)
                 whole = len(ids) - len(ids) % longest
                 done += [[(number, start, longest)] for start in range(0, whole, longest)]

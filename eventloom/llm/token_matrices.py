@@ -128,8 +128,8 @@ def matrices(docs: DataFrame, tokenizer: str | None = None, capacity: int = ROW_
                 schema = pa.schema(
                     [("row_id", pa.int64()), ("tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.binary()), ("position_ids", pa.binary()), ("segments", pa.list_(segment))]
                 )
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.document(text.as_py(), end_id)
+            texts = (text.as_py() for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.documents(texts, end_id), strict=True):
                 held[number] = (doc_id, ids)
                 whole = len(ids) - len(ids) % capacity
                 full += [[(number, start, capacity)] for start in range(0, whole, capacity)]

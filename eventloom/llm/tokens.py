@@ -8,6 +8,7 @@ import sys
 import types
 import unicodedata
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -23,15 +24,21 @@ class WordTokenizer:
 
     Such a tokenizer gives a text's ids as those of its words in order, so each distinct word
     is encoded once while it is in the cache. A word of Latin letters and then ASCII marks
-    consists of these two tokens' worth of pieces, which are cached too; new pieces are
-    encoded many at a time and told apart by the end-of-word mark of their last id. Texts for
-    which lower case or normal form could depend on the context are encoded word by word.
+    consists of these two pieces, which are words themselves; new pieces of several texts are
+    encoded together, past the normaliser and the splitting that cannot change them, and told
+    apart by the end-of-word mark of their last id. Texts for which lower case or normal form
+    could depend on the context are encoded word by word.
+
+    The cache has two generations: when the younger is full it replaces the elder, so words
+    that keep coming stay and those that came once go.
     """
 
-    CACHED = 200_000  # words, and as many pieces: some 50 MB, which an idle worker goes on holding
+    CACHED = 120_000  # words of a generation: some 25 MB, which an idle worker goes on holding
     CACHED_LENGTH = 48
+    TOGETHER = 1 << 18  # characters of the texts that are looked up together
     END_MARK = "</w>"
-    SIMPLE = r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)"
+    MARKS = r"!-/:-@\[-`{-~"
+    LETTERS = "a-zß-öø-ÿ"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,9 +48,23 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(self.END_MARK)]] = True
-        self.simple = re.compile(self.SIMPLE)
+        self.simple = re.compile(f"([{self.LETTERS}]+)([{self.MARKS}]*)")
+        self.bare = self._bare()
         self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.elder: dict[str, bytes] = {}
+
+    def _bare(self):
+        """The model with pieces cut at spaces only, or the whole tokenizer if that gives other ids."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        bare = Tokenizer(self.tokenizer.model)
+        bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        letters, marks = (re.findall(f"[{x}]", "".join(map(chr, range(256)))) for x in (self.LETTERS, self.MARKS))
+        probe = " ".join([*letters, *marks, *map("".join, zip(letters, letters[1:])), "".join(letters), "".join(marks)])
+        same = bare.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        return bare if same else self.tokenizer
 
     def _singly(self, words: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -51,9 +72,9 @@ class WordTokenizer:
 
     def _together(self, pieces: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        for start in range(0, len(pieces), 2000):
-            part = pieces[start : start + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        for start in range(0, len(pieces), 4000):
+            part = pieces[start : start + 4000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(part):  # a vocabulary without end-of-word ids
                 out |= self._singly(part)
@@ -65,39 +86,67 @@ class WordTokenizer:
         return out
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        simple = [(w, m) for w in words if (m := self.simple.fullmatch(w))]
-        pieces = self.pieces
-        new = self._together(list(dict.fromkeys(p for _, m in simple for p in m.groups() if p not in pieces)))
-        if len(pieces) < self.CACHED:
-            pieces.update(self._short(new))
-        get = lambda p: new[p] if p in new else pieces[p]
-        out = {w: get(m[1]) + get(m[2]) for w, m in simple}
+        """The ids of words that are not cached, and of their pieces."""
+        fullmatch, cached, elder = self.simple.fullmatch, self.words, self.elder
+        parts = {w: m.groups() for w in words if (m := fullmatch(w))}
+        pieces = {p for both in parts.values() for p in both}
+        out = {p: cached[p] if p in cached else elder[p] for p in pieces if p in cached or p in elder}
+        out |= self._together([p for p in pieces if p not in out])
+        out |= {w: out[a] + out[b] for w, (a, b) in parts.items()}
         other = [w for w in words if w not in out]
         return out | self._singly(other) if other else out
 
-    def _short(self, coded: dict[str, bytes]) -> dict[str, bytes]:
-        return {w: x for w, x in coded.items() if len(w) <= self.CACHED_LENGTH}
+    def _keep(self, coded: dict[str, bytes]) -> None:
+        self.words.update((w, x) for w, x in coded.items() if len(w) <= self.CACHED_LENGTH)
+        if len(self.words) > self.CACHED:
+            self.elder, self.words = self.words, {"": b""}
 
-    def ids(self, text: str | None) -> np.ndarray:
-        text = text or ""
+    def _context(self, text: str, lower: str) -> bool:
+        """Whether a word's ids could depend on its neighbours."""
+        normal = unicodedata.is_normalized
+        return "Σ" in text or "<|" in text or not (normal("NFC", text) and normal("NFC", lower))
+
+    def _words(self, text: str) -> tuple[list[str], dict[str, bytes] | None]:
+        """The words of a text, and their ids if they are not to be cached."""
         lower = text.lower()
-        if "Σ" in text or "<|" in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower)):
+        if self._context(text, lower):
             words = [w for w in text.replace("\n", " ").split(" ") if w]
-            coded = self._singly(list(dict.fromkeys(words)))
-            return np.frombuffer(b"".join([coded[w] for w in words]), dtype=self.dtype)
-        words = lower.replace("\n", " ").split(" ")
-        try:
-            joined = b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            new = self._learn([w for w in dict.fromkeys(words) if w not in self.words])
-            joined = b"".join([self.words[w] if w in self.words else new[w] for w in words])
-            if len(self.words) < self.CACHED:
-                self.words.update(self._short(new))
-        return np.frombuffer(joined, dtype=self.dtype)
-
-    def document(self, text: str | None, end_id: int) -> np.ndarray:
-        """The ids of a text and then ``end_id``."""
-        return np.append(self.ids(text), np.array(end_id, dtype=self.dtype))
+            return words, self._singly(list(dict.fromkeys(words)))
+        return lower.replace("\n", " ").split(" "), None
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        rows, missing = [], set()
+        for text in texts:
+            words, coded = self._words(text)
+            found = list(map((coded or self.words).get, words))
+            missing.update(w for w, x in zip(words, found, strict=True) if x is None)
+            rows.append((words, found))
+        if missing:
+            elder = self.elder
+            new = {w: elder[w] for w in missing if w in elder}
+            new |= self._learn([w for w in missing if w not in new])
+            rows = [(words, [new[w] if x is None else x for w, x in zip(words, found, strict=True)]) for words, found in rows]
+            self._keep(new)
+        return [np.frombuffer(b"".join(found), dtype=self.dtype) for _, found in rows]
+
+    def batch(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= self.TOGETHER:
+                yield from self._some(held)
+                held, size = [], 0
+        yield from self._some(held)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return self._some([text or ""])[0]
+
+    def documents(self, texts: Iterable[str | None], end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text and then ``end_id``."""
+        end = np.array([end_id], dtype=self.dtype)
+        return (np.concatenate((ids, end)) for ids in self.batch(texts))
 
 
 def shared_tokenizer(path: str) -> WordTokenizer:

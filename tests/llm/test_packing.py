@@ -41,6 +41,18 @@ def test_documents_have_the_tokenizers_ids(spark, encoder, plain):
     assert all(encoder.ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids for t in texts)
 
 
+@pytest.mark.parametrize("cached, together", [(50, 1 << 18), (3_000, 2_000)])
+def test_a_small_cache_gives_the_same_ids(spark, plain, monkeypatch, cached, together):
+    monkeypatch.setattr(tokens.WordTokenizer, "CACHED", cached)
+    monkeypatch.setattr(tokens.WordTokenizer, "TOGETHER", together)
+    small = tokens.WordTokenizer(tokens.default_tokenizer())
+    texts = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text").collect()]
+    texts += [None, "", " ", "x" * 5_000 + " dogs' b's.", "ΑΣ <|endoftext|>", texts[0]]
+    found = list(small.documents(texts, 1))
+    assert [f.tolist() for f in found] == [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert len(small.words) <= cached + 1 and small.elder
+
+
 def pieces_cover(rests, windows):
     got = {}
     for doc, start, n in sorted(p for w in windows for p in w):
