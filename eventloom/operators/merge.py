@@ -81,6 +81,7 @@ def merge(
     order: list[str],
     nulls_distinct: bool = False,
     defaults: dict[str, object] | None = None,
+    narrowed: bool = False,
 ) -> DataFrame:
     """New state of ``target`` after upserting ``batch``.
 
@@ -88,7 +89,8 @@ def merge(
     the rules of the non-key columns.  Further columns of the table are kept as
     stored; new keys get the batch's value, else the one in ``defaults``, else
     NULL.  With ``nulls_distinct`` a row with a NULL key column never matches
-    another and is simply added.
+    another and is simply added.  ``narrowed`` says that ``target`` holds no key but
+    the batch's, so no row has to be passed on.
     """
     rules = {**rules, **{c: keep for c in target.columns if c not in rules and c not in keys}}
     columns = [*keys, *rules]
@@ -104,10 +106,12 @@ def merge(
             no_null = no_null & F.col(k).isNotNull()
         loose = batch.filter(~no_null).select(*columns)
         batch = batch.filter(no_null)
-    touched_keys = distinct_keys(batch, keys)
-    same = _same_keys(target, touched_keys, keys)
-    touched = target.join(touched_keys, same, "left_semi")
-    untouched = target.join(touched_keys, same, "left_anti").select(*columns)
+    touched, untouched = target, None
+    if not narrowed:
+        touched_keys = distinct_keys(batch, keys)
+        same = _same_keys(target, touched_keys, keys)
+        touched = target.join(touched_keys, same, "left_semi")
+        untouched = target.join(touched_keys, same, "left_anti").select(*columns)
 
     no_order = F.struct(*[F.lit(None).cast(batch.schema[c].dataType).alias(c) for c in order])
     old = touched.select(*columns, F.lit(0).alias(_SIDE), F.struct(F.lit(0).alias("s"), no_order.alias("o")).alias(_SEQ))
@@ -115,7 +119,7 @@ def merge(
         *columns, F.lit(1).alias(_SIDE), F.struct(F.lit(1).alias("s"), F.struct(*order).alias("o")).alias(_SEQ)
     )
     merged = fold(old.unionByName(new), keys, rules)
-    out = untouched.unionByName(merged)
+    out = merged if untouched is None else untouched.unionByName(merged)
     return out if loose is None else out.unionByName(loose)
 
 

@@ -60,6 +60,11 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared folder and cut its lineage.
+
+    The rows go to Parquet files rather than to a checkpoint, which would keep the estimate of the plan
+    it replaces: that plan drops parsed documents, seems tiny and would be broadcast whole by later joins.
+    """
+    path = run_folder(df.sparkSession, "durable")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,6 +18,11 @@ _BUCKET, _SOURCE, _APPLIED, _VERSION, _KNOWN = "bucket", "_source", "_applied",
 _GONE = "(gone)"  # marks the version of a row that deletes it
 
 
+def _nothing(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, as the planner knows: joins with them vanish instead of moving the other side."""
+    return spark.range(1).filter(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 class KeyedTable:
     """A Parquet table with one row per key, one writer at a time.
 
@@ -56,14 +61,17 @@ class KeyedTable:
                 raise
             return None
 
-    def _latest(self, wanted: DataFrame | None = None) -> DataFrame:
-        """The stored rows, those of ``wanted`` keys if given, with their marks."""
+    def _empty(self) -> bool:
+        return self._files("base") is None and self._files("log") is None
+
+    def _latest(self, wanted: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
+        """The stored rows, those of ``wanted`` keys if given, with their marks; ``columns`` beside the keys, or all."""
         base, log = (self._narrow(self._files(layer), wanted) for layer in ("base", "log"))
         if base is None and log is None:
-            return self.spark.createDataFrame([], self._stored_schema)
+            return _nothing(self.spark, self._stored_schema)
+        names = self._stored_schema.fieldNames() if columns is None else list(dict.fromkeys([*self.keys, *columns, _SOURCE, _VERSION]))
         if log is None:
-            return base
-        names = self._stored_schema.fieldNames()
+            return base.select(*names)
         last = log.groupBy(*self.keys).agg(F.max_by(F.struct(*names), _VERSION).alias("_r")).select("_r.*")
         live = last.filter(~F.col(_SOURCE).eqNullSafe(F.lit(_GONE)))
         if base is None:
@@ -84,7 +92,7 @@ class KeyedTable:
         return df.join(wanted, self._same(df, wanted) & (df[_BUCKET] == wanted[_BUCKET]), "left_semi")
 
     def read(self) -> DataFrame:
-        return self._latest().select(*self.schema.fieldNames())
+        return self._latest(columns=self.schema.fieldNames()).select(*self.schema.fieldNames())
 
     def _place(self, batch: DataFrame) -> DataFrame:
         if "_offset" in self.keys and "_offset" not in batch.columns:
@@ -97,7 +105,7 @@ class KeyedTable:
 
     def held(self, batch: DataFrame) -> DataFrame:
         """Key and ``_source`` of the stored rows of the batch's keys."""
-        return self._latest(self._wanted(self._place(batch))).select(*self.keys, _SOURCE)
+        return self._latest(self._wanted(self._place(batch)), []).select(*self.keys, _SOURCE)
 
     def _version(self) -> int:
         """Later than any version before: one writer at a time, by its clock."""
@@ -106,7 +114,7 @@ class KeyedTable:
     def append_new(self, batch: DataFrame, order: list[str], source: str | None = None) -> None:
         """Append the first row of each key that is not stored yet; ``source`` names a column to keep beside it."""
         placed = self._place(batch)
-        stored = self._latest(self._wanted(placed)).select(*self.keys)
+        stored = self._latest(self._wanted(placed), []).select(*self.keys)
         none = {_APPLIED: F.lit(None).cast("map<string,bigint>"), _VERSION: F.lit(self._version()), _KNOWN: F.lit(False)}
         rows = placed.withColumns(none | {_SOURCE: F.col(source) if source else F.lit(None).cast("string")})
         fresh = first_per_key(rows.join(stored, self._same(rows, stored), "left_anti"), self.keys, order)
@@ -119,10 +127,13 @@ class KeyedTable:
         """Replace the stored rows of the batch's keys by ``apply(these rows, batch)``.
 
         Keys that ``epoch`` of ``writer`` has reached before are left alone. Stored rows that
-        ``apply`` leaves out are deleted; ``removes=False`` says that it leaves out none.
+        ``apply`` leaves out are deleted; ``removes=False`` says that it leaves out none. Several joins
+        read ``batch``: store it before if it is costly to compute.
         """
         placed, names = self._place(batch), self._rows.fieldNames()
-        held = durable(self._latest(self._wanted(placed)))  # the batch's keys at most
+        held = self._latest(self._wanted(placed))
+        if not self._empty():
+            held = durable(held)  # the batch's keys at most
         seen = F.coalesce(F.col(f"{_APPLIED}")[writer], F.lit(-1))
         if epoch is not None:
             done = held.filter(seen >= epoch).select(*self.keys)
@@ -145,11 +156,36 @@ class KeyedTable:
         rows = self._place(stamped).select(*self._stored_schema.fieldNames())
         rows.hint("rebalance").write.mode("append").parquet(f"{self.path}/log")
 
+    def put(self, rows: DataFrame) -> None:
+        """Store ``rows``, one of each key, in the place of the stored ones of their keys."""
+        placed = self._place(rows)
+        marks = self._latest(self._wanted(placed), [_APPLIED]).select(
+            *[F.col(k).alias(f"_k_{k}") for k in self.keys], F.col(_APPLIED).alias("_before"), F.lit(True).alias("_was")
+        )
+        same = F.lit(True)
+        for k in self.keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        self._log(placed.join(marks, same, "left").withColumns({_KNOWN: F.coalesce("_was", F.lit(False)), _SOURCE: F.lit(None).cast("string")}))
+
+    def remove(self, keys: DataFrame) -> None:
+        """Delete the stored rows of these keys."""
+        held = self._latest(self._wanted(self._place(keys)), [_APPLIED]).withColumnRenamed(_APPLIED, "_before")
+        others = [f for f in self._rows.fields if f.name not in self.keys]
+        empty = {f.name: F.lit(None).cast(f.dataType) for f in others}
+        self._log(self._place(held.withColumns(empty | {_KNOWN: F.lit(True), _SOURCE: F.lit(_GONE)})))
+
+    def _log(self, rows: DataFrame) -> None:
+        """Add versions of rows that keep the epochs ``_before`` to the log."""
+        before = F.coalesce("_before", F.create_map().cast("map<string,bigint>"))
+        marked = rows.withColumns({_APPLIED: before, _VERSION: F.lit(self._version())})
+        typed = marked.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._stored_schema.fields])
+        typed.hint("rebalance").write.mode("append").parquet(f"{self.path}/log")
+
     def changes(self, epoch: int, writer: str = "") -> DataFrame:
         """The rows that ``epoch`` of ``writer`` wrote last, and ``_known``: whether their keys were stored before."""
         log = self._files("log")
         if log is None:
-            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField(_KNOWN, T.BooleanType())]))
+            return _nothing(self.spark, T.StructType([*self.schema.fields, T.StructField(_KNOWN, T.BooleanType())]))
         mine = log.filter((F.col(_APPLIED)[writer] == epoch) & ~F.col(_SOURCE).eqNullSafe(F.lit(_GONE)))
         last = mine.groupBy(*self.keys).agg(F.max_by(F.struct(*self._stored_schema.fieldNames()), _VERSION).alias("_r"))
         return last.select(*[f"_r.{n}" for n in self.schema.fieldNames()], f"_r.{_KNOWN}")

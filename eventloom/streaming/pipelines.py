@@ -100,18 +100,15 @@ def stream_scan_ingest(
     """Audit messages -> ledger upsert; messages that fail go to the dead-letter topic."""
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
-        try:
-            now = clock()
-            good, bad = dead_letter.dlq_split(messages.scan_requests(batch))
-            out.send(dead_letter.records(bad, topic, dead_letter.dlq_audit()))
-            if tombstones:
-                good = retention.tombstone_filter(good, out.table("sync_event_tombstones").read(), now)
-            events = out.table("sync_events")
-            writer = query_id(out.spark, checkpoint)
-            events.upsert(good, lambda held, new: tables.upsert_scan_requests(held, new, ["partition", "offset"], now), epoch, writer, removes=False)
-        finally:
-            batch.unpersist()
+        now = clock()
+        good, bad = dead_letter.dlq_split(durable(messages.scan_requests(batch)))  # decoded once
+        out.send(dead_letter.records(bad, topic, dead_letter.dlq_audit()))
+        if tombstones:
+            good = retention.tombstone_filter(good, out.table("sync_event_tombstones").read(), now)
+        events = out.table("sync_events")
+        writer = query_id(out.spark, checkpoint)
+        order = ["partition", "offset"]
+        events.upsert(good, lambda held, new: tables.upsert_scan_requests(held, new, order, now, narrowed=True), epoch, writer, removes=False)
 
     return _start(stream, handle, checkpoint, interval)
 
@@ -271,7 +268,7 @@ def _table_writes(good: dict[str, DataFrame], out: Outputs, now: str, epoch: int
     if "wireless.client.inventory" in good:
         clients = out.table("wireless_client_inventory")
         batch = _typed_with(good["wireless.client.inventory"], clients, order)
-        merge_clients = lambda held, new: typed(tables.upsert_client_inventory(held, new, order), clients)
+        merge_clients = lambda held, new: typed(tables.upsert_client_inventory(held, new, order, narrowed=True), clients)
         writes.append(lambda: clients.upsert(batch, merge_clients, removes=False))
     if BLOCKED in good:
         rollup = out.table("proxy_blocked_host_rollups")
@@ -280,7 +277,7 @@ def _table_writes(good: dict[str, DataFrame], out: Outputs, now: str, epoch: int
     if "wireless.audit" in good:
         sensors = out.table("wireless_sensors")
         first_stored = F.coalesce("created_at", F.lit(now).cast("timestamp_ntz"))
-        merge_sensors = lambda held, new: typed(tables.upsert_sensors(held, new, order).withColumn("created_at", first_stored), sensors)
+        merge_sensors = lambda held, new: typed(tables.upsert_sensors(held, new, order, narrowed=True).withColumn("created_at", first_stored), sensors)
         writes.append(lambda: sensors.upsert(good["wireless.audit"], merge_sensors, removes=False))
     raised = [alerts.ALERT_BUILDERS[t](good[t], now) for t in good if t in alerts.ALERT_BUILDERS]
     if "audit.wireless.bandwidth" in good:
@@ -302,8 +299,8 @@ def _upsert_alerts(out: Outputs, raised: list[DataFrame], now: str, epoch: int,
     seq = ["batch_id", "row_sequence"]
 
     def apply(held: DataFrame, new: DataFrame) -> DataFrame:
-        others = tables.upsert_alerts(held.filter(~by_window), new.filter(~by_window), seq)
-        windows = tables.upsert_bandwidth_alerts(held.filter(by_window), new.filter(by_window), seq)
+        others = tables.upsert_alerts(held.filter(~by_window), new.filter(~by_window), seq, narrowed=True)
+        windows = tables.upsert_bandwidth_alerts(held.filter(by_window), new.filter(by_window), seq, narrowed=True)
         return typed(others, table).unionByName(typed(windows, table))
 
     table.upsert(reduce(DataFrame.unionByName, raised), apply, epoch, writer, removes=False)
@@ -383,13 +380,12 @@ def stream_generic_sink(
             present = {r["table"] for r in named.select("table").distinct().collect()}  # at most the known tables
             for name in [n for n in known if n.lower() in present]:
                 table = out.table(name)
-                rows = generic.generic_project(
-                    named.filter(F.col("table") == name.lower()), table.schema, ("partition", "offset")
-                )
+                mine = named.filter(F.col("table") == name.lower())
+                rows = durable(generic.generic_project(mine, table.schema, ("partition", "offset")))
                 if table.keys[-1] == "_offset":  # the key is generated: every envelope is a row of its own
                     table.append_new(rows, PLACE)
                 else:
-                    table.upsert(rows, lambda held, new, t=table: tables.upsert_generic(held, new, t.keys, PLACE), removes=False)
+                    table.upsert(rows, lambda held, new, t=table: tables.upsert_generic(held, new, t.keys, PLACE, narrowed=True), removes=False)
         finally:
             batch.unpersist()
 
@@ -468,7 +464,7 @@ def stream_probe_flush(
             )
             out.send(dead_letter.records(refused, topic, dead_letter.dlq_probe(), F.lit("probe_flush")))
             good = rows.join(bad, ["partition", "offset"], "left_anti")
-            known = detect.probe_known_bssid(good, networks())
+            known = durable(detect.probe_known_bssid(good, networks()))
             clients = out.table("wireless_clients")
             writer = query_id(out.spark, checkpoint)
             clients.upsert(known, lambda held, new: tables.upsert_wireless_clients(held, new, ["pos"]), epoch, writer, removes=False)
@@ -495,7 +491,7 @@ def stream_shadow_alerts(
         found = detect.unauthorized_frames(batch, networks())
         table = out.table("wireless_shadow_alerts")
         stamp = {"reason": F.lit(detect.SHADOW_REASON), "evidence": detect.shadow_evidence(window_seconds)}
-        merge = lambda held, new: typed(tables.upsert_shadow_alerts(held, new, now).withColumns(stamp), table)
+        merge = lambda held, new: typed(tables.upsert_shadow_alerts(held, new, now, narrowed=True).withColumns(stamp), table)
         table.upsert(durable(found), merge, epoch, writer, removes=False)
         changed = table.changes(epoch, writer)
         out.send(changed.select(F.lit(alert_topic).alias("topic"), F.col("source_mac").alias("key"), detect.shadow_alert_json(changed).alias("value")))

@@ -448,3 +448,30 @@ def test_wide_rows_are_projected_in_linear_time(spark):
         return time.perf_counter() - start
 
     assert taken(5000) < 3
+
+
+def test_the_size_of_stored_rows_is_known_to_the_planner(spark):
+    """A plan that drops a parsed document seems tiny: keys of a large batch were broadcast whole."""
+    from eventloom.functions import json_fields as J
+    from eventloom.session import durable
+
+    texts = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.to_json(F.struct("id")).alias("value"))
+    keys = J.with_parsed(texts, F.col("value")).filter("_v IS NOT NULL").select("k")
+    size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size(durable(keys)) > 1_000_000
+
+
+def test_a_merge_into_narrowed_rows_is_the_same(spark):
+    held = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n bigint")
+    batch = spark.createDataFrame([("a", 5, 0), ("b", 1, 1), ("c", 7, 2), ("a", 1, 3)], "k string, n bigint, o int")
+    both = [M.merge(held, batch, ["k"], {"n": M.add}, ["o"], narrowed=x) for x in (False, True)]
+    assert [sorted(map(tuple, df.collect())) for df in both] == [[("a", 7), ("b", 3), ("c", 7)]] * 2
+    assert "Join" not in both[1]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nothing_stored_moves_no_batch(spark, tmp_path):
+    batch = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n bigint")
+    table = S.KeyedTable(spark, str(tmp_path / "t"), batch.schema, ["k"])
+    joined = batch.join(table.held(batch).select("k"), "k", "left_anti")
+    assert "Join" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count() == 2
