@@ -10,8 +10,9 @@ whose ids are all null has a null id; an empty table gives no rows; other column
 looked at.
 
 ``keep_first``, the stage of the pipeline, links texts whose sets of 5-word shingles have a
-Jaccard similarity of 0.8 or more, which lie about 10 bits apart and out of reach of a ball. It
-finds pairs by bands of least hashes and verifies each on the whole sets. Texts of equal words
+Jaccard similarity of 0.8 or more. Pairs come from ball hashing of the fingerprints of these
+shingles and, as most such pairs lie about 10 bits apart and out of reach of a ball, also from
+bands of least hashes; each is verified on the whole sets. Texts of equal words
 are one node, null and empty texts too; texts of fewer words than a shingle are one shingle.
 Each text of a bucket first meets the one that most buckets share; then, in rounds, texts of one
 bucket that are still in different components meet: all of them where a bucket has at most
@@ -208,23 +209,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter((100 + percent) * shared >= percent * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
 
+def ball_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of keys whose fingerprints ``fp`` lie within the radius: a star in each fingerprint, links between their centres."""
+    centres = staged(nodes.groupBy("fp").agg(F.min("key").alias("centre")), "near-centres")
+    same = nodes.join(centres, "fp").filter("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
+    near = links(centres)
+    for end in ("a", "b"):
+        near = near.join(centres.select(F.col("fp").alias(end), F.col("centre").alias(f"_{end}")), end)
+    return same.unionAll(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))).distinct()
+
+
 def similar_roots(texts: DataFrame, prints: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``(node, root)`` of the keys in ``prints`` that have a similar one.
 
-    ``texts`` (``key, text``) and ``prints`` (``key, n, bands, sketch``) may repeat keys.
+    ``texts`` (``key, text``) and ``prints`` (``key, n, fp, bands, sketch``) may repeat keys.
     """
-    nodes = staged(prints.filter("n > 0").select("key", "n", "bands", "sketch").dropDuplicates(["key"]), "near-nodes")
+    nodes = staged(prints.filter("n > 0").select("key", "n", "fp", "bands", "sketch").dropDuplicates(["key"]), "near-nodes")
+    balls = staged(ball_pairs(nodes.select("key", "fp")), "near-balls")
     cells = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
     cells = cells.select("key", "band", F.xxhash64("band", "bucket").alias("group"))
     shared = cells.groupBy("group").agg(F.count("*").alias("rows")).filter("rows > 1")
     cells = staged(cells.join(shared, "group"), "near-cells")
     company = cells.groupBy("key").agg(F.sum("rows").alias("company"))
-    members = staged(nodes.drop("bands").join(company, "key"), "near-members")
-    once = texts.join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    members = staged(nodes.drop("bands", "fp").join(company, "key"), "near-members")
+    met = members.select("key").unionAll(balls.select("a")).unionAll(balls.select("b")).distinct()
+    once = texts.join(met, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     sets = staged(once.select("key", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("shingles")), "near-sets")
 
     alone = cells.join(members, "key").withColumn("root", F.col("key"))
-    found = staged(verified(staged(starred(alone, percent), "near-pairs"), sets, percent), "near-links")
+    first = staged(starred(alone, percent).unionAll(balls).distinct(), "near-pairs")
+    found = staged(verified(first, sets, percent), "near-links")
     roots = staged(components(found), "near-roots")
     while True:
         placed = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
@@ -260,7 +274,7 @@ def keep_first(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STA
     hashed = with_text_keys(docs.select("doc_id", "text")).select(
         "doc_id", "key", "check", F.explode(F.array(shingle_hashes(F.col("text"), shingle))).alias("hashes")
     )
-    made = staged(hashed.select("doc_id", "key", "check", band_hashes("hashes").alias("x")).select("doc_id", "key", "check", "x.*"), "near-prints")
+    made = staged(hashed.select("doc_id", "key", "check", majority_bits("hashes").alias("fp"), band_hashes("hashes").alias("x")).select("doc_id", "key", "check", "fp", "x.*"), "near-prints")
     checks = made.groupBy("key").agg(F.min("check").alias("first_check"), F.max("check").alias("last"))
     collided = staged(checks.filter("first_check <> last").drop("last"), "near-collided")
     prints = apart(made, collided)

@@ -210,3 +210,19 @@ def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
     rows = [(None, a), (None, b), (None, c), (None, c), (1, c), (5, d), (5, e), (None, d), (3, e)]
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", a), ("None", b), ("1", c), ("5", d), ("3", e)])
+
+
+def test_the_stage_links_by_balls_of_fingerprints(spark, monkeypatch):
+    prints = [0, 1, 3, 7, 7, 1 << 40, 255 << 20, 253 << 20, -(1 << 63)]
+    nodes = spark.createDataFrame([(10 + i, fp) for i, fp in enumerate(prints)], "key long, fp long")
+    linked = {r.node: r.root for r in components(simhash.ball_pairs(nodes)).collect()}
+    close = [(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if ((prints[i] ^ prints[j]) % 2**64).bit_count() <= 2]
+    assert close and all(linked.get(10 + i, 10 + i) == linked.get(10 + j, 10 + j) for i, j in close)
+    # texts that share no band: the balls alone find them
+    nothing = lambda rows, percent: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "starred", nothing)
+    monkeypatch.setattr(simhash, "crossed", nothing)
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "another text of some more words")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3]
