@@ -17,17 +17,14 @@ def context_columns(df: DataFrame) -> DataFrame:
 
 def _column_value(fields: Column, name: str, kind: T.DataType) -> Column:
     value = F.try_element_at(fields, F.lit(name.lower()))
-    is_null = value.isNull() | (F.schema_of_variant(value) == "VOID")
     if isinstance(kind, T.StringType):
-        # nested values are stored as their JSON text
-        typed = F.when(
-            F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.to_json(value)
-        ).otherwise(F.try_variant_get(value, "$", "string"))
-    elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-        typed = parse_lenient_timestamp(F.try_variant_get(value, "$", "string")).cast(kind)
-    else:
-        typed = F.try_variant_get(value, "$", kind.simpleString())
-    return F.when(~is_null, typed)
+        # nested values are stored as their JSON text; numbers of the text 1e3 count as 1000.0 does
+        reprinted = F.schema_of_variant(value).rlike("^(OBJECT|ARRAY|DOUBLE)")
+        again = F.try_parse_json(F.when(reprinted, F.to_json(value)))
+        return F.when(reprinted, F.try_variant_get(again, "$", "string")).otherwise(F.try_variant_get(value, "$", "string"))
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+        return parse_lenient_timestamp(F.try_variant_get(value, "$", "string")).cast(kind)
+    return F.try_variant_get(value, "$", kind.simpleString())
 
 
 def _lowered_fields(fields: Column) -> Column:
@@ -54,7 +51,7 @@ def generic_project(df: DataFrame, schema: T.StructType, keep: tuple[str, ...] =
     """
     names = {f.name.lower() for f in schema.fields}
     context = {c: F.col(c) for c in ("origin_system", "destination_system") if c in names and c in df.columns}
-    rows = df.withColumn("_fields", _lowered_fields(F.from_json(F.to_json("data"), "map<string,variant>")))
+    rows = df.withColumn("_fields", _lowered_fields(F.try_variant_get("data", "$", "map<string,variant>")))
     columns = [
         context[f.name.lower()].cast(f.dataType).alias(f.name)
         if f.name.lower() in context

@@ -16,10 +16,10 @@ NOT_JSON = "message is not JSON"
 
 def envelope_decode(messages: DataFrame, value: str = "value") -> DataFrame:
     """Generic envelope ``{table, data, origin, destination}`` -> columns plus ``error``."""
-    df = J.with_parsed(messages, F.col(value))
-    v = F.col("_v")
-    data = J.field(v, "data")
-    table, origin, destination = (J.string_value(v, name) for name in ("table", "origin", "destination"))
+    v, members = F.col("_v"), J.Members()
+    data = J.field(members, "data")
+    table, origin, destination = (J.string_value(members, name) for name in ("table", "origin", "destination"))
+    df = members.split(J.with_parsed(messages, F.col(value)), v)
     error = (
         F.when(v.isNull(), NOT_JSON)
         .when(~J.is_object(v), "envelope must be a JSON object")

@@ -363,31 +363,29 @@ def stream_generic_sink(
 ) -> StreamingQuery:
     """Envelopes -> origin check -> keyed upsert of each named table."""
     known = table_names or schemas.table_names()
+    kept = ("key", "topic", *PLACE, "table", "origin", "destination", "data")
 
     def handle(batch: DataFrame, epoch: int) -> None:
         now = clock()
-        batch.persist()
-        try:
-            good, undecoded = dead_letter.dlq_split(messages.envelope_decode(batch))
-            checked = generic.context_columns(dead_letter.dlq_batch_group(good, known))
-            valid, refused = dead_letter.dlq_split(checked)
-            out.send(
-                dead_letter.records(undecoded, topic, dead_letter.dlq_decode(undecoded, now), F.col("key")).unionByName(
-                    dead_letter.records(refused, topic, dead_letter.dlq_generic(refused, now), F.col("key"))
-                )
+        decoded = messages.envelope_decode(batch).withColumnRenamed("error", "undecoded")
+        checked = durable(dead_letter.dlq_batch_group(decoded, known).select(*kept, "undecoded", "error"))  # decoded once
+        undecoded = checked.filter("undecoded IS NOT NULL").withColumn("error", F.col("undecoded"))
+        valid, refused = dead_letter.dlq_split(checked.filter("undecoded IS NULL"))
+        out.send(
+            dead_letter.records(undecoded, topic, dead_letter.dlq_decode(undecoded, now), F.col("key")).unionByName(
+                dead_letter.records(refused, topic, dead_letter.dlq_generic(refused, now), F.col("key"))
             )
-            named = valid.withColumn("table", F.lower("table"))
-            present = {r["table"] for r in named.select("table").distinct().collect()}  # at most the known tables
-            for name in [n for n in known if n.lower() in present]:
-                table = out.table(name)
-                mine = named.filter(F.col("table") == name.lower())
-                rows = durable(generic.generic_project(mine, table.schema, ("partition", "offset")))
-                if table.keys[-1] == "_offset":  # the key is generated: every envelope is a row of its own
-                    table.append_new(rows, PLACE)
-                else:
-                    table.upsert(rows, lambda held, new, t=table: tables.upsert_generic(held, new, t.keys, PLACE, narrowed=True), removes=False)
-        finally:
-            batch.unpersist()
+        )
+        named = generic.context_columns(valid).withColumn("table", F.lower("table"))
+        present = {r["table"] for r in named.select("table").distinct().collect()}  # at most the known tables
+        for name in [n for n in known if n.lower() in present]:
+            table = out.table(name)
+            mine = named.filter(F.col("table") == name.lower())
+            rows = durable(generic.generic_project(mine, table.schema, ("partition", "offset")))
+            if table.keys[-1] == "_offset":  # the key is generated: every envelope is a row of its own
+                table.append_new(rows, PLACE)
+            else:
+                table.upsert(rows, lambda held, new, t=table: tables.upsert_generic(held, new, t.keys, PLACE, narrowed=True), removes=False)
 
     return _start(stream, handle, checkpoint, interval)
 

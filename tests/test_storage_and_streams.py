@@ -367,6 +367,39 @@ def test_generic_sink_appends_rows_of_generated_keys(spark, tmp_path):
     assert [r.hostname for r in out.table("devices").read().collect()] == ["two"]
 
 
+def test_generic_sink_decodes_its_messages_once(spark, tmp_path, monkeypatch):
+    plans = []
+    values = [
+        json.dumps({"table": t, "origin": "SSL-PROXY", "destination": "w", "data": {"MAC_ID": "m", "batch_id": "b", "row_sequence": 1, "error_class": "c"}})
+        for t in ("devices", "proxy_events", "sync_errors", "nosuch")
+    ]
+    send(spark, str(tmp_path), "rows", [*values, "[]"])
+    out = P.Outputs(spark, f"{tmp_path}/out")
+    stored = P.durable
+    monkeypatch.setattr(P, "durable", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df))
+    finish(P.stream_generic_sink(read_topic(spark, "rows", path=f"{tmp_path}/in"), out, f"{tmp_path}/cp", topic="rows", clock=CLOCK))
+    # of the plans of the batch and its three tables, the batch's alone parses messages
+    assert ["Generate explode" in p for p in plans] == [True, False, False, False]
+    errors = sorted(json.loads(r.value)["error"] for r in out.sent("rows.dlq").collect())
+    assert errors == ["envelope must be a JSON object", "unknown table 'nosuch'"]
+    assert [out.table(n).read().count() for n in ("devices", "proxy_events", "sync_errors")] == [1, 1, 1]
+
+
+def test_projected_values_are_those_of_the_printed_object(spark):
+    from pyspark.sql import types as ST
+
+    from eventloom.operators.generic import generic_project
+
+    values = ["1.10", "1e3", "1E40", "-0.0", '"x"', "null", "true", '{"b":1.50,"a":[1e2,null]}', "[]", "[1.0,2e0]", "1e-7", '{"z":{"y":2e0}}', '""']
+    docs = spark.createDataFrame([(i, '{"A":%s}' % v) for i, v in enumerate(values)], "i int, d string")
+    docs = docs.select("i", F.explode(F.array(F.try_parse_json("d"))).alias("data"))
+    texts = "1.1 1000 1.0E40 0 x None true {\"a\":[100,null],\"b\":1.5} [] [1,2] 1.0E-7 {\"z\":{\"y\":2}} ".split(" ")
+    found = {r.i: r.a for r in generic_project(docs, ST.StructType.fromDDL("a string"), ("i",)).collect()}
+    assert [str(found[i]) for i in range(len(values))] == texts
+    whole = {r.i: r.a for r in generic_project(docs, ST.StructType.fromDDL("a bigint"), ("i",)).collect()}
+    assert [whole[i] for i in (0, 1, 2, 4, 5, 6, 7)] == [1, 1000, None, None, None, 1, None]
+
+
 def test_a_bucket_can_lose_all_of_its_rows(spark, tmp_path):
     table = S.KeyedTable(spark, f"{tmp_path}/t", spark.range(0).selectExpr("id AS k", "id AS v").schema, ["k"], buckets=4)
     table.append_new(spark.range(8).selectExpr("id AS k", "id AS v"), ["v"])
