@@ -486,7 +486,7 @@ def stream_shadow_alerts(
 
     def handle(batch: DataFrame, epoch: int) -> None:
         now, writer = clock(), query_id(out.spark, checkpoint)
-        found = detect.unauthorized_frames(batch, networks())
+        found = detect.unauthorized_frames(durable(batch), networks())  # read twice, and each read would run the streams' state anew
         table = out.table("wireless_shadow_alerts")
         stamp = {"reason": F.lit(detect.SHADOW_REASON), "evidence": detect.shadow_evidence(window_seconds)}
         merge = lambda held, new: typed(tables.upsert_shadow_alerts(held, new, now, narrowed=True).withColumns(stamp), table)

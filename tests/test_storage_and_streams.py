@@ -342,6 +342,25 @@ def test_shadow_alerts_do_not_depend_on_micro_batches(spark, tmp_path, batches,
     assert sent and all(m["evidence"]["presence_window_seconds"] == 300 for m in sent)
 
 
+def test_shadow_stream_runs_its_state_once_per_micro_batch(spark, tmp_path, monkeypatch):
+    shape = "source_mac string, observed_at timestamp_ntz, destination_bssid string, ssid string, sensor_id string, location_id string, signal_dbm bigint"
+    rows = spark.range(20).selectExpr(
+        "CASE WHEN id < 19 THEN format_string('02:00:00:00:00:%02x', id) END AS source_mac",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(CASE WHEN id < 19 THEN 0 ELSE 30 END) AS observed_at",
+        "'b' AS destination_bssid", "'n' AS ssid", "'s' AS sensor_id", "'l' AS location_id", "-40L AS signal_dbm",
+    )
+    rows.write.parquet(f"{tmp_path}/in")
+    rows.filter("source_mac IS NULL").selectExpr("source_mac AS mac_id", "observed_at AS last_seen").write.parquet(f"{tmp_path}/seen")
+    networks = spark.createDataFrame([], "id long, ssid string, bssid string, location_id string, enabled boolean")
+    plans, plain = [], P.detect.unauthorized_frames
+    monkeypatch.setattr(P.detect, "unauthorized_frames", lambda batch, n: plans.append(batch._jdf.queryExecution().logical().toString()) or plain(batch, n))
+    out = P.Outputs(spark, f"{tmp_path}/out")
+    read = lambda name, kind: spark.readStream.schema(kind).parquet(f"{tmp_path}/{name}")
+    finish(P.stream_shadow_alerts(read("in", shape), out, f"{tmp_path}/cp", lambda: networks, read("seen", "mac_id string, last_seen timestamp_ntz"), clock=CLOCK))
+    assert out.table("wireless_shadow_alerts").read().count() == 19
+    assert plans and all("parquet" in p and "Join" not in p and "LogicalRDD" not in p for p in plans)
+
+
 def test_a_late_frame_moves_the_first_occurrence_back(spark):
     shape = "source_mac string, observed_at timestamp_ntz, destination_bssid string, ssid string, sensor_id string, location_id string, signal_dbm bigint"
     frame = lambda at: spark.createDataFrame([("m", at, "b", "n", at, "l", -40)], shape.replace("timestamp_ntz", "string")).withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
