@@ -11,6 +11,8 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def default_tokenizer() -> str:
@@ -22,12 +24,12 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """Ids by a lower-casing tokenizer whose tokens never span a space or line feed.
 
-    Such a tokenizer gives a text's ids as those of its words in order, so each distinct word
-    is encoded once while it is in the cache. A word of Latin letters and then ASCII marks
-    consists of these two pieces, which are words themselves; new pieces of several texts are
-    encoded together, past the normaliser and the splitting that cannot change them, and told
-    apart by the end-of-word mark of their last id. Texts for which lower case or normal form
-    could depend on the context are encoded word by word.
+    Such a tokenizer gives a text's ids as those of its words in order, so the distinct words of
+    several texts are looked up once and their ids copied to where the words stand. A word of Latin
+    letters and then ASCII marks consists of these two pieces, which are words themselves and are
+    cached in its place; new pieces are encoded together, past the normaliser and the splitting that
+    cannot change them, and told apart by the end-of-word mark of their last id. Texts for which
+    lower case or normal form could depend on the context are encoded word by word.
 
     The cache has two generations: when the younger is full it replaces the elder, so words
     that keep coming stay and those that came once go.
@@ -35,7 +37,8 @@ class WordTokenizer:
 
     CACHED = 120_000  # words of a generation: some 25 MB, which an idle worker goes on holding
     CACHED_LENGTH = 48
-    TOGETHER = 1 << 18  # characters of the texts that are looked up together
+    TOGETHER = 1 << 20  # characters of the texts that are looked up together
+    AT_ONCE = 1 << 17  # words whose ids are copied at once
     END_MARK = "</w>"
     MARKS = r"!-/:-@\[-`{-~"
     LETTERS = "a-zß-öø-ÿ"
@@ -86,15 +89,31 @@ class WordTokenizer:
         return out
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that are not cached, and of their pieces."""
+        """The ids of words that the younger generation lacks; keeps the pieces and the words that have none."""
         fullmatch, cached, elder = self.simple.fullmatch, self.words, self.elder
-        parts = {w: m.groups() for w in words if (m := fullmatch(w))}
-        pieces = {p for both in parts.values() for p in both}
-        out = {p: cached[p] if p in cached else elder[p] for p in pieces if p in cached or p in elder}
-        out |= self._together([p for p in pieces if p not in out])
-        out |= {w: out[a] + out[b] for w, (a, b) in parts.items()}
-        other = [w for w in words if w not in out]
-        return out | self._singly(other) if other else out
+        known, new, other = {}, set(), []
+        marked: dict[str, tuple[str, str]] = {}
+        for w in words:
+            if w in elder:
+                known[w] = elder[w]
+            elif (m := fullmatch(w)) is None:
+                other.append(w)
+            elif m[2]:
+                marked[w] = m.groups()
+            else:
+                new.add(w)
+        for p in {p for both in marked.values() for p in both}:
+            if p in elder:
+                known[p] = elder[p]
+            elif p not in cached:
+                new.add(p)
+        known |= self._together(list(new))
+        if other:
+            known |= self._singly(other)
+        of = lambda p: known[p] if p in known else cached[p]
+        out = known | {w: of(a) + of(b) for w, (a, b) in marked.items()}
+        self._keep(known)
+        return out
 
     def _keep(self, coded: dict[str, bytes]) -> None:
         self.words.update((w, x) for w, x in coded.items() if len(w) <= self.CACHED_LENGTH)
@@ -106,28 +125,43 @@ class WordTokenizer:
         normal = unicodedata.is_normalized
         return "Σ" in text or "<|" in text or not (normal("NFC", text) and normal("NFC", lower))
 
-    def _words(self, text: str) -> tuple[list[str], dict[str, bytes] | None]:
-        """The words of a text, and their ids if they are not to be cached."""
-        lower = text.lower()
-        if self._context(text, lower):
-            words = [w for w in text.replace("\n", " ").split(" ") if w]
-            return words, self._singly(list(dict.fromkeys(words)))
-        return lower.replace("\n", " ").split(" "), None
+    def _alone(self, text: str) -> np.ndarray:
+        """The ids of a text whose words are not to be cached."""
+        words = [w for w in text.replace("\n", " ").split(" ") if w]
+        coded = self._singly(list(dict.fromkeys(words)))
+        return np.frombuffer(b"".join([coded[w] for w in words]), dtype=self.dtype)
 
-    def _some(self, texts: list[str]) -> list[np.ndarray]:
-        rows, missing = [], set()
-        for text in texts:
-            words, coded = self._words(text)
-            found = list(map((coded or self.words).get, words))
-            missing.update(w for w, x in zip(words, found, strict=True) if x is None)
-            rows.append((words, found))
+    def _coded(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.words.get, words))
+        missing = [w for w, x in zip(words, found, strict=True) if x is None]
         if missing:
-            elder = self.elder
-            new = {w: elder[w] for w in missing if w in elder}
-            new |= self._learn([w for w in missing if w not in new])
-            rows = [(words, [new[w] if x is None else x for w, x in zip(words, found, strict=True)]) for words, found in rows]
-            self._keep(new)
-        return [np.frombuffer(b"".join(found), dtype=self.dtype) for _, found in rows]
+            new = self._learn(missing)
+            found = [new[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        return found
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts: their distinct words are looked up once and copied to where they stand."""
+        alone, lowered = {}, []
+        for n, text in enumerate(texts):
+            lower = text.lower()
+            if self._context(text, lower):
+                alone[n], lower = self._alone(text), ""
+            lowered.append(lower.replace("\n", " "))
+        listed = pc.split_pattern(pa.array(lowered, pa.large_string()), " ")
+        words = listed.flatten().dictionary_encode()
+        coded = self._coded(words.dictionary.to_numpy(zero_copy_only=False).tolist())  # much faster than to_pylist
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // self.dtype.itemsize
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(coded), dtype=self.dtype)
+        places = words.indices.to_numpy()
+        parts, ends = [flat[:0]], np.zeros(len(places) + 1, dtype=np.int64)
+        np.cumsum(sizes[places], out=ends[1:])
+        for first in range(0, len(places), self.AT_ONCE):
+            place = places[first : first + self.AT_ONCE]
+            before = ends[first : first + len(place)]
+            shift = np.repeat(starts[place] - before, sizes[place])
+            parts.append(flat[shift + np.arange(before[0], before[0] + len(shift))])
+        ids, cuts = np.concatenate(parts), ends[listed.offsets.to_numpy()].tolist()
+        return [alone[n] if n in alone else ids[a:b] for n, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
     def batch(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""

@@ -53,6 +53,18 @@ def test_a_small_cache_gives_the_same_ids(spark, plain, monkeypatch, cached, tog
     assert len(small.words) <= cached + 1 and small.elder
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_distinct_words_are_looked_up_once_and_marks_apart(plain, monkeypatch, at_once):
+    monkeypatch.setattr(tokens.WordTokenizer, "AT_ONCE", at_once)
+    one = tokens.WordTokenizer(tokens.default_tokenizer())
+    texts = ["Dogs, dogs. dogs!", "", "dogs dogs,\ncats.", "ΣΑΣ dogs", " it's  it's ", "cats. dogs!"] * 3
+    asked, plainly = [], one._coded
+    monkeypatch.setattr(one, "_coded", lambda words: asked.append(words) or plainly(words))
+    assert [x.tolist() for x in one.batch(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+    assert set(one.words) == {"", "dogs", "cats", "it's", ",", ".", "!"}
+
+
 def pieces_cover(rests, windows):
     got = {}
     for doc, start, n in sorted(p for w in windows for p in w):
