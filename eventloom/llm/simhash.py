@@ -14,16 +14,13 @@ Jaccard similarity of 0.8 or more. Pairs come from ball hashing of the fingerpri
 shingles and, as most such pairs lie about 10 bits apart and out of reach of a ball, also from
 bands of least hashes; each is verified on the whole sets. Texts of equal words
 are one node, null and empty texts too; texts of fewer words than a shingle are one shingle.
-Each text of a bucket first meets the one that most buckets share; then, in rounds, texts of one
-bucket that are still in different components meet: all of them where a bucket has at most
-``SMALL`` texts, else in the finer buckets of a band and one of the ``NEXT`` after it. Rounds end
-when one joins nothing.
+Each text of a bucket first meets the one that most buckets share; then all texts of one bucket
+that are still in different components meet, however large the bucket is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,8 +38,8 @@ RADIUS = 2
 STAGE_SHINGLE = 5
 STAGE_PERCENT = 80
 BANDS, BAND_ROWS = 20, 5  # a pair of similarity s shares a band with chance 1 - (1 - s^5)^20
-SMALL = 64
-NEXT = 4  # texts of similarity 0.8 share a finer bucket with chance 0.98
+SMALL = 64  # texts of a bucket whose pairs are made in place; those of larger ones are compared in blocks
+PART_TEXTS, PART_SHINGLES = 1 << 11, 1 << 20
 UNLIKE = 33  # of 100 two-bit hashes; a pair of similarity 0.8 differs in more with chance 4e-6
 
 
@@ -195,9 +192,50 @@ def crossed(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def open_groups(rows: DataFrame) -> DataFrame:
-    """The groups that hold more than one component, with their number of rows."""
-    sizes = rows.groupBy("group").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return sizes.filter("low <> high").select("group", "rows")
+    """The groups that hold more than one component, with their numbers of rows and of shingles."""
+    total = F.sum(F.col("n").cast("long")).alias("total")
+    sizes = rows.groupBy("group").agg(F.count("*").alias("rows"), total, F.min("root").alias("low"), F.max("root").alias("high"))
+    return sizes.filter("low <> high").select("group", "rows", "total")
+
+
+def block_links(block: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links ``(a, b)`` that join all similar texts of different components between the parts ``low`` and ``high``."""
+    keys, n = block["key"].to_numpy(), block["n"].to_numpy(np.int64)
+    sketch = np.array(block["sketch"].tolist(), dtype="<i8").view("<u8")
+    sets = [np.sort(x) for x in block["shingles"]]
+    labels = np.unique(block["root"].to_numpy(), return_inverse=True)[1]
+    mine, others = (np.flatnonzero(block["part"] == block[end]) for end in ("low", "high"))
+    within, out = block["low"].iloc[0] == block["high"].iloc[0], []
+    for at, i in enumerate(mine):
+        met = others[at + 1 :] if within else others
+        met = met[(labels[met] != labels[i]) & (100 * np.minimum(n[met], n[i]) >= percent * np.maximum(n[met], n[i]))]
+        differ = sketch[met] ^ sketch[i]
+        met = met[np.bitwise_count(differ[:, :2] | differ[:, 2:]).sum(axis=1) <= UNLIKE]
+        if not len(met):
+            continue
+        theirs = np.concatenate([sets[j] for j in met])
+        places = np.minimum(np.searchsorted(sets[i], theirs), n[i] - 1)
+        starts = np.concatenate([[0], np.cumsum(n[met])[:-1]])
+        shared = np.add.reduceat((sets[i][places] == theirs).astype(np.int64), starts)
+        for j in met[(100 + percent) * shared >= percent * (n[met] + n[i])]:
+            if labels[j] != labels[i]:
+                out.append((keys[i], keys[j]))
+                labels[labels == labels[j]] = labels[i]
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def crossed_wide(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between similar members of groups of any size: all members of different components meet.
+
+    A group falls into parts of about ``PART_TEXTS`` texts or ``PART_SHINGLES`` shingles, and a task compares two
+    parts. So the memory of a task is bounded; the number of comparisons is the square of the group's size.
+    """
+    parts = F.ceil(F.greatest(F.col("rows") / PART_TEXTS, F.col("total") / PART_SHINGLES)).cast("int")
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    dealt = rows.select("group", *MEMBER, parts.alias("parts")).withColumn("part", part).join(sets, "key")
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = each.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("parts", "other")
+    return each.groupBy("group", "low", "high").applyInPandas(lambda block: block_links(block, percent), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,28 +278,13 @@ def similar_roots(texts: DataFrame, prints: DataFrame, shingle: int, percent: in
     first = staged(starred(alone, percent).unionAll(balls).distinct(), "near-pairs")
     found = staged(verified(first, sets, percent), "near-links")
     roots = staged(components(found), "near-roots")
-    while True:
-        placed = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
-        rows = cells.drop("rows").join(placed, "key")
-        sizes = staged(open_groups(rows), "near-open")
-        rows = staged(rows.join(sizes, "group"), "near-rows")
-        wide = rows.filter(F.col("rows") > SMALL)
-        after = F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda i: F.struct(i.alias("i"), F.get("bands", (F.col("band") + i) % BANDS).alias("b")))
-        finer = wide.drop("rows").join(nodes.select("key", "bands"), "key").withColumn("after", F.explode(after))
-        finer = finer.withColumn("group", F.xxhash64("group", "after")).drop("after", "bands")
-        narrow = staged(finer.join(open_groups(finer), "group"), "near-finer")
-        pairs = [
-            crossed(rows.filter(F.col("rows") <= SMALL), percent),
-            crossed(narrow.filter(F.col("rows") <= SMALL), percent),
-            starred(wide, percent),
-            starred(narrow.filter(F.col("rows") > SMALL), percent),
-        ]
-        fresh = reduce(DataFrame.unionAll, pairs).distinct()
-        more = staged(verified(staged(fresh, "near-pairs"), sets, percent), "near-links")
-        if more.isEmpty():
-            return roots
-        found = staged(found.unionAll(more), "near-links")
-        roots = staged(components(found), "near-roots")
+    placed = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+    rows = cells.drop("rows").join(placed, "key")
+    rows = staged(rows.join(staged(open_groups(rows), "near-open"), "group"), "near-rows")
+    fresh = staged(crossed(rows.filter(F.col("rows") <= SMALL), percent), "near-pairs")
+    more = verified(fresh, sets, percent).unionAll(crossed_wide(rows.filter(F.col("rows") > SMALL), sets, percent))
+    more = staged(more, "near-links")
+    return roots if more.isEmpty() else staged(components(found.unionAll(more)), "near-roots")
 
 
 def keep_first(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:

@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import xxhash
 from odd import no_docs, odd_docs  # noqa: F401
 
@@ -193,6 +195,39 @@ def test_a_large_family_around_a_template(spark, monkeypatch):
     assert kept_ids(spark, texts) == similar_components(texts)
 
 
+def test_all_of_a_large_bucket_meet(spark, monkeypatch):
+    """Pairs at the least similarity among texts that share most of their words: they share few buckets, all of them large."""
+    monkeypatch.setattr(simhash, "SMALL", 3)
+    monkeypatch.setattr(simhash, "PART_TEXTS", 40, raising=False)
+    rng = random.Random(15)
+    template = [f"w{rng.randrange(10**9)}" for _ in range(70)]
+    own = [template + [f"o{rng.randrange(10**9)}" for _ in range(30)] for _ in range(120)]
+    near = [x[:-10] + [f"v{rng.randrange(10**9)}" for _ in range(10)] for x in own]
+    texts = [" ".join(x) for x in own + near]
+    rng.shuffle(texts)
+    assert len(similar_components(texts)) == 120
+    assert kept_ids(spark, texts) == similar_components(texts)
+
+
+def test_blocks_link_what_all_pairs_link(spark):
+    rng = np.random.default_rng(16)
+    base = rng.integers(0, 1 << 62, (6, 40))
+    sets = [rng.permutation(np.concatenate([base[i % 6][: 40 - i % 4], rng.integers(0, 1 << 62, i % 9)])) for i in range(60)]
+    rows = pd.DataFrame({"key": range(60), "n": [len(x) for x in sets], "sketch": [np.zeros(4, dtype=np.int64)] * 60, "root": range(60), "shingles": sets})
+    alike = {(i, j) for i, j in itertools.combinations(range(60), 2) if 10 * len({*sets[i]} & {*sets[j]}) >= 8 * len({*sets[i]} | {*sets[j]})}
+
+    def grouped(pairs):
+        root = list(range(60))
+        for i, j in pairs:
+            root = [root[i] if x == root[j] else x for x in root]
+        return sorted(sorted(k for k in range(60) if root[k] == x) for x in {*root})
+
+    whole = simhash.block_links(rows.assign(part=0, low=0, high=0), 80)
+    links = [simhash.block_links(rows.assign(part=rows["key"] % 2, low=a, high=b)[lambda x: x["part"].isin([a, b])], 80) for a, b in [(0, 0), (0, 1), (1, 1)]]
+    assert {(min(x), max(x)) for x in pd.concat([whole, *links]).itertuples(index=False)} <= alike and len(whole) < len(alike)
+    assert grouped(whole.itertuples(index=False)) == grouped(pd.concat(links).itertuples(index=False)) == grouped(alike)
+
+
 def test_texts_whose_keys_collide_are_told_apart(spark):
     df = spark.createDataFrame([(7, 1, "a"), (7, 2, "b"), (7, 2, "c"), (8, 5, "d")], "key long, check long, x string")
     checks = spark.createDataFrame([(7, 1)], "key long, first_check long")
