@@ -537,3 +537,36 @@ def test_nothing_stored_moves_no_batch(spark, tmp_path):
     joined = batch.join(table.held(batch).select("k"), "k", "left_anti")
     assert "Join" not in joined._jdf.queryExecution().optimizedPlan().toString()
     assert joined.count() == 2
+
+
+@pytest.mark.parametrize("name", ["stream_load_tables", "stream_load_errors"])
+def test_the_load_queries_run_in_ranges_and_leave_no_staged_rows(spark, con, tmp_path, monkeypatch, name):
+    """What a micro-batch stores goes with it, and ranges give the same tables as one micro-batch."""
+    from oracle import compare
+
+    from eventloom import session
+    from eventloom.plans import streams
+
+    started = []
+    load = P.stream_load
+    monkeypatch.setattr(streams, "EVENTS_PER_RUN", 300, raising=False)
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(P, "stream_load", lambda *a, **k: started.append(a) or load(*a, **k))
+    rows, problem = compare(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"), con, catalog.ORACLES[name])
+    assert rows and problem is None and len(started) > 2
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"load"} and len(list(tmp_path.iterdir())) == 1
+
+
+def test_results_need_no_payload_in_their_join(spark, tmp_path, monkeypatch):
+    """A micro-batch's payloads are stored once; the join with the outcomes moves their checksums."""
+    from eventloom.operators import ledger
+
+    seen, build = [], ledger.load_results
+    monkeypatch.setattr(ledger, "load_results", lambda loads, now: seen.append(loads.columns) or build(loads, now))
+    ref = "inline://json/W10"
+    send(spark, str(tmp_path), "sync.load", [json.dumps({"job_id": "j", "batch_id": "b", "stream_name": "proxy.events", "payload_ref": ref, "cursor_start": "", "cursor_end": ""})])
+    out = P.Outputs(spark, f"{tmp_path}/out")
+    finish(P.stream_load(read_topic(spark, "sync.load", path=f"{tmp_path}/in"), out, f"{tmp_path}/cp", clock=CLOCK))
+    result = json.loads(out.sent("sync.result").first().value)
+    assert result["status"] == "success" and len(result["checksum"]) == 64
+    assert seen and not {"payload", "document", "value"} & set(seen[0])
