@@ -8,9 +8,11 @@ The k best rows of a block are selected from the most significant slice of the s
 rows that stay equal in all slices are the boundary, resolved by the smaller id. The best of all
 blocks are merged by rank.
 
-Blocks and pages of queries have a bounded size. A block goes to few tasks (one, where there are
-enough of them) and the pages of queries stream past it, so neither the queries nor the index
-are held whole anywhere.
+Blocks and pages of queries have a bounded size. A task searches a tile: blocks of at most about
+``TILE_INDEX`` bytes for pages of at most about ``TILE_QUERIES`` bytes, and gives the k best of a
+query in all of its blocks. So neither the queries nor the index are held whole anywhere, and none
+of them passes the driver. The number of tiles grows with the product of queries and vectors, as
+the exact search does.
 
 Defined results: null vectors and vectors that hold null or non-finite components take no part;
 a shorter vector counts as padded with zeros; rows that repeat an id, or have none, are rows of
@@ -21,8 +23,6 @@ candidates all are returned; an empty table gives no rows; other columns are not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +35,7 @@ LEVELS = 256
 LARGEST = 1 << 61
 BLOCK_ROWS = 1 << 14
 GROUP_QUERIES = 256
+TILE_INDEX, TILE_QUERIES = 32 << 20, 8 << 20
 K = 5
 QUERY_EVERY = 50
 
@@ -90,7 +91,7 @@ def index(vectors: DataFrame, blocks: int) -> DataFrame:
     return named.groupBy("block").applyInPandas(build, INDEX)
 
 
-PAGES = "grp int, query_dims int, query_rows binary, query_unnamed binary, query_ids binary, queries binary"
+PAGES = "grp int, query_dims int, width int, query_rows binary, query_unnamed binary, query_ids binary, queries binary"
 
 
 def query_pages(queries: DataFrame, groups: int) -> DataFrame:
@@ -99,9 +100,10 @@ def query_pages(queries: DataFrame, groups: int) -> DataFrame:
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_no")
         m = _matrix(pdf["q"])
+        width = next(w for w in (1, 2, 4, 8) if np.array_equal(m.astype(f"<i{w}"), m))
         named = (pdf["row_no"].to_numpy("<i8").tobytes(), pdf["unnamed"].to_numpy(bool).tobytes(), pdf["vec_id"].to_numpy("<i8").tobytes())
         columns = [c.split()[0] for c in PAGES.split(", ")]
-        return pd.DataFrame([(int(pdf["grp"].iloc[0]), m.shape[1], *named, m.astype("<i8").tobytes())], columns=columns)
+        return pd.DataFrame([(int(pdf["grp"].iloc[0]), m.shape[1], width, *named, m.astype(f"<i{width}").tobytes())], columns=columns)
 
     grp = F.pmod(F.xxhash64("row_no", F.lit(1)), F.lit(groups)).cast("int")
     named = queries.withColumns({"grp": grp, "unnamed": F.col("vec_id").isNull(), "vec_id": F.coalesce("vec_id", F.lit(0))})
@@ -210,33 +212,57 @@ def search_block(row_nos: np.ndarray, low: np.ndarray, slices: np.ndarray, query
             yield at, [int(x) + constant for x in (bit.astype(np.int64) << places).sum(axis=0)]
 
 
-def search(blocks: DataFrame, pages: DataFrame, n_blocks: int, n_pages: int, k: int = K) -> DataFrame:
+def search_page(page, blocks: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of all ``blocks`` for every query of a page."""
+    asked, query_ids = np.frombuffer(page.query_rows, "<i8"), np.frombuffer(page.query_ids, "<i8")
+    queries = np.frombuffer(page.queries, f"<i{page.width}").astype(np.int64).reshape(-1, page.query_dims)
+    by, ids, unnamed, scores = [], [], [], []
+    for r in blocks.itertuples():
+        slices = np.frombuffer(r.slices, "<u8").reshape(r.dims, r.bits, -1)
+        named, nameless = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.unnamed, bool)
+        found = search_block(np.frombuffer(r.row_nos, "<i8"), np.frombuffer(r.low, "<i8"), slices, asked, queries, k)
+        for i, (at, score) in enumerate(found):
+            if any(not -(1 << 63) <= x < 1 << 63 for x in score):
+                raise OverflowError("a score does not fit a long")
+            by.append(np.full(len(at), i))
+            ids.append(named[at])
+            unnamed.append(nameless[at])
+            scores.append(np.array(score, dtype=np.int64))
+    by, ids, unnamed, scores = (np.concatenate(x) for x in (by, ids, unnamed, scores))
+    order = np.lexsort((ids, unnamed, ~scores, by))
+    order = order[np.arange(len(order)) - np.searchsorted(by[order], by[order]) < k]
+    query_id, vec_id = pd.array(query_ids[by[order]], dtype="Int64"), pd.array(ids[order], dtype="Int64")
+    query_id[np.frombuffer(page.query_unnamed, bool)[by[order]]], vec_id[unnamed[order]] = pd.NA, pd.NA
+    return pd.DataFrame({"query_row": asked[by[order]], "query_id": query_id, "vec_id": vec_id, "score": scores[order]})
+
+
+def tiles(n_blocks: int, n_pages: int, index_bytes: int, query_bytes: int, tasks: int) -> tuple[int, int]:
+    """Into how many groups blocks and pages fall: tiles of bounded size, and ``tasks`` of them where there is so much."""
+    b, p = (min(n, max(1, -(-size // most))) for n, size, most in ((n_blocks, index_bytes, TILE_INDEX), (n_pages, query_bytes, TILE_QUERIES)))
+    while b * p < tasks and (b < n_blocks or p < n_pages):
+        if b < n_blocks and (p == n_pages or query_bytes <= index_bytes):  # a further group sends all of the other side once more
+            b += 1
+        else:
+            p += 1
+    return b, p
+
+
+def search(blocks: DataFrame, pages: DataFrame, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best vectors of every query."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                rows, ids, unnamed = np.frombuffer(r.row_nos, "<i8"), np.frombuffer(r.ids, "<i8"), np.frombuffer(r.unnamed, bool)
-                asked, query_ids = np.frombuffer(r.query_rows, "<i8"), np.frombuffer(r.query_ids, "<i8")
-                nameless = np.frombuffer(r.query_unnamed, bool)
-                slices = np.frombuffer(r.slices, "<u8").reshape(r.dims, r.bits, -1)
-                queries = np.frombuffer(r.queries, "<i8").reshape(-1, r.query_dims)
-                found = list(search_block(rows, np.frombuffer(r.low, "<i8"), slices, asked, queries, k))
-                n = [len(at) for at, _ in found]
-                at = np.concatenate([at for at, _ in found]) if found else np.zeros(0, dtype=np.int64)
-                score = [x for _, scores in found for x in scores]
-                if any(not -(1 << 63) <= x < 1 << 63 for x in score):
-                    raise OverflowError("a score does not fit a long")
-                query_id, vec_id = pd.array(np.repeat(query_ids, n), dtype="Int64"), pd.array(ids[at], dtype="Int64")
-                query_id[np.repeat(nameless, n)], vec_id[unnamed[at]] = pd.NA, pd.NA
-                yield pd.DataFrame({"query_row": np.repeat(asked, n), "query_id": query_id, "vec_id": vec_id, "score": np.array(score, dtype=np.int64)})
-
-    tasks = 2 * blocks.sparkSession.sparkContext.defaultParallelism
-    copies = max(1, min(n_pages, -(-tasks // n_blocks)))  # of each block, where there are fewer blocks than tasks
-    placed = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    sent = pages.withColumns({"to": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))), "by": F.col("grp") % copies})
-    met = sent.join(placed, (F.col("to") == F.col("block")) & (F.col("by") == F.col("copy")))
-    found = met.mapInPandas(run, "query_row long, query_id long, vec_id long, score long")
+    def run(met: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        found = [search_page(page, met, k) for page in sent.itertuples()] if len(met) else []
+        return pd.concat(found) if found else pd.DataFrame(columns=["query_row", "query_id", "vec_id", "score"], dtype="int64")
+
+    n_blocks, index_bytes = blocks.agg(F.count("*"), F.coalesce(F.sum(F.expr("cast(dims AS bigint) * bits * n DIV 8")), F.lit(0))).first()
+    n_pages, query_bytes = pages.agg(F.count("*"), F.coalesce(F.sum(F.expr(f"cast(query_dims AS bigint) * width * {GROUP_QUERIES}")), F.lit(0))).first()
+    b, p = tiles(n_blocks, n_pages, index_bytes, query_bytes, 4 * blocks.sparkSession.sparkContext.defaultParallelism)
+    # grouped, not joined: the estimate of a page leaves out its copies, so a join would broadcast them all
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+    placed = blocks.withColumns({"b": F.col("block") % max(1, b), "p": each(p)})
+    sent = pages.withColumns({"b": each(b), "p": F.col("grp") % max(1, p)})
+    met = placed.groupBy("b", "p").cogroup(sent.groupBy("b", "p"))
+    found = met.applyInPandas(run, "query_row long, query_id long, vec_id long, score long")
     order = "PARTITION BY query_row ORDER BY score DESC, vec_id ASC NULLS LAST"
     ranked = found.withColumn("rank", F.expr(f"row_number() OVER ({order})")).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -249,7 +275,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, levels: int = LEVELS
     n_pages, n_blocks = max(1, -(-m // GROUP_QUERIES)), max(1, -(-n // BLOCK_ROWS))
     blocks = staged(index(stored, n_blocks), "topk-index")
     pages = staged(query_pages(stored.filter(is_query), n_pages), "topk-queries")
-    return search(blocks, pages, n_blocks, n_pages, k)
+    return search(blocks, pages, k)
 
 
 ORACLE = f"""

@@ -57,6 +57,29 @@ def test_rows_of_one_id_are_rows_of_their_own(spark):
     assert found == brute(rows, 4) and len(found) == 12
 
 
+def test_pages_are_not_broadcast_however_many_blocks_they_meet(spark, monkeypatch):
+    """The planner's estimate of a page does not count its copies, one per block: a join sent all of them to the driver."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 10)
+    df = spark.range(400).selectExpr("id AS vec_id", "array(cast(id AS float), 1f) AS embedding")
+    found = topk.top_k(df, F.col("vec_id") % 2 == 0)
+    assert found.count() == 1000
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_are_bounded_and_as_many_as_tasks_where_there_is_so_much(spark, monkeypatch):
+    assert topk.tiles(0, 0, 0, 0, 8) == (0, 0) and topk.tiles(1, 1, 10, 10, 8) == (1, 1)
+    assert topk.tiles(1000, 2000, 1000 << 20, 256 << 20, 8) == (32, 32)
+    b, p = topk.tiles(5, 40, 5 << 20, 1 << 20, 32)
+    assert b == 5 and 32 <= b * p < 40
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(topk, "GROUP_QUERIES", 8)
+    monkeypatch.setattr(topk, "TILE_INDEX", 50, raising=False)
+    monkeypatch.setattr(topk, "TILE_QUERIES", 200, raising=False)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.integers(-4, 5, 4) * 300.0 ** (i % 3)).tolist()) for i in range(200)]
+    assert run(spark, rows) == brute(rows, 5)
+
+
 def test_bitmap_sums_equal_products():
     rng = np.random.default_rng(2)
     m, w = rng.integers(0, 300, (130, 9)), rng.integers(0, 100, 9)
