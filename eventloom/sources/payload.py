@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import json_fields as J
 from ..functions.hashing import INLINE_PREFIX, base64url_decode
+from ..session import durable, run_folder
 
 OUTBOX_PREFIX = "outbox://"
 GLOB_CHARACTERS = r"[\\{}*?\[\]^]"  # of a path pattern
+PASS_FOLDERS, PASS_FILES = 20_000, 10_000
 
 # fixed values: texts that consumers of the error messages know
 EMPTY_PAYLOAD = "payload_ref resolved an empty JSON payload"
@@ -100,32 +102,49 @@ def _escaped(character: re.Match) -> str:
     return "\\" + character[0]
 
 
+def _outbox_texts(spark: SparkSession, base: str, paths: DataFrame) -> DataFrame | None:
+    """``_path`` and ``_text`` of the files of ``paths`` (``_path, _folder``) that ``base`` has; the last pass is read in place, others are stored."""
+    root, store, passed, last = base.split(":", 1)[-1].rstrip("/"), run_folder(spark, "outbox-texts"), False, None
+    passes = max(1, -(-paths.select("_folder").distinct().count() // PASS_FOLDERS))
+    uri = F.col("_metadata.file_path")
+    below = F.substring_index(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), f"{root}/", -1)
+    for n in range(passes):
+        mine = paths.filter(F.pmod(F.xxhash64("_folder"), F.lit(passes)) == n)
+        files = _outbox_files(spark, base, {r[0] for r in mine.select("_folder").distinct().collect()})
+        if files is None:
+            continue
+        named = files.select(uri.alias("_uri"), below.alias("_path")).join(mine, "_path", "left_semi").select("_uri")
+        matched = [_literal(r["_uri"]) for r in named.collect()]
+        for start in range(0, max(1, len(matched)), PASS_FILES):
+            if last is not None:
+                last.write.mode("append").option("compression", "none").parquet(store)  # the planner goes by their size
+                passed = True
+            # a condition on the path alone leaves the other files out of the scan before any task is made
+            listed = ", ".join(matched[start : start + PASS_FILES])
+            wanted = F.expr(f"_metadata.file_path IN ({listed})") if listed else F.lit(False)
+            last = files.filter(wanted).select(below.alias("_path"), F.col("content").cast("string").alias("_text"))
+    return last.unionByName(spark.read.schema(last.schema).parquet(store)) if passed else last
+
+
 def payload_outbox(df: DataFrame, base: str, ref: str = "payload_ref") -> DataFrame:
     """Join ``outbox://<relative>`` references with the files under ``base``.
 
     The folders directly below ``base`` that a reference names are listed, however many they are; then the paths
     of their files are matched with the references, and only matched files are opened, as whole texts.  No path
     outside ``base`` can match, but a symbolic link inside it is followed.  A reference whose file is missing is
-    retryable.  The matched paths pass the driver, which holds the paths of every file scan anyway: at most one
-    for each reference of a micro-batch.  Lay an outbox out by day or batch, so that few folders are listed.
+    retryable.  About ``PASS_FOLDERS`` folders and at most ``PASS_FILES`` matched paths pass the driver at a time,
+    and the texts of a pass are stored before the next one, so it holds the paths of a pass only.  Lay an outbox out by day or
+    batch, so that few folders are listed.
     """
     spark = df.sparkSession
     allowed = df.filter(F.col(ref).isNotNull() & outbox_error(F.col(ref)).isNull())
     paths = allowed.select(outbox_path(F.col(ref)).alias("_path")).distinct()
-    folders = {r["f"] for r in paths.select(F.split("_path", "/")[0].alias("f")).distinct().collect()}
-    files = _outbox_files(spark, base, folders)
+    paths = durable(paths.withColumn("_folder", F.split("_path", "/")[0]))
     refs = df.withColumns({"_path": outbox_path(F.col(ref)), "_refused": outbox_error(F.col(ref))})
-    if files is None:
+    texts = _outbox_texts(spark, base, paths)
+    if texts is None:
         joined = refs.withColumn("_text", F.lit(None).cast("string"))
     else:
-        root = base.split(":", 1)[-1].rstrip("/")
-        uri = F.col("_metadata.file_path")
-        below = F.substring_index(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), f"{root}/", -1)
-        named = files.select(uri.alias("_uri"), below.alias("_path")).join(paths, "_path", "left_semi")
-        matched = [r["_uri"] for r in named.select("_uri").collect()]
-        # a condition on the path alone leaves the other files out of the scan before any task is made
-        wanted = F.expr(f"_metadata.file_path IN ({', '.join(map(_literal, matched))})") if matched else F.lit(False)
-        texts = files.filter(wanted).select(F.col("content").cast("string").alias("_text"), below.alias("_path"))
         joined = refs.join(texts, "_path", "left")
     joined = _document(joined.withColumn("payload", F.when(F.col("_refused").isNull(), F.col("_text"))))
     error = F.coalesce(

@@ -469,6 +469,35 @@ def test_outbox_opens_matched_files_only_however_many_folders(spark, tmp_path):
     assert {r.payload_retryable for r in nowhere} == {True}
 
 
+def test_an_outbox_is_read_in_passes_of_bounded_paths(spark, tmp_path, monkeypatch):
+    from eventloom.sources import payload
+
+    sizes, listed = [], payload._outbox_files
+    monkeypatch.setattr(payload, "PASS_FOLDERS", 6, raising=False)
+    monkeypatch.setattr(payload, "PASS_FILES", 4, raising=False)
+    monkeypatch.setattr(payload, "_outbox_files", lambda s, b, folders: sizes.append(len(folders)) or listed(s, b, folders))
+    for n in range(30):
+        (tmp_path / f"f{n}").mkdir()
+        for m in range(3):
+            (tmp_path / f"f{n}" / f"{m}.json").write_text("[%d]" % (10 * n + m))
+    rows = [(n, m, f"outbox://f{n}/{m}.json") for n in range(34) for m in range(4)]
+    found = payload.payload_outbox(spark.createDataFrame(rows, "n int, m int, payload_ref string"), str(tmp_path)).collect()
+    assert {(r.n, r.m): r.payload for r in found} == {(n, m): f"[{10 * n + m}]" if n < 30 and m < 3 else None for n, m, _ in rows}
+    assert len(found) == len(rows) and sum(sizes) == 34 and max(sizes) < 20
+
+
+def test_the_outbox_query_writes_and_lists_a_part_at_a_time(spark, con, monkeypatch):
+    from oracle import compare
+
+    from eventloom.plans import streams
+    from eventloom.sources import payload
+
+    monkeypatch.setattr(streams, "FILES_PER_JOB", 4)
+    monkeypatch.setattr(payload, "PASS_FOLDERS", 3)
+    rows, problem = compare(catalog.QUERIES["payload_outbox"](spark, "/root/testdata/sf0.001"), con, catalog.ORACLES["payload_outbox"])
+    assert rows and problem is None
+
+
 def test_outbox_files_of_the_query_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     """A file takes its time however small it is; adaptive execution merged all of them into one task."""
     from eventloom.plans import catalog, streams
