@@ -39,7 +39,7 @@ STAGE_SHINGLE = 5
 STAGE_PERCENT = 80
 BANDS, BAND_ROWS = 20, 5  # a pair of similarity s shares a band with chance 1 - (1 - s^5)^20
 SMALL = 64  # texts of a bucket whose pairs are made in place; those of larger ones are compared in blocks
-PART_TEXTS, PART_SHINGLES = 1 << 11, 1 << 20
+PART_TEXTS, PART_SHINGLES = 1 << 10, 1 << 18
 UNLIKE = 33  # of 100 two-bit hashes; a pair of similarity 0.8 differs in more with chance 4e-6
 
 
@@ -198,44 +198,25 @@ def open_groups(rows: DataFrame) -> DataFrame:
     return sizes.filter("low <> high").select("group", "rows", "total")
 
 
-def block_links(block: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links ``(a, b)`` that join all similar texts of different components between the parts ``low`` and ``high``."""
-    keys, n = block["key"].to_numpy(), block["n"].to_numpy(np.int64)
-    sketch = np.array(block["sketch"].tolist(), dtype="<i8").view("<u8")
-    sets = [np.sort(x) for x in block["shingles"]]
-    labels = np.unique(block["root"].to_numpy(), return_inverse=True)[1]
-    mine, others = (np.flatnonzero(block["part"] == block[end]) for end in ("low", "high"))
-    within, out = block["low"].iloc[0] == block["high"].iloc[0], []
-    for at, i in enumerate(mine):
-        met = others[at + 1 :] if within else others
-        met = met[(labels[met] != labels[i]) & (100 * np.minimum(n[met], n[i]) >= percent * np.maximum(n[met], n[i]))]
-        differ = sketch[met] ^ sketch[i]
-        met = met[np.bitwise_count(differ[:, :2] | differ[:, 2:]).sum(axis=1) <= UNLIKE]
-        if not len(met):
-            continue
-        theirs = np.concatenate([sets[j] for j in met])
-        places = np.minimum(np.searchsorted(sets[i], theirs), n[i] - 1)
-        starts = np.concatenate([[0], np.cumsum(n[met])[:-1]])
-        shared = np.add.reduceat((sets[i][places] == theirs).astype(np.int64), starts)
-        for j in met[(100 + percent) * shared >= percent * (n[met] + n[i])]:
-            if labels[j] != labels[i]:
-                out.append((keys[i], keys[j]))
-                labels[labels == labels[j]] = labels[i]
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-
 def crossed_wide(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between similar members of groups of any size: all members of different components meet.
 
     A group falls into parts of about ``PART_TEXTS`` texts or ``PART_SHINGLES`` shingles, and a task compares two
-    parts. So the memory of a task is bounded; the number of comparisons is the square of the group's size.
+    parts and verifies their pairs in place. So the memory of a task is bounded and only similar pairs are stored;
+    the number of comparisons is the square of the group's size.
     """
     parts = F.ceil(F.greatest(F.col("rows") / PART_TEXTS, F.col("total") / PART_SHINGLES)).cast("int")
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     dealt = rows.select("group", *MEMBER, parts.alias("parts")).withColumn("part", part).join(sets, "key")
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    each = each.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("parts", "other")
-    return each.groupBy("group", "low", "high").applyInPandas(lambda block: block_links(block, percent), "a long, b long")
+    each = each.select("group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", *MEMBER, "shingles")
+    ends = [each.filter(F.col("part") == F.col(end)).select("group", "low", "high", F.struct(*MEMBER, "shingles").alias(x)) for end, x in (("low", "x"), ("high", "y"))]
+    # in blocks of one part a pair comes twice; the planner's estimate leaves out the copies, so the sides are merged
+    met = ends[0].hint("merge").join(ends[1], ["group", "low", "high"])
+    likely = (F.col("x.root") != F.col("y.root")) & ((F.col("low") != F.col("high")) | (F.col("x.key") < F.col("y.key"))) & fits("x", "y", percent)
+    shared = F.size(F.array_intersect("x.shingles", "y.shingles")).cast("long")
+    alike = (100 + percent) * shared >= percent * (F.size("x.shingles") + F.size("y.shingles"))
+    return met.filter(likely & alike).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -2,8 +2,6 @@ import itertools
 import random
 import re
 
-import numpy as np
-import pandas as pd
 import xxhash
 from odd import no_docs, odd_docs  # noqa: F401
 
@@ -209,23 +207,19 @@ def test_all_of_a_large_bucket_meet(spark, monkeypatch):
     assert kept_ids(spark, texts) == similar_components(texts)
 
 
-def test_blocks_link_what_all_pairs_link(spark):
-    rng = np.random.default_rng(16)
-    base = rng.integers(0, 1 << 62, (6, 40))
-    sets = [rng.permutation(np.concatenate([base[i % 6][: 40 - i % 4], rng.integers(0, 1 << 62, i % 9)])) for i in range(60)]
-    rows = pd.DataFrame({"key": range(60), "n": [len(x) for x in sets], "sketch": [np.zeros(4, dtype=np.int64)] * 60, "root": range(60), "shingles": sets})
+def test_parts_of_a_large_bucket_link_all_similar_pairs(spark, monkeypatch):
+    rng = random.Random(16)
+    base = [[rng.randrange(1 << 62) for _ in range(40)] for _ in range(6)]
+    sets = [base[i % 6][: 40 - i % 4] + [rng.randrange(1 << 62) for _ in range(i % 9)] for i in range(60)]
     alike = {(i, j) for i, j in itertools.combinations(range(60), 2) if 10 * len({*sets[i]} & {*sets[j]}) >= 8 * len({*sets[i]} | {*sets[j]})}
-
-    def grouped(pairs):
-        root = list(range(60))
-        for i, j in pairs:
-            root = [root[i] if x == root[j] else x for x in root]
-        return sorted(sorted(k for k in range(60) if root[k] == x) for x in {*root})
-
-    whole = simhash.block_links(rows.assign(part=0, low=0, high=0), 80)
-    links = [simhash.block_links(rows.assign(part=rows["key"] % 2, low=a, high=b)[lambda x: x["part"].isin([a, b])], 80) for a, b in [(0, 0), (0, 1), (1, 1)]]
-    assert {(min(x), max(x)) for x in pd.concat([whole, *links]).itertuples(index=False)} <= alike and len(whole) < len(alike)
-    assert grouped(whole.itertuples(index=False)) == grouped(pd.concat(links).itertuples(index=False)) == grouped(alike)
+    held = spark.createDataFrame(list(enumerate(sets)), "key long, shingles array<long>")
+    rows = [(1, i, len(x), [0, 0, 0, 0], i // 12, 60, sum(map(len, sets))) for i, x in enumerate(sets)]
+    rows = spark.createDataFrame(rows, "group long, key long, n int, sketch array<long>, root long, rows long, total long")
+    for texts, shingles in ((1000, 10**6), (7, 10**6), (1000, 300)):
+        monkeypatch.setattr(simhash, "PART_TEXTS", texts)
+        monkeypatch.setattr(simhash, "PART_SHINGLES", shingles)
+        found = [tuple(sorted(r)) for r in simhash.crossed_wide(rows, held, 80).collect()]
+        assert sorted(found) == sorted((i, j) for i, j in alike if i // 12 != j // 12)
 
 
 def test_texts_whose_keys_collide_are_told_apart(spark):
